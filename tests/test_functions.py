@@ -1,0 +1,183 @@
+"""Formats, codecs, hashes, durations, cron and schedules."""
+
+import datetime as dt
+import json
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from tidewright.functions import codecs, formats, hashing
+from tidewright.functions.cron import Cron, cron_next
+from tidewright.functions.duration import Duration, duration_ms
+from tidewright.functions.schedule import Schedule
+
+
+def one(spark, text, f):
+    return spark.createDataFrame([(text,)], "x string").select(f(F.col("x")).alias("y")).first()["y"]
+
+
+def test_lines(spark):
+    for text, want in [("a\nb", ["a", "b"]), ("a\r\nb\r\n", ["a", "b"]), ("\n", [""]), ("", []), ("a\n\nb", ["a", "", "b"]), ("a\r", ["a"])]:
+        assert one(spark, text, formats.lines) == want
+
+
+def test_fields(spark):
+    assert one(spark, "  a \t b  c ", formats.ssv) == ["a", "b", "c"] and one(spark, "   ", formats.ssv) == [""]
+    widths = {"id": (0, 5), "name": (5, 12), "amount": (12, 18)}
+    assert tuple(one(spark, "00042Ann      19.5", lambda x: formats.fixed_width(x, widths))) == ("00042", "Ann", "19.5")
+    pattern = r"(?<level>[A-Z]+): (?<msg>.*)"
+    assert tuple(one(spark, "WARN: hot", lambda x: formats.regex_groups(x, pattern))) == ("WARN", "hot")
+    assert one(spark, "nothing", lambda x: formats.regex_groups(x, pattern)) is None
+    assert one(spark, "x", lambda x: formats.regex_groups(x, "x")) is None
+    assert one(spark, 'a\t"b\tc"\td""e\t"f""g"', formats.tsv) == ["a", "b\tc", "de", 'f"g']
+
+
+def test_json_lines(spark):
+    df = spark.createDataFrame([('{"a":1}',), ("{bad",), ("",)], "x string")
+    assert [r[0].a for r in df.select(formats.jsonl(F.col("x"), "a int").alias("v")).where("v is not null").collect()] == [1]
+    good = df.where("x <> '{bad'").select(formats.ndjson(F.col("x"), "a int").alias("v")).collect()
+    assert [r.v and r.v.a for r in good] == [1, None]
+    with pytest.raises(Exception, match="(?i)malformed|parse"):
+        df.select(formats.ndjson(F.col("x"), "a int")).collect()
+
+
+def test_csv():
+    rows = lambda *a, **k: list(formats.delimited_rows(*a, **k))
+    assert rows('a,b\n"x ""y""\nz",2\r\nlast,') == [["a", "b"], ['x "y"\nz', "2"], ["last", ""]]
+    assert rows("") == [] and rows("\n") == [[""]] and rows('a"b,c') == [['a"b', "c"]] and rows("a\rb") == [["a"], ["b"]]
+    assert rows(" a ; b ", separator=";", trim=True) == [["a", "b"]]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.text(st.characters(codec="utf-8", exclude_characters="\r"), max_size=6), min_size=1, max_size=4), min_size=1, max_size=5))
+def test_csv_reads_what_is_quoted(rows):
+    text = "".join(",".join('"' + f.replace('"', '""') + '"' for f in r) + "\n" for r in rows)
+    assert list(formats.delimited_rows(text)) == rows
+
+
+def test_csv_records(spark):
+    assert one(spark, "a,b\n1\n2,3,4", formats.csv_records) == [{"a": "1", "b": ""}, {"a": "2", "b": "3"}]
+
+
+def test_sse(spark):
+    text = ": hi\nevent: e1\ndata: a\ndata:b\nid: 7\nretry: 50\n\n\ndata: tail"
+    assert [tuple(e) for e in one(spark, text, formats.sse_events)] == [("e1", "a\nb", "7", 50), ("message", "tail", None, None)]
+    assert one(spark, "id: 1\n\n", formats.sse_events) == []
+
+
+def test_xml(spark):
+    events = lambda t: [tuple(v for v in e.values() if v) for e in formats.xml_events(t)]
+    assert events('<?xml version="1.0"?><!DOCTYPE x><a id="1"> hi <b/><!-- <c> --><![CDATA[ <raw> ]]></a>') == [("open", "a", {"id": "1"}), ("text", "hi"), ("selfClose", "b"), ("text", "<raw>"), ("close", "a")]
+    assert events("a < b <i>x</i>") == [("text", "a"), ("text", "b"), ("open", "i"), ("text", "x"), ("close", "i")]
+    assert events("<a>&amp;</a") == [("open", "a"), ("text", "&amp;"), ("text", "/a")]
+    assert one(spark, "<p>x</p>", formats.xml)[1]["text"] == "x"
+
+
+def test_base64_and_frames(spark):
+    df = spark.createDataFrame([(b"x" * 100,), (b"",)], "b binary")
+    coded = [r[0] for r in df.select(codecs.to_base64(F.col("b"))).collect()]
+    assert "\n" not in coded[0] and len(coded[0]) == 136 and coded[1] == ""
+    for header, little in ((1, False), (2, True), (4, False), (4, True)):
+        data = b"".join(codecs.frame(p, header, little) for p in (b"one", b"", b"three"))
+        assert list(codecs.frames(data + b"\t", header, little)) == [b"one", b"", b"three"]
+        joined = df.select(codecs.join_frames(F.col("b"), header, little).alias("b"))
+        assert [bytes(r["frame"]) for r in codecs.split_frames(joined, "b", header, little).collect()] == [b"x" * 100, b""]
+    with pytest.raises(codecs.FrameTooLarge):
+        list(codecs.frames(codecs.frame(b"12345"), most=4))
+
+
+values = st.recursive(
+    st.none() | st.booleans() | st.integers(-(2**60), 2**60) | st.floats(allow_nan=False) | st.text(max_size=5),
+    lambda x: st.lists(x, max_size=3) | st.dictionaries(st.text(max_size=3) | st.just("__t"), x, max_size=3),
+    max_leaves=12,
+)
+
+
+@settings(max_examples=150, deadline=None)
+@given(values)
+def test_codecs_round_trip(x):
+    assert codecs.loads(codecs.dumps(x)) == x and repr(codecs.loads(codecs.dumps(x))) == repr(x)
+    assert codecs.unpack_message(codecs.pack_message(x)) == x
+
+
+def test_lossless_tags():
+    when = dt.datetime(2024, 1, 2, 3, 4, 5, 678000, dt.timezone.utc)
+    assert json.loads(codecs.dumps([codecs.UNDEFINED, float("inf"), -0.0, 2**70, when, {1}, {1: 2}])) == [{"__t": "undefined"}, {"__t": "inf"}, {"__t": "-0"}, {"__t": "bigint", "v": str(2**70)}, {"__t": "date", "v": "2024-01-02T03:04:05.678Z"}, {"__t": "set", "v": [1]}, {"__t": "map", "v": [[1, 2]]}]
+    assert codecs.loads(codecs.dumps([when, {1}, {1: 2}])) == [when, {1}, {1: 2}]
+    assert codecs.unpack_message(codecs.pack_message([b"ab", "x" * 300, list(range(20)), -500, 1.5])) == [b"ab", "x" * 300, list(range(20)), -500, 1.5]
+
+
+def test_murmur_vectors():
+    # published vectors of MurmurHash3 x86 32-bit
+    assert [hashing.murmur3_32(*v) for v in ((b"", 0), (b"", 1), (b"test", 0), (b"Hello, world!", 0), (b"aaa", 0x9747B28C), (b"The quick brown fox jumps over the lazy dog", 0))] == [0, 0x514E28B7, 0xBA6BD213, 0xC0363E43, 0x283E0130, 0x2E4FF723]
+
+
+def test_ring(spark):
+    ring = hashing.HashRing.of(["b", "a", "c", "a"])
+    keys = [f"k{i}" for i in range(300)]
+    assert ring.nodes == ("a", "b", "c") and len(ring.points) == 384
+    assert all(ring.owners(k, 1) == [ring.owner(k)] and sorted(ring.owners(k, 9)) == ["a", "b", "c"] for k in keys[:50])
+    after = ring.with_node("d")
+    moved = ring.moved(after, keys)
+    assert moved and all(b == "d" for _, _, b in moved) and after.without_node("d") == ring
+    df = spark.createDataFrame([(k,) for k in keys], "k string")
+    assert all(r["o"] == ring.owner(r["k"]) for r in df.select("k", ring.owner_of(F.col("k")).alias("o")).collect())
+    assert hashing.HashRing.of([]).owner("x") is None
+
+
+def test_canonical_json(spark):
+    assert hashing.canonical_json({"b": 1.0, "a": [True, None, "é\n"], "c": {"z": 1e21, "y": 1e-7, "x": -0.0}}) == '{"a":[true,null,"é\\n"],"b":1,"c":{"x":{"$negzero":true},"y":1e-7,"z":1e+21}}'
+    assert [hashing.canonical_json(x) for x in (0.1, 123456789.5, 1e20, 5e-324, 0.000001, float("nan"))] == ["0.1", "123456789.5", "100000000000000000000", "5e-324", "0.000001", '{"$nan":true}']
+    rows = spark.createDataFrame([('{"a":1,"b":2}',), ('{ "b": 2.0, "a": 1 }',), ("{",)], "x string").select(hashing.payload_hash(F.col("x"))).collect()
+    assert rows[0] == rows[1] and rows[2][0] is None and rows[0][0] == hashing.payload_hash_of({"b": 2, "a": 1})
+
+
+def test_durations(spark):
+    assert [Duration.of(x).ms for x in ("250ms", "5s", "1.5h", 7, "2 d", "1w")] == [250, 5000, 5_400_000, 7, 172_800_000, 604_800_000]
+    assert str(Duration.of("90s")) == "1.5m" and Duration.of("1m") + "1s" == Duration(61_000) and Duration.of("1m") > Duration.of("59s")
+    with pytest.raises(ValueError):
+        Duration.of("5 parsecs")
+    assert one(spark, "1.5h", duration_ms) == 5_400_000 and one(spark, "x", duration_ms) is None
+    assert spark.range(1).select(Duration.of("90s").interval().alias("i")).first()["i"] == dt.timedelta(seconds=90)
+
+
+def ms(text):
+    return int(dt.datetime.fromisoformat(text).replace(tzinfo=dt.timezone.utc).timestamp() * 1000)
+
+
+def test_cron(spark):
+    start = ms("2024-01-31T10:07:30")
+    for expression, want in [("*/15 * * * *", "2024-01-31T10:15:00"), ("0 0 29 2 *", "2024-02-29T00:00:00"), ("0 12 * * MON-FRI", "2024-01-31T12:00:00"), ("30 7 10 * * *", "2024-02-01T10:07:30"), ("@monthly", "2024-02-01T00:00:00"), ("0 0 13 * FRI", "2024-02-02T00:00:00"), ("0 0 * * 7", "2024-02-04T00:00:00"), ("5/20 * * * *", "2024-01-31T10:25:00"), ("0 9 1 JAN,JUL *", "2024-07-01T09:00:00")]:
+        assert Cron(expression).next_ms(start) == ms(want), expression
+    for bad in ("* * * *", "61 * * * *", "5-1 * * * *", "*/0 * * * *", "a * * * *", ", * * * *"):
+        with pytest.raises(ValueError):
+            Cron(bad)
+    with pytest.raises(ValueError, match="never"):
+        Cron("0 0 31 2 *").next_ms(start)
+    assert len(Cron("@hourly").matches_between(ms("2024-01-01T00:00:00"), ms("2024-01-02T00:00:00"))) == 24
+    # clocks of Berlin: 02:30 is missing on 2024-03-31, and comes twice on 2024-10-27
+    berlin = Cron("30 2 * * *", "Europe/Berlin")
+    assert berlin.next_ms(ms("2024-03-30T12:00:00")) == ms("2024-04-01T00:30:00")
+    first = berlin.next_ms(ms("2024-10-26T12:00:00"))
+    assert first == ms("2024-10-27T00:30:00") and berlin.next_ms(first) == ms("2024-10-28T01:30:00")
+    df = spark.createDataFrame([(dt.datetime(2024, 1, 1, 0, 30),)], "t timestamp")
+    assert df.select(cron_next(F.col("t"), "@hourly").alias("n")).first()["n"] == dt.datetime(2024, 1, 1, 1)
+
+
+def test_schedules():
+    delays = lambda s, n=5: s.delays(n)
+    assert delays(Schedule.exponential(100).max_delay(500)) == [100, 200, 400, 500, 500]
+    assert delays(Schedule.fibonacci(10)) == [10, 10, 20, 30, 50] and delays(Schedule.linear("1s"), 2) == [1000, 2000]
+    assert delays(Schedule.spaced(50).intersect(Schedule.recurs(2))) == [50, 50] and delays(Schedule.once()) == [0]
+    assert delays(Schedule.spaced(50).union(Schedule.recurs(2)), 3) == [0, 0, 50]
+    assert delays(Schedule.spaced(40).cumulative_delay(100)) == [40, 40]
+    assert delays(Schedule.fixed(100), 2) == [100, 100] and delays(Schedule.cron("* * * * *", start_ms=30_000), 2) == [30_000, 60_000]
+    assert all(80 <= d <= 120 for d in delays(Schedule.spaced(100).jittered(seed=1))) and all(0 <= d <= 100 for d in delays(Schedule.spaced(100).full_jitter(1)))
+    assert delays(Schedule.exponential(1).while_output(lambda d: d < 5)) == [1, 2, 4] and delays(Schedule.spaced(1).while_input(lambda n: n < 2)) == [1, 1]
+
+
+def test_offsets(spark):
+    assert one(spark, "0:42,1:17", formats.offsets_map) == {0: 42, 1: 17}
+    assert one(spark, "1:17,0:42", lambda x: formats.offsets_text(formats.offsets_map(x))) == "0:42,1:17"
