@@ -32,7 +32,7 @@ def test_license_phrases_and_templates():
     assert scan(None) == (0, 0, None, None, "", "", 0.0)
     assert scan("") == scan(" .. ")
     n, places, first, last, base, labels, score = scan("x The MIT License. mit-license, Released under the MIT License.")
-    assert (n, places, first, last, base, labels, score) == (10, 3, 2, 8, "mit", "mit,mit-notice", 1.0)
+    assert (n, places, first, last, base, labels, score) == (11, 3, 2, 9, "mit", "mit,mit-notice", 1.0)
     assert scan("the mit licence")[1] == 0
     # optional region left out or present; a replaceable region of up to two words
     for t in ("licensed under the gnu general public license", "this work is licensed under the GNU General Public License, version 3 or", "Program is licensed under the gnu general public license version 2 1"):

@@ -33,6 +33,8 @@ from .common import map_rows
 PER_LANGUAGE, MAX_LANGUAGES, WINDOW_WORDS = 150, 64, 160
 BUCKETS, WIDTH, LEXICON = 1 << 15, 36, 400
 UNKNOWN = "und"
+#: Mean word probability below which keep_known rejects a document; an even guess among four languages has 0.25.
+LEAST_SCORE = 0.4
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -255,7 +257,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return map_rows(docs, ["doc_id", "text"], "doc_id bigint, lang_pred string, score double", f)
 
 
-def keep_known(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+def keep_known(docs: DataFrame, model: Model, least: float = LEAST_SCORE) -> DataFrame:
     """Whole rows of docs with a language, of a score of at least `least`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
