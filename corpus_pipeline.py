@@ -13,7 +13,7 @@ from tidewright.llm.queries import tokenizer_path
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language is undetermined, or has a mean word probability below one half."""
+    """Drops documents whose language is undetermined, or has a mean word probability below langid.LEAST_SCORE."""
     return langid.keep_known(docs, langid.train(langid.sample(docs)))
 
 
