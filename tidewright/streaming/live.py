@@ -1,8 +1,8 @@
 """A topology as a Structured Streaming query.
 
 Spark's watermark is global and moves between micro-batches, so a late row is dropped one batch later than in a replay; for input
-in order, or lateness that covers the disorder, both give the same windows. Windows still open when a query ends are
-flushed by flush(), which reads the state's rows through a final batch.
+in order, or lateness that covers the disorder, both give the same windows. Windows still open when a query ends stay in
+the checkpoint: the next run goes on with them. A replay emits them all.
 """
 
 from __future__ import annotations
