@@ -33,14 +33,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, release
+from .common import broadcast_if_small, cut, release
 from .components import components
 from .tables import gather, pieces
-from .words import WordHashes, lower_space_words, shingle_hashes
+from .words import WordHashes, lower_space_words, mixed, shingle_hashes
 
 SIZE, PERCENT, LEADERS = 5, 80, 2
 SKETCH_BITS, FILTER_BITS, BUCKETS_PER_TASK, OCTANTS = 24, 23, 64, 8
-_MULTI = 1 << 31
+#: Postings that a task holds before it sends them, and pairs that are sent to all tasks at most (16 bytes each).
+HELD, PAIRS = 800_000, 300_000
+_MULTI, NO_ID = 1 << 31, -(1 << 63)
 
 
 class Sets:
@@ -137,7 +139,7 @@ def _postings(docs: DataFrame, size: int, percent: int, table, buckets: int) ->
                 rows["gram"], rows["class"], rows["n"], rows["pos"] = s[np.argsort(key, kind="stable")[:p]], c, n, np.arange(p)
                 made.append(rows)
                 held += p
-            if held > 4_000_000:
+            if held > HELD:
                 yield from out()
                 held = 0
         yield from out()
@@ -185,41 +187,48 @@ def _shared(postings: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "gram bigint, class bigint, n int, pos int")
 
 
-def _filter_indices(classes: np.ndarray, size: int) -> np.ndarray:
-    u = classes.view(np.uint64)
-    return np.concatenate([u % np.uint64(size), (u >> np.uint64(32)) % np.uint64(size)])
+def _keys(classes: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    return mixed(classes.view(np.uint64) ^ mixed(firsts.view(np.uint64)))
 
 
-def _class_filter(classes: DataFrame, bits: int) -> np.ndarray:
+def _filter_indices(keys: np.ndarray, size: int) -> np.ndarray:
+    return np.concatenate([keys % np.uint64(size), (keys >> np.uint64(32)) % np.uint64(size)]).astype(np.int64)
+
+
+def _class_filter(firsts: DataFrame, bits: int) -> np.ndarray:
+    """Marks of firsts(class, first), the document of each wanted class whose set is to be given."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << bits, np.uint8)
         for batch in batches:
-            counts[_filter_indices(batch.column(0).to_numpy(), 1 << bits).astype(np.int64)] = 1
+            counts[_filter_indices(_keys(batch.column(0).to_numpy(), batch.column(1).to_numpy()), 1 << bits)] = 1
         for number, blob in pieces(counts):
             yield _batch([("piece", pa.int32()), ("blob", pa.binary())], [(number, blob)])
 
-    return gather(classes.select("class").mapInArrow(run, "piece int, blob binary"), 1 << bits)
+    return gather(firsts.mapInArrow(run, "piece int, blob binary"), 1 << bits)
 
 
 def _sets(docs: DataFrame, size: int, filter_) -> DataFrame:
-    """class, octants and set of documents whose class may be wanted."""
+    """class, octants and set of the documents that the filter lets pass: all wanted ones, and a few others."""
     schema = [("class", pa.int64()), ("octants", pa.int64()), ("grams", pa.binary())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, seen, live = Sets(size), set(), filter_.value
+        sets, live = Sets(size), filter_.value
         for batch in batches:
             rows = []
-            for text in batch.column(0).to_pylist():
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 s = sets(text)
-                if len(s) and (c := class_of(s)) not in seen and live[_filter_indices(np.array([c]), len(live)).astype(np.int64)].all():
-                    seen.add(c)
-                    rows.append((c, octants(s), s.tobytes()))
+                if not len(s):
+                    continue
+                key = _keys(np.array([class_of(s)]), np.array([NO_ID if doc_id is None else doc_id]))
+                if live[_filter_indices(key, len(live))].all():
+                    rows.append((class_of(s), octants(s), s.tobytes()))
                 if len(rows) >= 500:
                     yield _batch(schema, rows)
                     rows = []
             yield _batch(schema, rows)
 
-    return docs.select("text").mapInArrow(run, "class bigint, octants bigint, grams binary")
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "class bigint, octants bigint, grams binary")
 
 
 def _difference(a: Column, b: Column) -> Column:
@@ -230,13 +239,17 @@ def _difference(a: Column, b: Column) -> Column:
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs(x, y, nx, ny) whose sets are similar enough, as a, b."""
+    spark = pairs.sparkSession
     marks = sets.select("class", "octants")
     mx, my = marks.toDF("cx", "ox"), marks.toDF("cy", "oy")
     total = F.col("nx") + F.col("ny")
     allowed = total - 2 * F.ceil(percent * total / (100 + percent))
-    passed = pairs.join(mx, F.col("x") == mx.cx).join(my, F.col("y") == my.cy).where(_difference(F.col("ox"), F.col("oy")) <= allowed).select("x", "y")
-    sx, sy = sets.select("class", "grams").toDF("cx", "gx"), sets.select("class", "grams").toDF("cy", "gy")
-    met = passed.join(sx, F.col("x") == sx.cx).join(sy, F.col("y") == sy.cy).select("x", "y", "gx", "gy")
+    passed = pairs.join(mx, F.col("x") == mx.cx).join(my, F.col("y") == my.cy).where(_difference(F.col("ox"), F.col("oy")) <= allowed)
+    passed = cut(spark, passed.select("x", "y").distinct(), "pairs")
+    # few pairs go to the sets, so the sets of all others stay where they are; many are joined by exchange
+    sides = passed.select("x", "y", F.explode(F.array("x", "y")).alias("class"))
+    side = lambda c: F.first(F.when(F.col("class") == F.col(c), F.col("grams")), ignorenulls=True)
+    met = broadcast_if_small(sides, 2 * PAIRS).join(sets.select("class", "grams"), "class").groupBy("x", "y").agg(side("x").alias("gx"), side("y").alias("gy"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -261,10 +274,9 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, sketch_bits:
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     lists = cut(spark, _shared(_postings(docs, size, percent, table, BUCKETS_PER_TASK * tasks)), "lists")
     table.destroy()
-    wanted = cut(spark, lists.select("class").distinct(), "wanted")
-    live = spark.sparkContext.broadcast(_class_filter(wanted, filter_bits))
-    found = _sets(docs, size, live).join(wanted, "class", "left_semi").groupBy("class").agg(F.first("octants").alias("octants"), F.first("grams").alias("grams"))
-    sets = cut(spark, found, "sets")
+    firsts = members.join(lists.select("class").distinct(), "class", "left_semi").groupBy("class").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("first"))
+    live = spark.sparkContext.broadcast(_class_filter(firsts, filter_bits))
+    sets = cut(spark, _sets(docs, size, live), "sets")
     live.destroy()
 
     lengths = lists.groupBy("gram").agg(F.count(F.lit(1)).alias("m"), F.min("class").alias("lead"))
