@@ -19,14 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from .common import map_rows
-from .encode import chunks_of, plain_words
-
-
-def byte_chars() -> list[str]:
-    """The printable character that stands for each byte in byte-level vocabularies."""
-    plain = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
-    other = iter(range(256, 512))
-    return [chr(b) if b in plain else chr(next(other)) for b in range(256)]
+from .encode import byte_chars, chunks_of, plain_words
 
 
 class BoundaryBPE:

@@ -2,8 +2,8 @@
 
 For a tokenizer that drops white space and splits words by its pattern, ids of a text are those of its chunks between
 white space, one after another, and a chunk that holds a special token, or a character outside the plain range, is
-encoded by the library on its own. Plain chunks are split into words here; words not yet seen are encoded by the library
-many at a time, joined by spaces, and told apart by the end-of-word mark of their last id.
+encoded by the library on its own. Plain chunks are split into words here; words not yet seen are encoded by the library,
+by its model alone, past the normaliser and splitter whose work is done by then.
 
 The memories are bounded: at `most` entries they take in no more.
 """
@@ -11,8 +11,8 @@ The memories are bounded: at `most` entries they take in no more.
 from __future__ import annotations
 
 import re
-import sys
 import unicodedata
+from array import array
 
 import numpy as np
 
@@ -45,6 +45,21 @@ def plain_words(chunk: str) -> list[str] | None:
     return None if _NOT_PLAIN.search(chunk) else WORD.findall(chunk)
 
 
+def split_chunks(chunks: list[str]) -> list[list[str] | None]:
+    """plain_words of each, many at a time."""
+    whole = "\n".join(chunks)
+    if _NOT_PLAIN.search(whole) or _OWN_SPACE.search(whole) or _NOT_PLAIN.search(lower := whole.lower()):
+        return [plain_words(c) for c in chunks] if len(chunks) < 64 else [x for at in range(0, len(chunks), 32) for x in split_chunks(chunks[at : at + 32])]
+    return list(map(WORD.findall, lower.split("\n"))) if chunks else []
+
+
+def byte_chars() -> list[str]:
+    """The printable character that stands for each byte in byte-level vocabularies."""
+    plain = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
+    other = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(other)) for b in range(256)]
+
+
 class LibraryEncoder:
     """ids_of(text): the ids as little-endian unsigned 32-bit integers in bytes."""
 
@@ -54,9 +69,9 @@ class LibraryEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.ends = np.zeros(max(vocab.values()) + 1, bool)
-        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.size = max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1
+        self.model = self.tokenizer.model
+        self.byte_level = str.maketrans({chr(b): c for b, c in enumerate(byte_chars())})
         self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
         self.most = most
@@ -65,24 +80,17 @@ class LibraryEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn_words(self, new: list[str]) -> None:
-        for at in range(0, len(new), 2000):
-            part = new[at : at + 2000]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(part):
-                all_ids, a = ids.tobytes(), 0
-                for w, b in zip(part, (cuts * 4).tolist(), strict=True):
-                    self.words[w] = all_ids[a:b]
-                    a = b
-            else:
-                for w in part:
-                    self.words[w] = self.whole(w)
+        """Words, split and in lower case already, go straight to the library's model, in byte-level characters."""
+        tokenize, table = self.model.tokenize, self.byte_level
+        for w in new:
+            symbols = w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(table)
+            self.words[w] = array("I", [t.id for t in tokenize(symbols)]).tobytes()
 
     def known(self, seen: set[str]) -> dict[str, bytes]:
         """Ids of all chunks in `seen`; beyond the bound, new ones are not kept for later texts."""
         words = self.words
-        new = seen - self.chunks.keys()
-        split = {c: plain_words(c) for c in new}
+        new = list(seen - self.chunks.keys())
+        split = dict(zip(new, split_chunks(new), strict=True))
         missing = list({w for ws in split.values() if ws for w in ws if w not in words})
         self._learn_words(missing)
         made = {c: self.whole(c) if ws is None else b"".join([words[w] for w in ws]) for c, ws in split.items()}
@@ -92,7 +100,7 @@ class LibraryEncoder:
         if len(self.chunks) + len(made) <= self.most:
             self.chunks.update(made)
             return self.chunks
-        return made | {c: self.chunks[c] for c in seen - new}
+        return made | {c: self.chunks[c] for c in seen & self.chunks.keys()}
 
     def batch(self, texts: list[str | None], step: int = 512) -> list[bytes]:
         out: list[bytes] = []

@@ -206,7 +206,7 @@ def write_shards(docs: DataFrame, tokenizer: str, out_dir: str, end_id: int = 1)
 
         task = TaskContext.get()
         encoder = library_encoder(tokenizer)
-        width = 2 if len(encoder.ends) <= 1 << 16 and end_id < 1 << 16 else 4
+        width = 2 if encoder.size <= 1 << 16 and end_id < 1 << 16 else 4
         end = np.array([end_id], f"<u{width}").tobytes()
         name = f"shard-{task.partitionId():06d}.sst"
         writer = first = None

@@ -19,8 +19,8 @@ from collections import deque
 
 from pyspark.sql import DataFrame
 
-from .bpe import byte_chars
 from .common import map_rows
+from .encode import byte_chars
 from .words import lower_space_words
 
 MARK = "Ġ"
