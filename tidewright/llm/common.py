@@ -70,11 +70,17 @@ def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def slices(batch: pa.RecordBatch, rows: int = 2500) -> Iterator[pa.RecordBatch]:
+    """Pieces of a batch, so that few texts are Python objects at a time."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def map_rows(df: DataFrame, columns: list[str], schema: str, f: Callable[..., Iterable[list]]) -> DataFrame:
     """Arrow batches of the named columns, given to f as Python lists; f returns the output's columns as lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             out = f(*(batch.column(i).to_pylist() for i in range(len(columns))))
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types, strict=True)], names)
 

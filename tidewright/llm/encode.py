@@ -63,7 +63,7 @@ def byte_chars() -> list[str]:
 class LibraryEncoder:
     """ids_of(text): the ids as little-endian unsigned 32-bit integers in bytes."""
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

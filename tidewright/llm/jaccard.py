@@ -33,13 +33,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, cut, release
+from .common import broadcast_if_small, cut, release, slices
 from .components import components
 from .tables import gather, pieces
 from .words import WordHashes, lower_space_words, mixed, shingle_hashes
 
 SIZE, PERCENT, LEADERS = 5, 80, 2
-SKETCH_BITS, FILTER_BITS, BUCKETS_PER_TASK, OCTANTS = 24, 23, 64, 8
+SKETCH_BITS, FILTER_BITS, BUCKETS_PER_TASK, OCTANTS = 23, 23, 64, 8
 #: Postings that a task holds before it sends them, and pairs that are sent to all tasks at most (16 bytes each).
 HELD, PAIRS = 800_000, 300_000
 _MULTI, NO_ID = 1 << 31, -(1 << 63)
@@ -47,7 +47,7 @@ _MULTI, NO_ID = 1 << 31, -(1 << 63)
 
 class Sets:
     def __init__(self, size: int):
-        self.size, self.hashes = size, WordHashes()
+        self.size, self.hashes = size, WordHashes(300_000)
 
     def __call__(self, text: str | None) -> np.ndarray:
         """Sorted distinct hashes of the n-grams."""
@@ -77,7 +77,7 @@ def _survey(docs: DataFrame, size: int, bits: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, counts, shift = Sets(size), np.zeros(1 << bits, np.uint32), np.uint64(64 - bits)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 500)):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 s = sets(text)
@@ -126,7 +126,7 @@ def _postings(docs: DataFrame, size: int, percent: int, table, buckets: int) ->
                     [n for n, _ in _ROW],
                 )
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 500)):
             for text in batch.column(0).to_pylist():
                 s = sets(text)
                 n = len(s)
@@ -187,21 +187,17 @@ def _shared(postings: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "gram bigint, class bigint, n int, pos int")
 
 
-def _keys(classes: np.ndarray, firsts: np.ndarray) -> np.ndarray:
-    return mixed(classes.view(np.uint64) ^ mixed(firsts.view(np.uint64)))
-
-
 def _filter_indices(keys: np.ndarray, size: int) -> np.ndarray:
     return np.concatenate([keys % np.uint64(size), (keys >> np.uint64(32)) % np.uint64(size)]).astype(np.int64)
 
 
 def _class_filter(firsts: DataFrame, bits: int) -> np.ndarray:
-    """Marks of firsts(class, first), the document of each wanted class whose set is to be given."""
+    """Marks of firsts(class, first): the document of each wanted class whose set is to be given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << bits, np.uint8)
         for batch in batches:
-            counts[_filter_indices(_keys(batch.column(0).to_numpy(), batch.column(1).to_numpy()), 1 << bits)] = 1
+            counts[_filter_indices(mixed(batch.column(1).to_numpy().view(np.uint64)), 1 << bits)] = 1
         for number, blob in pieces(counts):
             yield _batch([("piece", pa.int32()), ("blob", pa.binary())], [(number, blob)])
 
@@ -215,18 +211,11 @@ def _sets(docs: DataFrame, size: int, filter_) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, live = Sets(size), filter_.value
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                s = sets(text)
-                if not len(s):
-                    continue
-                key = _keys(np.array([class_of(s)]), np.array([NO_ID if doc_id is None else doc_id]))
-                if live[_filter_indices(key, len(live))].all():
-                    rows.append((class_of(s), octants(s), s.tobytes()))
-                if len(rows) >= 500:
-                    yield _batch(schema, rows)
-                    rows = []
-            yield _batch(schema, rows)
+            ids = batch.column(0).fill_null(NO_ID).to_numpy()
+            wanted = live[_filter_indices(mixed(ids.view(np.uint64)), len(live))].reshape(2, -1).all(0)
+            for part in slices(batch.filter(pa.array(wanted)), 500):
+                found = [s for s in map(sets, part.column(1).to_pylist()) if len(s)]
+                yield _batch(schema, [(class_of(s), octants(s), s.tobytes()) for s in found])
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "class bigint, octants bigint, grams binary")
 

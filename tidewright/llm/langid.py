@@ -17,7 +17,6 @@ table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import re
-import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -28,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import map_rows, slices
 
 PER_LANGUAGE, MAX_LANGUAGES, WINDOW_WORDS = 150, 64, 160
 BUCKETS, WIDTH, LEXICON = 1 << 15, 36, 400
@@ -58,7 +57,6 @@ class Model:
     lexicon: dict[str, list[int]] = field(default_factory=dict)  # of each frequent word, its languages
     weights: np.ndarray | None = None  # BUCKETS + languages + 1 rows; the last one is zero
     transitions: np.ndarray | None = None
-    key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def rows(self, words: list[str]) -> np.ndarray:
         out = np.full((len(words), WIDTH + MAX_LANGUAGES.bit_length()), BUCKETS + len(self.languages), np.int32)
@@ -172,9 +170,13 @@ class _Tables(dict):
 
     def __init__(self, model: Model):
         super().__init__()
-        self.model, self.new, self.most = model, [], 600_000
-        self.table = np.empty((1024, len(model.languages)), np.float32)
-        self.filled = 0
+        self.model, self.most = model, 200_000
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.new, self.filled = [], 0
+        self.table = np.empty((1024, len(self.model.languages)), np.float32)
 
     def __missing__(self, word: str) -> int:
         self[word] = n = len(self)
@@ -191,7 +193,6 @@ class _Tables(dict):
         return self.table[ids]
 
 
-_tables: dict[str, _Tables] = {}
 #: Words of a group of documents that forward-backward handles at once.
 GROUP_WORDS = 500_000
 
@@ -234,25 +235,26 @@ def _predict(tables: _Tables, coded: list[np.ndarray]) -> tuple[list[int], list[
     return label, score
 
 
-def predict_texts(model: Model, texts: list[str | None]) -> tuple[list[str], list[float]]:
-    if model.key not in _tables:
-        _tables.clear()
-        _tables[model.key] = _Tables(model)
-    tables = _tables[model.key]
+def predict_texts(model: Model, texts: list[str | None], tables: _Tables | None = None) -> tuple[list[str], list[float]]:
+    tables = tables or _Tables(model)
     if len(tables) > tables.most:
-        tables = _tables[model.key] = _Tables(model)
+        tables.forget()
     coded = []
     for t in texts:
         words = words_of(t)
-        coded.append(np.fromiter(map(tables.__getitem__, words), np.int64, len(words)))
+        coded.append(np.fromiter(map(tables.__getitem__, words), np.int32, len(words)))
     label, score = _predict(tables, coded)
     return [UNKNOWN if i < 0 else model.languages[i] for i in label], score
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """docs(doc_id, text) to doc_id, lang_pred, score; no shuffle."""
+    made: list[_Tables] = []  # a task's own
+
     def f(ids: list, texts: list) -> list[list]:
-        return [ids, *predict_texts(model, texts)]
+        if not made:
+            made.append(_Tables(model))
+        return [ids, *predict_texts(model, texts, made[0])]
 
     return map_rows(docs, ["doc_id", "text"], "doc_id bigint, lang_pred string, score double", f)
 
@@ -261,8 +263,9 @@ def keep_known(docs: DataFrame, model: Model, least: float = LEAST_SCORE) -> Dat
     """Whole rows of docs with a language, of a score of at least `least`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            langs, scores = predict_texts(model, batch["text"].to_pylist())
+        tables = _Tables(model)
+        for batch in (part for whole in batches for part in slices(whole)):
+            langs, scores = predict_texts(model, batch["text"].to_pylist(), tables)
             yield batch.filter(pa.array([x != UNKNOWN and s >= least for x, s in zip(langs, scores, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import slices
 from .encode import library_encoder
 
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
@@ -135,7 +136,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, limits: Limits = Limi
             rows.clear()
             return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SCHEMA.split(", ")])
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             texts = batch.column(1).to_pylist()
             froms = batch.column(2).to_pylist() if loss_from else [0] * len(texts)
             examples = []

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, map_rows
+from .common import broadcast_if_small, map_rows, slices
 from .words import WordHashes, shingle_hashes
 
 ALPHA, DELTA, GOOD_COST, BINS = 0.02, 0.05, 10, 200
@@ -168,7 +168,7 @@ def keep_good(docs: DataFrame, cutoffs: dict[str, list[int]]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         measure_one, none = Measurer(), [BINS + 1] * len(SIGNALS)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             keep = []
             for text, lang in zip(batch["text"].to_pylist(), batch["lang"].to_pylist(), strict=True):
                 n, _, _, _, repeats, bins = measure_one(text)

@@ -30,7 +30,7 @@ def lower_space_words(text: str | None) -> list[bytes]:
 class WordHashes(dict):
     """64-bit hashes by word, kept for up to `most` words at a time."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 200_000):
         super().__init__()
         self.most = most
 
