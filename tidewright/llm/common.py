@@ -70,6 +70,21 @@ def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+#: What workers remember between tasks.
+_remembered: list[dict] = []
+
+
+def remember(memory: dict) -> dict:
+    """A memory that outlives its task, until a task of another operator calls forget()."""
+    _remembered.append(memory)
+    return memory
+
+
+def forget() -> None:
+    for memory in _remembered:
+        memory.clear()
+
+
 def slices(batch: pa.RecordBatch, rows: int = 2500) -> Iterator[pa.RecordBatch]:
     """Pieces of a batch, so that few texts are Python objects at a time."""
     for at in range(0, batch.num_rows, rows):

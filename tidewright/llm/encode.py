@@ -16,6 +16,8 @@ from array import array
 
 import numpy as np
 
+from .common import remember
+
 #: Characters below this are always in normal form C; U+0130 has a lower-case form of two characters.
 PLAIN_END = 0x250
 
@@ -72,8 +74,8 @@ class LibraryEncoder:
         self.size = max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1
         self.model = self.tokenizer.model
         self.byte_level = str.maketrans({chr(b): c for b, c in enumerate(byte_chars())})
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = remember({})
+        self.words: dict[str, bytes] = remember({})
         self.most = most
 
     def whole(self, text: str) -> bytes:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, cut, release, slices
+from .common import broadcast_if_small, cut, forget, release, slices
 from .components import components
 from .tables import gather, pieces
 from .words import WordHashes, lower_space_words, mixed, shingle_hashes
@@ -47,6 +47,7 @@ _MULTI, NO_ID = 1 << 31, -(1 << 63)
 
 class Sets:
     def __init__(self, size: int):
+        forget()
         self.size, self.hashes = size, WordHashes(300_000)
 
     def __call__(self, text: str | None) -> np.ndarray:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, slices
+from .common import forget, map_rows, slices
 
 PER_LANGUAGE, MAX_LANGUAGES, WINDOW_WORDS = 150, 64, 160
 BUCKETS, WIDTH, LEXICON = 1 << 15, 36, 400
@@ -263,6 +263,7 @@ def keep_known(docs: DataFrame, model: Model, least: float = LEAST_SCORE) -> Dat
     """Whole rows of docs with a language, of a score of at least `least`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         tables = _Tables(model)
         for batch in (part for whole in batches for part in slices(whole)):
             langs, scores = predict_texts(model, batch["text"].to_pylist(), tables)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, map_rows, slices
+from .common import broadcast_if_small, forget, map_rows, slices
 from .words import WordHashes, shingle_hashes
 
 ALPHA, DELTA, GOOD_COST, BINS = 0.02, 0.05, 10, 200
@@ -53,6 +53,7 @@ def repeat_words(hashes: np.ndarray) -> int:
 
 class Measurer:
     def __init__(self) -> None:
+        forget()
         self.hashes = WordHashes()
 
     def __call__(self, text: str | None) -> tuple:
