@@ -98,6 +98,69 @@ def test_quality_against_brute_force(spark, docs, nothing):
     assert quality.judge(quality.measure(nothing), quality.calibrate(quality.measure(nothing), labels)).count() == 0
 
 
+def joint_cutoffs(good, bad, alpha, level):
+    """The turns of the joint way over bins (documents, signals), in memory: cutoffs, good documents of the steps, most."""
+    bins, most = 21, quality.most_lost(len(good), alpha, level)
+    cutoffs, swept, lost = np.full(good.shape[1], bins), [], 0
+    while lost <= most:
+        counts = [np.stack([np.bincount(x[(x < cutoffs).all(1), s], minlength=bins) for s in range(x.shape[1])]) for x in (good, bad)]
+        s, c, fell = quality.sweep(*counts, swept, lost, most, np.zeros((2, good.shape[1])))
+        if s < 0:
+            break
+        cutoffs[s], lost = c, lost + fell
+        swept.append(s)
+    return cutoffs
+
+
+def test_joint_false_rejections_stay_below_alpha():
+    rng, misses, used = np.random.default_rng(8), 0, 0
+    share = 0.6 ** np.arange(1, 22)
+    share /= share.sum()
+    for _ in range(300):
+        # all bad documents are far out in one signal, and near the good ones in others
+        good, bad = rng.choice(21, (400, 3), p=share), np.minimum(20, rng.choice(21, (4000, 3), p=share) + rng.integers(0, 9, (4000, 3)))
+        c = joint_cutoffs(good, bad, 0.1, 0.05)
+        used += (c < 21).any()
+        misses += 1 - np.prod([share[:x].sum() for x in c]) >= 0.1
+    assert used > 290 and misses <= 300 * 0.05 + 3 * math.sqrt(300 * 0.05)
+
+
+def test_most_lost():
+    for n in (1, 50, 216, 300, 1000):
+        for level in (0.0125, 0.05):
+            assert quality.most_lost(n, 0.02, level) == max([k for k in range(min(n, 25)) if exact_tail(k, n, 0.02) <= level], default=-1)
+    for strata in (1, 4, 30):
+        n = quality.least_labels(strata)
+        assert quality.most_lost(n, 0.02, 0.05 / 2 / strata) == 0 and quality.most_lost(n - 1, 0.02, 0.05 / 2 / strata) == -1
+
+
+def measured_rows(spark, rows):
+    """Measured documents of (stratum, bins, quality), and their labels."""
+    measured = [(i, x, 100, 500, 0, 0, 0, b) for i, (x, b, _) in enumerate(rows)]
+    return spark.createDataFrame(measured, quality.SCHEMA), spark.createDataFrame([(i, q) for i, (_, _, q) in enumerate(rows)], "doc_id bigint, quality int")
+
+
+def test_strata_with_few_labels_have_cutoffs(spark):
+    rng, rows = random.Random(3), []
+    for stratum, n in (("a", 300), ("b", 260), ("c", 251), ("d", 2500)):
+        rows += [(stratum, [0, 0, 0, 3, 0, rng.randrange(60)], 1) for _ in range(n)]
+        rows += [(stratum, [rng.randrange(20, 70), 0, 0, 3, 0, rng.randrange(60)], 0) for _ in range(40)]
+        rows += [(stratum, [0, rng.randrange(30, 70), 0, 3, 0, rng.randrange(60)], 0) for _ in range(20)]
+    measured, labels = measured_rows(spark, rows)
+    judged = quality.judge(measured, quality.calibrate(measured, labels)).collect()
+    for stratum, caught in (("a", 60), ("b", 60), ("c", 0), ("d", 60)):
+        own = [(r["kept"], rows[r["doc_id"]][2]) for r in judged if r["stratum"] == stratum]
+        assert sum(not k for k, q in own if not q) == caught and all(k for k, q in own if q), stratum
+
+
+def test_a_signal_that_costs_much_leaves_the_others_their_cutoffs(spark):
+    # the first signal's lowest bad documents lie where a tenth of the good ones are: the joint way ends there
+    rows = [("", [1 if i % 10 == 0 else 0, 0, 0, 0, 0, 0], 1) for i in range(4000)]
+    rows += [("", [150 if i % 2 else 1, 0, 0, 0, 0, 0], 0) for i in range(100)] + [("", [0, 60, 0, 0, 0, 0], 0)] * 40
+    measured, labels = measured_rows(spark, rows)
+    assert quality.calibrate(measured, labels).first()["cutoffs"] == [150, 60, *[quality.BINS + 1] * 4]
+
+
 SYLLABLES = {"aa": ["ka", "ko", "ti", "mu"], "bb": ["sch", "ung", "ein", "ch"], "cc": ["tion", "eau", "ou", "re"]}
 
 
