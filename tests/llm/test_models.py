@@ -161,6 +161,18 @@ def test_a_signal_that_costs_much_leaves_the_others_their_cutoffs(spark):
     assert quality.calibrate(measured, labels).first()["cutoffs"] == [150, 60, *[quality.BINS + 1] * 4]
 
 
+def test_documents_that_fail_the_base_rules_are_not_counted(spark):
+    # a tenth of the good documents are too short; their brevity is that of no document that passes
+    words = [8 if i % 10 == 0 else 100 for i in range(600)] + [25] * 60
+    measured = [(i, "", n, 500, 0, 0, 0, [0, 0, 0, 3, 0, int(quality.BINS / (1 + n / 10))]) for i, n in enumerate(words)]
+    labels = spark.createDataFrame([(i, int(i < 600)) for i in range(660)], "doc_id bigint, quality int")
+    measured = spark.createDataFrame(measured, quality.SCHEMA)
+    cutoffs = quality.calibrate(measured, labels)
+    assert cutoffs.first()["cutoffs"] == [*[quality.BINS + 1] * 5, int(quality.BINS / 3.5)]
+    got = quality.judge(measured, cutoffs).where("not base_failed").collect()
+    assert all(r["kept"] == (r["doc_id"] < 600) for r in got)
+
+
 SYLLABLES = {"aa": ["ka", "ko", "ti", "mu"], "bb": ["sch", "ung", "ein", "ch"], "cc": ["tion", "eau", "ou", "re"]}
 
 

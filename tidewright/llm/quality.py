@@ -13,10 +13,12 @@ documents of good quality are a holdout, and two ways to cutoffs, each at level
 - Apart: for each signal from the most lenient cutoff downwards, with alpha / signals at a level divided by the signals.
   This needs some eight times the labels, but no signal ends another's sequence.
 
-With probability 1 - delta, in every stratum fewer than alpha of the good documents are rejected. In both ways the certified
+Documents that fail the base rules count nowhere. With probability 1 - delta, in every stratum fewer than alpha of the good
+documents that pass them are rejected. In both ways the certified
 cutoffs with the largest gain (bad documents rejected less GOOD_COST times good ones) are taken, the most lenient ones on
 ties, none if there is no gain; of the two, the way with the larger gain of its signals together, the joint one on ties.
-Below least_labels() good labels a stratum has no cutoff. Counts cover all labelled rows.
+Below least_labels() good labels a stratum has no cutoff. Counts cover all
+other labelled rows.
 
 Defined results: a null or empty text has no words and fails the base rules; a null lang is a stratum of its own, the
 empty one; labels without quality don't count, repeated labels count each; a stratum without labels rejects nothing; rows
@@ -209,6 +211,7 @@ def calibrate(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delt
     """stratum, cutoffs array<int> in the order of SIGNALS, of measured documents and labels(doc_id, quality); runs a job for each turn."""
     spark, signals = measured.sparkSession, len(SIGNALS)
     known = labels.select("doc_id", "quality").where("quality is not null and doc_id is not null")
+    measured = measured.where(~base_failed(F.col("n_words"), F.col("n_repeat_words")))
     labelled = cut(spark, measured.select("doc_id", "stratum", "bins").join(known, "doc_id").select("stratum", "bins", (F.col("quality") > 0).alias("good")), "labelled")
     usual = cut(spark, _usual(measured, known), "usual")  # a row for each stratum
     strata = max(1, usual.count())
