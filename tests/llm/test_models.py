@@ -228,6 +228,19 @@ def test_languages(model):
     assert langid.predict_texts(model, [None, "", "12 %% ²"]) == (["und"] * 3, [0.0] * 3)
 
 
+def test_long_runs_of_letters_are_read_whole(model):
+    assert langid.words_of("ab " + "x" * 12 + " " + "abcdefghijklm") == ["ab", "x" * 12, "abcdef", "ghijklm"]
+    rng = random.Random(12)
+    for n in (13, 25, 400):
+        run = "".join(made_up(rng, "bb", n))[:n]
+        assert "".join(langid.words_of(run)) == run and max(map(len, langid.words_of(run))) <= langid.MOST_LETTERS
+    for w in langid.words_of("abcdefghijkl" * 5):
+        assert 9 + 2 * len(w) + 1 == len(langid.features(w)) <= langid.WIDTH
+    # the ends are of aa, what stands between of cc
+    run = "".join(made_up(rng, "aa", 8))[:14] + "".join(made_up(rng, "cc", 60)) + "".join(made_up(rng, "aa", 8))[:15]
+    assert langid.predict_texts(model, [run])[0] == ["cc"]
+
+
 def test_language_operator(spark, docs, nothing):
     rng = random.Random(9)
     rows = [(i, " ".join(made_up(rng, x, 60)), x) for i, x in enumerate(list(SYLLABLES) * 80)]

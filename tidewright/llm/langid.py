@@ -1,6 +1,6 @@
 """Language identification by a linear-chain conditional random field over words.
 
-Words are runs of letters in lower case. Features of a word: itself, affixes of one to four characters, character
+Words are runs of letters in lower case, longer runs cut evenly into pieces of at most MOST_LETTERS. Features of a word: itself, affixes of one to four characters, character
 bigrams and trigrams with edges (all hashed), and membership in each language's lexicon of frequent training words.
 Weights and the transitions between languages are learnt by stochastic gradients of the log-likelihood, on windows of
 single documents and on spliced windows of several languages, so the chain handles code-switched text. Forward-backward
@@ -34,19 +34,25 @@ BUCKETS, WIDTH, LEXICON = 1 << 15, 36, 400
 UNKNOWN = "und"
 #: Mean word probability below which keep_known rejects a document; an even guess among four languages has 0.25.
 LEAST_SCORE = 0.4
+#: All n-grams of a word so long are features of it.
+MOST_LETTERS = 12
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text and any(map(str.isalpha, text)) else []
+    words = _WORD.findall(text.lower()) if text and any(map(str.isalpha, text)) else []
+    return [p for w in words for p in pieces(w)] if max(map(len, words), default=0) > MOST_LETTERS else words
+
+
+def pieces(word: str) -> list[str]:
+    n = -(-len(word) // MOST_LETTERS)
+    return [word] if n == 1 else [word[i * len(word) // n : (i + 1) * len(word) // n] for i in range(n)]
 
 
 def features(word: str) -> list[int]:
-    """Hashed features, at most WIDTH; of long words, the first and last n-grams."""
+    """Hashed features, at most WIDTH for a word of at most MOST_LETTERS."""
     edged = f"^{word}$"
     grams = [edged[i : i + k] for k in (2, 3) for i in range(len(edged) - k + 1)]
-    if len(grams) > 26:
-        grams = grams[:13] + grams[-13:]
     keys = [f"w{word}", *(f"p{word[:k]}" for k in range(1, 5)), *(f"s{word[-k:]}" for k in range(1, 5)), *grams]
     return [zlib.crc32(k.encode()) & (BUCKETS - 1) for k in keys]
 
