@@ -241,6 +241,15 @@ def test_long_runs_of_letters_are_read_whole(model):
     assert langid.predict_texts(model, [run])[0] == ["cc"]
 
 
+def test_words_of_many_lexicons_keep_them_all():
+    languages = [f"l{i:02}" for i in range(20)]
+    made = langid.Model(languages, {"abcdefghijkl": list(range(20)), "ab": [3, 19]})
+    rows = made.rows(["abcdefghijkl", "ab", "other"])
+    of = lambda i: sorted(int(x) - langid.BUCKETS for x in rows[i] if langid.BUCKETS <= x < langid.BUCKETS + 20)
+    assert (of(0), of(1), of(2)) == (list(range(20)), [3, 19], [])
+    assert made.rows([]).shape[0] == 0
+
+
 def test_language_operator(spark, docs, nothing):
     rng = random.Random(9)
     rows = [(i, " ".join(made_up(rng, x, 60)), x) for i, x in enumerate(list(SYLLABLES) * 80)]

@@ -65,10 +65,10 @@ class Model:
     transitions: np.ndarray | None = None
 
     def rows(self, words: list[str]) -> np.ndarray:
-        out = np.full((len(words), WIDTH + MAX_LANGUAGES.bit_length()), BUCKETS + len(self.languages), np.int32)
-        for i, w in enumerate(words):
-            f = features(w) + [BUCKETS + k for k in self.lexicon.get(w, ())]
-            out[i, : len(f)] = f[: out.shape[1]]
+        found = [features(w) + [BUCKETS + k for k in self.lexicon.get(w, ())] for w in words]
+        out = np.full((len(words), max(map(len, found), default=0)), BUCKETS + len(self.languages), np.int32)
+        for i, f in enumerate(found):
+            out[i, : len(f)] = f
         return out
 
     def emissions(self, words: list[str]) -> np.ndarray:
