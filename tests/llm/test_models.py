@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidewright.llm import chat, langid, quality
 
@@ -250,6 +251,19 @@ def test_words_of_many_lexicons_keep_them_all():
     assert made.rows([]).shape[0] == 0
 
 
+def test_sample_is_bounded_for_each_language(spark):
+    # one identifier of a frequent language comes very often, with a hash below those of the rare one
+    ids = spark.range(4000).select("id", F.xxhash64("id").alias("h")).where(~langid.held_out(F.col("id"))).orderBy("h").collect()
+    rows = [(ids[0].id, "kako ti", "aa")] * 600 + [(r.id, "sch ung", "bb") for r in ids[1:101]]
+    long = "tion " * 9000 + "eau " * 9000
+    rows += [(r.id, long, "cc") for r in ids[101:201]]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(3)
+    found = langid.sample(df, per_language=40)
+    assert {x: sum(y == x for y, _ in found) for x in ("aa", "bb", "cc")} == {"aa": 40, "bb": 40, "cc": 40}
+    # windows come from all of a text
+    assert {w for x, ws in found if x == "cc" for w in ws} == {"tion", "eau"}
+
+
 def test_language_operator(spark, docs, nothing):
     rng = random.Random(9)
     rows = [(i, " ".join(made_up(rng, x, 60)), x) for i, x in enumerate(list(SYLLABLES) * 80)]

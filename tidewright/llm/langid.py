@@ -7,7 +7,8 @@ single documents and on spliced windows of several languages, so the chain handl
 gives each word's probabilities; a document's language has the largest sum, and its score is their mean.
 
 Training takes a bounded sample of labelled documents: PER_LANGUAGE for each of up to MAX_LANGUAGES languages (the most
-frequent ones), those with the smallest hash of their identifier, WINDOW_WORDS words of each. Everything else covers all rows.
+frequent ones), those with the smallest hash of their identifier, WINDOW_WORDS words from anywhere in each. Everything
+else covers all rows.
 
 Defined results: `und` with score 0 for a null text or one without a letter, and for all texts if nothing was learnt;
 documents with a null lang or doc_id are not learnt from; rows are independent, so ties and repeated rows don't matter; an empty
@@ -24,7 +25,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import forget, map_rows, slices
@@ -154,21 +155,27 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> list[tuple[str,
     """The bounded training sample of docs(doc_id, text, lang), at the driver."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).withColumn("h", F.xxhash64("doc_id"))
     counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    # hashes are even, so a language's share of them below a bound is known; twice as many are asked for, the smallest taken
-    bound = F.create_map(*(F.lit(v) for r in counts for v in (r["lang"], float(min(1.0, 2 * per_language / r["count"])))))
-    share = (F.col("h").cast("double") + 2.0**63) / 2.0**64
     if not counts:
         return []
-    some = usable.where(share <= F.element_at(bound, F.col("lang"))).select("lang", "h", F.substring("text", 1, 20_000).alias("text"))
-    out: list[tuple[str, list[str]]] = []
-    taken: Counter = Counter()
-    for r in some.orderBy("h").limit(2 * per_language * len(counts)).collect():
-        words = words_of(r["text"])
-        if words and taken[r["lang"]] < per_language:
-            start = r["h"] % max(1, len(words) - WINDOW_WORDS + 1)
-            out.append((r["lang"], words[start : start + WINDOW_WORDS]))
-            taken[r["lang"]] += 1
-    return out
+    # hashes are even, so a language's share of them below a bound is known; twice as many are read, the smallest taken
+    bound = F.create_map(*(F.lit(v) for r in counts for v in (r["lang"], float(min(1.0, 2 * per_language / r["count"])))))
+    share = (F.col("h").cast("double") + 2.0**63) / 2.0**64
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in slices(whole, 100)):
+            out = []
+            for lang, h, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if words := words_of(text):
+                    start = h % max(1, len(words) - WINDOW_WORDS + 1)
+                    out.append((lang, h, " ".join(words[start : start + WINDOW_WORDS])))
+            columns = zip(*out, strict=True) if out else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string()), strict=True)], ["lang", "h", "words"])
+
+    some = usable.where(share <= F.element_at(bound, F.col("lang"))).select("lang", "h", "text").mapInArrow(windows, "lang string, h bigint, words string")
+    # bounded for each language, before the shuffle too
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "words"))
+    taken = some.withColumn("rank", rank).where(F.col("rank") <= per_language).collect()
+    return [(r["lang"], r["words"].split(" ")) for r in sorted(taken, key=lambda r: (r["h"], r["lang"], r["words"]))]
 
 
 class _Tables(dict):
