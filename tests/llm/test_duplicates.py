@@ -88,6 +88,13 @@ def test_no_documents(spark):
     assert [tuple(r) for r in jaccard.join(spark.createDataFrame([(1, None)], "doc_id bigint, text string")).collect()] == [(1, 0, 1)]
 
 
+def test_keep_one_keeps_one_row_of_each_group(spark):
+    # and one without an identifier
+    rows = [(None, "a b c d e f g h")] * 30 + [(7, "h g f e d c b a x")] * 20 + [(None, "h g f e d c b a x"), (9, "h g f e d c b a x"), (3, "q r s t u v w x y"), (3, "other words that stand alone here")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    assert sorted((tuple(r) for r in jaccard.keep_one(docs).collect()), key=repr) == sorted({rows[0], rows[30], rows[50], rows[52], rows[53]}, key=repr)
+
+
 def test_keep_one_keeps_rows_without_identifier(spark):
     docs = spark.createDataFrame([(5, "a b c d e f", "x"), (2, "A b c d e f", "y"), (None, "z", "z")], "doc_id bigint, text string, lang string")
     assert sorted((tuple(r) for r in jaccard.keep_one(docs).collect()), key=repr) == [(2, "A b c d e f", "y"), (None, "z", "z")]

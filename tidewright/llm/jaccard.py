@@ -311,9 +311,18 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, sketch_bits:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Whole rows of docs, one document of each group: those that don't lead their component go. Rows of one doc_id stay or go together."""
-    gone = join(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, docs.doc_id == F.col("gone"), "left_anti")
+    """Whole rows of docs: of each group the row with the least doc_id, any of equal ones, and one of those with a null doc_id."""
+    # numbers of rows hold only in a written table
+    numbered = cut(docs.sparkSession, docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    groups = join(numbered.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), F.col("component_id").alias("lead"))
+    many = groups.where("row <> lead")
+    # the lead is of its group, so groups of one row need no choice
+    members = many.unionByName(many.select(F.col("lead").alias("row"), "lead").distinct())
+    rows = numbered.select("__row", F.col("doc_id").cast("bigint").alias("id"))
+    ranked = members.join(rows, members.row == F.col("__row")).select("row", "lead", F.struct(F.col("id").isNull().alias("no_id"), "id", "row").alias("rank"))
+    stays = ranked.groupBy("lead", "rank.no_id").agg(F.min("rank").getField("row").alias("stays")).select("stays")
+    gone = members.select(F.col("row").alias("gone")).join(stays, F.col("gone") == F.col("stays"), "left_anti")
+    return numbered.join(gone, F.col("__row") == F.col("gone"), "left_anti").drop("__row")
 
 
 __all__ = ["class_of", "join", "keep_one", "octants"]
