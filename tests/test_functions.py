@@ -181,3 +181,28 @@ def test_schedules():
 def test_offsets(spark):
     assert one(spark, "0:42,1:17", formats.offsets_map) == {0: 42, 1: 17}
     assert one(spark, "1:17,0:42", lambda x: formats.offsets_text(formats.offsets_map(x))) == "0:42,1:17"
+
+
+def test_canonical_kinds():
+    import datetime as dt
+    import re
+
+    c = hashing.canonical_json
+    assert c({"b": dt.datetime(1970, 1, 1, 0, 0, 1, tzinfo=dt.timezone.utc), "a": 1 << 60}) == '{"a":{"$bigint":"1152921504606846976"},"b":{"$date":1000}}'
+    assert c({2: "x", 1: {3, 1}}) == '{"$map":[[1,{"$set":[1,3]}],[2,"x"]]}' and c({1: 0, 2: 0}) == c({2: 0, 1: 0})
+    assert c([re.compile("a.b", re.I), ValueError("no"), codecs.UNDEFINED]) == '[{"$regexp":"a.b","flags":"i"},{"$error":{"name":"ValueError","message":"no"}},{"$undefined":true}]'
+    loop = []
+    loop.append([loop])
+    with pytest.raises(ValueError, match="itself"):
+        c(loop)
+    same = [1]
+    assert c([same, same]) == "[[1],[1]]"
+    with pytest.raises(TypeError):
+        c(object())
+
+
+def test_murmur_of_every_length():
+    # public test vectors of the algorithm
+    assert [hashing.murmur3_32(x, s) for x, s in ((b"", 0), (b"", 1), (b"hello", 0), (b"hello, world", 0), (b"The quick brown fox jumps over the lazy dog", 0x9747B28C))] == [0, 0x514E28B7, 0x248BFA47, 0x149BBB7F, 0x2FA826CD]
+    data = [b"x" * n for n in range(9)] + [b"hello", b""]
+    assert hashing.murmur3_all(data).tolist() == [hashing.murmur3_32(x) for x in data]

@@ -102,8 +102,6 @@ def test_lookups(spark):
     assert joins.lookup(df, table, "k", "id", most=0).count() == 4
     out = joins.lookup_remote(df, "k", lambda keys: {k: f"n{int(k)}" for k in keys if k == 2}, "name", "string")
     assert sorted((r["k"] or 0, r["name"] or "") for r in out.collect()) == [(0, ""), (1, ""), (2, "n2"), (2, "n2")]
-    with pytest.raises(ValueError):
-        joins.cross(df, table.union(table), most=1)
 
 
 def test_timing(spark):
@@ -164,3 +162,74 @@ def test_generated_sources(spark):
     assert records.from_call(spark, lambda: 5, "value bigint").first()["value"] == 5
     with pytest.raises(Exception, match="broken"):
         records.fail(spark, "broken", "a int").collect()
+
+
+ODD = {
+    "empty": ([], "bigint"), "one": ([5], "bigint"), "nulls": ([None] * 4, "bigint"), "tied": ([2, 2, 2, 2, 1, 3], "bigint"),
+    "date": ([dt.date(2024, 1, d) for d in range(1, 9)], "date"), "time": ([dt.datetime(2024, 1, 1, h) for h in range(9)], "timestamp"),
+    "no zone": ([dt.datetime(2024, 1, 1, h) for h in range(9)], "timestamp_ntz"), "text": (["", "a", "ab", "b", "commonprefix1", "commonprefix2", "ü"], "string"),
+    "decimal": ([dt.timedelta(days=d).days * 3 for d in range(9)], "int"), "nan": ([1.0, float("nan"), float("inf"), -1.0, None], "double"),
+}
+
+
+@pytest.mark.parametrize("case", ODD)
+@pytest.mark.parametrize("ranges", [1, 4])
+def test_running_serves_any_order(spark, case, ranges):
+    values, kind = ODD[case]
+    df = spark.createDataFrame([(v, i) for i, v in enumerate(values)], f"o {kind}, v int").repartition(3)
+    out = spread.running(df, "o", {"n": ("count", F.lit(1)), "s": ("sum", F.col("v"))}, ranges=ranges).collect()
+    assert sorted(r["n"] for r in out) == list(range(1, len(values) + 1))
+    by = [r["o"] for r in sorted(out, key=lambda r: r["n"])]
+    assert [repr(x) for x in by] == [repr(r["o"]) for r in df.orderBy("o").collect()]
+    back = spread.running(df, "o", {"n": ("count", F.lit(1))}, ranges=ranges, back=True).collect()
+    assert [repr(r["o"]) for r in sorted(back, key=lambda r: -r["n"])] == [repr(x) for x in by]
+
+
+def test_running_cuts_heavy_keys(spark):
+    rng = random.Random(3)
+    rows = [(i, None if rng.random() < 0.6 else rng.choice("abc"), rng.randrange(9)) for i in range(500)]
+    df = spark.createDataFrame(rows, "o int, k string, v int").repartition(4)
+    assert spread.heavy_keys(df, ["k"], 32).collect() != [] and spread.heavy_keys(df, ["k"], 8) is None
+    for back in (False, True):
+        out = spread.running(df, "o", {"s": ("sum", F.col("v")), "l": ("last", F.col("v"))}, ["k"], inclusive=False, ranges=32, back=back)
+        for r in out.collect():
+            seen = [v for o, k, v in sorted(rows, reverse=back) if k == r["k"] and (o > r["o"] if back else o < r["o"])]
+            assert (r["s"], r["l"]) == (sum(seen) if seen else None, seen[-1] if seen else None)
+    assert "_run_" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_running_names_clash_with_no_column(spark):
+    df = spark.createDataFrame([(1, 2, 3, 4), (2, 3, 4, 5)], "o int, _range int, _run_range int, _run_v0 int")
+    out = spread.running(df, "o", {"_range": ("sum", F.col("_run_v0"))}, ranges=3)
+    assert [tuple(r) for r in out.select("o", "_range", "_run_range", "_run_v0").orderBy("o").collect()] == [(1, 4, 3, 4), (2, 9, 4, 5)]
+
+
+def test_latest_values_by_time(spark):
+    day = lambda d: dt.datetime(2024, 1, d)
+    for kind, of in (("timestamp", day), ("date", lambda d: day(d).date()), ("string", str)):
+        main = spark.createDataFrame([(of(2), "a"), (of(5), "b"), (of(1), "c")], f"t {kind}, m string")
+        side = spark.createDataFrame([(of(2), "x"), (of(4), "y")], f"t {kind}, s string")
+        assert sorted((r["main"]["m"], r["side"]["s"]) for r in joins.with_latest(main, side, "t").collect()) == [("a", "x"), ("b", "y")]
+        assert [(r["left"]["m"], r["right"]["s"]) for r in sorted(joins.combine_latest(main, side, "t").collect(), key=lambda r: r["t"])] == [("c", "x"), ("a", "x"), ("a", "y"), ("b", "y")]
+
+
+def test_drop_counts_rows_that_tie(spark):
+    for values, n, left in (([1, 2, 2, 2], 2, 2), ([7] * 5, 3, 2), ([None, None, 1], 1, 2), ([1], 1, 0), ([], 2, 0), ([1, 2], 5, 0)):
+        assert ordered.drop(spark.createDataFrame([(v,) for v in values], "o int"), n, "o").count() == left
+
+
+def test_lookup_and_cross_beyond_a_broadcast(spark):
+    df, table = spark.createDataFrame([(1, "a"), (None, "b")], "k int, name string"), spark.createDataFrame([(1, "one", 9), (2, "two", 8)], "k int, name string, extra int")
+    for most in (5, 0):
+        out = joins.lookup(df, table, "k", "k", most)
+        assert out.columns == ["k", "name", "extra"] and sorted(out.collect(), key=repr) == [(1, "a", 9), (None, "b", None)]
+        assert joins.cross(df, table.toDF("x", "y", "z"), most).count() == 4
+
+
+def test_windows_of_an_empty_table(spark):
+    from tidewright.plans.builder import topology
+
+    empty = spark.createDataFrame([], "id bigint, t bigint, k string")
+    t = topology(empty, seq="id", time=F.col("t")).key_by(F.col("k"))
+    for w in (t.tumbling("1s"), t.sliding("2s", "1s"), t.session("1s")):
+        assert w.count().replay().collect() == []

@@ -110,19 +110,49 @@ def model_sessions(data, gap, lateness):
 def test_sessions_match_the_model(spark):
     rng = random.Random(4)
     data = [(rng.choice("ab"), 5000 + i * 100 + rng.randrange(-800, 800)) for i in range(150)]
-    out = start(spark, data).session(120, lateness=2000).count().replay()
-    assert got(out, *W) == model_sessions(data, 120, 2000)
-    df = rows(spark, data).withColumns({"_partition": F.lit(0), "t": F.col("ts")})
-    marked = windows.with_watermark(df, "t", "seq", 200)
-    assert windows.needs_scan(marked, "t", 120)
-    out = windows.scan_sessions(df, "_partition", "user", "t", "seq", 120, 200)
-    assert sorted(tuple(r) for r in out.collect()) == model_sessions(data, 120, 200)
-
-
-def test_session_without_merge_extends_the_earliest(spark):
-    df = rows(spark, [("ann", 0), ("ann", 2000), ("ann", 1000)]).withColumn("_partition", F.lit(0))
-    out = windows.scan_sessions(df, "_partition", "user", "ts", "seq", 1000, 5000, merge=False)
-    assert sorted((r["window_start_us"], r["count"]) for r in out.collect()) == [(0, 2), (2000, 1)]
+    assert got(start(spark, data).session(120, lateness=2000).count().replay(), *W) == model_sessions(data, 120, 2000)
+    # beyond the lateness, sessions close before rows that would have bridged them
+    t = start(spark, data).session(120, lateness=200)
+    assert windows.needs_scan(windows.with_watermark(ev.normalised(rows(spark, data), "seq"), "_event_time_us", "_seq", 200_000), "_event_time_us", 120_000)
+    want = model_sessions(data, 120, 200)
+    assert got(t.count().replay(), *W) == want != model_sessions(data, 120, 2000)
+    add, emit = (lambda n, r: n + 1), (lambda at, n: {"count": n})
+    assert got(t.fold(lambda: 0, add, emit, "count bigint", lambda a, b: a + b).replay(), *W) == want
+    assert got(t.count().replay(scope="partition_key"), *W) == want
+
+
+def test_sessions_without_a_merge_stay_apart(spark):
+    t = start(spark, [("ann", 0), ("ann", 2000), ("ann", 1000)]).session(1000, lateness=5000)
+    add, emit = (lambda s, r: [*s, r["ts"]]), (lambda at, s: {"seen": s, "width": at["window_end_us"] - at["window_start_us"]})
+    out = t.fold(list, add, emit, "seen array<bigint>, width bigint").replay()
+    assert sorted((r["seen"], r["width"]) for r in out.collect()) == [([0, 1000], 1_000_000), ([2000], 0)]
+    out = t.fold(list, add, emit, "seen array<bigint>, width bigint", lambda a, b: a + b).replay()
+    assert [(r["seen"], r["width"]) for r in out.collect()] == [([0, 2000, 1000], 2_000_000)]
+
+
+def test_user_aggregates_of_windows(spark):
+    data = [("a", 100), ("b", 150), ("a", 900), ("a", 1200), (None, 1300)]
+    t = start(spark, data)
+    args = (list, lambda s, r: [*s, r["ts"]], lambda at, s: {"first": s[0], "n": len(s)}, "first bigint, n bigint")
+    assert got(t.tumbling(1000).fold(*args).replay(), "window_start_us", "first", "n") == [(0, 100, 2), (0, 150, 1), (1000, 1200, 1), (1000, 1300, 1)]
+    assert got(t.sliding(1000, 500).fold(*args).replay(), "window_start_us", "first", "n") == [(0, 100, 2), (0, 150, 1), (500, 900, 2), (500, 1300, 1), (1000, 1200, 1), (1000, 1300, 1)]
+
+
+def test_scans_hold_a_key_over_many_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = spark.range(200).select((F.col("id") % 3 == 0).alias("k"), F.when(F.col("id") % 5 == 0, float("nan")).otherwise(1.0).alias("f"), "id").repartition(4)
+        out = state.process(df, ["k", "f"], "id", lambda: 0, lambda n, r: (n + 1, {"id": r["id"], "n": n + 1}), "id bigint, n int").collect()
+        seen = {}
+        for r in sorted(out):
+            key = (r["id"] % 3 == 0, r["id"] % 5 == 0)
+            seen[key] = seen.get(key, 0) + 1
+            assert r["n"] == seen[key]
+        assert len(out) == 200 and state.audit(df.limit(0), ["k"], "id", 5).count() == 0
+        assert state.dedupe_capped(df.withColumn("p", F.lit(0)).withColumn("m", F.col("id") % 20), "m", "id", "p", 5).count() == 200
+        assert state.dedupe_capped(df.withColumn("p", F.lit(0)).withColumn("m", F.col("id") % 4), "m", "id", "p", 5).count() == 4
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_join(spark):

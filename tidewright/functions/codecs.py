@@ -26,8 +26,9 @@ class Undefined:
 
 
 UNDEFINED = Undefined()
+# The tag, its kinds below, and the flags of patterns.
 _TAG, _SAFE = "__t", 1 << 53
-_FLAGS = {"i": re.I, "m": re.M, "s": re.S}
+FLAGS = {"i": re.I, "m": re.M, "s": re.S}
 
 
 def _tagged(kind: str, *value: Any) -> dict:
@@ -54,7 +55,7 @@ def to_plain(x: Any) -> Any:
     if isinstance(x, (set, frozenset)):
         return _tagged("set", [to_plain(v) for v in x])
     if isinstance(x, re.Pattern):
-        return _tagged("regexp", {"source": x.pattern, "flags": "".join(c for c, f in _FLAGS.items() if x.flags & f)})
+        return _tagged("regexp", {"source": x.pattern, "flags": "".join(c for c, f in FLAGS.items() if x.flags & f)})
     if isinstance(x, BaseException):
         return _tagged("error", {"name": type(x).__name__, "message": str(x), "stack": None})
     if isinstance(x, (list, tuple)):
@@ -78,7 +79,7 @@ _READ: dict[str, Callable[[Any], Any]] = {
     "url": str,
     "set": lambda v: {from_plain(x) for x in v},
     "map": lambda v: {from_plain(k): from_plain(x) for k, x in v},
-    "regexp": lambda v: re.compile(v["source"], sum(_FLAGS.get(c, 0) for c in v["flags"])),
+    "regexp": lambda v: re.compile(v["source"], sum(FLAGS.get(c, 0) for c in v["flags"])),
     "error": lambda v: Exception(v["message"]),
     "raw": lambda v: {k: from_plain(x) for k, x in v.items()},
 }

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import hashlib
 import json
+import re
 from bisect import bisect_left
 from collections.abc import Iterable
 from dataclasses import dataclass
@@ -14,34 +16,54 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_M = 0xFFFFFFFF
+from .codecs import FLAGS, Undefined
 
+# Constants of MurmurHash3, and the name of a node's i-th point on a ring.
+_SCRAMBLE, _MIX, _FINISH = (0xCC9E2D51, 0x1B873593), 0xE6546B64, ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, 1))
+POINT = "{node}#{i}"
 
-def _rotated(x: int, r: int) -> int:
-    return ((x << r) | (x >> (32 - r))) & _M
 
+def _rotated(x: np.ndarray, r: int) -> np.ndarray:
+    return (x << np.uint32(r)) | (x >> np.uint32(32 - r))
 
-def _scrambled(k: int) -> int:
-    return _rotated(k * 0xCC9E2D51 & _M, 15) * 0x1B873593 & _M
+
+def _scrambled(k: np.ndarray) -> np.ndarray:
+    return _rotated(k * np.uint32(_SCRAMBLE[0]), 15) * np.uint32(_SCRAMBLE[1])
+
+
+def murmur3_all(data: list[bytes], seed: int = 0) -> np.ndarray:
+    """MurmurHash3 x86 32-bit, unsigned (public algorithm by A. Appleby), of many byte strings: all strings of one length at a time."""
+    out, length = np.empty(len(data), np.uint32), np.fromiter(map(len, data), np.int64, len(data))
+    for n in np.unique(length).tolist():
+        at = np.flatnonzero(length == n)
+        padded = np.frombuffer(b"".join([data[i] + bytes(-n % 4) for i in at]), "<u4").reshape(len(at), -1)
+        h = np.full(len(at), seed & 0xFFFFFFFF, np.uint32)
+        for block in range(n // 4):
+            h = _rotated(h ^ _scrambled(padded[:, block]), 13) * np.uint32(5) + np.uint32(_MIX)
+        if n % 4:
+            h = h ^ _scrambled(padded[:, -1])
+        h = h ^ np.uint32(n)
+        for shift, factor in _FINISH:
+            h = (h ^ (h >> np.uint32(shift))) * np.uint32(factor)
+        out[at] = h
+    return out
 
 
 def murmur3_32(data: bytes, seed: int = 0) -> int:
-    """MurmurHash3 x86 32-bit, unsigned (public algorithm by A. Appleby)."""
-    h, whole = seed & _M, len(data) & ~3
-    for k in np.frombuffer(data[:whole], "<u4").tolist():
-        h = (_rotated(h ^ _scrambled(k), 13) * 5 + 0xE6546B64) & _M
-    if whole < len(data):
-        h ^= _scrambled(int.from_bytes(data[whole:], "little"))
-    h ^= len(data)
-    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, 1)):
-        h = (h ^ h >> shift) * factor & _M
-    return h
+    return int(murmur3_all([data], seed)[0])
+
+
+def _hashed(s: pd.Series, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of texts, and where there are none."""
+    none = s.isna().to_numpy()
+    return murmur3_all([b"" if gone else x.encode() for x, gone in zip(s, none, strict=True)], seed), none
 
 
 def hash32(text: Column, seed: int = 0) -> Column:
     @F.pandas_udf("bigint")
     def f(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else murmur3_32(x.encode(), seed)).astype("Int64")
+        h, none = _hashed(s, seed)
+        return pd.Series(pd.array(h.astype(np.int64), "Int64")).mask(none)
 
     return f(text)
 
@@ -59,7 +81,8 @@ class HashRing:
 
     @cached_property
     def points(self) -> list[tuple[int, str]]:
-        return sorted((murmur3_32(f"{n}#{i}".encode()), n) for n in self.nodes for i in range(self.vnodes))
+        names = [(n, POINT.format(node=n, i=i).encode()) for n in self.nodes for i in range(self.vnodes)]
+        return sorted(zip(murmur3_all([p for _, p in names]).tolist(), [n for n, _ in names], strict=True))
 
     def owners(self, key: str, count: int) -> list[str]:
         start = bisect_left(self.points, (murmur3_32(key.encode()),))
@@ -89,9 +112,8 @@ class HashRing:
         def f(s: pd.Series) -> pd.Series:
             if not len(names):
                 return pd.Series([None] * len(s), dtype=object)
-            h = np.array([murmur3_32((x or "").encode()) for x in s], np.uint32)
-            found = names[np.searchsorted(hashes, h) % len(names)]
-            return pd.Series(np.where(s.isna(), None, found))
+            h, none = _hashed(s)
+            return pd.Series(np.where(none, None, names[np.searchsorted(hashes, h) % len(names)]))
 
         return f(key)
 
@@ -116,19 +138,49 @@ def _number(x: float) -> str:
     return f"{digits.removesuffix('.0')}e{'+' if e > 0 else '-'}{abs(e)}"
 
 
-def canonical_json(value: object) -> str:
-    """One text for equal values: sorted keys (by UTF-16 units), no spaces, shortest numbers."""
-    if isinstance(value, dict):
-        keys = sorted(value, key=lambda k: k.encode("utf-16-be", "surrogatepass"))
-        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{canonical_json(value[k])}" for k in keys) + "}"
-    if isinstance(value, (list, tuple)):
-        return "[" + ",".join(map(canonical_json, value)) + "]"
-    if isinstance(value, (set, frozenset)):
-        return '{"$set":[' + ",".join(sorted(map(canonical_json, value))) + "]}"
-    if value is None or isinstance(value, (bool, str)):
-        return json.dumps(value, ensure_ascii=False)
-    if isinstance(value, (int, float)):
-        return _number(value)
+def _units(text: str) -> bytes:
+    """Sorts as the text's UTF-16 units do."""
+    return text.encode("utf-16-be", "surrogatepass")
+
+
+def _quoted(text: str) -> str:
+    return json.dumps(text, ensure_ascii=False)
+
+
+def canonical_json(value: object, above: tuple[int, ...] = ()) -> str:
+    """One text for equal values: sorted keys (by UTF-16 units), no spaces, shortest numbers. Kinds that JSON lacks are objects of one
+    marked key (fixed values): $date (epoch ms), $map (a dict with keys that aren't strings), $set, $bigint (beyond 2**53), $regexp,
+    $error, $undefined, $nan, $inf, $negzero. A value inside itself is an error."""
+    if isinstance(value, (dict, list, tuple, set, frozenset)):
+        if id(value) in above:
+            raise ValueError("a value contains itself")
+        above = (*above, id(value))
+    inner = lambda v: canonical_json(v, above)
+    match value:
+        case dict() if all(isinstance(k, str) for k in value):
+            return "{" + ",".join(f"{_quoted(k)}:{inner(value[k])}" for k in sorted(value, key=_units)) + "}"
+        case dict():
+            return '{"$map":[' + ",".join(f"[{k},{v}]" for k, v in sorted(((inner(k), inner(v)) for k, v in value.items()), key=lambda e: _units(e[0]))) + "]}"
+        case list() | tuple():
+            return "[" + ",".join(map(inner, value)) + "]"
+        case set() | frozenset():
+            return '{"$set":[' + ",".join(sorted(map(inner, value), key=_units)) + "]}"
+        case None | bool():
+            return json.dumps(value)
+        case str():
+            return _quoted(value)
+        case int() if abs(value) > 1 << 53:
+            return f'{{"$bigint":"{value}"}}'
+        case int() | float():
+            return _number(value)
+        case dt.datetime():
+            return f'{{"$date":{round((value if value.tzinfo else value.replace(tzinfo=dt.timezone.utc)).timestamp() * 1000)}}}'
+        case re.Pattern():
+            return f'{{"$regexp":{_quoted(value.pattern)},"flags":{_quoted("".join(c for c, f in FLAGS.items() if value.flags & f))}}}'
+        case BaseException():
+            return f'{{"$error":{{"name":{_quoted(type(value).__name__)},"message":{_quoted(str(value))}}}}}'
+        case Undefined():
+            return '{"$undefined":true}'
     raise TypeError(f"{type(value).__name__} has no canonical form")
 
 

@@ -8,11 +8,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spread import running
+from .spread import running, unused
 
 SLOT = "_slot"
 #: Most rows of a lookup side that is sent to every task.
-LOOKUP_ROWS = 200_000
+LOOKUP_ROWS, LOOKUP_BYTES = 200_000, 64 << 20
 
 
 def interval_join(left: DataFrame, right: DataFrame, key: str, time: str, window_us: int, bound: str = "strict") -> DataFrame:
@@ -32,8 +32,11 @@ def interval_join(left: DataFrame, right: DataFrame, key: str, time: str, window
 def _tagged(main: DataFrame, side: DataFrame, order: str) -> DataFrame:
     a = main.select(F.col(order).alias("_o"), F.lit(1).alias("_kind"), F.struct(*main.columns).alias("_main"), F.lit(None).cast(side.select(F.struct(*side.columns).alias("s")).schema["s"].dataType).alias("_side"))
     b = side.select(F.col(order).alias("_o"), F.lit(0).alias("_kind"), F.lit(None).cast(a.schema["_main"].dataType).alias("_main"), F.struct(*side.columns).alias("_side"))
-    # at equal order, the side comes first
-    return a.unionByName(b).withColumn("_at", F.col("_o") * 2 + F.col("_kind"))
+    return a.unionByName(b)
+
+
+#: At equal order, the side comes first.
+_ORDER = ("_o", "_kind")
 
 
 def with_latest(main: DataFrame, side: DataFrame, order: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -41,22 +44,29 @@ def with_latest(main: DataFrame, side: DataFrame, order: str, keys: Sequence[str
     rows = _tagged(main, side, order)
     names = [f"_k{i}" for i in range(len(keys))]
     rows = rows.withColumns({n: F.coalesce(F.col("_main")[k], F.col("_side")[k]) for n, k in zip(names, keys, strict=True)})
-    out = running(rows, "_at", {"_latest": ("last", F.col("_side"))}, names)
+    out = running(rows, _ORDER, {"_latest": ("last", F.col("_side"))}, names)
     return out.where("_kind = 1 and _latest is not null").select(F.col("_main").alias("main"), F.col("_latest").alias("side"))
 
 
 def combine_latest(a: DataFrame, b: DataFrame, order: str) -> DataFrame:
     """On every change of either, the latest of both, once both have a value: order, left, right."""
     rows = _tagged(a, b, order)
-    out = running(rows, "_at", {"_l": ("last", F.col("_main")), "_r": ("last", F.col("_side"))})
+    out = running(rows, _ORDER, {"_l": ("last", F.col("_main")), "_r": ("last", F.col("_side"))})
     return out.where("_l is not null and _r is not null").select(F.col("_o").alias(order), F.col("_l").alias("left"), F.col("_r").alias("right"))
 
 
+def small(df: DataFrame, most: int, most_bytes: int = LOOKUP_BYTES) -> bool:
+    """Whether df has at most `most` rows, and `most_bytes` of them as JSON; runs a job that reads no more rows than that."""
+    n, size = df.limit(most + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*df.columns)))), F.lit(0))).first()
+    return n <= most and size <= most_bytes
+
+
 def lookup(df: DataFrame, table: DataFrame, key: str, table_key: str, most: int = LOOKUP_ROWS) -> DataFrame:
-    """Left join to a table of one row per key; broadcast if it is counted to be small."""
-    small = table.limit(most + 1).count() <= most
-    side = F.broadcast(table) if small else table
-    return df.join(side, df[key] == table[table_key], "left")
+    """Left join to a table of one row per key: the columns of df, then those of the table that df has not. The table is broadcast if it
+    is counted to be small, in rows and by the size of their values."""
+    side = table.select(F.col(table_key).alias(unused(df, "_lookup")), *(c for c in table.columns if c not in df.columns))
+    on = F.col(f"`{key}`") == F.col(side.columns[0])
+    return df.join(F.broadcast(side) if small(side, most) else side, on, "left").drop(side.columns[0])
 
 
 def lookup_remote(df: DataFrame, key: str, load: Callable[[list], dict], name: str, kind: str, batch: int = 1000) -> DataFrame:
@@ -83,10 +93,8 @@ def already_processed(df: DataFrame, processed: DataFrame, ids: Sequence[str], k
 
 
 def cross(df: DataFrame, table: DataFrame, most: int = 10_000) -> DataFrame:
-    """Every row with every row of a small fixed table; refuses one beyond `most` rows."""
-    if table.limit(most + 1).count() > most:
-        raise ValueError(f"the fixed side has more than {most} rows")
-    return df.crossJoin(F.broadcast(table))
+    """Every row with every row of a fixed table, which is broadcast where it is counted to be small; Spark's product of partitions beyond."""
+    return df.crossJoin(F.broadcast(table) if small(table, most) else table)
 
 
 def same_value(a: Column, b: Column) -> Column:

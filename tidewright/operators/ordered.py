@@ -35,11 +35,19 @@ def take(df: DataFrame, n: int, order: str) -> DataFrame:
 
 
 def drop(df: DataFrame, n: int, order: str) -> DataFrame:
-    """All but the first n: the n-th row's order is a bound, so the rest is a filter."""
+    """All but the first n, any n of rows that tie there; nulls come first. The n-th row's order is a bound, so the rest is a filter,
+    except for rows that tie with it, of which positions tell."""
     if n <= 0:
         return df
-    bound = df.select(F.col(order).alias("_o")).orderBy("_o").limit(n).agg(F.max("_o").alias("_bound"), F.count("_o").alias("_n"))
-    return df.join(F.broadcast(bound), (F.col("_n") == n) & (F.col(order) > F.col("_bound"))).select(*df.columns)
+    first = df.select(F.col(order).alias("_o")).orderBy("_o").limit(n)
+    bound = first.agg(F.max(F.struct("_o")).alias("_bound"), F.count(F.lit(1)).alias("_n"))
+    here = F.struct(F.col(order).alias("_o"))
+    rest = df.join(F.broadcast(bound), F.col("_n") == n)
+    after = rest.where(here > F.col("_bound")).select(*df.columns)
+    # of the tied rows, as many go as the first n have
+    same = first.join(F.broadcast(bound), F.struct("_o") == F.col("_bound")).agg(F.count(F.lit(1)).alias("_go"))
+    tied = with_index(rest.where(here == F.col("_bound")).select(*df.columns), order, "_tie").join(F.broadcast(same), F.col("_tie") >= F.col("_go"))
+    return after.unionByName(tied.select(*df.columns))
 
 
 def _first_failing(df: DataFrame, p: Column, order: str) -> DataFrame:
@@ -205,7 +213,3 @@ def map_async(df: DataFrame, f: Callable[[Any], Any], column: str, name: str, ki
                 yield pd.Series(list(pool.map(f, s)), index=s.index)
 
     return df.withColumn(name, run(F.col(column)))
-
-
-
-

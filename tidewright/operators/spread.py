@@ -1,8 +1,13 @@
 """Running values over a whole ordered table without sending it through one task.
 
-Rows are cut into ranges of the order key by quantiles. A window runs inside each range; the totals of the ranges, one row
+Rows are cut into ranges of the order by quantiles. A window runs inside each range; the totals of the ranges, one row
 each, are prefixed and joined back by broadcast: their number is the number of ranges, whatever the data.
-With a `partition`, the window of each partition is used as it is.
+With a `partition`, only heavy keys are cut so: those with more than their share of HEAVY / ranges of all rows, of which there are at
+most ranges / HEAVY.
+
+`order` is one column or several, of any type that can be sorted, nulls first; tied rows follow one another in any order, but never
+fall into two ranges. An empty table, one row, orders without a value and a single range are all served alike, and no name of
+a column clashes.
 """
 
 from __future__ import annotations
@@ -13,25 +18,57 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGE = "_range"
+HEAVY = 8
 
 
-def order_key(df: DataFrame, order: str) -> Column:
-    """The order column as a number that sorts alike."""
-    kind = dict(df.dtypes)[order]
-    return F.unix_micros(F.col(order).cast("timestamp")) if kind.startswith("timestamp") else F.col(order)
+def listed(order: str | Sequence[str]) -> list[str]:
+    return [order] if isinstance(order, str) else list(order)
 
 
-def ranged(df: DataFrame, order: str, ranges: int | None = None) -> DataFrame:
-    """Adds RANGE, which never decreases along the order."""
-    from pyspark.ml.feature import Bucketizer
+def range_key(df: DataFrame, order: str) -> Column:
+    """A double that never decreases along the column: exact for numbers, by seconds for timestamps without zone, by the first six bytes for strings."""
+    kind, c = dict(df.dtypes)[order], F.col(f"`{order}`")
+    if kind == "timestamp":
+        c = F.unix_micros(c)
+    elif kind == "timestamp_ntz":
+        c = F.unix_date(c.cast("date")) * 86400 + F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)
+    elif kind == "date":
+        c = F.unix_date(c)
+    elif kind == "string" or kind == "binary":
+        head = F.substring(F.encode(c, "UTF-8") if kind == "string" else c, 1, 6)
+        c = F.conv(F.rpad(F.hex(head), 12, "0"), 16, 10)
+    elif kind.startswith(("struct", "array", "map")):
+        c = F.lit(0)  # one range
+    return F.nanvl(c.cast("double"), F.lit(float("inf")))
 
-    n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = df.withColumn("_key_of_range", order_key(df, order).cast("double"))
-    cuts = sorted(set(keyed.select("_key_of_range").approxQuantile("_key_of_range", [i / n for i in range(1, n)], 0.5 / n))) if n > 1 else []
-    splits = [float("-inf"), *cuts, float("inf")]
-    out = Bucketizer(splits=splits, inputCol="_key_of_range", outputCol=RANGE, handleInvalid="keep").transform(keyed)
-    return out.withColumn(RANGE, F.col(RANGE).cast("int")).drop("_key_of_range")
+
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with as many strokes as no column of df begins with it."""
+    while any(c.lower().startswith(name) for c in df.columns):
+        name += "_"
+    return name
+
+
+def _search(cuts: Sequence[float], key: str) -> str:
+    """SQL for the number of cuts that are at most the key, by bisection; nulls are before all."""
+
+    def part(low: int, high: int) -> str:
+        if low == high:
+            return str(low)
+        middle = (low + high) // 2
+        return f"CASE WHEN {key} < {cuts[middle]!r}D THEN {part(low, middle)} ELSE {part(middle + 1, high)} END"
+
+    return f"CASE WHEN {key} IS NULL THEN 0 ELSE {part(0, len(cuts))} END"
+
+
+def ranged(df: DataFrame, order: str, name: str, ranges: int | None = None, among: Column | None = None) -> DataFrame:
+    """Adds `name`, the number of a row's range, which never decreases along the order; runs a job. With `among`, other rows have range 0."""
+    n, key = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), f"{name}key"
+    keyed = df.withColumn(key, range_key(df, order))
+    chosen = keyed if among is None else keyed.where(among)
+    cuts = sorted(set(chosen.approxQuantile(key, [i / n for i in range(1, n)], 0.5 / n))) if n > 1 else []
+    found = F.expr(_search([c for c in cuts if abs(c) != float("inf")], f"`{key}`"))
+    return keyed.withColumn(name, found if among is None else F.when(among, found).otherwise(0)).drop(key)
 
 
 @dataclass(frozen=True)
@@ -39,7 +76,7 @@ class Fold:
     """An associative fold: over a window, over a range, and of two neighbours."""
 
     inside: Callable[[Column], Column]
-    total: Callable[[Column, Column], Column]
+    total: Callable[[Column, Callable[[Column], Column], Callable[[Column], Column]], Column]
     join: Callable[[Column, Column], Column]
 
 
@@ -47,52 +84,82 @@ def _zero(c: Column) -> Column:
     return F.coalesce(c, F.lit(0))
 
 
+#: total(v, latest, earliest): the last two pick the value of the last and of the first row that has one.
 FOLDS = {
-    "sum": Fold(F.sum, lambda v, _: F.sum(v), lambda a, b: F.when(a.isNull() & b.isNull(), None).otherwise(_zero(a) + _zero(b))),
-    "count": Fold(F.count, lambda v, _: F.count(v), lambda a, b: _zero(a) + _zero(b)),
-    "min": Fold(F.min, lambda v, _: F.min(v), F.least),
-    "max": Fold(F.max, lambda v, _: F.max(v), F.greatest),
-    "last": Fold(lambda v: F.last(v, ignorenulls=True), lambda v, o: F.max_by(v, F.when(v.isNotNull(), o)), lambda a, b: F.coalesce(b, a)),
-    "first": Fold(lambda v: F.first(v, ignorenulls=True), lambda v, o: F.min_by(v, F.when(v.isNotNull(), o)), lambda a, b: F.coalesce(a, b)),
+    "sum": Fold(F.sum, lambda v, *_: F.sum(v), lambda a, b: F.when(a.isNull() & b.isNull(), None).otherwise(_zero(a) + _zero(b))),
+    "count": Fold(F.count, lambda v, *_: F.count(v), lambda a, b: _zero(a) + _zero(b)),
+    "min": Fold(F.min, lambda v, *_: F.min(v), F.least),
+    "max": Fold(F.max, lambda v, *_: F.max(v), F.greatest),
+    "last": Fold(lambda v: F.last(v, ignorenulls=True), lambda v, latest, _: latest(v), lambda a, b: F.coalesce(b, a)),
+    "first": Fold(lambda v: F.first(v, ignorenulls=True), lambda v, _, earliest: earliest(v), lambda a, b: F.coalesce(a, b)),
 }
 
 
+def heavy_keys(df: DataFrame, keys: Sequence[str], ranges: int) -> DataFrame | None:
+    """Keys with more than HEAVY / ranges of all rows, ranges / HEAVY of them at most; None if there is none. Runs a job."""
+    n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    total = n.agg(F.sum("n").alias("total"))
+    found = n.join(F.broadcast(total), F.col("n") * ranges > F.col("total") * HEAVY).select(*keys).collect() if ranges > HEAVY else []
+    return df.sparkSession.createDataFrame(found, df.select(*keys).schema) if found else None
+
+
 def running(
-    df: DataFrame, order: str, outputs: dict[str, tuple[str, Column]], partition: Sequence[str] = (), inclusive: bool = True, ranges: int | None = None
+    df: DataFrame, order: str | Sequence[str], outputs: dict[str, tuple[str, Column]], partition: Sequence[str] = (), inclusive: bool = True, ranges: int | None = None, back: bool = False
 ) -> DataFrame:
-    """Adds for each name the fold (a key of FOLDS) of a column over all rows up to this one, or before it."""
-    end = 0 if inclusive else -1
-    if partition:
-        w = Window.partitionBy(*partition).orderBy(order).rowsBetween(Window.unboundedPreceding, end)
-        return df.withColumns({n: _none_is_zero(k, FOLDS[k].inside(v).over(w)) for n, (k, v) in outputs.items()})
-    r = ranged(df, order, ranges).withColumns({f"_v_{n}": v for n, (_, v) in outputs.items()})
-    w = Window.partitionBy(RANGE).orderBy(order).rowsBetween(Window.unboundedPreceding, end)
-    before = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
-    totals = r.groupBy(F.col(RANGE).alias("_r")).agg(*(FOLDS[k].total(F.col(f"_v_{n}"), order_key(df, order)).alias(f"_t_{n}") for n, (k, _) in outputs.items()))
-    totals = totals.select("_r", *(FOLDS[k].inside(F.col(f"_t_{n}")).over(before).alias(f"_p_{n}") if k != "count" else F.sum(f"_t_{n}").over(before).alias(f"_p_{n}") for n, (k, _) in outputs.items()))
-    inside = r.withColumns({f"_i_{n}": FOLDS[k].inside(F.col(f"_v_{n}")).over(w) for n, (k, _) in outputs.items()})
-    joined = inside.join(F.broadcast(totals), inside[RANGE] == totals["_r"], "left")
-    made = {n: _none_is_zero(k, FOLDS[k].join(F.col(f"_p_{n}"), F.col(f"_i_{n}"))) for n, (k, _) in outputs.items()}
-    kept = [c for c in df.columns if c not in made]
-    return joined.select(*kept, *(c.alias(n) for n, c in made.items()))
+    """Adds for each name the fold (a key of FOLDS) of a column over all rows up to this one, or before it; with `back`, from the end."""
+    order, end = listed(order), 0 if inclusive else -1
+    along = [F.col(f"`{o}`").desc() if back else F.col(f"`{o}`").asc() for o in order]
+    n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    heavy = heavy_keys(df, partition, n) if partition else None
+    if partition and heavy is None:
+        w = Window.partitionBy(*partition).orderBy(*along).rowsBetween(Window.unboundedPreceding, end)
+        return df.withColumns({o: _none_is_zero(k, FOLDS[k].inside(v).over(w)) for o, (k, v) in outputs.items()})
+    tag = unused(df, "_run_")
+    keys, rows = [], df
+    if heavy is not None:
+        keys = [f"{tag}k{i}" for i in range(len(partition))]
+        heavy = heavy.toDF(*keys).withColumn(f"{tag}heavy", F.lit(True))
+        same = [F.col(f"`{c}`").eqNullSafe(F.col(k)) for c, k in zip(partition, keys, strict=True)]
+        rows = df.join(F.broadcast(heavy), same, "left")  # its size is bounded
+    at = f"{tag}range"
+    cut = ranged(rows, order[0], at, n, F.col(f"{tag}heavy").isNotNull() if keys else None)
+    cut = cut.withColumns({f"{tag}v{i}": v for i, (_, v) in enumerate(outputs.values())})
+    kinds = [k for k, _ in outputs.values()]
+
+    place = F.struct(*(F.col(f"`{o}`") for o in order))
+    pick = {late: (lambda v, f=F.max_by if late != back else F.min_by: f(v, F.when(v.isNotNull(), place))) for late in (True, False)}
+    totals = cut.where(F.col(f"{tag}heavy").isNotNull()) if keys else cut
+    totals = totals.groupBy(at, *keys).agg(*(FOLDS[k].total(F.col(f"{tag}v{i}"), pick[True], pick[False]).alias(f"{tag}t{i}") for i, k in enumerate(kinds)))
+    before = Window.partitionBy(*keys).orderBy(F.col(at).desc() if back else F.col(at)).rowsBetween(Window.unboundedPreceding, -1)
+    prefix = [(F.sum if k == "count" else FOLDS[k].inside)(F.col(f"{tag}t{i}")).over(before).alias(f"{tag}p{i}") for i, k in enumerate(kinds)]
+    totals = totals.select(F.col(at).alias(f"{tag}r"), *(F.col(k).alias(f"{k}r") for k in keys), *prefix)
+
+    w = Window.partitionBy(*(f"`{p}`" for p in partition), at).orderBy(*along).rowsBetween(Window.unboundedPreceding, end)
+    inside = cut.withColumns({f"{tag}i{i}": FOLDS[k].inside(F.col(f"{tag}v{i}")).over(w) for i, k in enumerate(kinds)})
+    # a row for each range, and of heavy keys for each range of each
+    on = [F.col(at) == F.col(f"{tag}r"), *(F.col(f"`{c}`").eqNullSafe(F.col(f"{k}r")) & F.col(k).eqNullSafe(F.col(f"{k}r")) for c, k in zip(partition, keys, strict=False))]
+    if keys:
+        on.append(F.col(f"{tag}heavy").isNotNull())
+    joined = inside.join(totals if keys else F.broadcast(totals), on, "left")
+    made = {o: _none_is_zero(k, FOLDS[k].join(F.col(f"{tag}p{i}"), F.col(f"{tag}i{i}"))) for i, (o, (k, _)) in enumerate(outputs.items())}
+    return joined.select(*(F.col(f"`{c}`") for c in df.columns if c not in made), *(c.alias(o) for o, c in made.items()))
 
 
 def _none_is_zero(kind: str, c: Column) -> Column:
     return _zero(c) if kind == "count" else c
 
 
-def with_index(df: DataFrame, order: str, name: str = "index", partition: Sequence[str] = ()) -> DataFrame:
+def with_index(df: DataFrame, order: str | Sequence[str], name: str = "index", partition: Sequence[str] = ()) -> DataFrame:
     """Adds the 0-based position."""
     return running(df, order, {name: ("count", F.lit(1))}, partition, inclusive=False).withColumn(name, F.col(name).cast("bigint"))
 
 
-def with_previous(df: DataFrame, order: str, columns: dict[str, Column], partition: Sequence[str] = ()) -> DataFrame:
+def with_previous(df: DataFrame, order: str | Sequence[str], columns: dict[str, Column], partition: Sequence[str] = (), back: bool = False) -> DataFrame:
     """Adds for each name the column's value in the row before, null in the first row."""
-    out = running(df, order, {n: ("last", F.struct(c.alias("v"))) for n, c in columns.items()}, partition, inclusive=False)
+    out = running(df, order, {n: ("last", F.struct(c.alias("v"))) for n, c in columns.items()}, partition, inclusive=False, back=back)
     return out.withColumns({n: F.col(n)["v"] for n in columns})
 
 
-def with_next(df: DataFrame, order: str, columns: dict[str, Column], partition: Sequence[str] = ()) -> DataFrame:
+def with_next(df: DataFrame, order: str | Sequence[str], columns: dict[str, Column], partition: Sequence[str] = ()) -> DataFrame:
     """Adds for each name the column's value in the row after, null in the last row."""
-    back = df.withColumn("_back", -order_key(df, order))
-    return with_previous(back, "_back", columns, partition).drop("_back")
+    return with_previous(df, order, columns, partition, back=True)

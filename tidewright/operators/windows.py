@@ -7,12 +7,13 @@ ordinary groups. Times are microseconds (bigint).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from typing import Any
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import state
 from .spread import running
 
 WM, START, END, STALE = "_watermark", "window_start_us", "window_end_us", "_stale_seq"
@@ -28,8 +29,6 @@ def with_watermark(df: DataFrame, time: str, seq: str, lateness_us: int = 0, par
     return out.withColumn(WM, F.col(WM) - lateness_us)
 
 
-
-
 def assign_tumbling(df: DataFrame, time: str, size_us: int) -> DataFrame:
     start = F.col(time) - F.pmod(F.col(time), F.lit(size_us))
     return df.withColumn(START, start).withColumn(END, F.col(START) + size_us)
@@ -79,35 +78,36 @@ def needs_scan(df: DataFrame, time: str, gap_us: int) -> bool:
     return not df.where((F.col(time) < F.col(WM)) & (F.col(WM) - F.col(time) <= gap_us)).isEmpty()
 
 
-def scan_sessions(df: DataFrame, partition: str, key: str, time: str, seq: str, gap_us: int, lateness_us: int, merge: bool = True) -> DataFrame:
-    """Session counts record by record, in each source partition: for disorder beyond the lateness, or aggregates without a
-    merge, where a bridging row extends only the earliest session it touches."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        open_: dict[object, list[list[int]]] = {}
-        newest, out = None, []
-        for k, t in rows.sort_values(seq)[[key, time]].itertuples(index=False):
-            mark = None if newest is None else newest - lateness_us
-            if mark is not None and mark - t > gap_us:
-                continue
-            mine = open_.setdefault(k, [])
-            touched = [s for s in mine if s[0] - gap_us <= t <= s[1] + gap_us]
-            if not touched:
-                mine.append([t, t, 1])
-            elif merge:
-                rest = [s for s in mine if s not in touched]
-                rest.append([min(t, *(s[0] for s in touched)), max(t, *(s[1] for s in touched)), 1 + sum(s[2] for s in touched)])
-                open_[k] = rest
-            else:
-                s = min(touched)
-                s[0], s[1], s[2] = min(s[0], t), max(s[1], t), s[2] + 1
-            newest = t if newest is None else max(newest, t)
-            mark = newest - lateness_us
-            for k2 in list(open_):
-                out += [(k2, *s) for s in open_[k2] if mark - s[1] > gap_us]
-                open_[k2] = [s for s in open_[k2] if mark - s[1] <= gap_us]
-        out += [(k2, *s) for k2, v in open_.items() for s in v]
-        return pd.DataFrame(out, columns=[key, START, END, "count"])
-
-    kind = dict(df.dtypes)[key]
-    return df.groupBy(partition).applyInPandas(run, f"{key} {kind}, {START} bigint, {END} bigint, count bigint")
+def fold_sessions(
+    df: DataFrame, keys: Sequence[str], time: str, seq: str, gap_us: int, init: Callable[[], Any], add: Callable[[Any, dict], Any],
+    emit: Callable[[dict, Any], dict], schema: str, merge: Callable[[Any, Any], Any] | None = None,
+) -> DataFrame:
+    """Sessions record by record, by the watermark that each row carries: a session takes rows until the watermark is more than the gap
+    past its end. A row that touches several sessions joins them by `merge`, or without one extends only the earliest. emit() gets a
+    dict of the keys and bounds. Exact for any disorder; a key's open sessions are all that is held."""
+
+    def begin(first: dict) -> state.Scan:
+        named, open_ = {k: first[k] for k in keys}, []
+
+        def put(session: list) -> dict:
+            at = named | {START: session[0], END: session[1]}
+            return at | emit(at, session[2])
+
+        def take(row: dict) -> list[dict]:
+            nonlocal open_
+            t, mark = row[time], row[WM]
+            closed = [s for s in open_ if mark is not None and mark - s[1] > gap_us]
+            open_ = [s for s in open_ if mark is None or mark - s[1] <= gap_us]
+            if mark is None or mark - t <= gap_us:  # or else it is late
+                touched = sorted((s for s in open_ if s[0] - gap_us <= t <= s[1] + gap_us), key=lambda s: s[0])
+                touched = touched if merge else touched[:1]
+                value = touched[0][2] if len(touched) == 1 else init()
+                for s in touched if len(touched) > 1 else ():
+                    value = merge(value, s[2])
+                open_ = [s for s in open_ if not any(s is x for x in touched)]
+                open_.append([min([t, *(s[0] for s in touched)]), max([t, *(s[1] for s in touched)]), add(value, row)])
+            return list(map(put, closed))
+
+        return take, lambda: list(map(put, open_))
+
+    return state.scan(df, keys, seq, schema, begin)

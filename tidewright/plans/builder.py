@@ -20,7 +20,7 @@ from . import nodes
 
 def topology(rows: DataFrame, seq: str = "_seq", time: Column | None = None, partition: Column | None = None, name: str = "source") -> Topology:
     """A topology over rows with an ordinal column; for streaming rows, `time` is required."""
-    return Topology(nodes.Source(rows=normalised(rows, seq, time, partition, name), name=name))
+    return Topology(nodes.Source(rows=normalised(rows, seq, time, partition, name), name=name, one_partition=partition is None))
 
 
 @dataclass(frozen=True)
@@ -96,6 +96,12 @@ class WindowedTopology:
         nodes.check_names(self.node)
         return Topology(nodes.Aggregate(self.node, columns))
 
+    def fold(self, init: Callable[[], Any], add: Callable[[Any, dict], Any], emit: Callable[[dict, Any], dict], schema: str, merge: Callable[[Any, Any], Any] | None = None) -> Topology:
+        """A user's aggregate: add(state, row) in arrival order from init(), then emit(keys and bounds, state) to a row of `schema`. Sessions
+        that a row bridges become one by `merge`; without it they stay apart. Replay only."""
+        nodes.check_names(self.node)
+        return Topology(nodes.Fold(self.node, init, add, emit, merge, schema))
+
     def count(self) -> Topology:
         return self.aggregate(F.count(F.lit(1)).alias("count"))
 
@@ -127,5 +133,3 @@ class Built:
         from ..streaming.live import start
 
         return start(self.node, checkpoint, **options)
-
-

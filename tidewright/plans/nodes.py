@@ -31,6 +31,7 @@ class Node:
 class Source(Node):
     rows: DataFrame | None = None
     name: str = "source"
+    one_partition: bool = False
 
 
 @dataclass(frozen=True)
@@ -104,6 +105,17 @@ class Aggregate(Node):
     columns: tuple[Column, ...] = ()
 
 
+@dataclass(frozen=True)
+class Fold(Node):
+    """A user's aggregate of windows; schema is that of the rows emit() gives, without keys and bounds."""
+
+    init: Callable[[], Any] | None = None
+    add: Callable[[Any, dict], Any] | None = None
+    emit: Callable[[dict, Any], dict] | None = None
+    merge: Callable[[Any, Any], Any] | None = None
+    schema: str = ""
+
+
 @dataclass(frozen=True)
 class IntervalJoin(Node):
     other: Node | None = None

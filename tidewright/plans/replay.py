@@ -78,22 +78,39 @@ class _Replay:
         return pairs.select("left", "right", F.col("left")[KEY].alias(KEY), F.col("left")[PARTITION].alias(PARTITION), F.greatest(F.col("left")[TIME], F.col("right")[TIME]).alias(TIME), F.greatest(F.col("left")[SEQ], F.col("right")[SEQ]).alias(SEQ))
 
     def _windowed(self, node: nodes.Windowed, df: DataFrame) -> DataFrame:
-        one_partition = PARTITION in df.columns and not _constant_partition(df)
-        marked = windows.with_watermark(self._keyed(df), TIME, SEQ, node.lateness_us, [PARTITION] if one_partition else [])
+        several = PARTITION in df.columns and not all(x.one_partition for x in node.walk() if isinstance(x, nodes.Source))
+        marked = windows.with_watermark(self._keyed(df), TIME, SEQ, node.lateness_us, [PARTITION] if several else [])
         if node.shape == "session":
             return marked
         if node.shape == "tumbling":
             return windows.open_windows(windows.assign_tumbling(marked, TIME, node.size_us))
         return windows.open_windows(windows.assign_sliding(marked, TIME, node.size_us, node.slide_us), self.reference, SEQ)
 
+    def _fold(self, node: nodes.Fold, df: DataFrame) -> DataFrame:
+        w, kinds = node.parent, dict(df.dtypes)
+        schema = ", ".join([*(f"{k} {kinds[k]}" for k in self.keys()), f"{windows.START} bigint", f"{windows.END} bigint", node.schema])
+        if w.shape == "session":
+            return windows.fold_sessions(df, self.keys(), TIME, SEQ, w.size_us, node.init, node.add, node.emit, schema, node.merge)
+        extra = [windows.STALE] if windows.STALE in df.columns else []
+        keys = [*self.keys(), windows.START, windows.END]
+        more = f", {windows.STALE} bigint" if extra else ""
+        return state.aggregate_windows(df, [*keys, *extra], SEQ, node.init, node.add, node.emit, schema + more).drop(*extra)
+
     def _aggregate(self, node: nodes.Aggregate, df: DataFrame) -> DataFrame:
         w = node.parent
         if w.shape == "session":
+            if windows.needs_scan(df, TIME, w.size_us):  # out of order: which sessions were open decides, record by record
+                return self._scanned(node, df)
             return windows.sessions(df, self.keys(), TIME, w.size_us, node.columns)
         extra = [windows.STALE] if windows.STALE in df.columns else []
         return df.groupBy(*self.keys(), windows.START, windows.END, *extra).agg(*node.columns).drop(windows.STALE)
 
-
-def _constant_partition(df: DataFrame) -> bool:
-    """Whether rows have one partition at most: then the running maximum is spread over ranges of the ordinal."""
-    return len(df.select(PARTITION).distinct().limit(2).collect()) < 2
+    def _scanned(self, node: nodes.Aggregate, df: DataFrame) -> DataFrame:
+        """The scan gives each session's ordinals; its rows meet them again for the declared columns."""
+        kinds = dict(df.dtypes)
+        schema = ", ".join([*(f"{k} {kinds[k]}" for k in self.keys()), f"{windows.START} bigint", f"{windows.END} bigint", "_members array<bigint>"])
+        key = df.select(*dict.fromkeys([*self.keys(), TIME, SEQ, windows.WM]))
+        found = windows.fold_sessions(key, self.keys(), TIME, SEQ, node.parent.size_us, list, lambda s, r: [*s, r[SEQ]], lambda _, s: {"_members": s}, schema, lambda a, b: a + b)
+        members = found.select(windows.START, windows.END, *(F.col(k).alias(f"_m{k}") for k in self.keys()), F.explode("_members").alias("_member"))
+        same = [F.col(k).eqNullSafe(F.col(f"_m{k}")) for k in self.keys()] + [F.col(SEQ) == F.col("_member")]
+        return df.join(members, same).groupBy(*self.keys(), windows.START, windows.END).agg(*node.columns)

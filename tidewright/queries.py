@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import codecs, formats, hashing
+from .functions.cron import cron_next
 from .functions.duration import duration_ms
-from .operators import joins, ordered, state, timing, windows
+from .functions.schedule import Schedule
+from .operators import errors, joins, ordered, state, terminals, timing, windows
 from .operators.spread import running
 from .plans.builder import topology
 from .sources import events as ev
@@ -51,7 +54,7 @@ _T = "(select *, epoch_us(ts) as t from events)"
 _T2 = f"(select *, epoch_us(ts) - (event_id % 7) * {HOUR} as t2 from events)"
 
 
-def _windowed(df: DataFrame, *more: str) -> DataFrame:
+def _windowed(df: DataFrame, *more: str | Column) -> DataFrame:
     return df.select(F.col("_key").cast("bigint").alias("user_id"), "window_start_us", "window_end_us", *more)
 
 
@@ -221,11 +224,15 @@ def topology_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.dedupe(F.col("user_id")).replay().select("event_id", "user_id")
 
 
-@query("select event_id, event_type from events qualify row_number() over (partition by event_type order by event_id) = 1")
+@query("""with recursive e as (select event_id, event_type, user_id % 16 as p, row_number() over (partition by user_id % 16 order by event_id) as n from events),
+    r as (select p, n, event_id, event_type, [event_type] as seen, true as fresh from e where n = 1
+      union all select e.p, e.n, e.event_id, e.event_type, case when list_contains(r.seen, e.event_type) then r.seen else list_append(r.seen, e.event_type)[-2:] end,
+        not list_contains(r.seen, e.event_type) from r join e on e.p = r.p and e.n = r.n + 1)
+    select event_id, event_type from r where fresh""")
 def dedupe_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cap is above the number of keys, so the SQL holds; tests cover smaller caps."""
-    df = read(spark, sf_dir, "events").select("event_id", "event_type").withColumn("_partition", F.lit(0))
-    return state.dedupe_capped(df, "event_type", "event_id", "_partition", 1000).drop("_partition")
+    """Sixteen source partitions that remember two of five types each."""
+    df = read(spark, sf_dir, "events").select("event_id", "event_type", (F.col("user_id") % 16).alias("_partition"))
+    return state.dedupe_capped(df, "event_type", "event_id", "_partition", 2).drop("_partition")
 
 
 @query("select distinct user_id, event_type from events")
@@ -480,23 +487,40 @@ def sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timing.sample(timed(spark, sf_dir), "event_id", "t", HOUR).select("event_id")
 
 
-@query()
+def _chain(first: str, step: str) -> str:
+    """Each user's events one after another: r starts with `first`, goes on with `step` of r and the next row e."""
+    return f"""with recursive e as (select event_id, user_id, epoch_us(ts) as t, row_number() over (partition by user_id order by ts, event_id) as n from events),
+        r as (select event_id, user_id, t, n, {first} from e where n = 1
+          union all select e.event_id, e.user_id, e.t, e.n, {step} from r join e on e.user_id = r.user_id and e.n = r.n + 1)"""
+
+
+@query(f"""{_chain(f"t + {HOUR} as until, true as opens", f"case when e.t >= r.until then e.t + {HOUR} else r.until end, e.t >= r.until")}
+    select event_id, user_id, t from r qualify coalesce(lead(opens) over (partition by user_id order by n), true)""")
 def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.audit(timed(spark, sf_dir).select("event_id", "user_id", "t"), ["user_id"], "t", HOUR)
 
 
-@query()
+@query(f"""{_chain(f"t + {HOUR} as until, true as idle", f"case when e.t >= r.until then e.t + {HOUR} else r.until end, e.t >= r.until")}
+    select event_id, user_id, t from r where idle""")
 def exhaust_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = timed(spark, sf_dir).select("event_id", "user_id", "t").withColumn("busy", F.lit(HOUR))
     return state.exhaust_map(df, ["user_id"], "t", "busy").drop("busy")
 
 
-@query()
+_CLOSED = f"(r.size = 5 or e.t >= r.first + {HOUR})"
+
+
+@query(f"""{_chain("0::bigint as batch, 1 as size, t as first", f"case when {_CLOSED} then r.batch + 1 else r.batch end, case when {_CLOSED} then 1 else r.size + 1 end, case when {_CLOSED} then e.t else r.first end")}
+    select event_id, user_id, t, batch from r""")
 def group_within(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.group_within(timed(spark, sf_dir).select("event_id", "user_id", "t"), ["user_id"], "t", 5, HOUR)
 
 
-@query()
+_RECENT = f"list_filter(r.times, lambda x: x > e.t - {6 * HOUR})"
+
+
+@query(f"""{_chain("[t] as times, true as ok", f"case when len({_RECENT}) < 3 then list_append({_RECENT}, e.t) else {_RECENT} end, len({_RECENT}) < 3")}
+    select event_id, user_id, t from r where ok""")
 def rate_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.rate_limit(timed(spark, sf_dir).select("event_id", "user_id", "t"), ["user_id"], "t", "sliding", 3, 6 * HOUR)
 
@@ -577,11 +601,30 @@ def frame_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codecs.split_frames(df, "raw").select("doc_id", F.col("frame").cast("string").alias("back"))
 
 
-@query()
+def _murmur(text: str) -> str:
+    """DuckDB SQL for the 32-bit MurmurHash3 of an ASCII text of up to seven characters."""
+    mask = "4294967295"
+    rotated = lambda x, r: f"((({x}) << {r}) & {mask} | (({x}) >> {32 - r}))"
+    scrambled = lambda k: f"({rotated(f'(({k}) * 3432918353::hugeint) & {mask}', 15)} * 461845907::hugeint & {mask})"
+    byte = lambda i: f"(case when length({text}) >= {i} then ascii(substr({text}, {i}, 1)) else 0 end)::hugeint"
+    four = " + ".join(f"{byte(i + 1)} * {256**i}" for i in range(4))
+    tail = " + ".join(f"case when length({text}) >= 4 then {byte(i + 5)} else {byte(i + 1)} end * {256**i}" for i in range(3))
+    h = f"case when length({text}) >= 4 then ({rotated(f'({scrambled(four)})', 13)} * 5 + 3864292196::hugeint) & {mask} else 0::hugeint end"
+    h = f"xor(xor({h}, {scrambled(tail)}), length({text})::hugeint)"
+    for shift, factor in ((16, 2246822507), (13, 3266489909)):
+        h = f"((xor(({h}), ({h}) >> {shift})) * {factor}::hugeint & {mask})"
+    return f"(xor(({h}), ({h}) >> 16))::bigint"
+
+
+_RING = hashing.HashRing.of(["a", "b", "c"])
+
+
+@query(f"""with k as (select distinct user_id, {_murmur("user_id::varchar")} as hash from events),
+    points(h, owner) as (values {", ".join(f"({h}, '{n}')" for h, n in _RING.points)})
+    select user_id, hash, coalesce((select arg_min(owner, h) from points where h >= hash), (select arg_min(owner, h) from points)) as owner from k""")
 def ring_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ring = hashing.HashRing.of(["a", "b", "c"])
     key = F.col("user_id").cast("string")
-    return read(spark, sf_dir, "events").select("user_id").distinct().select("user_id", hashing.hash32(key).alias("hash"), ring.owner_of(key).alias("owner"))
+    return read(spark, sf_dir, "events").select("user_id").distinct().select("user_id", hashing.hash32(key).alias("hash"), _RING.owner_of(key).alias("owner"))
 
 
 @query("select event_id, (event_id % 90 + 1) * 60000.0::double as ms from events")
@@ -661,3 +704,179 @@ def dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def watermarks(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = running(timed(spark, sf_dir), "event_id", {"watermark": ("max", F.col("t"))}, inclusive=False)
     return out.select("event_id", (F.col("watermark") - HOUR).alias("watermark"))
+
+
+# More of topologies: users' aggregates, partitions, repeated emission, positions to start at
+
+
+@query(f"""{_SESSIONS} select user_id, min(t) as window_start_us, max(t) as window_end_us, round(sum(value), 6) as total, arg_max(event_type, event_id) as last from s group by user_id, n""")
+def session_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's aggregate of sessions, with a merge."""
+    rows = topology(read(spark, sf_dir, "events"), "event_id", windows.micros(F.col("ts"))).key_by(F.col("user_id"))
+    add = lambda s, r: (s[0] + (r["value"] or 0.0), r["event_type"])
+    out = rows.session("2h").fold(lambda: (0.0, None), add, lambda _, s: {"total": round(s[0], 6), "last": s[1]}, "total double, last string", lambda a, b: (a[0] + b[0], b[1]))
+    return _windowed(out.replay(), F.round("total", 6).alias("total"), "last")
+
+
+@query(f"""select user_id, t // {HOUR * 24} * {HOUR * 24} as window_start_us, t // {HOUR * 24} * {HOUR * 24} + {HOUR * 24} as window_end_us,
+    string_agg(event_type, '>' order by event_id) as path from {_T} group by all""")
+def tumbling_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = topology(read(spark, sf_dir, "events"), "event_id", windows.micros(F.col("ts"))).key_by(F.col("user_id"))
+    out = rows.tumbling("1d").fold(list, lambda s, r: [*s, r["event_type"]], lambda _, s: {"path": ">".join(s)}, "path string")
+    return _windowed(out.replay(), "path")
+
+
+@query(f"""with a as (select *, user_id % 4 as p, max(t2) over (partition by user_id % 4 order by event_id rows between unbounded preceding and 1 preceding) as wm from {_T2})
+    select user_id, t2 // {HOUR} * {HOUR} as window_start_us, t2 // {HOUR} * {HOUR} + {HOUR} as window_end_us, count(*) as "count"
+    from a where wm is null or t2 // {HOUR} * {HOUR} + {HOUR} > wm group by all""")
+def tumbling_by_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each of four source partitions has a watermark of its own."""
+    rows = topology(read(spark, sf_dir, "events"), "event_id", shifted(), partition=F.col("user_id") % 4).key_by(F.col("user_id"))
+    return _windowed(rows.tumbling("1h").count().replay(), "count")
+
+
+@query(f"""{_LATE}, w as (select *, unnest([t2 // {HOUR} * {HOUR} - {HOUR}, t2 // {HOUR} * {HOUR}]) as s from a),
+    x as (select *, wm is not null and s + {2 * HOUR} <= wm as ended from w where s >= 0),
+    y as (select *, bool_or(not ended) over (partition by event_id) as any_open from x)
+    select user_id, s as window_start_us, s + {2 * HOUR} as window_end_us, count(*) as "count" from y where any_open group by user_id, s, case when ended then event_id end""")
+def sliding_emitted_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Late rows of overlapping windows emit the closed one a second time."""
+    rows = topology(read(spark, sf_dir, "events"), "event_id", shifted()).key_by(F.col("user_id"))
+    return _windowed(rows.sliding("2h", "1h", lateness="2h").count().replay(reference=True), "count")
+
+
+@query("""select event_id, 'time' as kind from events where ts >= timestamp '2024-01-10' union all select event_id, 'ordinal' from events where event_id >= 500
+    union all select event_id, 'earliest' from events""")
+def start_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = ev.normalised(read(spark, sf_dir, "events"), "event_id", windows.micros(F.col("ts")))
+    at = {"time": "timestamp:1704844800000", "ordinal": 500, "earliest": "earliest", "latest": "latest"}
+    return ordered.merge_all(*(ev.start_at(df, v).select("event_id", F.lit(k).alias("kind")) for k, v in at.items()))
+
+
+@query("select event_id, (user_id % 4)::int as p from events where user_id % 4 in (1, 3)")
+def chosen_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = ev.normalised(read(spark, sf_dir, "events"), "event_id", windows.micros(F.col("ts")), F.col("user_id") % 4)
+    return ev.partitions(df, [1, 3]).select("event_id", F.col("_partition").alias("p"))
+
+
+# Failures, calls, metrics
+
+
+@query("""select event_id, value >= 1 and event_type <> 'error' as ok, case when value >= 1 and event_type <> 'error' then value end as value,
+    case when value < 1 then 'too small' when event_type = 'error' then 'an error' end as error from events""")
+def either(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = read(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    out = errors.either(df, "e", F.col("value"), {"too small": F.col("value") < 1, "an error": F.col("event_type") == "error"})
+    return out.select("event_id", "e.ok", "e.value", "e.error")
+
+
+@query("select event_id, value as checked from events where value >= 1")
+def rethrown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = read(spark, sf_dir, "events").select("event_id", "value").where("value >= 1")
+    return errors.rethrow(errors.either(df, "checked", F.col("value"), {"too small": F.col("value") < 1}), "checked").select("event_id", "checked")
+
+
+@query("select user_id, user_id * user_id + 1 as answer from (select distinct user_id from events)")
+def async_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    users = read(spark, sf_dir, "events").select("user_id").distinct()
+    return ordered.map_async(users, lambda x: x * x + 1, "user_id", "answer", "bigint")
+
+
+@query("select event_id, upper(event_type) as kind from events")
+def chunked_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def f(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for c in chunks:
+            yield pd.DataFrame({"event_id": c["event_id"], "kind": c["event_type"].str.upper()})
+
+    return ordered.map_chunks(read(spark, sf_dir, "events").select("event_id", "event_type"), f, "event_id bigint, kind string")
+
+
+@query("select user_id, case when user_id % 3 = 0 then null else 'u' || user_id end as name from (select distinct user_id from events)")
+def remote_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    users = read(spark, sf_dir, "events").select("user_id").distinct()
+    return joins.lookup_remote(users, "user_id", lambda keys: {k: f"u{int(k)}" for k in keys if k % 3}, "name", "string")
+
+
+@query("""select 'counter' as kind, event_type, round(sum(value), 6) as value from events group by event_type
+    union all select 'gauge', event_type, arg_max(value, event_id) from events group by event_type""")
+def counters_and_gauges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = read(spark, sf_dir, "events")
+    total = terminals.counters(df, ["event_type"], F.col("value")).select(F.lit("counter").alias("kind"), "event_type", F.round("value", 6).alias("value"))
+    return total.unionByName(terminals.gauges(df, ["event_type"], "value", "event_id").select(F.lit("gauge").alias("kind"), "event_type", "value"))
+
+
+@query("select event_id, (props::json->>'$.k')::bigint as k from events")
+def ndjson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "events").select("event_id", formats.ndjson(F.col("props"), "k bigint").alias("v")).select("event_id", "v.k")
+
+
+@query("""select event_id, date_trunc('hour', ts) + interval 1 hour as hourly, date_trunc('day', ts) + interval 1 day as daily,
+    case when ts < date_trunc('day', ts) + interval 390 minute then date_trunc('day', ts) + interval 390 minute else date_trunc('day', ts) + interval 1830 minute end as morning from events""")
+def cron_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = {"hourly": "@hourly", "daily": "0 0 * * *", "morning": "30 6 * * *"}
+    df = read(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    return df.select("event_id", *(cron_next(F.col("ts"), e).cast("timestamp_ntz").alias(n) for n, e in at.items()))
+
+
+@query("""select 'exponential' as kind, range as n, 100.0::double * 2 ** range as ms from range(8) union all select 'linear', range, 100.0::double * (range + 1) from range(8)
+    union all select 'spaced', range, 250.0::double from range(8) union all select 'capped', range, least(500.0::double, 100.0::double * 2 ** range) from range(8)
+    union all select 'fibonacci', range, ([1, 1, 2, 3, 5, 8, 13, 21])[range + 1] * 100.0::double from range(8) union all select 'three times', range, 0.0::double from range(3)""")
+def schedule_delays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    all_ = {
+        "exponential": Schedule.exponential("100ms"), "linear": Schedule.linear("100ms"), "spaced": Schedule.spaced(250), "capped": Schedule.exponential(100).max_delay("500ms"),
+        "fibonacci": Schedule.fibonacci(100), "three times": Schedule.recurs(3),
+    }
+    return spark.createDataFrame([(k, n, float(d)) for k, s in all_.items() for n, d in enumerate(s.delays(8))], "kind string, n bigint, ms double")
+
+
+@query("select event_id, ([1, 1000, 60000, 3600000, 86400000, 604800000])[event_id % 6 + 1] * (event_id % 50 + 0.5)::double as ms from events where event_id % 7 <> 0 union all select event_id, null from events where event_id % 7 = 0")
+def duration_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    unit = F.element_at(F.array(*map(F.lit, ("ms", "s", "m", "h", "d", "w"))), (F.col("event_id") % 6 + 1).cast("int"))
+    text = F.when(F.col("event_id") % 7 == 0, "7 years").otherwise(F.concat((F.col("event_id") % 50).cast("string"), F.lit(".5 "), unit))
+    return read(spark, sf_dir, "events").select("event_id", duration_ms(text).alias("ms"))
+
+
+@query("select range as _seq, 3 ** range as value from range(20)")
+def iterated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.iterate(spark, 1, lambda x: x * 3, "value bigint", 20).withColumn("value", F.col("value").cast("double"))
+
+
+@query("select n_nationkey, n_regionkey = n_nationkey % 5 as same, substr('{\"k\":' || n_nationkey || ',\"r\":' || n_regionkey || '}', 1, 8) as shown from nation")
+def json_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = F.struct(F.col("n_regionkey").alias("v")), F.struct((F.col("n_nationkey") % 5).cast("bigint").alias("v"))
+    row = F.struct(F.col("n_nationkey").alias("k"), F.col("n_regionkey").alias("r"))
+    return read(spark, sf_dir, "nation").select("n_nationkey", terminals.json_equal(F.struct(a["v"].cast("bigint").alias("v")), b).alias("same"), terminals.shown(row, 8).alias("shown"))
+
+
+# More of queues
+
+
+@query("""with q as (select o_orderkey as id, o_custkey, min(o_orderkey) over (partition by o_custkey) as first from orders)
+    select id, o_custkey from q order by first, id limit 60""")
+def fifo_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A read takes a batch of sixty, group by group."""
+    rows = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey")
+    return queues.fifo(rows, "grouped", "o_custkey", "id", 60)
+
+
+_QUEUE = """q as (select o_orderkey as id, case o_orderstatus when 'F' then 'completed' when 'P' then 'dead' else 'pending' end as status, (o_orderkey % 4)::int as attempts from orders)"""
+
+
+@query(f"""with {_QUEUE}, o as (select id, id % 2 = 0 as ok from q where status = 'pending' and id % 3 <> 0)
+    select q.id, case when ok then 'completed' when not ok and attempts + 1 >= 3 then 'dead' when not ok then 'pending' else status end as status,
+    attempts + case when ok is null then 0 else 1 end as attempt_count from q left join o using (id)""")
+def queue_settle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    queue = _queue(spark, sf_dir)
+    outcomes = queue.where("status = 'pending' and id % 3 <> 0").select("id", (F.col("id") % 2 == 0).alias("ok"))
+    return queues.settle(queue, outcomes, F.lit("1999-01-01").cast("timestamp")).select("id", "status", "attempt_count")
+
+
+@query(f"""with {_QUEUE} select id, case when status = 'dead' then 'pending' else status end as status, case when status = 'dead' then 0 else attempts end as attempt_count, status = 'completed' as archived from q
+    union all select -n_nationkey - 1, 'pending', 0, false from nation""")
+def queue_upkeep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages appended, dead ones sent back, completed ones moved to the archive."""
+    now = F.lit("1999-01-01").cast("timestamp")
+    new = read(spark, sf_dir, "nation").select((-F.col("n_nationkey") - 1).alias("id"), F.col("n_name").alias("payload"))
+    stays, goes = queues.archive(queues.requeue_dead(queues.publish(_queue(spark, sf_dir), new, now), now))
+    part = lambda df, archived: df.select("id", "status", "attempt_count", F.lit(archived).alias("archived"))
+    return part(stays, False).unionByName(part(goes, True))
