@@ -2,11 +2,12 @@
 
 A merge makes a vocabulary token, so a pair of adjacent symbols that occurs inside no token is never merged across: a cut
 between them is certain. Words are cut at all such places; the fragments are encoded independently by merges and
-concatenated. Only a word's last fragment carries the end-of-word mark. Fragments and words are remembered up to a bound.
+concatenated. Only a word's last fragment carries the end-of-word mark. Words and chunks between white space are remembered up to a bound.
 
 decode() is the library's for a tokenizer without a decoder: token strings joined by spaces.
 
-Defined results: a null or empty text has no ids and decodes to the empty string; rows are independent, so ties and
+Defined results: a null or empty text has no ids and decodes to the empty string; a very long text is encoded whole, and is the one
+row of its slice; rows are independent, so ties and
 repeated rows don't matter; an empty table gives no rows; extra columns are ignored.
 """
 
@@ -14,16 +15,17 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import map_rows
-from .encode import byte_chars, chunks_of, plain_words
+from .common import Recent, map_rows, use
+from .encode import MOST_CHUNKS, WORD, byte_chars, plain_chunks
 
 
 class BoundaryBPE:
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = MOST_CHUNKS):
         from tokenizers import Tokenizer
 
         spec = json.load(open(path, encoding="utf-8"))
@@ -44,10 +46,7 @@ class BoundaryBPE:
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
-        self.most = most
-        self.fragments: dict[tuple[str, bool], bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.chunks, self.words = Recent(most, self._chunk), Recent(most, self.word)
 
     def cuts(self, symbols: str) -> list[str]:
         """Fragments between the certain cuts."""
@@ -60,39 +59,29 @@ class BoundaryBPE:
         return out
 
     def _fragment(self, symbols: str, last: bool) -> bytes:
-        key = (symbols, last)
-        if (known := self.fragments.get(key)) is not None:
-            return known
         parts, rank = list(symbols), self.rank
         if last:
             parts[-1] += self.end
         none = len(rank)
-        while len(parts) > 1:
-            ranks = [rank.get(p, none) for p in zip(parts, parts[1:], strict=False)]
-            best = min(ranks)
-            if best == none:
-                break
+        ranks = [rank.get(p, none) for p in zip(parts, parts[1:], strict=False)]
+        while ranks and (best := min(ranks)) < none:
             i = ranks.index(best)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        if len(self.fragments) >= self.most:
-            self.fragments.clear()
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank.get((parts[i - 1], parts[i]), none)
+            if i < len(ranks):
+                ranks[i] = rank.get((parts[i], parts[i + 1]), none)
         # as in the library without an unknown token, symbols that the vocabulary lacks go
-        self.fragments[key] = out = np.array([self.vocab[p] for p in parts if p in self.vocab], "<u4").tobytes()
-        return out
+        return np.array([self.vocab[p] for p in parts if p in self.vocab], "<u4").tobytes()
 
     def word(self, word: str) -> bytes:
-        if (known := self.words.get(word)) is not None:
-            return known
         char = self.char
         *head, tail = self.cuts("".join([char[b] for b in word.encode()]))
-        if len(self.words) >= self.most:
-            self.words.clear()
-        self.words[word] = out = b"".join([*(self._fragment(f, False) for f in head), self._fragment(tail, True)])
-        return out
+        return b"".join([*(self._fragment(f, False) for f in head), self._fragment(tail, True)])
 
-    def _chunk(self, chunk: str) -> bytes:
-        if (words := plain_words(chunk)) is not None:
-            return b"".join(map(self.word, words))
+    def _odd(self, chunk: str) -> bytes:
+        """Of a part between white space that isn't plain."""
         # special tokens are cut out of the raw text first; then the library normalises and splits, merges are ours
         out, rest = [], chunk
         while rest:
@@ -111,14 +100,15 @@ class BoundaryBPE:
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        chunks, out = self.chunks, []
-        for c in chunks_of(text):
-            if (known := chunks.get(c)) is None:
-                if len(chunks) >= self.most:
-                    chunks.clear()
-                chunks[c] = known = self._chunk(c)
-            out.append(known)
-        return b"".join(out)
+        chunks, get = plain_chunks(text), self.chunks.__getitem__
+        odd = chunks and isinstance(chunks[0], tuple)
+        out = b"".join([get(c) if known else self._odd(c) for c, known in chunks] if odd else map(get, chunks))
+        self.chunks.age()
+        self.words.age()
+        return out
+
+    def _chunk(self, chunk: str) -> bytes:
+        return b"".join(map(self.words.__getitem__, WORD.findall(chunk)))
 
     def decode(self, ids: bytes) -> bytes:
         """The text in UTF-8."""
@@ -129,32 +119,43 @@ _codecs: dict[str, BoundaryBPE] = {}
 
 
 def codec(path: str) -> BoundaryBPE:
+    """One for each file in a worker; to be called as a task begins."""
     if path not in _codecs:
         _codecs[path] = BoundaryBPE(path)
+    use(_codecs[path].chunks, _codecs[path].words)
     return _codecs[path]
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """docs(doc_id, text) to doc_id, n_tokens, ids (binary), decoded (string)."""
 
-    def f(doc_ids: list, texts: list) -> list[list]:
+    def start() -> Callable:
         c = codec(path)
-        ids = [c.encode(t) for t in texts]
-        return [doc_ids, [len(i) // 4 for i in ids], ids, [c.decode(i).decode() for i in ids]]
 
-    return map_rows(docs, ["doc_id", "text"], "doc_id bigint, n_tokens bigint, ids binary, decoded string", f)
+        def f(doc_ids: list, texts: list) -> list[list]:
+            ids = [c.encode(t) for t in texts]
+            return [doc_ids, [len(i) // 4 for i in ids], ids, [c.decode(i).decode() for i in ids]]
+
+        return f
+
+    return map_rows(docs, ["doc_id", "text"], "doc_id bigint, n_tokens bigint, ids binary, decoded string", start)
 
 
 def digest_documents(docs: DataFrame, path: str) -> DataFrame:
     """As encode_documents, with digests in place of ids and texts."""
 
-    def f(doc_ids: list, texts: list) -> list[list]:
-        c, n, coded, decoded = codec(path), [], [], []
-        for t in texts:
-            ids = c.encode(t)
-            n.append(len(ids) // 4)
-            coded.append(hashlib.sha256(ids).hexdigest())
-            decoded.append(hashlib.sha256(c.decode(ids)).hexdigest())
-        return [doc_ids, n, coded, decoded]
+    def start() -> Callable:
+        c = codec(path)
+
+        def f(doc_ids: list, texts: list) -> list[list]:
+            n, coded, decoded = [], [], []
+            for t in texts:
+                ids = c.encode(t)
+                n.append(len(ids) // 4)
+                coded.append(hashlib.sha256(ids).hexdigest())
+                decoded.append(hashlib.sha256(c.decode(ids)).hexdigest())
+            return [doc_ids, n, coded, decoded]
+
+        return f
 
-    return map_rows(docs, ["doc_id", "text"], "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string", f)
+    return map_rows(docs, ["doc_id", "text"], "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string", start)

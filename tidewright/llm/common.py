@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,31 +74,78 @@ def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-#: What workers remember between tasks.
-_remembered: list[dict] = []
+class Recent(dict):
+    """What work(key) gave for keys, in two generations: once there are `most`, they become the older ones, which go unless they
+    are asked for again before the next time. Workers keep it between tasks."""
 
+    def __init__(self, most: int, work: Callable[[Any], Any]):
+        super().__init__()
+        self.most, self.work, self.old = most, work, {}
+        _memories.append(self)
 
-def remember(memory: dict) -> dict:
-    """A memory that outlives its task, until a task of another operator calls forget()."""
-    _remembered.append(memory)
-    return memory
+    def __missing__(self, key: Any) -> Any:
+        value = self.old.pop(key, None)
+        if value is None:
+            value = self.work(key)
+        self[key] = value
+        return value
 
+    def age(self) -> None:
+        """To be called now and then, between texts."""
+        if len(self) >= self.most:
+            self.old = dict(self)
+            super().clear()
 
-def forget() -> None:
-    for memory in _remembered:
-        memory.clear()
+    def clear(self) -> None:
+        super().clear()
+        self.old = {}
 
 
-def slices(batch: pa.RecordBatch, rows: int = 2500) -> Iterator[pa.RecordBatch]:
-    """Pieces of a batch, so that few texts are Python objects at a time."""
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
+_memories: list[Recent] = []
 
 
-def map_rows(df: DataFrame, columns: list[str], schema: str, f: Callable[..., Iterable[list]]) -> DataFrame:
-    """Arrow batches of the named columns, given to f as Python lists; f returns the output's columns as lists."""
+def use(*mine: Recent) -> None:
+    """To be called as a task begins: frees what other operators' tasks have left in this worker."""
+    left = [m for m in _memories if (m or m.old) and not any(m is x for x in mine)]
+    for m in left:
+        m.clear()
+    if left:
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+        if trim:
+            trim(0)
+
+
+#: Bytes of text that are Python objects at a time, and that Arrow batches of texts have.
+SLICE_BYTES, BATCH_BYTES = 1 << 20, 4 << 20
+_BYTES_PER_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def text_batches(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches end at BATCH_BYTES in place of Spark's 64 MB, as a worker holds several; a setting of the user's stays."""
+    if spark.conf.get(_BYTES_PER_BATCH) in ("67108864b", "67108864"):
+        spark.conf.set(_BYTES_PER_BATCH, str(BATCH_BYTES))
+
+
+def slices(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Pieces of a batch with about `most` bytes of text each, one row at least."""
+    size = np.full(batch.num_rows, 16, np.int64)
+    for c in batch.columns:
+        if pa.types.is_string(c.type) or pa.types.is_binary(c.type) or pa.types.is_large_string(c.type):
+            size += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+    ends, at = np.cumsum(size), 0
+    while at < batch.num_rows:
+        done = int(ends[at - 1]) if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, done + most, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def map_rows(df: DataFrame, columns: list[str], schema: str, start: Callable[[], Callable[..., Iterable[list]]]) -> DataFrame:
+    """Slices of the named columns as Python lists, given to the function that start() returns in each task, which returns the output's columns as lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = start()
         for batch in (part for whole in batches for part in slices(whole)):
             out = f(*(batch.column(i).to_pylist() for i in range(len(columns))))
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types, strict=True)], names)
@@ -102,6 +153,7 @@ def map_rows(df: DataFrame, columns: list[str], schema: str, f: Callable[..., It
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import _parse_datatype_string
 
+    text_batches(df.sparkSession)
     fields = _parse_datatype_string(schema).fields
     names, types = [x.name for x in fields], [to_arrow_type(x.dataType) for x in fields]
     return df.select(*columns).mapInArrow(run, schema)

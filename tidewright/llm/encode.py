@@ -1,11 +1,11 @@
-"""Encoding whole texts with the tokenizers library, through memories of white-space chunks and of words.
+"""Encoding whole texts with the tokenizers library, through memories of chunks between white space and of words.
 
-For a tokenizer that drops white space and splits words by its pattern, ids of a text are those of its chunks between
-white space, one after another, and a chunk that holds a special token, or a character outside the plain range, is
-encoded by the library on its own. Plain chunks are split into words here; words not yet seen are encoded by the library,
-by its model alone, past the normaliser and splitter whose work is done by then.
+For a tokenizer that drops white space and splits words by its pattern, ids of a text are those of its chunks, one after
+another. Chunks of plain texts are split into words here; words not yet seen are encoded by the library, by its model alone, past
+the normaliser and splitter whose work is done by then. A chunk with a special token, or a character
+outside the plain range, is encoded by the library on its own.
 
-The memories are bounded: at `most` entries they take in no more.
+The memories are bounded (common.Recent): where words hardly repeat they cost time, not memory.
 """
 
 from __future__ import annotations
@@ -16,8 +16,10 @@ from array import array
 
 import numpy as np
 
-from .common import remember
+from .common import Recent, use
 
+#: Chunks in each generation of a worker's memory: some 30 MB.
+MOST_CHUNKS = 200_000
 #: Characters below this are always in normal form C; U+0130 has a lower-case form of two characters.
 PLAIN_END = 0x250
 
@@ -30,6 +32,7 @@ _LETTERS, _NUMBERS = _of("L"), _of("N")
 #: The splitting pattern of word_bpe_49k.json, for plain characters (fixed value).
 WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+")
 _NOT_PLAIN = re.compile(r"[^\x00-ɏ]|İ|<\|")
+_ODD_ASCII = re.compile("[\x1c-\x1f]|<\\|")
 _OWN_SPACE = re.compile("[\x1c-\x1f]")  # white space for str.split, not for the tokenizer
 _SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
@@ -39,20 +42,22 @@ def chunks_of(text: str | None) -> list[str]:
     return [c for c in _SPACE.split(text) if c] if _OWN_SPACE.search(text) else text.split()
 
 
-def plain_words(chunk: str) -> list[str] | None:
-    """Words of a chunk as the tokenizer splits it; None if only the library can tell."""
-    if _NOT_PLAIN.search(chunk) or _OWN_SPACE.search(chunk):
+def plain(text: str) -> str | None:
+    """A text, or a part between white space, in lower case; None if only the library can split it."""
+    if text.isascii():
+        return None if _ODD_ASCII.search(text) else text.lower()
+    if _NOT_PLAIN.search(text) or _OWN_SPACE.search(text):
         return None
-    chunk = chunk.lower()
-    return None if _NOT_PLAIN.search(chunk) else WORD.findall(chunk)
+    text = text.lower()
+    return None if _NOT_PLAIN.search(text) else text
 
 
-def split_chunks(chunks: list[str]) -> list[list[str] | None]:
-    """plain_words of each, many at a time."""
-    whole = "\n".join(chunks)
-    if _NOT_PLAIN.search(whole) or _OWN_SPACE.search(whole) or _NOT_PLAIN.search(lower := whole.lower()):
-        return [plain_words(c) for c in chunks] if len(chunks) < 64 else [x for at in range(0, len(chunks), 32) for x in split_chunks(chunks[at : at + 32])]
-    return list(map(WORD.findall, lower.split("\n"))) if chunks else []
+def plain_chunks(text: str | None) -> list[tuple[str, bool]] | list[str]:
+    """The chunks between white space: in lower case if all are plain, or else pairs with whether they are."""
+    text = text or ""
+    if (lower := plain(text)) is not None:
+        return lower.split()
+    return [(c, False) if (lower := plain(c)) is None else (lower, True) for c in chunks_of(text)]
 
 
 def byte_chars() -> list[str]:
@@ -63,9 +68,9 @@ def byte_chars() -> list[str]:
 
 
 class LibraryEncoder:
-    """ids_of(text): the ids as little-endian unsigned 32-bit integers in bytes."""
+    """batch(texts): their ids, as little-endian unsigned 32-bit integers in bytes."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = MOST_CHUNKS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -74,42 +79,29 @@ class LibraryEncoder:
         self.size = max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1
         self.model = self.tokenizer.model
         self.byte_level = str.maketrans({chr(b): c for b, c in enumerate(byte_chars())})
-        self.chunks: dict[str, bytes] = remember({})
-        self.words: dict[str, bytes] = remember({})
-        self.most = most
+        self.chunks, self.words = Recent(most, self._chunk), Recent(most, self._word)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn_words(self, new: list[str]) -> None:
-        """Words, split and in lower case already, go straight to the library's model, in byte-level characters."""
-        tokenize, table = self.model.tokenize, self.byte_level
-        for w in new:
-            symbols = w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(table)
-            self.words[w] = array("I", [t.id for t in tokenize(symbols)]).tobytes()
-
-    def known(self, seen: set[str]) -> dict[str, bytes]:
-        """Ids of all chunks in `seen`; beyond the bound, new ones are not kept for later texts."""
-        words = self.words
-        new = list(seen - self.chunks.keys())
-        split = dict(zip(new, split_chunks(new), strict=True))
-        missing = list({w for ws in split.values() if ws for w in ws if w not in words})
-        self._learn_words(missing)
-        made = {c: self.whole(c) if ws is None else b"".join([words[w] for w in ws]) for c, ws in split.items()}
-        if len(words) > self.most:
-            for w in missing:
-                del words[w]
-        if len(self.chunks) + len(made) <= self.most:
-            self.chunks.update(made)
-            return self.chunks
-        return made | {c: self.chunks[c] for c in seen & self.chunks.keys()}
-
-    def batch(self, texts: list[str | None], step: int = 512) -> list[bytes]:
-        out: list[bytes] = []
-        for at in range(0, len(texts), step):
-            split = [chunks_of(t) for t in texts[at : at + step]]
-            get = self.known(set().union(*split)).__getitem__
-            out += [b"".join(map(get, s)) for s in split]
+    def _chunk(self, chunk: str) -> bytes:
+        """Of a plain chunk in lower case."""
+        words = WORD.findall(chunk)
+        return self.words[chunk] if words == [chunk] else b"".join(map(self.words.__getitem__, words))
+
+    def _word(self, word: str) -> bytes:
+        """It goes straight to the library's model, in byte-level characters."""
+        symbols = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.byte_level)
+        return array("I", [t.id for t in self.model.tokenize(symbols)]).tobytes()
+
+    def batch(self, texts: list[str | None]) -> list[bytes]:
+        get, out = self.chunks.__getitem__, []
+        for text in texts:
+            split = plain_chunks(text)
+            odd = split and isinstance(split[0], tuple)
+            out.append(b"".join([get(c) if known else self.whole(c) for c, known in split] if odd else map(get, split)))
+            self.chunks.age()
+            self.words.age()
         return out
 
 
@@ -117,7 +109,8 @@ _encoders: dict[str, LibraryEncoder] = {}
 
 
 def library_encoder(path: str) -> LibraryEncoder:
-    """One for each file in a worker, so that what it has learnt serves later tasks."""
+    """One for each file in a worker, so that what it has learnt serves later tasks; to be called as a task begins."""
     if path not in _encoders:
         _encoders[path] = LibraryEncoder(path)
+    use(_encoders[path].chunks, _encoders[path].words)
     return _encoders[path]

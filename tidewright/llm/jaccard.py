@@ -33,10 +33,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, cut, forget, release, slices
+from .common import broadcast_if_small, cut, release, slices, text_batches, use
 from .components import components
 from .tables import gather, pieces
-from .words import WordHashes, lower_space_words, mixed, shingle_hashes
+from .words import mixed, runs, word_hashes
 
 SIZE, PERCENT, LEADERS = 5, 80, 2
 SKETCH_BITS, FILTER_BITS, BUCKETS_PER_TASK, OCTANTS = 23, 23, 64, 8
@@ -45,16 +45,9 @@ HELD, PAIRS = 800_000, 300_000
 _MULTI, NO_ID = 1 << 31, -(1 << 63)
 
 
-class Sets:
-    def __init__(self, size: int):
-        forget()
-        self.size, self.hashes = size, WordHashes(300_000)
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        """Sorted distinct hashes of the n-grams."""
-        h = shingle_hashes(self.hashes.of(lower_space_words(text)), self.size)
-        h.sort()
-        return h[np.concatenate([[True], h[1:] != h[:-1]])] if len(h) > 1 else h
+def sets_of(texts: pa.Array, size: int) -> list[np.ndarray]:
+    """Sorted distinct hashes of each text's n-grams."""
+    return list(map(np.unique, runs(*word_hashes(texts, lower=True), size)))
 
 
 def class_of(s: np.ndarray) -> int:
@@ -77,11 +70,11 @@ def _survey(docs: DataFrame, size: int, bits: int) -> DataFrame:
     schema = [("doc_id", pa.int64()), ("class", pa.int64()), ("n", pa.int32()), ("piece", pa.int32()), ("blob", pa.binary())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, counts, shift = Sets(size), np.zeros(1 << bits, np.uint32), np.uint64(64 - bits)
-        for batch in (part for whole in batches for part in slices(whole, 500)):
+        use()
+        counts, shift = np.zeros(1 << bits, np.uint32), np.uint64(64 - bits)
+        for batch in (part for whole in batches for part in slices(whole)):
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                s = sets(text)
+            for doc_id, s in zip(batch.column(0).to_pylist(), sets_of(batch.column(1), size), strict=True):
                 np.add.at(counts, s >> shift, np.uint32(1))
                 rows.append((doc_id, class_of(s) if len(s) else None, len(s), None, None))
             yield _batch(schema, rows)
@@ -99,7 +92,8 @@ def _postings(docs: DataFrame, size: int, percent: int, table, buckets: int) ->
     """Prefix postings. The first class of an n-gram in a task travels in a blob of its bucket, marked if the task has more; those go as rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, seen, made, held = Sets(size), set(), [], 0
+        use()
+        seen, made, held = set(), [], 0
         level = table.value
         shift = np.uint64(64 - (len(level).bit_length() - 1))
 
@@ -127,9 +121,8 @@ def _postings(docs: DataFrame, size: int, percent: int, table, buckets: int) ->
                     [n for n, _ in _ROW],
                 )
 
-        for batch in (part for whole in batches for part in slices(whole, 500)):
-            for text in batch.column(0).to_pylist():
-                s = sets(text)
+        for batch in (part for whole in batches for part in slices(whole)):
+            for s in sets_of(batch.column(0), size):
                 n = len(s)
                 if not n or (c := class_of(s)) in seen:
                     continue
@@ -210,12 +203,13 @@ def _sets(docs: DataFrame, size: int, filter_) -> DataFrame:
     schema = [("class", pa.int64()), ("octants", pa.int64()), ("grams", pa.binary())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, live = Sets(size), filter_.value
+        use()
+        live = filter_.value
         for batch in batches:
             ids = batch.column(0).fill_null(NO_ID).to_numpy()
             wanted = live[_filter_indices(mixed(ids.view(np.uint64)), len(live))].reshape(2, -1).all(0)
-            for part in slices(batch.filter(pa.array(wanted)), 500):
-                found = [s for s in map(sets, part.column(1).to_pylist()) if len(s)]
+            for part in slices(batch.filter(pa.array(wanted))):
+                found = [s for s in sets_of(part.column(1), size) if len(s)]
                 yield _batch(schema, [(class_of(s), octants(s), s.tobytes()) for s in found])
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "class bigint, octants bigint, grams binary")
@@ -257,6 +251,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, sketch_bits: int = SKETCH_BITS, filter_bits: int = FILTER_BITS) -> DataFrame:
     """docs(doc_id, text) to doc_id, n_shingles, component_id; runs jobs to build its result."""
     spark = docs.sparkSession
+    text_batches(spark)
     survey = cut(spark, _survey(docs, size, sketch_bits), "survey")
     members = survey.where("piece is null").select("doc_id", "class", "n")
     table = spark.sparkContext.broadcast(gather(survey.where("piece is not null"), 1 << sketch_bits))

@@ -1,37 +1,38 @@
 """Language identification by a linear-chain conditional random field over words.
 
-Words are runs of letters in lower case, longer runs cut evenly into pieces of at most MOST_LETTERS. Features of a word: itself, affixes of one to four characters, character
-bigrams and trigrams with edges (all hashed), and membership in each language's lexicon of frequent training words.
+Words are runs of letters in lower case, longer runs cut evenly into pieces of at most MOST_LETTERS. Features of a word: itself,
+affixes of one to four characters, character bigrams and trigrams with edges (all hashed), and membership in each language's lexicon of frequent training words.
 Weights and the transitions between languages are learnt by stochastic gradients of the log-likelihood, on windows of
 single documents and on spliced windows of several languages, so the chain handles code-switched text. Forward-backward
 gives each word's probabilities; a document's language has the largest sum, and its score is their mean.
 
-Training takes a bounded sample of labelled documents: PER_LANGUAGE for each of up to MAX_LANGUAGES languages (the most
-frequent ones), those with the smallest hash of their identifier, WINDOW_WORDS words from anywhere in each. Everything
-else covers all rows.
+Training takes a bounded sample of labelled documents: for each value of lang PER_LANGUAGE of them, but never more than
+SAMPLE_WORDS / WINDOW_WORDS in all (shared evenly by the languages, one each at least), those with the smallest hash of their
+identifier, WINDOW_WORDS words from anywhere in each. Everything else covers all rows, and every value of lang is learnt.
 
-Defined results: `und` with score 0 for a null text or one without a letter, and for all texts if nothing was learnt;
-documents with a null lang or doc_id are not learnt from; rows are independent, so ties and repeated rows don't matter; an empty
+Defined results: `und` with score 0 for a null text or one without a letter, and for all texts if nothing was learnt; a very
+long text is read whole; documents with a null lang or doc_id are not learnt from; rows are independent, so ties and repeated rows don't matter; an empty
 table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
+import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forget, map_rows, slices
+from .common import Recent, broadcast_if_small, map_rows, slices, text_batches, use
 
-PER_LANGUAGE, MAX_LANGUAGES, WINDOW_WORDS = 150, 64, 160
-BUCKETS, WIDTH, LEXICON = 1 << 15, 36, 400
+PER_LANGUAGE, WINDOW_WORDS, SAMPLE_WORDS = 150, 160, 3_000_000
+BUCKETS, LEXICON = 1 << 15, 400
 UNKNOWN = "und"
 #: Mean word probability below which keep_known rejects a document; an even guess among four languages has 0.25.
 LEAST_SCORE = 0.4
@@ -50,12 +51,42 @@ def pieces(word: str) -> list[str]:
     return [word] if n == 1 else [word[i * len(word) // n : (i + 1) * len(word) // n] for i in range(n)]
 
 
-def features(word: str) -> list[int]:
-    """Hashed features, at most WIDTH for a word of at most MOST_LETTERS."""
-    edged = f"^{word}$"
-    grams = [edged[i : i + k] for k in (2, 3) for i in range(len(edged) - k + 1)]
-    keys = [f"w{word}", *(f"p{word[:k]}" for k in range(1, 5)), *(f"s{word[-k:]}" for k in range(1, 5)), *grams]
-    return [zlib.crc32(k.encode()) & (BUCKETS - 1) for k in keys]
+def _mix(h: np.ndarray, x: np.ndarray | int) -> np.ndarray:
+    h = (h ^ np.uint32(x) if isinstance(x, int) else h ^ x) * np.uint32(0x9E3779B1)
+    return h ^ (h >> np.uint32(15))
+
+
+def features(words: list[str]) -> np.ndarray:
+    """A row of hashed features for each word of at most MOST_LETTERS letters: BUCKETS where it has no such n-gram."""
+    n = len(words)
+    chars = np.zeros((n, MOST_LETTERS + 2), np.uint32)
+    chars[:, 0] = ord("^")
+    chars[:, 1 : MOST_LETTERS + 1] = np.array(words, f"<U{MOST_LETTERS}").view(np.uint32).reshape(n, MOST_LETTERS) if n else 0
+    length = (chars[:, 1:] != 0).sum(1)
+    at = np.arange(n)
+    chars[at, length + 1] = ord("$")
+    start, out, none = np.zeros(n, np.uint32), [], np.int32(BUCKETS)
+
+    def put(h: np.ndarray, has: np.ndarray | bool) -> None:
+        out.append(np.where(has, (_mix(h, 7) & np.uint32(BUCKETS - 1)).astype(np.int32), none))
+
+    h = _mix(start, 11)
+    for i in range(1, MOST_LETTERS + 1):  # the word, and its affixes, the whole word if it is shorter
+        h = np.where(i <= length, _mix(h, chars[:, i]), h)
+        if i <= 4:
+            put(_mix(h, 20 + i), True)
+    put(_mix(h, 1), True)
+    h = _mix(start, 13)
+    for i in range(1, 5):
+        h = np.where(i <= length, _mix(h, chars[at, np.maximum(length + 1 - i, 1)]), h)
+        put(_mix(h, 30 + i), True)
+    for k in (2, 3):
+        for i in range(MOST_LETTERS + 3 - k):
+            h = _mix(start, 50 + k)
+            for j in range(k):
+                h = _mix(h, chars[:, i + j])
+            put(h, i + k <= length + 2)
+    return np.stack(out, 1)
 
 
 @dataclass
@@ -64,12 +95,17 @@ class Model:
     lexicon: dict[str, list[int]] = field(default_factory=dict)  # of each frequent word, its languages
     weights: np.ndarray | None = None  # BUCKETS + languages + 1 rows; the last one is zero
     transitions: np.ndarray | None = None
+    key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def rows(self, words: list[str]) -> np.ndarray:
-        found = [features(w) + [BUCKETS + k for k in self.lexicon.get(w, ())] for w in words]
-        out = np.full((len(words), max(map(len, found), default=0)), BUCKETS + len(self.languages), np.int32)
-        for i, f in enumerate(found):
-            out[i, : len(f)] = f
+        """Rows of the weights that each word adds up."""
+        known = [self.lexicon.get(w, ()) for w in words]
+        own, none = features(words), BUCKETS + len(self.languages)
+        out = np.full((len(words), own.shape[1] + max(map(len, known), default=0)), none, np.int32)
+        out[:, : own.shape[1]] = np.where(own < BUCKETS, own, none)
+        for i, languages in enumerate(known):
+            if languages:
+                out[i, own.shape[1] : own.shape[1] + len(languages)] = [BUCKETS + k for k in languages]
         return out
 
     def emissions(self, words: list[str]) -> np.ndarray:
@@ -152,17 +188,19 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> list[tuple[str, list[str]]]:
-    """The bounded training sample of docs(doc_id, text, lang), at the driver."""
+    """The bounded training sample of docs(doc_id, text, lang), at the driver: the model that is fitted on it has a row for each language."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).withColumn("h", F.xxhash64("doc_id"))
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    if not counts:
+    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("_rows"))
+    languages = counts.count()
+    if not languages:
         return []
+    per_language = max(1, min(per_language, SAMPLE_WORDS // WINDOW_WORDS // languages))
     # hashes are even, so a language's share of them below a bound is known; twice as many are read, the smallest taken
-    bound = F.create_map(*(F.lit(v) for r in counts for v in (r["lang"], float(min(1.0, 2 * per_language / r["count"])))))
+    bound = counts.select(F.col("lang").alias("_lang"), F.least(F.lit(1.0), (2 * per_language + 8) / F.col("_rows")).alias("_bound"))
     share = (F.col("h").cast("double") + 2.0**63) / 2.0**64
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole, 100)):
+        for batch in (part for whole in batches for part in slices(whole)):
             out = []
             for lang, h, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if words := words_of(text):
@@ -171,61 +209,68 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> list[tuple[str,
             columns = zip(*out, strict=True) if out else [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string()), strict=True)], ["lang", "h", "words"])
 
-    some = usable.where(share <= F.element_at(bound, F.col("lang"))).select("lang", "h", "text").mapInArrow(windows, "lang string, h bigint, words string")
+    text_batches(docs.sparkSession)
+    near = usable.join(broadcast_if_small(bound), F.col("lang") == F.col("_lang")).where(share <= F.col("_bound"))
+    some = near.select("lang", "h", "text").mapInArrow(windows, "lang string, h bigint, words string")
     # bounded for each language, before the shuffle too
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "words"))
     taken = some.withColumn("rank", rank).where(F.col("rank") <= per_language).collect()
     return [(r["lang"], r["words"].split(" ")) for r in sorted(taken, key=lambda r: (r["h"], r["lang"], r["words"]))]
 
 
-class _Tables(dict):
-    """Numbers of words; emissions are worked out for many new ones at a time."""
+#: Words in each generation of a worker's memory: some 15 MB.
+MOST_WORDS = 100_000
+
+
+class Emissions:
+    """Emissions of words by a model, remembered in the worker; those of many new words are worked out at a time."""
 
     def __init__(self, model: Model):
-        super().__init__()
-        self.model, self.most = model, 200_000
-        self.forget()
+        self.model, self.width = model, 4 * len(model.languages)
+        self.known = Recent(MOST_WORDS, lambda w: None)
+
+    def of(self, words: list[str]) -> np.ndarray:
+        known = self.known
+        known.age()
+        new = [w for w in set(words) if known[w] is None]
+        if new:
+            made = self.model.emissions(new).tobytes()
+            known.update((w, made[i * self.width : (i + 1) * self.width]) for i, w in enumerate(new))
+        return np.frombuffer(b"".join(map(known.__getitem__, words)), np.float32).reshape(len(words), -1)
 
-    def forget(self) -> None:
-        self.clear()
-        self.new, self.filled = [], 0
-        self.table = np.empty((1024, len(self.model.languages)), np.float32)
 
-    def __missing__(self, word: str) -> int:
-        self[word] = n = len(self)
-        self.new.append(word)
-        return n
+_emissions: dict[str, Emissions] = {}
 
-    def of(self, ids: np.ndarray) -> np.ndarray:
-        if self.new:
-            need = self.filled + len(self.new)
-            if need > len(self.table):
-                self.table = np.concatenate([self.table, np.empty((max(need - len(self.table), len(self.table)), self.table.shape[1]), np.float32)])
-            self.table[self.filled : need] = self.model.emissions(self.new)
-            self.filled, self.new = need, []
-        return self.table[ids]
 
+def emissions_of(model: Model) -> Emissions:
+    """One for each model in a worker; to be called as a task begins."""
+    if model.key not in _emissions:
+        _emissions.clear()
+        _emissions[model.key] = Emissions(model)
+    use(_emissions[model.key].known)
+    return _emissions[model.key]
 
-#: Words of a group of documents that forward-backward handles at once.
-GROUP_WORDS = 500_000
 
+#: Words of a group of documents that forward-backward handles at once, one document at least.
+GROUP_WORDS = 200_000
 
-def _predict(tables: _Tables, coded: list[np.ndarray]) -> tuple[list[int], list[float]]:
-    """Label (-1: none) and score of each document of word numbers."""
-    model = tables.model
+
+def _predict(emissions: Emissions, texts: list[list[str]]) -> tuple[list[int], list[float]]:
+    """Label (-1: none) and score of each document of words."""
+    model = emissions.model
     k, a = len(model.languages), np.exp(model.transitions)
-    label, score = [-1] * len(coded), [0.0] * len(coded)
-    order = sorted((i for i in range(len(coded)) if len(coded[i]) and k), key=lambda i: -len(coded[i]))
+    label, score = [-1] * len(texts), [0.0] * len(texts)
+    order = sorted((i for i in range(len(texts)) if texts[i] and k), key=lambda i: -len(texts[i]))
     at = 0
     while at < len(order):
         group, n = [], 0
-        while at < len(order) and (not group or n + len(coded[order[at]]) <= GROUP_WORDS):
+        while at < len(order) and (not group or n + len(texts[order[at]]) <= GROUP_WORDS):
             group.append(order[at])
-            n += len(coded[order[at]])
+            n += len(texts[order[at]])
             at += 1
-        lengths = np.array([len(coded[i]) for i in group])
+        lengths = np.array([len(texts[i]) for i in group])
         starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        p = tables.of(np.concatenate([coded[i] for i in group]))
+        p = emissions.of([w for i in group for w in texts[i]])
         p = np.maximum(np.exp(p - p.max(1, keepdims=True)), np.float32(1e-20))
         alpha, steps = np.empty_like(p), int(lengths[0])
         live = len(group) - np.searchsorted(lengths[::-1], np.arange(steps), side="right")  # documents longer than each step
@@ -248,38 +293,36 @@ def _predict(tables: _Tables, coded: list[np.ndarray]) -> tuple[list[int], list[
     return label, score
 
 
-def predict_texts(model: Model, texts: list[str | None], tables: _Tables | None = None) -> tuple[list[str], list[float]]:
-    tables = tables or _Tables(model)
-    if len(tables) > tables.most:
-        tables.forget()
-    coded = []
-    for t in texts:
-        words = words_of(t)
-        coded.append(np.fromiter(map(tables.__getitem__, words), np.int32, len(words)))
-    label, score = _predict(tables, coded)
+def predict_texts(model: Model, texts: list[str | None], emissions: Emissions | None = None) -> tuple[list[str], list[float]]:
+    label, score = _predict(emissions or Emissions(model), [words_of(t) for t in texts])
     return [UNKNOWN if i < 0 else model.languages[i] for i in label], score
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """docs(doc_id, text) to doc_id, lang_pred, score; no shuffle."""
-    made: list[_Tables] = []  # a task's own
+    own = _shared(docs, model)
 
-    def f(ids: list, texts: list) -> list[list]:
-        if not made:
-            made.append(_Tables(model))
-        return [ids, *predict_texts(model, texts, made[0])]
+    def start() -> Callable:
+        emissions = emissions_of(own.value)
+        return lambda ids, texts: [ids, *predict_texts(emissions.model, texts, emissions)]
 
-    return map_rows(docs, ["doc_id", "text"], "doc_id bigint, lang_pred string, score double", f)
+    return map_rows(docs, ["doc_id", "text"], "doc_id bigint, lang_pred string, score double", start)
 
 
 def keep_known(docs: DataFrame, model: Model, least: float = LEAST_SCORE) -> DataFrame:
     """Whole rows of docs with a language, of a score of at least `least`."""
+    own = _shared(docs, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget()
-        tables = _Tables(model)
+        emissions = emissions_of(own.value)
         for batch in (part for whole in batches for part in slices(whole)):
-            langs, scores = predict_texts(model, batch["text"].to_pylist(), tables)
+            langs, scores = predict_texts(emissions.model, batch["text"].to_pylist(), emissions)
             yield batch.filter(pa.array([x != UNKNOWN and s >= least for x, s in zip(langs, scores, strict=True)], pa.bool_()))
 
+    text_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
+
+
+def _shared(docs: DataFrame, model: Model) -> Broadcast:
+    """The model, sent to each executor once: some 130 kB a language."""
+    return docs.sparkSession.sparkContext.broadcast(model)

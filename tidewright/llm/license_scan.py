@@ -7,7 +7,7 @@ mandatory words matching exactly, whatever the optional and replaceable regions
 
 scan() also reports the base phrases: places where their words stand consecutively.
 
-Defined results: a null or empty text has no words, no places, null positions, empty labels and score 0; rows are
+Defined results: a null or empty text has no words, no places, null positions, empty labels and score 0; a very long text is read whole; rows are
 independent, so ties and repeated rows don't matter; an empty table gives no rows; extra columns are ignored.
 score: 1 where a template is accepted, 0.5 where only a base phrase stands, else 0.
 """
@@ -15,10 +15,11 @@ score: 1 where a template is accepted, 0.5 where only a base phrase stands, else
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from .common import map_rows
+from .common import map_rows, use
 from .words import alnum_words
 
 # Phrases with labels, and public licence wording as templates.
@@ -158,14 +159,13 @@ SCHEMA = "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_
 
 def scan(docs: DataFrame, base: dict[str, str] = BASE, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     """One row per row of docs(doc_id, text); no shuffle."""
-    made: list[Scanner] = []
 
-    def f(ids: list, texts: list) -> list[list]:
-        if not made:
-            made.append(Scanner(base, templates))
-        return [ids, *map(list, zip(*map(made[0].scan, texts), strict=True))] if ids else [[] for _ in range(8)]
+    def start() -> Callable:
+        use()
+        scanner = Scanner(base, templates)
+        return lambda ids, texts: [ids, *map(list, zip(*map(scanner.scan, texts), strict=True))] if ids else [[] for _ in range(8)]
 
-    return map_rows(docs, ["doc_id", "text"], SCHEMA, f)
+    return map_rows(docs, ["doc_id", "text"], SCHEMA, start)
 
 
 def template_regex(template: str) -> str:

@@ -8,7 +8,7 @@ Pieces come from a byte-level vocabulary: a token with the space mark begins a w
 UTF-8 bytes between white space (ASCII), in lower case for A-Z; if greedy matching fails anywhere, the word is one
 unknown piece.
 
-Defined results: a null or empty text counts 0; rows are independent, so ties and repeated rows don't matter; an empty
+Defined results: a null or empty text counts 0; a very long text, or word, is counted whole; rows are independent, so ties and repeated rows don't matter; an empty
 table gives no rows; extra columns are ignored.
 """
 
@@ -16,10 +16,11 @@ from __future__ import annotations
 
 import json
 from collections import deque
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from .common import map_rows
+from .common import Recent, map_rows, use
 from .encode import byte_chars
 from .words import lower_space_words
 
@@ -40,7 +41,7 @@ def vocabulary(path: str) -> tuple[set[bytes], set[bytes]]:
 class LongestMatch:
     """Children, failure link and popped count by node; node 0 begins words, node 1 continues them."""
 
-    def __init__(self, begin: set[bytes], go_on: set[bytes], most: int = 700_000):
+    def __init__(self, begin: set[bytes], go_on: set[bytes], most: int = 200_000):
         self.next: list[dict[int, int]] = [{}, {}]
         ends: list[bool] = [False, False]
         for root, pieces in ((0, begin), (1, go_on)):
@@ -68,8 +69,7 @@ class LongestMatch:
                 if f >= 0:
                     self.fail[at], self.popped[at] = self.next[f][b], n
             todo.extend((at, c, child) for c, child in self.next[at].items())
-        self.known: dict[bytes, int] = {}
-        self.most = most
+        self.known = Recent(most, self.pieces)
 
     def pieces(self, word: bytes) -> int:
         """Number of greedy longest-match pieces; 1, the unknown piece, if they don't cover the word."""
@@ -89,14 +89,9 @@ class LongestMatch:
         return n if at == 1 else int(bool(word))
 
     def count(self, words: list[bytes]) -> int:
-        known = self.known
-        for w in set(words):
-            if w not in known:
-                if len(known) >= self.most:
-                    known.clear()
-                    return sum(map(self.pieces, words))
-                known[w] = self.pieces(w)
-        return sum(map(known.__getitem__, words))
+        n = sum(map(self.known.__getitem__, words))
+        self.known.age()
+        return n
 
 
 _made: dict[str, LongestMatch] = {}
@@ -105,10 +100,16 @@ _made: dict[str, LongestMatch] = {}
 def count_tokens(docs: DataFrame, path: str) -> DataFrame:
     """docs(doc_id, text) to doc_id, n_words, n_tokens."""
 
-    def f(ids: list, texts: list) -> list[list]:
+    def start() -> Callable:
         if path not in _made:
             _made[path] = LongestMatch(*vocabulary(path))
-        split = [lower_space_words(t) for t in texts]
-        return [ids, [len(w) for w in split], [_made[path].count(w) for w in split]]
+        counter = _made[path]
+        use(counter.known)
 
-    return map_rows(docs, ["doc_id", "text"], "doc_id bigint, n_words bigint, n_tokens bigint", f)
+        def f(ids: list, texts: list) -> list[list]:
+            split = [lower_space_words(t) for t in texts]
+            return [ids, [len(w) for w in split], [counter.count(w) for w in split]]
+
+        return f
+
+    return map_rows(docs, ["doc_id", "text"], "doc_id bigint, n_words bigint, n_tokens bigint", start)

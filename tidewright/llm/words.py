@@ -6,6 +6,8 @@ ASCII is handled by byte tables; bytes of 0x80 and above, which only other chara
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 #: A-Z to a-z; every ASCII character that is no letter or digit to a space.
@@ -27,23 +29,6 @@ def lower_space_words(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-class WordHashes(dict):
-    """64-bit hashes by word, kept for up to `most` words at a time."""
-
-    def __init__(self, most: int = 200_000):
-        super().__init__()
-        self.most = most
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -61,3 +46,76 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
         h = (h ^ words[i : n - k + 1 + i]) * _MUL
         h ^= h >> np.uint64(29)
     return mixed(h)
+
+
+# 64-bit word hashes by a polynomial over mixed bytes, modulo 2**64, for all words of many texts at once
+_SPACE = np.isin(np.arange(256), np.frombuffer(b" \t\n\v\f\r", np.uint8))
+_CODES = mixed(np.arange(1, 257, dtype=np.uint64) * _MUL)
+_LOWER_CODES = _CODES[np.frombuffer(bytes(range(256)).lower(), np.uint8)]
+_BASE = 0x9E3779B97F4A7C1B
+#: Words of more bytes are hashed one by one; others in blocks of about BLOCK bytes.
+_LONG, _BLOCK = 1 << 15, 1 << 17
+_powers: list[np.ndarray] = []
+
+
+def _tables() -> list[np.ndarray]:
+    """Powers of the base and of its inverse."""
+    if not _powers:
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            p = np.full(_BLOCK + _LONG + 1, base, np.uint64)
+            p[0] = 1
+            _powers.append(np.cumprod(p))
+    return _powers
+
+
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 of all texts, nulls empty, and where each begins; the last number is the end."""
+    texts = pc.fill_null(texts, "")
+    if not len(texts):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    at = np.frombuffer(texts.buffers()[1], kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2], np.uint8)[at[0] : at[-1]] if at[-1] > at[0] else np.zeros(0, np.uint8)
+    return data, at - at[0]
+
+
+def word_hashes(texts: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+    r"""Hashes of the words `[^\x20\x09-\x0D]+` of all texts one after another, with A-Z in lower case if `lower`, and the number of words before each text."""
+    data, at = text_bytes(texts)
+    begins = ~_SPACE[data]
+    ends = np.append(begins, False)  # ends[i]: a word ends before i
+    edge = at[(at > 0) & (at < len(data))]
+    before = np.concatenate([[False], begins])
+    before[edge] = False
+    after = ends.copy()
+    after[edge] = False
+    # a word begins where no word byte of the same text stands before, and ends where none follows
+    start = np.flatnonzero(begins & ~before[:-1])
+    end = np.flatnonzero(begins & ~after[1:]) + 1
+    codes, (up, down) = _LOWER_CODES if lower else _CODES, _tables()
+    out = np.empty(len(start), np.uint64)
+    long = np.flatnonzero(end - start > _LONG)
+    i = 0
+    while i < len(start):
+        if end[i] - start[i] > _LONG:
+            word = data[start[i] : end[i]].tobytes()
+            out[i] = xxhash.xxh3_64_intdigest(word.lower() if lower else word)
+            i += 1
+            continue
+        stop = int(np.searchsorted(start, start[i] + _BLOCK, side="left"))
+        if len(long) and (later := int(np.searchsorted(long, i))) < len(long):
+            stop = min(stop, int(long[later]))
+        first = int(start[i])
+        sums = np.zeros(int(end[stop - 1]) - first + 1, np.uint64)
+        np.cumsum(codes[data[first : int(end[stop - 1])]] * up[: len(sums) - 1], out=sums[1:])
+        s = start[i:stop] - first
+        out[i:stop] = mixed((sums[end[i:stop] - first] - sums[s]) * down[s])
+        i = stop
+    return out, np.searchsorted(start, at)
+
+
+def runs(hashes: np.ndarray, at: np.ndarray, k: int) -> list[np.ndarray]:
+    """shingle_hashes of each text's words; `at` as word_hashes gives it."""
+    n = len(hashes)
+    every = shingle_hashes(hashes, k) if n >= k else hashes[:0]
+    return [every[a : b - k + 1] if b - a >= k else shingle_hashes(hashes[a:b], k) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
