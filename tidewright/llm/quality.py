@@ -20,7 +20,7 @@ ties, none if there is no gain; of the two, the way with the larger gain of its
 Below least_labels() good labels a stratum has no cutoff. Counts cover all
 other labelled rows.
 
-Defined results: a null or empty text has no words and fails the base rules; a null lang is a stratum of its own, the
+Defined results: a null or empty text has no words and fails the base rules; a very long text is measured whole; a null lang is a stratum of its own, the
 empty one; labels without quality don't count, repeated labels count each; a stratum without labels rejects nothing; rows
 are independent, so ties and repeated rows don't matter; an empty table gives no rows; extra columns are ignored.
 """
@@ -29,7 +29,7 @@ from __future__ import annotations
 
 import functools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -37,10 +37,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, cut, forget, map_rows, slices
-from .words import WordHashes, shingle_hashes
+from .common import broadcast_if_small, cut, map_rows, slices, text_batches, use
+from .words import shingle_hashes, word_hashes
 
-ALPHA, DELTA, GOOD_COST, BINS = 0.02, 0.05, 10, 200
+ALPHA, DELTA, GOOD_COST, BINS = 0.025, 0.05, 10, 200
 SIGNALS = ("symbols", "dup_lines", "repeats", "upper", "bangs", "brevity")
 _SYMBOLS, _SPACE, _UPPER = b"#*$%&|<>", b" \t\n\v\f\r", bytes(range(65, 91))
 WINDOW = 8
@@ -65,21 +65,23 @@ def repeat_words(hashes: np.ndarray) -> int:
 
 
 class Measurer:
-    def __init__(self) -> None:
-        forget()
-        self.hashes = WordHashes()
-
     def __call__(self, text: str | None) -> tuple:
+        return self.of([text])[0]
+
+    def of(self, texts: list[str | None]) -> list[tuple]:
+        hashes, at = word_hashes(pa.array(texts, pa.string()), lower=False)
+        return [self._one(t, hashes[a:b]) for t, a, b in zip(texts, at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+    def _one(self, text: str | None, hashes: np.ndarray) -> tuple:
         """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, bins of the signals."""
         text = text or ""
         raw = text.encode()
-        words = raw.split()
-        n = len(words)
+        n = len(hashes)
         chars = len(text) - (len(raw) - len(raw.translate(None, _SPACE)))
         symbols = len(raw) - len(raw.translate(None, _SYMBOLS))
         lines = [x for x in raw.split(b"\n") if x.strip()]
         dup = len(lines) - len(set(lines))
-        repeats = repeat_words(self.hashes.of(words))
+        repeats = repeat_words(hashes)
         upper = len(raw) - len(raw.translate(None, _UPPER))
         rates = (symbols / max(chars, 1), dup / max(len(lines), 1), repeats / max(n, 1), upper / max(chars, 1), raw.count(b"!") / max(chars, 1), 1 / (1 + n / 10))
         return n, chars, symbols, dup, repeats, [min(BINS, int(r * BINS)) for r in rates]
@@ -93,15 +95,18 @@ SCHEMA = "doc_id bigint, stratum string, n_words bigint, word_chars bigint, n_sy
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    made: list[Measurer] = []
 
-    def f(ids: list, texts: list, langs: list) -> list[list]:
-        if not made:
-            made.append(Measurer())
-        rows = [made[0](t) for t in texts]
-        return [ids, [x or "" for x in langs], *([r[i] for r in rows] for i in range(6))]
+    def start() -> Callable:
+        use()
+        measurer = Measurer()
+
+        def f(ids: list, texts: list, langs: list) -> list[list]:
+            rows = measurer.of(texts)
+            return [ids, [x or "" for x in langs], *([r[i] for r in rows] for i in range(6))]
+
+        return f
 
-    return map_rows(docs, ["doc_id", "text", "lang"], SCHEMA, f)
+    return map_rows(docs, ["doc_id", "text", "lang"], SCHEMA, start)
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -261,13 +266,14 @@ def calibrate(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delt
 
 
 def judge(measured: DataFrame, cutoffs: DataFrame) -> DataFrame:
-    """Adds base_failed, rule (the first signal that rejects, or null) and kept."""
+    """Adds base_failed, rule (the first signal that rejects, or null), kept, and certified (whether the stratum has a cutoff at all)."""
     judged = measured.join(broadcast_if_small(cutoffs), "stratum", "left")
     rule = F.coalesce(*(F.when(F.get("bins", F.lit(i)) >= F.get("cutoffs", F.lit(i)), F.lit(s)) for i, s in enumerate(SIGNALS)))
     return (
         judged.withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words")))
         .withColumn("rule", F.when(~F.col("base_failed"), rule))
         .withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
+        .withColumn("certified", F.coalesce(F.exists("cutoffs", lambda c: c <= BINS), F.lit(False)))
     )
 
 
@@ -275,15 +281,16 @@ def keep_good(docs: DataFrame, cutoffs: dict[str, list[int]]) -> DataFrame:
     """Whole rows of docs that pass; cutoffs by stratum, a few numbers for each language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        measure_one, none = Measurer(), [BINS + 1] * len(SIGNALS)
+        use()
+        measurer, none = Measurer(), [BINS + 1] * len(SIGNALS)
         for batch in (part for whole in batches for part in slices(whole)):
             keep = []
-            for text, lang in zip(batch["text"].to_pylist(), batch["lang"].to_pylist(), strict=True):
-                n, _, _, _, repeats, bins = measure_one(text)
+            for (n, _, _, _, repeats, bins), lang in zip(measurer.of(batch["text"].to_pylist()), batch["lang"].to_pylist(), strict=True):
                 own = cutoffs.get(lang or "", none)
                 keep.append(n >= 20 and 100 * repeats <= 30 * n and all(b < c for b, c in zip(bins, own, strict=True)))
             yield batch.filter(pa.array(keep, pa.bool_()))
 
+    text_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
 
 
