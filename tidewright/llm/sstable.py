@@ -11,11 +11,12 @@ A key is one byte (0: null, 1: set) and the identifier in 8 bytes, sign bit flip
 nulls first. A block starts with a whole key; each next one leaves out the bytes it shares with its predecessor. A value
 is the ids as little-endian integers of the width in the footer.
 
-Shards hold ranges of identifiers: the rows are dealt out by range, sorted in each task, and written under a name of the
-attempt that is then renamed, so a lost or doubled attempt leaves no half shard. MANIFEST.json lists the shards in order.
+Shards hold ranges of identifiers: the rows are dealt out by range and sorted in each task, which begins another shard once one
+has SHARD bytes, so neither a shard nor what its writer holds grows with the data. A name has the number of the attempt, and
+MANIFEST.json lists in order the shards of the attempts that Spark took, so a lost or doubled attempt is never read.
 
 Defined results: a null or empty text has the end id only; rows of one identifier are kept side by side, sorted by text;
-a null identifier sorts first; an empty table gives a manifest without shards; extra columns are ignored.
+a null identifier sorts first; a very long text is one entry, in a block of its own; an empty table gives a manifest without shards; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ import bisect
 import json
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from typing import Any
 
@@ -34,9 +36,10 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import slices, text_batches
 from .encode import library_encoder
 
-BLOCK, BITS_PER_KEY, HASHES, MAGIC = 64 << 10, 10, 7, b"TIDESST1"
+BLOCK, SHARD, BITS_PER_KEY, HASHES, MAGIC = 64 << 10, 256 << 20, 10, 7, b"TIDESST1"
 #: index offset, index bytes, bloom offset, bloom bytes, bloom hashes, id width, documents, ids, crc32 of index and bloom
 FOOTER = struct.Struct("<QQQQIIQQI8s")
 
@@ -75,9 +78,9 @@ def _read_varint(data: bytes, at: int) -> tuple[int, int]:
         shift += 7
 
 
-def _bits(key: bytes, n_bits: int, hashes: int) -> list[int]:
-    h = xxhash.xxh3_128_intdigest(key)
-    a, b = h >> 64, h & ((1 << 64) - 1) | 1
+def _bits(h: int, n_bits: int, hashes: int) -> list[int]:
+    """Bits for a key of 64-bit hash h."""
+    a, b = h & 0xFFFFFFFF, h >> 32 | 1
     return [(a + i * b) % n_bits for i in range(hashes)]
 
 
@@ -88,7 +91,7 @@ class ShardWriter:
         self.sink, self.width, self.at = sink, width, 0
         self.entries, self.size, self.last = [], 0, b""
         self.index: list[bytes] = []
-        self.keys: list[bytes] = []
+        self.hashes = array("Q")  # of different keys
         self.docs = self.ids = self.block_docs = self.block_ids = 0
         self.pack = zstandard.ZstdCompressor(level=1)
 
@@ -106,8 +109,8 @@ class ShardWriter:
                 shared += 1
         entry = _varint(shared) + _varint(len(key) - shared) + _varint(len(value)) + key[shared:] + value
         self.entries.append(entry)
-        if key != self.last or not self.keys:
-            self.keys.append(key)
+        if key != self.last or not self.hashes:
+            self.hashes.append(xxhash.xxh3_64_intdigest(key))
         self.size, self.last = self.size + len(entry), key
         self.block_docs, self.block_ids = self.block_docs + 1, self.block_ids + len(value) // self.width
         if self.size >= BLOCK:
@@ -126,10 +129,10 @@ class ShardWriter:
         self._flush()
         index_at, index = self.at, self.pack.compress(b"".join(self.index))
         self._out(index)
-        n_bits = max(64, len(self.keys) * BITS_PER_KEY + 7 & ~7)
+        n_bits = max(64, len(self.hashes) * BITS_PER_KEY + 7 & ~7)
         bloom = bytearray(n_bits // 8)
-        for k in self.keys:
-            for b in _bits(k, n_bits, HASHES):
+        for h in self.hashes:
+            for b in _bits(h, n_bits, HASHES):
                 bloom[b >> 3] |= 1 << (b & 7)
         bloom_at = self.at
         self._out(bytes(bloom))
@@ -184,7 +187,7 @@ class ShardReader:
             yield from self.block(i)
 
     def may_hold(self, key: bytes) -> bool:
-        return all(self.bloom[b >> 3] >> (b & 7) & 1 for b in _bits(key, len(self.bloom) * 8, self.hashes))
+        return all(self.bloom[b >> 3] >> (b & 7) & 1 for b in _bits(xxhash.xxh3_64_intdigest(key), len(self.bloom) * 8, self.hashes))
 
     def get(self, doc_id: int | None) -> list[np.ndarray]:
         """Ids of each row with that identifier."""
@@ -198,7 +201,7 @@ class ShardReader:
         return out
 
 
-def write_shards(docs: DataFrame, tokenizer: str, out_dir: str, end_id: int = 1) -> list[dict]:
+def write_shards(docs: DataFrame, tokenizer: str, out_dir: str, end_id: int = 1, shard: int = SHARD) -> list[dict]:
     """Encode docs(doc_id, text), append end_id to each, write shards below out_dir; the manifest, one entry a shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,25 +211,29 @@ def write_shards(docs: DataFrame, tokenizer: str, out_dir: str, end_id: int = 1)
         encoder = library_encoder(tokenizer)
         width = 2 if encoder.size <= 1 << 16 and end_id < 1 << 16 else 4
         end = np.array([end_id], f"<u{width}").tobytes()
-        name = f"shard-{task.partitionId():06d}.sst"
-        writer = first = None
-        for batch in batches:
+        fs, root = filesystem(out_dir)
+        number, writer, name, first = 0, None, "", b""
+
+        def closed() -> pa.RecordBatch:
+            last = writer.last
+            writer.close()
+            writer.sink.close()
+            return pa.RecordBatch.from_pydict({"shard": [name], "first": [first.hex()], "last": [last.hex()], "docs": [writer.docs], "ids": [writer.ids], "bytes": [writer.at]})
+
+        for batch in (part for whole in batches for part in slices(whole)):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            if not ids:
-                continue
-            if writer is None:
-                fs, root = filesystem(out_dir)
-                at = f"{root}/_{name}.{task.taskAttemptId()}"
-                writer, first = ShardWriter(fs.open_output_stream(at), width), key_of(ids[0])
             for doc_id, coded in zip(ids, encoder.batch(texts), strict=True):
+                if writer is None:
+                    name = f"shard-{task.partitionId():06d}-{number:06d}-{task.taskAttemptId()}.sst"
+                    writer, first = ShardWriter(fs.open_output_stream(f"{root}/{name}"), width), key_of(doc_id)
                 writer.add(key_of(doc_id), np.frombuffer(coded, "<u4").astype(f"<u{width}").tobytes() + end)
+                if writer.at + writer.size >= shard:
+                    yield closed()
+                    number, writer = number + 1, None
         if writer is not None:
-            last = writer.last
-            writer.close()
-            writer.sink.close()
-            fs.move(at, f"{root}/{name}")
-            yield pa.RecordBatch.from_pydict({"shard": [name], "first": [first.hex()], "last": [last.hex()], "docs": [writer.docs], "ids": [writer.ids], "bytes": [writer.at]})
+            yield closed()
 
+    text_batches(docs.sparkSession)
     fs, root = filesystem(out_dir)
     fs.create_dir(root, recursive=True)
     dealt = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
