@@ -8,11 +8,12 @@ array functions, and the blocks are concatenated:
 Escaping is reversible: in a text or role, `<`, k backslashes and `|` become `<`, k + 1 backslashes and `|`, so no text
 holds a control string. In roles, backslash and newline are also written as `\\s` and `\\n`.
 
-The loss mask is an array of (start, chars) spans in code points of the formatted text, one for each assistant text.
+The loss mask is an array of (block, start, chars) spans, one for each assistant text: the number of a block, and code points from the
+block's beginning. So neither writing nor reading a span goes through the blocks before it.
 
 Defined results: a null text or role is empty; turns that are null sort first; rows with equal turn sort by role, then
-text, and repeated rows stay repeated; rows of a null conv_id form one conversation; an empty table gives no rows;
-other columns are ignored.
+text, and repeated rows stay repeated; each row of a null conv_id is a conversation of its own, as nothing says which rows belong
+together; a very long text is formatted whole; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,8 +42,9 @@ def _unescape_role(role: Column) -> Column:
 
 
 def format_chats(turns: DataFrame) -> DataFrame:
-    """conv_id, formatted string, loss_mask array of struct(start, chars)."""
-    grouped = turns.groupBy("conv_id").agg(
+    """conv_id, formatted string, loss_mask array of struct(block, start, chars)."""
+    alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
+    grouped = turns.select("conv_id", "turn", "role", "text", alone.alias("alone")).groupBy("conv_id", "alone").agg(
         F.array_sort(
             F.collect_list(
                 F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
@@ -63,46 +65,21 @@ def format_chats(turns: DataFrame) -> DataFrame:
             ).alias("texts"),
         ),
     )
-    # pieces of the output; spans are known by their lengths
-    pieces = F.flatten(
-        F.transform(
-            "blocks",
-            lambda b: F.concat(
-                F.array(F.struct(F.concat(F.lit(START), _escape_role(b["role"]), F.lit("\n")).alias("s"), F.lit(False).alias("loss"))),
-                F.flatten(
-                    F.transform(
-                        b["texts"],
-                        lambda t, j: F.array(
-                            F.struct(F.when(j > 0, F.lit(NEXT)).otherwise(F.lit("")).alias("s"), F.lit(False).alias("loss")),
-                            F.struct(t.alias("s"), (b["role"] == LOSS_ROLE).alias("loss")),
-                        ),
-                    )
-                ),
-                F.array(F.struct(F.lit(END + "\n").alias("s"), F.lit(False).alias("loss"))),
-            ),
-        )
-    )
-    span = "array<struct<start:bigint,chars:bigint>>"
-    mask = F.aggregate(
-        "pieces",
-        F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(span).alias("spans")),
-        lambda a, p: F.struct(
-            (a["at"] + F.length(p["s"])).alias("at"),
-            F.when(
-                p["loss"],
-                F.concat(a["spans"], F.array(F.struct(a["at"].alias("start"), F.length(p["s"]).cast("bigint").alias("chars")))),
-            )
-            .otherwise(a["spans"])
-            .alias("spans"),
+    head = lambda b: F.concat(F.lit(START), _escape_role(b["role"]), F.lit("\n"))
+    formatted = F.array_join(F.transform("blocks", lambda b: F.concat(head(b), F.array_join(b["texts"], NEXT), F.lit(END + "\n"))), "")
+    # of a block's texts, each begins where the one before it and a mark end
+    span = "array<struct<block:int,start:bigint,chars:bigint>>"
+    spans = lambda b, k: F.aggregate(
+        b["texts"],
+        F.struct(F.length(head(b)).cast("bigint").alias("at"), F.array().cast(span).alias("spans")),
+        lambda a, t: F.struct(
+            (a["at"] + F.length(t) + len(NEXT)).alias("at"),
+            F.array_append(a["spans"], F.struct(k.alias("block"), a["at"].alias("start"), F.length(t).cast("bigint").alias("chars"))).alias("spans"),
         ),
         lambda a: a["spans"],
     )
-    return (
-        grouped.withColumn("starts", starts)
-        .withColumn("blocks", blocks)
-        .select("conv_id", pieces.alias("pieces"))
-        .select("conv_id", F.array_join(F.transform("pieces", lambda p: p["s"]), "").alias("formatted"), mask.alias("loss_mask"))
-    )
+    mask = F.flatten(F.transform("blocks", lambda b, k: F.when(b["role"] == LOSS_ROLE, spans(b, k)).otherwise(F.array().cast(span))))
+    return grouped.withColumn("starts", starts).withColumn("blocks", blocks).select("conv_id", formatted.alias("formatted"), mask.alias("loss_mask"))
 
 
 def read_chats(formatted: DataFrame) -> DataFrame:
@@ -120,5 +97,6 @@ def read_chats(formatted: DataFrame) -> DataFrame:
             ),
         )
     )
-    losses = F.transform("loss_mask", lambda s: unescape(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), s["chars"].cast("int"))))
+    text_of = lambda s: F.substring(F.get(blocks, s["block"]), (s["start"] - len(START) + 1).cast("int"), s["chars"].cast("int"))
+    losses = F.transform("loss_mask", lambda s: unescape(text_of(s)))
     return formatted.select("conv_id", turns.alias("turns"), losses.alias("loss_texts"), F.length("formatted").cast("bigint").alias("formatted_chars"))
