@@ -48,7 +48,9 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         live, roots = new_live, new_roots
     release(live)
     if roots is None:
-        return spark.createDataFrame([], "node bigint, component bigint")
+        return cut(spark, spark.createDataFrame([], "node bigint, component bigint"), "components")
     # a component's own root hooks to nothing
     own = roots.select(F.col("component").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    return roots.unionByName(own)
+    out = cut(spark, roots.unionByName(own), "components")
+    release(roots)
+    return out
