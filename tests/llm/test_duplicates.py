@@ -82,6 +82,32 @@ def test_documents_do_not_depend_on_table_sizes(spark):
     assert got == brute_documents(rows)
 
 
+def test_long_lists_and_shared_hashes(spark, corpus, monkeypatch):
+    # every list is long, all classes but the rarest are heavy, and some hashes of sets are shared
+    monkeypatch.setattr(jaccard, "LONG", 3)
+    monkeypatch.setattr(jaccard, "HEAVY", 0.02)
+    docs = spark.createDataFrame(corpus, "doc_id bigint, text string").repartition(5)
+    assert sorted((tuple(r) for r in jaccard.join(docs, class_bits=5).collect()), key=repr) == brute_documents(corpus)
+
+
+def test_packed_postings(spark):
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 500):
+        rows = np.empty(n, jaccard._POSTING)
+        for name, top in (("gram", 1 << 64), ("class", 1 << 63), ("n", 1 << 32), ("pos", 1 << 32)):
+            rows[name] = rng.integers(0, top, n, np.uint64)
+        rows.sort(order="gram")
+        assert (jaccard._unpacked(jaccard._packed(rows)) == rows).all()
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(2)
+    long = text_of(rng, 60_000)
+    rows = [(1, long), (2, edited(rng, long, 40)), (3, "w1 " * 300_000), (4, "x" * 2_000_000), (5, "x" * 2_000_000 + " y")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2)
+    assert sorted((tuple(r) for r in jaccard.join(docs).collect()), key=repr) == brute_documents(rows)
+
+
 def test_no_documents(spark):
     none = spark.createDataFrame([], "doc_id bigint, text string")
     assert jaccard.join(none).collect() == []
@@ -100,12 +126,20 @@ def test_keep_one_keeps_rows_without_identifier(spark):
     assert sorted((tuple(r) for r in jaccard.keep_one(docs).collect()), key=repr) == [(2, "A b c d e f", "y"), (None, "z", "z")]
 
 
-def test_octants_bound_the_difference():
+def test_keep_one_takes_any_columns(spark):
+    names = ["row", "lead", "gone", "stays", "own", "id", "rank", "no_id", "class", "_row_number", "component_id"]
+    rows = [(i, t, *range(len(names))) for i, t in ((1, "a b c d e f"), (2, "a b c d e f"), (3, "g"))]
+    docs = spark.createDataFrame(rows, ", ".join(["doc_id bigint, text string", *(f"{n} int" for n in names)]))
+    out = jaccard.keep_one(docs)
+    assert out.columns == docs.columns and sorted(map(tuple, out.collect())) == [rows[0], rows[2]]
+
+
+def test_parts_bound_the_difference():
     rng = np.random.default_rng(1)
     for _ in range(50):
         a, b = (np.unique(rng.integers(0, 1 << 64, rng.integers(1, 900), np.uint64)) for _ in range(2))
         b = np.unique(np.concatenate([a[: len(a) // 2], b]))
-        bound = np.abs(np.int64(jaccard.octants(a)).reshape(1).view(np.uint8).astype(int) - np.int64(jaccard.octants(b)).reshape(1).view(np.uint8).astype(int)).sum()
+        bound = np.abs(np.array(jaccard.parts_of(a)).view(np.uint16).astype(int) - np.array(jaccard.parts_of(b)).view(np.uint16).astype(int)).sum()
         assert bound <= len(np.setxor1d(a, b))
 
 
@@ -141,8 +175,10 @@ def brute_vectors(rows, threshold):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("tile", [2048, 16])
-def test_vectors_match_brute_force(spark, tile):
+@pytest.mark.parametrize(("tile", "most", "heavy"), [(2048, 1 << 20, 0.002), (16, 0, 0.06)])
+def test_vectors_match_brute_force(spark, monkeypatch, tile, most, heavy):
+    monkeypatch.setattr(embed_dedup, "TILE_BYTES", most)
+    monkeypatch.setattr(embed_dedup, "HEAVY", heavy)
     rng = np.random.default_rng(6)
     rows, number = [], 0
     for label in (1, 2):
@@ -166,8 +202,8 @@ def test_no_vectors(spark):
 def test_error_bound_is_rigorous():
     rng = np.random.default_rng(2)
     v = rng.normal(size=(300, 1500)) * rng.lognormal(size=(300, 1))
-    t = embed_dedup.Tile(np.arange(300), np.ones(300, int), v)
-    exact = t.unit @ t.unit.T
+    unit = embed_dedup.units(v)
+    t, exact = embed_dedup.Tile.of(unit), unit @ unit.T
     for threshold in (0.0, 0.02, 0.05):
         i, j = embed_dedup.possible(t, t, slice(0, 300), threshold)
         got = set(zip(i.tolist(), j.tolist(), strict=True))

@@ -53,3 +53,24 @@ def test_stages_take_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_stages_take_odd_tables(spark, tmp_path):
+    """Nulls everywhere, copies without identifiers, a very long text, and columns with the names that stages use inside."""
+    long = " ".join(f"the thing {i} and rain" for i in range(30_000))
+    rows = [(None, None, None, None, None), (1, long, "en", "s", 1), (None, long, None, None, None), (2, "the thing and the rain " * 9, "en", "s", 2), (3, "", "", "", 0), (3, "", "", "", 0)]
+    names = ["gone", "row", "stratum", "cutoffs", "_cutoffs", "h", "class", "component", "language", "lead"]
+    docs = spark.createDataFrame([(*r, *range(len(names))) for r in rows], ", ".join(["doc_id bigint, text string, lang string, source string, n_chars bigint", *(f"{n} int" for n in names)]))
+    spark.createDataFrame([(None, None, 0), (1, 1, None), (1, 1, 0), (9, 0, 1)], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", *names]
+        docs.write.mode("overwrite").parquet(at := str(tmp_path / stage.__name__))
+        docs = spark.read.parquet(at)
+        assert all(tuple(r)[5:] == tuple(range(len(names))) for r in docs.collect())
+    assert {r["doc_id"] for r in docs.collect()} == {1, None}
+    assert sum(r["length"] for r in packing_rows(spark, docs, tmp_path)) > 200_000
+
+
+def packing_rows(spark, docs, tmp_path):
+    return corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()

@@ -89,7 +89,7 @@ def test_small_memories_change_nothing(path, library, odd_texts):
 
     small = LibraryEncoder(path("word_bpe_49k.json"), most=5)
     texts = odd_texts[:40]
-    assert small.batch(texts, step=7) == [ids_of(library, t) for t in texts]
+    assert small.batch(texts) == [ids_of(library, t) for t in texts]
     assert len(small.chunks) <= 5
     assert library_encoder(path("word_bpe_49k.json")).batch(texts) == small.batch(texts)
 
@@ -125,6 +125,12 @@ def test_shards_round_trip_and_look_up(spark, docs, nothing, path, library):
         assert [x.tobytes() for x in sstable.look_up(out, doc_id)] == [w[4] for w in want if w[0] == doc_id]
     assert len(sstable.look_up(out, 8)) == 2
     assert sstable.look_up(out, 10**12) == [] and sstable.look_up(out, -5) == []
+    # a task begins another shard once one is full
+    small = new_path(spark, "test")
+    many = sstable.write_shards(docs, p, small, shard=1000)
+    assert len(many) > len(manifest) and {m["shard"][:12] for m in many} == {m["shard"][:12] for m in manifest}
+    assert key(tuple(r)[:4] + (bytes(r["ids"]),) for r in sstable.read_shards(spark, small).collect()) == key(want)
+    assert [x.tobytes() for x in sstable.look_up(small, 7)] == [w[4] for w in want if w[0] == 7] and len(sstable.look_up(small, 8)) == 2
     empty = new_path(spark, "test")
     assert sstable.write_shards(nothing, p, empty) == [] and sstable.read_shards(spark, empty).count() == 0
 

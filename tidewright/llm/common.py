@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.joins import small
+
 #: Most rows that broadcast_if_small sends to every executor.
 BROADCAST_ROWS = 20_000
 
@@ -70,8 +72,8 @@ def release(df: DataFrame) -> None:
 
 
 def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint where df is counted to have at most `most` rows; Spark's own choice of join beyond."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    """A broadcast hint where df is counted to have at most `most` rows, and joins.LOOKUP_BYTES of them; Spark's own choice of join beyond."""
+    return F.broadcast(df) if small(df, most) else df
 
 
 class Recent(dict):

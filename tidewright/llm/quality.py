@@ -37,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.spread import unused
 from .common import broadcast_if_small, cut, map_rows, slices, text_batches, use
 from .words import shingle_hashes, word_hashes
 
@@ -277,21 +278,23 @@ def judge(measured: DataFrame, cutoffs: DataFrame) -> DataFrame:
     )
 
 
-def keep_good(docs: DataFrame, cutoffs: dict[str, list[int]]) -> DataFrame:
-    """Whole rows of docs that pass; cutoffs by stratum, a few numbers for each language."""
+def keep_good(docs: DataFrame, cutoffs: DataFrame) -> DataFrame:
+    """Whole rows of docs that pass; cutoffs as calibrate() gives them."""
+    held = unused(docs, "_cutoffs")
+    side = cutoffs.select(F.col("stratum").alias(f"{held}_of"), F.col("cutoffs").alias(held))
+    joined = docs.join(broadcast_if_small(side), F.coalesce(docs["lang"], F.lit("")) == F.col(f"{held}_of"), "left").select(*(docs[c] for c in docs.columns), held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use()
         measurer, none = Measurer(), [BINS + 1] * len(SIGNALS)
         for batch in (part for whole in batches for part in slices(whole)):
             keep = []
-            for (n, _, _, _, repeats, bins), lang in zip(measurer.of(batch["text"].to_pylist()), batch["lang"].to_pylist(), strict=True):
-                own = cutoffs.get(lang or "", none)
-                keep.append(n >= 20 and 100 * repeats <= 30 * n and all(b < c for b, c in zip(bins, own, strict=True)))
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            for (n, _, _, _, repeats, bins), own in zip(measurer.of(batch["text"].to_pylist()), batch[held].to_pylist(), strict=True):
+                keep.append(n >= 20 and 100 * repeats <= 30 * n and all(b < c for b, c in zip(bins, own or none, strict=True)))
+            yield batch.filter(pa.array(keep, pa.bool_())).drop_columns([held])
 
     text_batches(docs.sparkSession)
-    return docs.mapInArrow(run, docs.schema)
+    return joined.mapInArrow(run, docs.schema)
 
 
 __all__ = ["binomial_tail", "calibrate", "cutoff", "judge", "keep_good", "least_labels", "measure", "most_lost", "sweep"]
