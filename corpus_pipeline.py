@@ -1,6 +1,8 @@
 """From documents to packed training sequences: language ID, quality rules, near-duplicate removal, packing.
 
-Each stage takes all rows that its predecessor kept; all but the last return the columns of documents.
+Each stage takes all rows that its predecessor kept; all but the last return the columns of documents. In all of them a null or
+empty text is rejected by the first, a null lang is a stratum of its own, rows of equal or null identifiers stay rows, very long
+texts are read whole, an empty table gives no rows, and further columns of any name are kept as they are.
 """
 
 from __future__ import annotations
@@ -8,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewright.llm import jaccard, langid, packing, quality
-from tidewright.llm.common import cut, new_path
+from tidewright.llm.common import cut, new_path, release
 from tidewright.llm.queries import tokenizer_path
 
 
@@ -21,8 +23,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Drops documents that fail the base rules or the calibrated cutoffs of their language."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     measured = cut(spark, quality.measure(docs), "measured")
-    # a few numbers for each language
-    cutoffs = {r["stratum"]: list(r["cutoffs"]) for r in quality.calibrate(measured, labels).collect()}
+    cutoffs = cut(spark, quality.calibrate(measured, labels), "cutoffs")
+    release(measured)
     return quality.keep_good(docs, cutoffs)
 
 
