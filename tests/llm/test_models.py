@@ -132,7 +132,7 @@ def test_most_lost():
         for level in (0.0125, 0.05):
             assert quality.most_lost(n, 0.02, level) == max([k for k in range(min(n, 25)) if exact_tail(k, n, 0.02) <= level], default=-1)
     for strata in (1, 4, 30):
-        n = quality.least_labels(strata)
+        n = quality.least_labels(strata, 0.02)
         assert quality.most_lost(n, 0.02, 0.05 / 2 / strata) == 0 and quality.most_lost(n - 1, 0.02, 0.05 / 2 / strata) == -1
 
 
@@ -149,7 +149,8 @@ def test_strata_with_few_labels_have_cutoffs(spark):
         rows += [(stratum, [rng.randrange(20, 70), 0, 0, 3, 0, rng.randrange(60)], 0) for _ in range(40)]
         rows += [(stratum, [0, rng.randrange(30, 70), 0, 3, 0, rng.randrange(60)], 0) for _ in range(20)]
     measured, labels = measured_rows(spark, rows)
-    judged = quality.judge(measured, quality.calibrate(measured, labels)).collect()
+    judged = quality.judge(measured, quality.calibrate(measured, labels, alpha=0.02)).collect()
+    assert {r["stratum"] for r in judged if r["certified"]} == {"a", "b", "d"} and quality.least_labels(4, 0.02) == 252 and quality.least_labels(4) == 201
     for stratum, caught in (("a", 60), ("b", 60), ("c", 0), ("d", 60)):
         own = [(r["kept"], rows[r["doc_id"]][2]) for r in judged if r["stratum"] == stratum]
         assert sum(not k for k, q in own if not q) == caught and all(k for k, q in own if q), stratum
@@ -160,7 +161,7 @@ def test_a_signal_that_costs_much_leaves_the_others_their_cutoffs(spark):
     rows = [("", [1 if i % 10 == 0 else 0, 0, 0, 0, 0, 0], 1) for i in range(4000)]
     rows += [("", [150 if i % 2 else 1, 0, 0, 0, 0, 0], 0) for i in range(100)] + [("", [0, 60, 0, 0, 0, 0], 0)] * 40
     measured, labels = measured_rows(spark, rows)
-    assert quality.calibrate(measured, labels).first()["cutoffs"] == [150, 60, *[quality.BINS + 1] * 4]
+    assert quality.calibrate(measured, labels, alpha=0.02).first()["cutoffs"] == [150, 60, *[quality.BINS + 1] * 4]
 
 
 def test_documents_that_fail_the_base_rules_are_not_counted(spark):
