@@ -29,3 +29,21 @@ def test_nothing_else_imports_it():
             for name in names:
                 if name.endswith(".py"):
                     assert not re.search(r"\bllm\b", open(f"{folder}/{name}", encoding="utf-8").read()), name
+
+
+def test_entry_with_the_pipeline_alone(tmp_path):
+    shutil.copytree(f"{ROOT}/tidewright", tmp_path / "tidewright", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        if os.path.exists(f"{ROOT}/{name}"):
+            shutil.copy(f"{ROOT}/{name}", tmp_path)
+    assert shown(tmp_path)[1] == "0"
+
+
+def test_entry_where_a_module_of_the_subpackage_is_missing(tmp_path):
+    shutil.copytree(f"{ROOT}/tidewright", tmp_path / "tidewright", ignore=shutil.ignore_patterns("__pycache__"))
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        if os.path.exists(f"{ROOT}/{name}"):
+            shutil.copy(f"{ROOT}/{name}", tmp_path)
+    (tmp_path / "xxhash.py").write_text("raise ModuleNotFoundError('gone', name='xxhash')")
+    n, ops, covered = shown(tmp_path)
+    assert int(n) > 80 and ops == "0" and covered == "True"

@@ -147,3 +147,15 @@ def test_files(spark, tmp_path):
     assert [r["data"] for r in http.body_sse(spark, str(tmp_path / "s.txt")).orderBy("event_no").collect()] == ["one", "two"]
     assert files.read_dir(spark, str(tmp_path)).count() == 3 and files.exists(spark, str(tmp_path)) and not files.exists(spark, str(tmp_path / "no"))
     assert bytes(files.read_bytes(spark, str(tmp_path / "x.txt")).first()["content"]) == b"a\r\nb\n"
+
+
+def test_live_dedupe_within_a_span(spark, tmp_path):
+    src, got = tmp_path / "in", []
+    put(src, "a", [(0, "ann", 1000), (1, "ann", 1500), (2, "bob", 2000)])
+    put(src, "b", [(3, "ann", 2500)])
+    keyed = live(spark, src).key_by(F.col("user"))
+    handle = keyed.dedupe(F.col("user"), within="1h").to(lambda df, _: got.extend(r["user"] for r in df.collect())).run(str(tmp_path / "c"))
+    handle.await_exit(60)
+    assert sorted(got) == ["ann", "bob"] and handle.metrics()["dedupe_size"] == 2 and handle.metrics()["join_buffer_size"] == 0
+    with pytest.raises(ValueError, match="within"):
+        keyed.dedupe(F.col("user"), most=5).to(lambda df, _: None).run(str(tmp_path / "c2"))

@@ -81,6 +81,7 @@ class Dedupe(Node):
     key: Column | None = None
     most: int | None = None
     name: str | None = None
+    within_us: int | None = None
 
 
 @dataclass(frozen=True)

@@ -45,7 +45,7 @@ def lower(node: nodes.Node) -> DataFrame:
         case nodes.Shuffle():
             return df.repartition(node.partitions, KEY) if node.partitions else df.repartition(KEY)
         case nodes.Dedupe():
-            return df.withColumn("_dedupe", node.key).dropDuplicates(["_dedupe"]).drop("_dedupe")
+            return _dedupe(df.withColumn("_dedupe", node.key), node).drop("_dedupe", _STAMP)
         case nodes.Process():
             return _process(df, node)
         case nodes.Windowed():
@@ -59,6 +59,14 @@ def lower(node: nodes.Node) -> DataFrame:
     raise TypeError(node.kind)
 
 
+def _dedupe(df: DataFrame, node: nodes.Dedupe) -> DataFrame:
+    if node.within_us is not None:
+        return df.withColumn(_STAMP, F.timestamp_micros(TIME)).withWatermark(_STAMP, f"{node.within_us} microseconds").dropDuplicatesWithinWatermark(["_dedupe"])
+    if node.most is not None:
+        raise ValueError("keys are bounded by number in a replay only; give a live query `within`")
+    return df.dropDuplicates(["_dedupe"])
+
+
 def _windows(df: DataFrame, node: nodes.Aggregate) -> DataFrame:
     w: nodes.Windowed = node.parent
     if w.shape == "session":
@@ -105,6 +113,10 @@ def _process(df: DataFrame, node: nodes.Process) -> DataFrame:
     return df.groupBy(KEY).applyInPandasWithState(run, node.schema, "state string", "append", "NoTimeout")
 
 
+#: What Spark calls the operators that hold each kind of state.
+_STATES = {"dedupe_size": ("dedupe",), "active_windows": ("stateStoreSave", "sessionWindow"), "join_buffer_size": ("symmetricHashJoin",)}
+
+
 class Handle:
     """A running topology."""
 
@@ -133,6 +145,7 @@ class Handle:
             "items_processed": sum(p.get("numInputRows", 0) for p in reports),
             "items_per_second": reports[-1].get("processedRowsPerSecond", 0.0) if reports else 0.0,
             "state_rows": sum(s.get("numRowsTotal", 0) for s in states),
+            **{n: sum(s.get("numRowsTotal", 0) for s in states if any(k in s.get("operatorName", "") for k in kinds)) for n, kinds in _STATES.items()},
             "late_records": sum(s.get("numRowsDroppedByWatermark", 0) for p in reports for s in p.get("stateOperators", [])),
         }
 
