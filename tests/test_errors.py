@@ -76,3 +76,40 @@ def test_supervise():
         supervise(lambda: Fake(True, 0), Schedule.recurs(2), sleep=slept.append)
     with pytest.raises(RuntimeError):
         supervise(lambda: Fake(True, 0), Schedule.recurs(2), retryable=lambda e: False, sleep=slept.append)
+
+
+def test_rows_before_a_failure_are_kept(spark):
+    from tidewright.operators import errors
+
+    df = spark.createDataFrame([(1, 5), (2, 6), (3, 99), (4, 7)], "o int, v int")
+    bad = {"too large": F.col("v") > 50}
+    rows = errors.either(df, "v2", F.col("v"), bad).select("o", F.col("v2").alias("v"))
+    other = spark.createDataFrame([(0, -1)], "o int, v int")
+    got = lambda out: sorted(tuple(r) for r in out.collect())
+    assert got(errors.or_else_rows(rows, "v", "o", other)) == [(0, -1, 1), (1, 5, 0), (2, 6, 0)]
+    assert got(errors.or_else_rows(rows, "v", "o", other, "too")) == [(0, -1, 1), (1, 5, 0), (2, 6, 0)]
+    assert got(errors.or_else_rows(rows.where("o <> 3"), "v", "o", other)) == [(1, 5, 0), (2, 6, 0), (4, 7, 0)]
+    assert got(errors.or_else_rows(rows.limit(0), "v", "o", other)) == []
+    with pytest.raises(Exception, match="too large"):
+        errors.or_else_rows(rows, "v", "o", other, "something else").collect()
+    assert got(errors.failures(rows, "v")) == [(3, "too large")]
+
+
+def test_timeouts_and_pauses(spark):
+    from tidewright.operators import timing
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([0, 10, 20, 90, 95])], "o int, t int")
+    assert [r["o"] for r in timing.timeout(df, "o", "t", 50).orderBy("o").collect()] == [0, 1, 2]
+    assert timing.timeout(df, "o", "t", 500).count() == 5 and timing.timeout(df.limit(0), "o", "t", 5).count() == 0
+    signals = spark.createDataFrame([(5, True), (15, False), (80, True)], "at int, stop boolean")
+    out = timing.pause_when(df, "t", signals, "at", "stop").orderBy("o").collect()
+    assert [r["delivered_at"] for r in out] == [0, 15, 20, None, None]
+    assert [r["delivered_at"] for r in timing.pause_when(df, "t", signals.limit(0), "at", "stop").orderBy("o").collect()] == [0, 10, 20, 90, 95]
+
+
+def test_remote_lookups_forget(spark):
+    from tidewright.operators import joins
+
+    df = spark.range(40).repartition(1)
+    for more in ({}, {"most": 3}, {"ttl_s": 0.0}):
+        assert joins.lookup_remote(df, "id", lambda keys: {k: k * 2 for k in keys}, "x", "bigint", batch=7, **more).where("x <> id * 2 or x is null").count() == 0

@@ -234,5 +234,32 @@ def unpack_message(data: bytes) -> Any:
     return out
 
 
+def packed(json_text: Column) -> Column:
+    """MessagePack of lossless JSON texts; null where one doesn't parse."""
+
+    @F.pandas_udf("binary")
+    def f(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: _tried(lambda: pack_message(loads(x))), na_action="ignore")
+
+    return f(json_text)
+
+
+def unpacked(data: Column) -> Column:
+    """Lossless JSON texts of MessagePack; null where it is malformed."""
+
+    @F.pandas_udf("string")
+    def f(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: _tried(lambda: dumps(unpack_message(bytes(x)))), na_action="ignore")
+
+    return f(data)
+
+
+def _tried(f: Callable[[], Any]) -> Any:
+    try:
+        return f()
+    except (ValueError, IndexError, TypeError):
+        return None
+
+
 def base64_text(text: str) -> str:
     return base64.b64encode(text.encode()).decode()

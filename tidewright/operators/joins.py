@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from time import monotonic
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -69,20 +70,25 @@ def lookup(df: DataFrame, table: DataFrame, key: str, table_key: str, most: int
     return df.join(F.broadcast(side) if small(side, most) else side, on, "left").drop(side.columns[0])
 
 
-def lookup_remote(df: DataFrame, key: str, load: Callable[[list], dict], name: str, kind: str, batch: int = 1000) -> DataFrame:
-    """Left join to what `load(keys)` returns; in each task distinct keys are loaded once, at most `batch` at a time."""
+def lookup_remote(df: DataFrame, key: str, load: Callable[[list], dict], name: str, kind: str, batch: int = 1000, most: int = 100_000, ttl_s: float | None = None) -> DataFrame:
+    """Left join to what `load(keys)` returns; in each task distinct keys are loaded once, at most `batch` at a time. A task remembers
+    `most` keys, the oldest ones go first, each for ttl_s seconds if that is given."""
 
     @F.pandas_udf(kind)
     def f(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known: dict = {}
+        known: dict = {}  # in the order of loading: value and time
         for s in batches:
-            if len(known) > 100 * batch:
-                known.clear()
-            new = [k for k in s.dropna().unique().tolist() if k not in known]
+            now, wanted = monotonic(), s.dropna().unique().tolist()
+            fresh = {k: known[k][0] for k in wanted if k in known and (ttl_s is None or now - known[k][1] < ttl_s)}
+            new = [k for k in wanted if k not in fresh]
             for i in range(0, len(new), batch):
                 part = new[i : i + batch]
-                known.update(dict.fromkeys(part) | load(part))
-            yield s.map(known.get)
+                for k, v in (dict.fromkeys(part) | load(part)).items():
+                    known.pop(k, None)
+                    known[k], fresh[k] = (v, now), v
+            for k in list(known)[: max(0, len(known) - most)]:
+                del known[k]
+            yield s.map(fresh.get)
 
     return df.withColumn(name, f(F.col(key)))
 

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spread import with_next
+from .joins import with_latest
+from .spread import running, with_next, with_previous
 
 
 def debounce(df: DataFrame, order: str, time: str, quiet: int, keys: Sequence[str] = ()) -> DataFrame:
@@ -36,3 +37,27 @@ def offset_islands(df: DataFrame, partition: str, offset: str) -> DataFrame:
     runs = rows.withColumn("_run", F.col(offset) - F.row_number().over(w))
     first = runs.groupBy(partition).agg(F.min("_run").alias("_run"))
     return runs.join(first, [partition, "_run"], "left_semi").groupBy(partition).agg((F.max(offset) + 1).alias("committable"))
+
+
+def timeout(df: DataFrame, order: str, time: str, most: int) -> DataFrame:
+    """The rows before the first gap of more than `most` between two of them."""
+    gaps = with_previous(df, order, {"_before": F.col(time)})
+    first = F.broadcast(gaps.where(F.col(time) - F.col("_before") > most).agg(F.min(order).alias("_fails")))
+    return df.join(first, F.col("_fails").isNull() | (F.col(order) < F.col("_fails"))).select(*df.columns)
+
+
+def pause_when(df: DataFrame, time: str, signals: DataFrame, signal_time: str, paused: str, name: str = "delivered_at") -> DataFrame:
+    """Adds when each row is delivered: at its own time, or, if the latest signal at or before it says `paused`, at the next one that doesn't;
+    null if none does. A signal is the start of a pause or its end."""
+    changed = signals.select(F.col(signal_time).alias(time), F.col(paused).alias("_paused"))
+    ends = running(changed, time, {"_resumes": ("last", F.when(~F.col("_paused"), F.col(time)))}, back=True)
+    met = with_latest(df, ends.unionByName(_never(ends, df, time)), time)
+    state = F.col("side")
+    return met.select("main.*", F.when(F.coalesce(state["_paused"], F.lit(False)), state["_resumes"]).otherwise(F.col("main")[time]).alias(name))
+
+
+def _never(signals: DataFrame, df: DataFrame, time: str) -> DataFrame:
+    """A first signal, at the least time of the rows, that pauses nothing, where none is as early."""
+    first = df.agg(F.min(time).alias(time)).where(F.col(time).isNotNull())
+    early = F.broadcast(signals.agg(F.min(time).alias("_early")))
+    return first.join(early, F.col("_early").isNull() | (F.col("_early") > F.col(time))).select(time, F.lit(False).alias("_paused"), F.lit(None).cast(signals.schema["_resumes"].dataType).alias("_resumes"))

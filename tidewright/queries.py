@@ -880,3 +880,58 @@ def queue_upkeep(spark: SparkSession, sf_dir: str) -> DataFrame:
     stays, goes = queues.archive(queues.requeue_dead(queues.publish(_queue(spark, sf_dir), new, now), now))
     part = lambda df, archived: df.select("id", "status", "attempt_count", F.lit(archived).alias("archived"))
     return part(stays, False).unionByName(part(goes, True))
+
+
+@query("""with q as (select o_orderkey as id, row_number() over (partition by o_custkey % 5 order by o_orderkey) as n, o_custkey % 5 as feed, o_totalprice from orders)
+    select id, feed from q""")
+def change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that overlap by half: each change comes twice, at most a page apart."""
+    once = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 5).alias("feed"))
+    twice = once.withColumn("at", F.explode(F.array(F.col("id") * 2, F.col("id") * 2 + 101)))
+    return queues.drop_repeated(twice, "id", "at", "feed", 200).select("id", "feed")
+
+
+@query("select count(*) filter (o_orderstatus in ('F', 'P')) as left_over, count(*) filter (o_orderstatus not in ('F', 'P')) as purged from orders")
+def queue_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    queue = _queue(spark, sf_dir)
+    both = queues.purge(queue).select(F.lit(1).alias("a")).unionByName(queue.where("status = 'pending'").select(F.lit(0).alias("a")))
+    return both.agg(F.sum("a").cast("bigint").alias("left_over"), F.count_if(F.col("a") == 0).alias("purged"))
+
+
+@query(r"""select event_id, '{"k":' || (props::json->>'$.k') || '}' as back from events""")
+def message_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "events").select("event_id", codecs.unpacked(codecs.packed(F.col("props"))).alias("back"))
+
+
+@query(f"""select event_id, value, 0 as _src from events where event_id < {_FIRST} union all select -n_nationkey, n_nationkey::double, 1 from nation where {_FIRST} < 9223372036854775807""")
+def or_else(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows up to the first of 90 or more, then another source."""
+    rows = errors.either(read(spark, sf_dir, "events").select("event_id", "value"), "v", F.col("value"), {"too large": F.col("value") >= 90}).select("event_id", F.col("v").alias("value"))
+    other = read(spark, sf_dir, "nation").select((-F.col("n_nationkey")).alias("event_id"), F.col("n_nationkey").cast("double").alias("value"))
+    return errors.or_else_rows(rows, "value", "event_id", other, "too")
+
+
+@query("""select event_id, case when value < 1 then -1.0::double when event_type = 'error' then -2.0::double else value end as value,
+    case when value < 1 then 'E: small' when event_type = 'error' then 'E: kind' end as error from events""")
+def recovered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = errors.either(read(spark, sf_dir, "events"), "e", F.col("value"), {"small": F.col("value") < 1, "kind": F.col("event_type") == "error"})
+    rows = errors.map_error(rows, "e", lambda x: F.concat(F.lit("E: "), x)).withColumn("error", F.col("e.error"))
+    return errors.recover(rows, "e", lambda x: F.when(x == "E: small", -1.0).otherwise(-2.0)).select("event_id", F.col("e").alias("value"), "error")
+
+
+_GAP = 20 * MINUTE
+
+
+@query(f"""with g as (select event_id, t - lag(t) over (order by event_id) as gap from {_T})
+    select event_id from events where event_id < coalesce((select min(event_id) from g where gap > {_GAP}), 9223372036854775807)""")
+def timed_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timing.timeout(timed(spark, sf_dir), "event_id", "t", _GAP).select("event_id")
+
+
+@query(f"""with s as (select t, (event_id // 50) % 2 = 1 as paused from {_T} where event_id % 50 = 7),
+    e as (select event_id, t from {_T} where event_id % 50 <> 7)
+    select event_id, case when coalesce((select arg_max(paused, t) from s where s.t <= e.t), false) then (select min(t) from s where s.t > e.t and not paused) else t end as delivered_at from e""")
+def paused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = timed(spark, sf_dir).select("event_id", "t")
+    signals = df.where("event_id % 50 = 7").select(F.col("t").alias("at"), (F.floor(F.col("event_id") / 50) % 2 == 1).alias("stop"))
+    return timing.pause_when(df.where("event_id % 50 <> 7"), "t", signals, "at", "stop").select("event_id", "delivered_at")

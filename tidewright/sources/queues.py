@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.state import dedupe_capped
+
 STATUSES = ("pending", "processing", "completed", "dead")
 
 
@@ -68,7 +70,17 @@ def change_page(table: DataFrame, ts: str, seq: str, cursor: tuple | None, n: in
     return rows.orderBy(ts, seq).limit(n)
 
 
-def publish(queue: DataFrame, payloads: DataFrame, now: Column, delay_s: int = 0, max_attempts: int = 3) -> DataFrame:
-    """The queue with payloads(id, payload) appended."""
-    new = payloads.select("id", "payload", F.lit("pending").alias("status"), (now + F.expr(f"INTERVAL {int(delay_s)} SECONDS")).alias("visible_at"), F.lit(0).alias("attempt_count"), F.lit(max_attempts).alias("max_attempts"), now.alias("created_at"))
+def publish(queue: DataFrame, payloads: DataFrame, now: Column, delay_s: int = 0, max_attempts: int = 3, group: Column | None = None) -> DataFrame:
+    """The queue with payloads(id, payload) appended; `group` goes to a column of that name, for the read modes of fifo()."""
+    new = payloads.select("id", "payload", F.lit("pending").alias("status"), (now + F.expr(f"INTERVAL {int(delay_s)} SECONDS")).alias("visible_at"), F.lit(0).alias("attempt_count"), F.lit(max_attempts).alias("max_attempts"), now.alias("created_at"), *([] if group is None else [group.alias("group")]))
     return queue.unionByName(new, allowMissingColumns=True)
+
+
+def purge(queue: DataFrame) -> DataFrame:
+    """The queue without the messages that wait; what is being worked on, or is over, stays."""
+    return queue.where(F.col("status") != "pending")
+
+
+def drop_repeated(changes: DataFrame, key: str, order: str, feed: str, most: int = 10_000) -> DataFrame:
+    """Changes of each feed that are not among the last `most` ones let through: polled pages overlap."""
+    return dedupe_capped(changes, key, order, feed, most)
