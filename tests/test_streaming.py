@@ -159,3 +159,25 @@ def test_live_dedupe_within_a_span(spark, tmp_path):
     assert sorted(got) == ["ann", "bob"] and handle.metrics()["dedupe_size"] == 2 and handle.metrics()["join_buffer_size"] == 0
     with pytest.raises(ValueError, match="within"):
         keyed.dedupe(F.col("user"), most=5).to(lambda df, _: None).run(str(tmp_path / "c2"))
+
+
+def test_state_table(spark, tmp_path):
+    from tidewright.streaming.state_table import StateTable
+
+    t = StateTable(spark, str(tmp_path / "state"), "key string, n bigint, at timestamp")
+    rows = lambda *r: spark.createDataFrame([(k, n, None) for k, n in r], "key string, n bigint, at timestamp")
+    got = lambda df: sorted((r["key"], r["n"]) for r in df.collect())
+    assert got(t.entries()) == [] and t.version() == 0
+    old = t.acquire()
+    assert t.commit(old, "b1", rows(("a", 1), ("b", 2)), offsets={"0": 5}) == "committed" and t.commit(old, "b1", rows(("a", 9))) == "duplicate"
+    new = t.acquire()
+    assert new > old and t.commit(old, "b2", rows(("a", 7))) == "fenced"
+    gone = spark.createDataFrame([("b",)], "key string")
+    assert t.commit(new, "b2", rows(("a", 3), ("c", 4)), gone, {"0": 9, "1": 2}) == "committed"
+    assert got(t.entries()) == [("a", 3), ("c", 4)] and got(t.entries(1)) == [("a", 1), ("b", 2)] and t.offsets() == {"0": 9, "1": 2}
+    assert got(t.get(spark.createDataFrame([("c",), ("z",), (None,)], "key string"))) == [("c", 4)] and t.is_processed("b2") and not t.is_processed("b9")
+    assert t.compact(new, "c1") == "committed" and got(t.entries()) == [("a", 3), ("c", 4)]
+    assert t.restore(new, 1, "r1") == "committed" and got(t.entries()) == [("a", 1), ("b", 2)] and t.restore(new, 1, "r1") == "duplicate"
+    assert t.clear(new, "x1") == "committed" and t.keys().count() == 0 and got(t.entries(2)) == [("a", 3), ("c", 4)]
+    with pytest.raises(ValueError, match="key"):
+        StateTable(spark, str(tmp_path / "other"), "n bigint")

@@ -30,11 +30,8 @@ def sample(df: DataFrame, order: str, time: str, every: int, keys: Sequence[str]
 
 def offset_islands(df: DataFrame, partition: str, offset: str) -> DataFrame:
     """The committable offset of each partition: one beyond the run without gaps from its smallest completed offset."""
-    from pyspark.sql import Window
-
-    rows = df.select(partition, offset).distinct()
-    w = Window.partitionBy(partition).orderBy(offset)
-    runs = rows.withColumn("_run", F.col(offset) - F.row_number().over(w))
+    rows = running(df.select(partition, offset).distinct(), offset, {"_n": ("count", F.lit(1))}, [partition])
+    runs = rows.withColumn("_run", F.col(offset) - F.col("_n"))
     first = runs.groupBy(partition).agg(F.min("_run").alias("_run"))
     return runs.join(first, [partition, "_run"], "left_semi").groupBy(partition).agg((F.max(offset) + 1).alias("committable"))
 

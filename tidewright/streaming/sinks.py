@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Write = Callable[[DataFrame, int], None]
 
 
-class _Folder:
+class Folder:
+    """Small files by name, on any storage that Spark reaches."""
+
     def __init__(self, spark: SparkSession, path: str):
         self.path = path
         self._at = lambda *p: spark.sparkContext._jvm.org.apache.hadoop.fs.Path("/".join((path, *p)))
@@ -24,6 +27,21 @@ class _Folder:
         out.write(bytearray(text.encode()))
         out.close()
 
+    def put_new(self, text: str, *name: str) -> bool:
+        """Whether the file was not there before."""
+        if self.has(*name):
+            return False
+        try:
+            out = self._fs.create(self._at(*name), False)
+        except Py4JJavaError:  # another writer was faster
+            return False
+        out.write(bytearray(text.encode()))
+        out.close()
+        return True
+
+    def names(self, *folder: str) -> list[str]:
+        return [x.getPath().getName() for x in self._fs.listStatus(self._at(*folder))] if self.has(*folder) else []
+
     def get(self, *name: str) -> str:
         f = self._fs.open(self._at(*name))
         try:
@@ -36,7 +54,7 @@ class Ledger:
     """Batches that were written, and the plan that a checkpoint belongs to, as small files beside it."""
 
     def __init__(self, spark: SparkSession, path: str, plan: str):
-        self.folder, self.plan = _Folder(spark, path), plan
+        self.folder, self.plan = Folder(spark, path), plan
 
     def claim(self) -> None:
         if not self.folder.has("plan"):

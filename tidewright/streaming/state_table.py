@@ -1,0 +1,125 @@
+"""Keyed state as a table on shared storage, for replays and maintenance of live topologies: changes are Parquet deltas, a commit is one
+small file that names its delta, so a commit is seen whole or not at all.
+
+Writers hold an epoch: acquire() takes the next one, and a commit of an older epoch is fenced off. A commit has the identifier of
+its batch, so a repeated one is known as a duplicate. Reading takes the latest change of each key, combined before the shuffle;
+compact() folds all deltas into one.
+"""
+
+from __future__ import annotations
+
+import json
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .sinks import Folder
+
+KEY, DELETED, VERSION = "key", "_deleted", "_version"
+
+
+class StateTable:
+    """State rows are `schema`, which has a column `key`."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: str):
+        self.spark, self.path, self.folder = spark, path, Folder(spark, path)
+        self.schema = spark.createDataFrame([], schema).schema
+        if KEY not in self.schema.names:
+            raise ValueError("state needs a column `key`")
+
+    # writers
+
+    def acquire(self) -> int:
+        """A new epoch; all before it are fenced."""
+        epoch = self.epoch() + 1
+        while not self.folder.put_new("", "epochs", f"{epoch:012d}"):
+            epoch += 1
+        return epoch
+
+    def epoch(self) -> int:
+        return max((int(x) for x in self.folder.names("epochs")), default=0)
+
+    def commit(self, epoch: int, batch: str, changes: DataFrame | None = None, deleted: DataFrame | None = None, offsets: dict | None = None) -> str:
+        """`committed`, `duplicate` (the batch is there already) or `fenced` (a later epoch is, or took this version). changes are rows of the
+        schema, one for each key; deleted has the column `key`; offsets go along with them."""
+        log = self._log()
+        if any(x["batch"] == batch for x in log):
+            return "duplicate"
+        if epoch < self.epoch():
+            return "fenced"
+        name = None
+        if changes is not None or deleted is not None:
+            name = f"delta-{uuid.uuid4().hex}"
+            rows = self.spark.createDataFrame([], self.schema) if changes is None else changes.select(*self.schema.names)
+            rows = rows.withColumn(DELETED, F.lit(False))
+            if deleted is not None:
+                rows = rows.unionByName(deleted.select(KEY).withColumn(DELETED, F.lit(True)), allowMissingColumns=True)
+            rows.write.parquet(f"{self.path}/{name}")
+        entry = {"batch": batch, "epoch": epoch, "delta": name, "offsets": offsets}
+        done = epoch == self.epoch() and self.folder.put_new(json.dumps(entry), "commits", f"{len(log):012d}")
+        return "committed" if done else "fenced"
+
+    # readers
+
+    def _log(self) -> list[dict]:
+        return [json.loads(self.folder.get("commits", x)) for x in sorted(self.folder.names("commits"))]
+
+    def version(self) -> int:
+        """The number of commits; a checkpoint is a version."""
+        return len(self._log())
+
+    def is_processed(self, batch: str) -> bool:
+        return any(x["batch"] == batch for x in self._log())
+
+    def offsets(self) -> dict:
+        """Of each partition the latest committed one."""
+        out: dict = {}
+        for x in self._log():
+            out |= x["offsets"] or {}
+        return out
+
+    def entries(self, version: int | None = None) -> DataFrame:
+        """All rows as they were at a version, by default the latest one."""
+        log = self._log()[:version]
+        first = max((i for i, x in enumerate(log) if x.get("whole")), default=0)
+        kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.schema) + f", {DELETED} boolean"
+        parts = [self.spark.read.schema(kind).parquet(f"{self.path}/{x['delta']}").withColumn(VERSION, F.lit(i)) for i, x in enumerate(log) if x["delta"] and i >= first]
+        if not parts:
+            return self.spark.createDataFrame([], self.schema)
+        rows = parts[0]
+        for x in parts[1:]:
+            rows = rows.unionByName(x)
+        latest = rows.groupBy(F.col(KEY).alias("_k")).agg(F.max_by(F.struct(*rows.columns), F.struct(VERSION, DELETED)).alias("r"))
+        return latest.where(~F.col("r")[DELETED]).select(*(F.col("r")[c].alias(c) for c in self.schema.names))
+
+    def get(self, keys: DataFrame) -> DataFrame:
+        """Rows of keys(key)."""
+        return self.entries().join(keys.select(KEY).distinct(), KEY, "left_semi")
+
+    def keys(self) -> DataFrame:
+        return self.entries().select(KEY)
+
+    def restore(self, epoch: int, version: int, batch: str) -> str:
+        """Back to what the table was at a version, as another commit."""
+        return self._whole(epoch, self.entries(version), batch)
+
+    def clear(self, epoch: int, batch: str) -> str:
+        return self._whole(epoch, self.spark.createDataFrame([], self.schema), batch)
+
+    def compact(self, epoch: int, batch: str) -> str:
+        """One delta in place of all before it."""
+        return self._whole(epoch, self.entries(), batch)
+
+    def _whole(self, epoch: int, rows: DataFrame, batch: str) -> str:
+        log = self._log()
+        if any(x["batch"] == batch for x in log):
+            return "duplicate"
+        name = f"delta-{uuid.uuid4().hex}"
+        rows.withColumn(DELETED, F.lit(False)).write.parquet(f"{self.path}/{name}")
+        entry = {"batch": batch, "epoch": epoch, "delta": name, "offsets": None, "whole": True}
+        done = epoch == self.epoch() and self.folder.put_new(json.dumps(entry), "commits", f"{len(log):012d}")
+        return "committed" if done else "fenced"
+
+
+__all__ = ["StateTable"]
