@@ -150,7 +150,9 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, tile: int = T
     side = F.broadcast if size <= TILE_BYTES else (lambda df: df)
     lone = tiles.select("label", "dim", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
     pairs = lone.where("tile <= other").select("label", "dim", F.col("tile").alias("i"), F.col("other").alias("j"))
-    pairs = pairs.repartition("label", "dim", "i", "j")
+    # a number of tasks by the number of pairs: their bytes say nothing of the work
+    n = tiles.agg(F.sum(F.col("tiles") + 1) / 2).first()[0] or 0
+    pairs = pairs.repartition(int(min(max(spark.sparkContext.defaultParallelism * 4, n // 32), 100_000)), "label", "dim", "i", "j")
     left = tiles.select("label", "dim", F.col("tile").alias("i"), "classes", "q", "bounds")
     right = tiles.select("label", "dim", F.col("tile").alias("j"), F.col("classes").alias("classes2"), F.col("q").alias("q2"), F.col("bounds").alias("bounds2"))
     met = pairs.join(side(left), ["label", "dim", "i"]).join(side(right), ["label", "dim", "j"])
