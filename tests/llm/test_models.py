@@ -189,6 +189,18 @@ def model():
     return langid.train([(x, made_up(rng, x, 120)) for x in SYLLABLES for _ in range(25)])
 
 
+def test_chains_in_blocks_are_exact(monkeypatch):
+    monkeypatch.setattr(langid, "BLOCK", 7)
+    rng = np.random.default_rng(4)
+    for k in (1, 3):
+        lengths, t = np.array([1, 7, 8, 50, 3, 14, 29]), rng.normal(size=(k, k))
+        e = rng.normal(size=(lengths.sum(), k)) * 3
+        got = langid.chain_sums(np.exp(e), lengths, np.exp(t))
+        for i, (n, start) in enumerate(zip(lengths, np.cumsum(lengths) - lengths, strict=True)):
+            marginal, _, _ = langid.forward_backward(e[start : start + n][:, None, :], t)
+            assert np.allclose(got[i], marginal.sum((0, 1)))
+
+
 def test_forward_backward_is_exact():
     import itertools
 
@@ -318,3 +330,29 @@ def test_chat_plan_is_native(spark):
     df = spark.createDataFrame([(1, 0, "user", "a")], "conv_id bigint, turn bigint, role string, text string")
     plan = chat.read_chats(chat.format_chats(df))._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
+
+
+def test_many_languages_and_late_evidence(spark):
+    rng = random.Random(21)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    # each of 70 languages has words of two letters of its own
+    own = {f"l{i:02d}": [letters[i % 26] + letters[(i * 7 + i // 26 * 5 + 3) % 26] + letters[(i // 26 * 9 + k) % 26] for k in range(3)] for i in range(70)}
+    rows = [(i * 70 + j, " ".join(rng.choice(words) + rng.choice(words) for _ in range(60)), x) for j, (x, words) in enumerate(own.items()) for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(3)
+    samples = langid.sample(docs)
+    assert {x for x, _ in samples} == set(own)
+    model = langid.train(samples)
+    assert len(model.languages) == 70
+    out = {r["doc_id"]: r["lang_pred"] for r in langid.predict(docs, model).collect()}
+    assert sum(out[i] == x for i, _, x in rows) > 0.95 * len(rows)
+    # a text without a space, and one whose only letters stand behind 30,000 other characters
+    run = "".join(rng.choice(own["l05"]) for _ in range(1700))
+    late = "12 34 " * 5000 + " ".join(rng.choice(own["l33"]) + rng.choice(own["l33"]) for _ in range(30))
+    assert len(run) > 5000 and langid.predict_texts(model, [run, late])[0] == ["l05", "l33"]
+
+
+def test_training_windows_come_from_whole_texts(spark):
+    late = "12 34 " * 5000 + "only here are letters"
+    docs = spark.createDataFrame([(1, late, "en"), (3, late, "en"), (4, late, "en")], "doc_id bigint, text string, lang string")
+    samples = langid.sample(docs)
+    assert samples and all(w == ["only", "here", "are", "letters"] for _, w in samples)
