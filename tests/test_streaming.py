@@ -65,6 +65,23 @@ def test_process_keeps_state_over_batches(spark, tmp_path):
     assert sorted(got) == [("ann", 1), ("ann", 2), ("bob", 1)]
 
 
+def test_process_keeps_sets_and_dates(spark, tmp_path):
+    import datetime as dt
+
+    src, got = tmp_path / "in", []
+    put(src, "a", [(0, "ann", 1), (1, "ann", 2)])
+    put(src, "b", [(2, "ann", 2), (3, "ann", 4)])
+    day = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
+
+    def step(s, r):
+        seen, at = s
+        return [seen | {r["ts"]}, at], {"user": r["user"], "n": len(seen), "year": at.year}
+
+    t = live(spark, src).key_by(F.col("user")).process(lambda: [set(), day], step, "user string, n bigint, year bigint")
+    t.to(lambda df, _: got.extend(tuple(r) for r in df.collect())).run(str(tmp_path / "ckpt")).await_exit(60)
+    assert got == [("ann", 0, 2024), ("ann", 1, 2024), ("ann", 2, 2024), ("ann", 2, 2024)]
+
+
 def test_live_join_and_dedupe(spark, tmp_path):
     a, b, got, firsts = tmp_path / "a", tmp_path / "b", [], []
     put(a, "1", [(0, "ann", 1000), (1, "bob", 1000)])

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions import codecs
 from ..operators import ordered
 from ..plans import nodes
 from ..plans.replay import KEY
@@ -95,19 +96,19 @@ def _join(left: DataFrame, right: DataFrame, node: nodes.IntervalJoin) -> DataFr
 
 
 def _process(df: DataFrame, node: nodes.Process) -> DataFrame:
-    """The state machine by applyInPandasWithState; its state is kept as JSON."""
+    """The state machine by applyInPandasWithState; its state is kept as lossless JSON, so it may hold dates, sets and maps."""
     from pyspark.sql.types import _parse_datatype_string
 
     names, init, step = _parse_datatype_string(node.schema).fieldNames(), node.init, node.step
 
     def run(_: tuple, batches: Iterator[pd.DataFrame], held: Any) -> Iterator[pd.DataFrame]:
-        state = json.loads(held.get[0]) if held.exists else init()
+        state = codecs.loads(held.get[0]) if held.exists else init()
         out = []
         for row in pd.concat(list(batches)).sort_values(SEQ, kind="stable").to_dict("records"):
             state, emitted = step(state, row)
             if emitted is not None:
                 out.append(emitted)
-        held.update((json.dumps(state),))
+        held.update((codecs.dumps(state),))
         yield pd.DataFrame(out, columns=names)
 
     return df.groupBy(KEY).applyInPandasWithState(run, node.schema, "state string", "append", "NoTimeout")
