@@ -43,12 +43,14 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 def words_of(text: str | None) -> list[str]:
     words = _WORD.findall(text.lower()) if text and any(map(str.isalpha, text)) else []
-    return [p for w in words for p in pieces(w)] if max(map(len, words), default=0) > MOST_LETTERS else words
+    if max(map(len, words), default=0) <= MOST_LETTERS:
+        return words
+    return [p for w in words for p in ((w,) if len(w) <= MOST_LETTERS else pieces(w))]
 
 
 def pieces(word: str) -> list[str]:
     n = -(-len(word) // MOST_LETTERS)
-    return [word] if n == 1 else [word[i * len(word) // n : (i + 1) * len(word) // n] for i in range(n)]
+    return [word[i * len(word) // n : (i + 1) * len(word) // n] for i in range(n)]
 
 
 def _mix(h: np.ndarray, x: np.ndarray | int) -> np.ndarray:
@@ -251,8 +253,60 @@ def emissions_of(model: Model) -> Emissions:
     return _emissions[model.key]
 
 
-#: Words of a group of documents that forward-backward handles at once, one document at least.
-GROUP_WORDS = 200_000
+#: Words of a group of documents that forward-backward handles at once, one document at least, and of a block of a chain.
+GROUP_WORDS, BLOCK = 200_000, 128
+
+
+def chain_sums(p: np.ndarray, lengths: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """Sums of the words' label probabilities in each chain, by forward-backward; p has the words of all chains one after another.
+
+    Chains are cut into blocks, all of which go forward together: first with every label before them, which gives a matrix for each
+    block; the matrices, one after another, give the messages at the blocks' ends; with these all blocks go forward and back.
+    """
+    k, p, a = p.shape[1], p.astype(np.float64), a.astype(np.float64)
+    blocks = -(-lengths // BLOCK)
+    chain = np.repeat(np.arange(len(lengths)), blocks)
+    number = np.arange(len(chain)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    starts = np.repeat(np.cumsum(lengths) - lengths, blocks) + number * BLOCK
+    sizes = np.minimum(BLOCK, np.repeat(lengths, blocks) - number * BLOCK)
+    order = np.argsort(-sizes, kind="stable")
+    live = np.searchsorted(-sizes[order], -np.arange(sizes.max(initial=0)), side="left")  # blocks longer than each step, in that order
+
+    through = np.empty((len(order), k, k))
+    for i, n in enumerate(live):
+        now = p[starts[order[:n]] + i]
+        x = np.eye(k) * now[:, None, :] if i == 0 else (through[:n] @ a) * now[:, None, :]
+        through[:n] = x / x.sum((1, 2), keepdims=True)
+    at = np.empty(len(order), np.int64)
+    at[order] = np.arange(len(order))
+    before, after = np.ones((len(order), k)), np.ones((len(order), k))
+    step = through @ a  # from before a block to before the next one
+    for c in range(1, len(chain)):
+        if number[c]:
+            x = before[at[c - 1]] @ step[at[c - 1]]
+            before[at[c]] = x / x.sum()
+    for c in range(len(chain) - 2, -1, -1):
+        if number[c + 1]:
+            x = a @ (through[at[c + 1]] @ after[at[c + 1]])
+            after[at[c]] = x / x.sum()
+
+    forward, message = np.empty_like(p), before
+    for i, n in enumerate(live):
+        words = starts[order[:n]] + i
+        x = message[:n] if i == 0 else message[:n] @ a
+        x = x * p[words]
+        forward[words] = message[:n] = x / x.sum(1, keepdims=True)
+    sums = np.zeros((len(order), k))
+    for i in range(len(live) - 1, -1, -1):
+        n = live[i]
+        words = starts[order[:n]] + i
+        g = forward[words] * after[:n]
+        sums[:n] += g / g.sum(1, keepdims=True)
+        x = (after[:n] * p[words]) @ a.T
+        after[:n] = x / x.sum(1, keepdims=True)
+    out = np.zeros((len(lengths), k))
+    np.add.at(out, chain[order], sums)
+    return out
 
 
 def _predict(emissions: Emissions, texts: list[list[str]]) -> tuple[list[int], list[float]]:
@@ -260,33 +314,17 @@ def _predict(emissions: Emissions, texts: list[list[str]]) -> tuple[list[int], l
     model = emissions.model
     k, a = len(model.languages), np.exp(model.transitions)
     label, score = [-1] * len(texts), [0.0] * len(texts)
-    order = sorted((i for i in range(len(texts)) if texts[i] and k), key=lambda i: -len(texts[i]))
+    todo = [i for i in range(len(texts)) if texts[i] and k]
     at = 0
-    while at < len(order):
+    while at < len(todo):
         group, n = [], 0
-        while at < len(order) and (not group or n + len(texts[order[at]]) <= GROUP_WORDS):
-            group.append(order[at])
-            n += len(texts[order[at]])
+        while at < len(todo) and (not group or n + len(texts[todo[at]]) <= GROUP_WORDS):
+            group.append(todo[at])
+            n += len(texts[todo[at]])
             at += 1
         lengths = np.array([len(texts[i]) for i in group])
-        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
         p = emissions.of([w for i in group for w in texts[i]])
-        p = np.maximum(np.exp(p - p.max(1, keepdims=True)), np.float32(1e-20))
-        alpha, steps = np.empty_like(p), int(lengths[0])
-        live = len(group) - np.searchsorted(lengths[::-1], np.arange(steps), side="right")  # documents longer than each step
-        for i in range(steps):
-            now = starts[: live[i]] + i
-            x = p[now] if i == 0 else (alpha[now - 1] @ a) * p[now]
-            alpha[now] = x / x.sum(1, keepdims=True)
-        sums = np.zeros((len(group), k))
-        beta = np.ones((len(group), k), np.float32)
-        for i in range(steps - 1, -1, -1):
-            m = live[i]
-            now = starts[:m] + i
-            g = alpha[now] * beta[:m]
-            sums[:m] += g / g.sum(1, keepdims=True)
-            x = (beta[:m] * p[now]) @ a.T
-            beta[:m] = x / x.sum(1, keepdims=True)
+        sums = chain_sums(np.maximum(np.exp(p - p.max(1, keepdims=True)), np.float32(1e-20)), lengths, a)
         best = sums.argmax(1)
         for j, i in enumerate(group):
             label[i], score[i] = int(best[j]), min(1.0, float(sums[j, best[j]] / lengths[j]))
