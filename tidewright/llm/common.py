@@ -119,7 +119,7 @@ def use(*mine: Recent) -> None:
 
 
 #: Bytes of text that are Python objects at a time, and that Arrow batches of texts have.
-SLICE_BYTES, BATCH_BYTES = 1 << 20, 4 << 20
+SLICE_BYTES, BATCH_BYTES = 1 << 20, 2 << 20
 _BYTES_PER_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 

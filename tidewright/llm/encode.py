@@ -18,8 +18,8 @@ import numpy as np
 
 from .common import Recent, use
 
-#: Chunks in each generation of a worker's memory: some 30 MB.
-MOST_CHUNKS = 200_000
+#: Chunks in each generation of a worker's memory: some 15 MB.
+MOST_CHUNKS = 100_000
 #: Characters below this are always in normal form C; U+0130 has a lower-case form of two characters.
 PLAIN_END = 0x250
 
