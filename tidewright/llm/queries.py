@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embed_dedup, jaccard, langid, license_scan, packing, quality, sstable, wordpiece
+from . import align, bpe, chat, embed_dedup, jaccard, langid, license_scan, packing, quality, sstable, wordpiece
 from .common import cut, new_path
 
 
@@ -76,10 +76,15 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"), texts=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_license_scan, op2_embedding_near_dedup, op3_bpe_codec, op4_ngram_jaccard_join, op5_quality_rules,
         op6_sorted_string_tables, op7_token_counts, op8_chat_format, op9_language_id, op10_packing,
+        op13_cross_tokenizer_alignment,
     )}
 
 
