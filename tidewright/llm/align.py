@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices, text_batches, use
+from .common import cut, packed, slices, text_batches, unpacked, use
 from .encode import byte_chars
 
 #: Text of a chunk, and rows of segments that a task holds before it sends them.
@@ -134,18 +134,6 @@ class _Numbers(dict):
         return n
 
 
-def packed(columns: dict[str, pa.Array]) -> bytes:
-    """Arrays of one length as compressed Arrow."""
-    batch, out = pa.RecordBatch.from_pydict(columns), pa.BufferOutputStream()
-    with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-        w.write_batch(batch)
-    return out.getvalue().to_pybytes()
-
-
-def unpacked(blob: bytes) -> pa.RecordBatch:
-    return pa.ipc.open_stream(blob).read_next_batch()
-
-
 _CHUNKS = pa.schema([("chunk", pa.int64()), ("no", pa.int32()), ("segment", pa.string()), ("n", pa.int64()), ("blob", pa.binary())])
 _ALIGNED = pa.schema([("pair", pa.int64()), ("n", pa.int64()), ("segments", pa.binary()), ("rows", pa.binary())])
 

@@ -143,6 +143,18 @@ def slices(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.Record
         at = end
 
 
+def packed(columns: dict[str, pa.Array]) -> bytes:
+    """Arrays of one length as compressed Arrow."""
+    batch, out = pa.RecordBatch.from_pydict(columns), pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_batch(batch)
+    return out.getvalue().to_pybytes()
+
+
+def unpacked(blob: bytes | pa.Buffer) -> pa.RecordBatch:
+    return pa.ipc.open_stream(blob).read_next_batch()
+
+
 def map_rows(df: DataFrame, columns: list[str], schema: str, start: Callable[[], Callable[..., Iterable[list]]]) -> DataFrame:
     """Slices of the named columns as Python lists, given to the function that start() returns in each task, which returns the output's columns as lists."""
 

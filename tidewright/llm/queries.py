@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, bpe, chat, embed_dedup, jaccard, langid, license_scan, packing, quality, sstable, wordpiece
+from . import align, bpe, chat, embed_dedup, jaccard, langid, license_scan, packing, quality, search, sstable, wordpiece
 from .common import cut, new_path
 
 
@@ -76,6 +76,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.align_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"), texts=False)
 
@@ -84,7 +88,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_license_scan, op2_embedding_near_dedup, op3_bpe_codec, op4_ngram_jaccard_join, op5_quality_rules,
         op6_sorted_string_tables, op7_token_counts, op8_chat_format, op9_language_id, op10_packing,
-        op13_cross_tokenizer_alignment,
+        op12_lexical_search, op13_cross_tokenizer_alignment,
     )}
 
 
@@ -164,5 +168,19 @@ _CHATS = rf"""
       sha256(loss) as loss_sha256, chars::bigint as formatted_chars from c"""
 
 
+_SEARCH = rf"""
+    with t as (select row_number() over () as row, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents),
+    own as (select row, doc_id, len(ws) as n from t where len(ws) > 0),
+    corpus as (select count(*) as docs, sum(n)::bigint as terms from own),
+    tf as (select row, w, count(*) as tf from (select row, unnest(ws) as w from t) group by all),
+    df as (select w, floor(1000 * ln((2 * docs + 2)::double / (2 * count(*) + 1)))::bigint as weight from tf, corpus group by w, docs),
+    q as (select row_number() over () as item, item_id, unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as w from benchmark),
+    q2 as (select item, item_id, w, count(*) as times from q group by all),
+    s as (select item, item_id, row, doc_id, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // terms))))::bigint as score
+      from q2 join df using (w) join tf using (w) join own using (row), corpus group by all),
+    r as (select *, row_number() over (partition by item order by score desc, doc_id) as rank from s where score > 0)
+    select item_id, rank::int as rank, doc_id, score from r where rank <= 10"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": _licenses(), "op2_embedding_near_dedup": _EMBEDDINGS, "op4_ngram_jaccard_join": _JACCARD, "op8_chat_format": _CHATS}
+    return {"op1_license_scan": _licenses(), "op2_embedding_near_dedup": _EMBEDDINGS, "op4_ngram_jaccard_join": _JACCARD, "op8_chat_format": _CHATS, "op12_lexical_search": _SEARCH}
