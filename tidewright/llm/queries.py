@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, bpe, chat, embed_dedup, jaccard, langid, license_scan, packing, quality, search, sstable, wordpiece
+from . import align, bpe, chat, embed_dedup, jaccard, langid, license_scan, packing, quality, search, secret_scan, sstable, wordpiece
 from .common import cut, new_path
 
 
@@ -76,6 +76,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -88,7 +92,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_license_scan, op2_embedding_near_dedup, op3_bpe_codec, op4_ngram_jaccard_join, op5_quality_rules,
         op6_sorted_string_tables, op7_token_counts, op8_chat_format, op9_language_id, op10_packing,
-        op12_lexical_search, op13_cross_tokenizer_alignment,
+        op11_secret_scan, op12_lexical_search, op13_cross_tokenizer_alignment,
     )}
 
 
@@ -168,6 +172,54 @@ _CHATS = rf"""
       sha256(loss) as loss_sha256, chars::bigint as formatted_chars from c"""
 
 
+def _secrets() -> str:
+    either = lambda word: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+    keys = "|".join([*map(either, ("password", "passwd", "secret", "token")), f"{either('api')}_?{either('key')}"])
+    patterns = {0: rf"""({keys})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 1: secret_scan.ACCESS, 2: secret_scan.HEX, 9: "[A-Za-z0-9+/_-]{16,}={0,2}"}
+    matches = " union all ".join(f"select row, {k} as kind, regexp_extract_all(text, '{p}') as ms, string_split_regex(text, '{p}') as ps from t where regexp_matches(text, '{p}')" for k, p in patterns.items())
+    kinds = ", ".join(f"({i}, '{e.alphabet}', '{''.join('01'[j >= len(e.alphabet) / 2] for j in range(len(e.alphabet)))}', {len(e.alphabet)}, {e.least}, {e.fold})" for i, e in enumerate(secret_scan.ENCODINGS))
+    number = " ".join(f"when {' and '.join(f'regexp_matches(run, \'{x}\')' for x in (e.pattern, *e.has))} then {i}" for i, e in enumerate(secret_scan.ENCODINGS))
+    names = ", ".join(f"'{k}'" for k in secret_scan.KINDS)
+
+    def log_erfc(x: str) -> str:
+        t, sum_ = f"(1 / (1 + {x} / 2))", str(secret_scan.ERFC[-1])
+        for c in reversed(secret_scan.ERFC[:-1]):
+            sum_ = f"({sum_} * {t} + {c})"
+        return f"(ln({t}) - {x} * {x} + {sum_})"
+
+    return f"""
+        with t as (select row_number() over () as row, doc_id, coalesce(text, '') as text from documents),
+        a as (select row, kind, unnest(ms) as m, unnest(ps[:len(ms)]) as p, unnest(range(len(ms))) as i from ({matches})),
+        b as (select row, kind, m, (sum(length(p) + length(m)) over (partition by row, kind order by i))::bigint as till from a),
+        base as (select row, kind, till - length(m) as start, till from b where kind < 9 and (kind > 0 or length(regexp_extract(m, '{patterns[0]}', 2)) >= {secret_scan.LEAST_VALUE})),
+        runs as (select row, till - length(m) as start, till, regexp_replace(m, '=+$', '') as run from b where kind = 9),
+        e as (select *, case {number} end as encoding from runs),
+        k as (select * from (values {kinds}) as v(encoding, alphabet, bits, k, least, fold)),
+        f as (select e.*, k.* exclude encoding, case when fold then lower(run) else run end as s, string_split(s, '') as cs, length(s)::double as n, 1.0::double / k as q
+          from e join k using (encoding) where length(run) >= least),
+        g as (select *, least({secret_scan.CLASSES - 1}, floor(log2(n)))::int as class,
+          list_sum(list_transform(list_distinct(cs), lambda x: (length(s) - length(replace(s, x, '')))::double * (length(s) - length(replace(s, x, '')) - 1) / 2)) as pairs,
+          abs(len(regexp_extract_all(translate(s, alphabet, bits), '0+|1+')) - 1 - (n - 1) / 2) - 0.5 as off,
+          list_transform(cs, lambda c: strpos(alphabet, c) - 1 - (k - 1) / 2::double) as v, n * (n - 1) / 2 as couples from f),
+        h as (select *, greatest(off, 0) / (sqrt(n - 1) / 2) / sqrt(2) as x2,
+          abs(list_sum(list_transform(range(1, len(v)), lambda i: v[i] * v[i + 1])) / ((k * k - 1) / 12::double)) / sqrt(n - 1) / sqrt(2) as x3,
+          couples * q * (1 - q) as variance, couples * q * (1 - q) * (1 - 2 * q) + n * (n - 1) * (n - 2) / 6 * 6 * q * q * (1 - q) as third,
+          4 * variance ** 3 / (third * third) as shape, (pairs - 0.5 - couples * q) / sqrt(variance) as dev,
+          sqrt(shape) * 3 * (cbrt(greatest(1 + dev / sqrt(shape), 0)) - 1 + 1 / (9 * shape)) / sqrt(2) as x1 from g),
+        tested as (select row, start, till, encoding, class, greatest(0, least({secret_scan.MOST_STEP}, floor(-(least(
+          case when x1 > 0 then {log_erfc('x1')} - ln(2) else 0 end, {log_erfc('x2')}, {log_erfc('x3')}) + ln(3)) / ln(10) * {secret_scan.STEPS})))::int as step from h),
+        c as (select encoding, class, step, count(*) as n from tested group by all),
+        d as (select *, sum(n) over (partition by encoding, class order by step desc) as beyond, sum(n) over (partition by encoding, class) as all_ from c),
+        cut as (select encoding, class, min(step) as least_ from d where 10.0::double ** (-step / {secret_scan.STEPS}::double) * all_ <= {secret_scan.FALSE_DISCOVERIES} * beyond group by all),
+        more as (select row, start, encoding + 3 as kind, till from tested left join cut using (encoding, class) where least_ is null or step < least_),
+        every as (select row, start, kind, till from base union all select row, start, kind, till from more),
+        named as (select *, [{names}][kind + 1] || ':' || start || ':' || till as named from every),
+        o as (select row, count(*) filter (kind = 0) as n_assign, count(*) filter (kind = 1) as n_access, count(*) filter (kind = 2) as n_hex, count(*) filter (kind > 2) as n_random,
+          coalesce(string_agg(named, ',' order by start, kind, till) filter (kind < 3), '') as base, string_agg(named, ',' order by start, kind, till) as spans from named group by row)
+        select doc_id, coalesce(n_assign, 0)::bigint as n_assign, coalesce(n_access, 0)::bigint as n_access, coalesce(n_hex, 0)::bigint as n_hex,
+          sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(n_random, 0)::bigint as n_random from t left join o using (row)"""
+
+
 _SEARCH = rf"""
     with t as (select row_number() over () as row, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents),
     own as (select row, doc_id, len(ws) as n from t where len(ws) > 0),
@@ -183,4 +235,4 @@ _SEARCH = rf"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": _licenses(), "op2_embedding_near_dedup": _EMBEDDINGS, "op4_ngram_jaccard_join": _JACCARD, "op8_chat_format": _CHATS, "op12_lexical_search": _SEARCH}
+    return {"op1_license_scan": _licenses(), "op2_embedding_near_dedup": _EMBEDDINGS, "op4_ngram_jaccard_join": _JACCARD, "op8_chat_format": _CHATS, "op11_secret_scan": _secrets(), "op12_lexical_search": _SEARCH}
