@@ -209,3 +209,13 @@ def test_error_bound_is_rigorous():
         got = set(zip(i.tolist(), j.tolist(), strict=True))
         assert {tuple(p) for p in np.argwhere(exact >= threshold).tolist()} <= got
         assert len(got) < (exact >= threshold - 0.1).sum() + 1
+
+
+@pytest.mark.parametrize("size", [64, 128, 1024, 2048, 4096])
+def test_words_in_thue_and_morses_order(spark, size):
+    """They collide in polynomial hashes modulo a power of two, whatever the base."""
+    a = b"".join(b"ab"[bin(i).count("1") % 2 :][:1] for i in range(size)).decode()
+    b = a.translate(str.maketrans("ab", "ba"))
+    rows = [(1, a), (2, b), (3, f"x {a} y"), (4, f"x {b} y"), (5, f"X {b.upper()} y"), (6, f"{a}{b}"), (7, f"{b}{a}")]
+    out = jaccard.join(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted(tuple(r) for r in out.select("doc_id", "n_shingles", "component_id").collect()) == brute_documents(rows)

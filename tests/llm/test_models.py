@@ -356,3 +356,29 @@ def test_training_windows_come_from_whole_texts(spark):
     docs = spark.createDataFrame([(1, late, "en"), (3, late, "en"), (4, late, "en")], "doc_id bigint, text string, lang string")
     samples = langid.sample(docs)
     assert samples and all(w == ["only", "here", "are", "letters"] for _, w in samples)
+
+
+def test_sparse_and_repeated_languages_are_learnt(spark):
+    """A language whose rows have hardly any text, or one identifier, or are all copies, is in the sample."""
+    rows = [(i, "eins zwei drei" if i % 300 == 0 else None, "de") for i in range(6000)]
+    rows += [(10**6, f"un deux trois {i}", "fr") for i in range(3000)] + [(10**6 + 1, "uno dos tres", "es")] * 3000 + [(i, f"one two three {i}", "en") for i in range(7000, 9000)]
+    rows += [(10**6 + 2, "123 ...", "xx")] * 10
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert {x for x, _ in langid.sample(docs, 20)} == {"de", "fr", "es", "en"}
+    assert {x for x, _ in langid.sample(docs.where("lang = 'es'"), 20)} == {"es"}
+
+
+def test_many_short_rows_and_languages(monkeypatch):
+    """Matrices are for chains of several blocks alone, some at a time; the sums are those of whole chains."""
+    rng = np.random.default_rng(3)
+    k = 24
+    lengths = np.array([1] * 3000 + [langid.BLOCK * 5 + 3, 2, langid.BLOCK, langid.BLOCK * 3] + [1] * 100)
+    p, a = rng.random((int(lengths.sum()), k)) + 0.01, rng.random((k, k)) + 0.1
+    want, at = [], 0
+    for n in lengths.tolist():
+        own = np.log(p[at : at + n])[:, None, :]
+        want.append(langid.forward_backward(own, np.log(a))[0].sum((0, 1)))
+        at += n
+    whole = langid.chain_sums(p, lengths, a)
+    monkeypatch.setattr(langid, "MATRIX_CELLS", 3 * k * k)
+    assert np.allclose(whole, np.array(want)) and np.allclose(langid.chain_sums(p, lengths, a), np.array(want))

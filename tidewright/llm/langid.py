@@ -7,8 +7,9 @@ single documents and on spliced windows of several languages, so the chain handl
 gives each word's probabilities; a document's language has the largest sum, and its score is their mean.
 
 Training takes a bounded sample of labelled documents: for each value of lang PER_LANGUAGE of them, but never more than
-SAMPLE_WORDS / WINDOW_WORDS in all (shared evenly by the languages, one each at least), those with the smallest hash of their
-identifier, WINDOW_WORDS words from anywhere in each. Everything else covers all rows, and every value of lang is learnt.
+SAMPLE_WORDS / WINDOW_WORDS in all (shared evenly by the languages, one each at least), those with the smallest hash of
+identifier and text, WINDOW_WORDS words from anywhere in each. Everything else covers all rows, and every value of lang that has a text with a
+letter outside the held-out rows is learnt. The weights are BUCKETS doubles a language, three times over while the driver learns them: 0.8 MB for each value of lang.
 
 Defined results: `und` with score 0 for a null text or one without a letter, and for all texts if nothing was learnt; a very
 long text is read whole; documents with a null lang or doc_id are not learnt from; rows are independent, so ties and repeated rows don't matter; an empty
@@ -191,7 +192,8 @@ def held_out(doc_id: Column) -> Column:
 
 def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> list[tuple[str, list[str]]]:
     """The bounded training sample of docs(doc_id, text, lang), at the driver: the model that is fitted on it has a row for each language."""
-    usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).withColumn("h", F.xxhash64("doc_id"))
+    has_letter = F.col("text").rlike(r"\p{L}")
+    usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & has_letter).withColumn("h", F.xxhash64("doc_id", "text"))
     counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("_rows"))
     languages = counts.count()
     if not languages:
@@ -212,12 +214,20 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> list[tuple[str,
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string()), strict=True)], ["lang", "h", "words"])
 
     text_batches(docs.sparkSession)
-    near = usable.join(broadcast_if_small(bound), F.col("lang") == F.col("_lang")).where(share <= F.col("_bound"))
-    some = near.select("lang", "h", "text").mapInArrow(windows, "lang string, h bigint, words string")
-    # bounded for each language, before the shuffle too
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "words"))
-    taken = some.withColumn("rank", rank).where(F.col("rank") <= per_language).collect()
-    return [(r["lang"], r["words"].split(" ")) for r in sorted(taken, key=lambda r: (r["h"], r["lang"], r["words"]))]
+
+    def taken(rows: DataFrame) -> list:
+        some = rows.select("lang", "h", "text").mapInArrow(windows, "lang string, h bigint, words string")
+        # bounded for each language, before the shuffle too
+        rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "words"))
+        return some.withColumn("rank", rank).where(F.col("rank") <= per_language).collect()
+
+    found = taken(usable.join(broadcast_if_small(bound), F.col("lang") == F.col("_lang")).where(share <= F.col("_bound")))
+    # a language of few different rows, each many times, may have none below its bound: all of its rows are looked at
+    had = {r["lang"] for r in found}
+    if len(had) < languages:
+        missing = [(r["lang"],) for r in counts.select("lang").collect() if r["lang"] not in had]
+        found += taken(usable.join(broadcast_if_small(docs.sparkSession.createDataFrame(missing, "lang string")), "lang"))
+    return [(r["lang"], r["words"].split(" ")) for r in sorted(found, key=lambda r: (r["h"], r["lang"], r["words"]))]
 
 
 #: Words in each generation of a worker's memory: some 15 MB.
@@ -253,8 +263,9 @@ def emissions_of(model: Model) -> Emissions:
     return _emissions[model.key]
 
 
-#: Words of a group of documents that forward-backward handles at once, one document at least, and of a block of a chain.
-GROUP_WORDS, BLOCK = 200_000, 128
+#: Words times languages of a group of documents that forward-backward handles at once, one document at least; words of a block of a chain;
+#: numbers in the matrices of blocks that are held at once.
+GROUP_CELLS, BLOCK, MATRIX_CELLS = 800_000, 128, 2_000_000
 
 
 def chain_sums(p: np.ndarray, lengths: np.ndarray, a: np.ndarray) -> np.ndarray:
@@ -272,23 +283,42 @@ def chain_sums(p: np.ndarray, lengths: np.ndarray, a: np.ndarray) -> np.ndarray:
     order = np.argsort(-sizes, kind="stable")
     live = np.searchsorted(-sizes[order], -np.arange(sizes.max(initial=0)), side="left")  # blocks longer than each step, in that order
 
-    through = np.empty((len(order), k, k))
-    for i, n in enumerate(live):
-        now = p[starts[order[:n]] + i]
-        x = np.eye(k) * now[:, None, :] if i == 0 else (through[:n] @ a) * now[:, None, :]
-        through[:n] = x / x.sum((1, 2), keepdims=True)
     at = np.empty(len(order), np.int64)
     at[order] = np.arange(len(order))
     before, after = np.ones((len(order), k)), np.ones((len(order), k))
-    step = through @ a  # from before a block to before the next one
-    for c in range(1, len(chain)):
-        if number[c]:
-            x = before[at[c - 1]] @ step[at[c - 1]]
-            before[at[c]] = x / x.sum()
-    for c in range(len(chain) - 2, -1, -1):
-        if number[c + 1]:
-            x = a @ (through[at[c + 1]] @ after[at[c + 1]])
-            after[at[c]] = x / x.sum()
+
+    def through(some: np.ndarray) -> np.ndarray:
+        """The matrices of the numbered blocks, by their places in `order`, longest first."""
+        out = np.empty((len(some), k, k))
+        length = sizes[order[some]]
+        for i in range(length[0]):
+            n = int(np.searchsorted(-length, -i, side="left"))
+            now = p[starts[order[some[:n]]] + i]
+            x = np.eye(k) * now[:, None, :] if i == 0 else (out[:n] @ a) * now[:, None, :]
+            out[:n] = x / x.sum((1, 2), keepdims=True)
+        return out
+
+    # chains of one block need no matrix; those of others are worked out MATRIX_CELLS at a time, from the first and then from the last
+    many = np.flatnonzero(np.repeat(blocks > 1, blocks))
+    slab = max(1, MATRIX_CELLS // (k * k))
+    slabs = [many[i : i + slab] for i in range(0, len(many), slab)]
+    kept = None
+    for cs in slabs:
+        some = np.sort(at[cs])
+        kept = (some, through(some))
+        place = dict(zip(some.tolist(), range(len(some)), strict=True))
+        for c in cs.tolist():
+            if number[c] + 1 < blocks[chain[c]]:
+                x = before[at[c]] @ (kept[1][place[int(at[c])]] @ a)
+                before[at[c + 1]] = x / x.sum()
+    for j, cs in enumerate(reversed(slabs)):
+        some = np.sort(at[cs])
+        matrices = kept[1] if j == 0 else through(some)
+        place = dict(zip(some.tolist(), range(len(some)), strict=True))
+        for c in reversed(cs.tolist()):
+            if number[c]:
+                x = a @ (matrices[place[int(at[c])]] @ after[at[c]])
+                after[at[c - 1]] = x / x.sum()
 
     forward, message = np.empty_like(p), before
     for i, n in enumerate(live):
@@ -318,7 +348,7 @@ def _predict(emissions: Emissions, texts: list[list[str]]) -> tuple[list[int], l
     at = 0
     while at < len(todo):
         group, n = [], 0
-        while at < len(todo) and (not group or n + len(texts[todo[at]]) <= GROUP_WORDS):
+        while at < len(todo) and (not group or (n + len(texts[todo[at]])) * k <= GROUP_CELLS):
             group.append(todo[at])
             n += len(texts[todo[at]])
             at += 1

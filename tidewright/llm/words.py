@@ -48,13 +48,14 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return mixed(h)
 
 
-# 64-bit word hashes by a polynomial over mixed bytes, modulo 2**64, for all words of many texts at once
+# 64-bit word hashes by a polynomial over mixed bytes, modulo 2**64, for all words of many texts at once. Modulo a power of two
+# some words collide whatever the base: words of two letters in Thue and Morse's order, from 1,024 bytes on. So only short words are hashed that way.
 _SPACE = np.isin(np.arange(256), np.frombuffer(b" \t\n\v\f\r", np.uint8))
 _CODES = mixed(np.arange(1, 257, dtype=np.uint64) * _MUL)
 _LOWER_CODES = _CODES[np.frombuffer(bytes(range(256)).lower(), np.uint8)]
 _BASE = 0x9E3779B97F4A7C1B
-#: Words of more bytes are hashed one by one; others in blocks of about BLOCK bytes.
-_LONG, _BLOCK = 1 << 15, 1 << 17
+#: Words of more bytes are hashed by xxh3, one by one; others in blocks of about BLOCK bytes.
+_LONG, _BLOCK = 64, 1 << 17
 _powers: list[np.ndarray] = []
 
 
@@ -93,23 +94,19 @@ def word_hashes(texts: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     start = np.flatnonzero(begins & ~before[:-1])
     end = np.flatnonzero(begins & ~after[1:]) + 1
     codes, (up, down) = _LOWER_CODES if lower else _CODES, _tables()
-    out = np.empty(len(start), np.uint64)
-    long = np.flatnonzero(end - start > _LONG)
-    i = 0
-    while i < len(start):
-        if end[i] - start[i] > _LONG:
-            word = data[start[i] : end[i]].tobytes()
-            out[i] = xxhash.xxh3_64_intdigest(word.lower() if lower else word)
-            i += 1
-            continue
-        stop = int(np.searchsorted(start, start[i] + _BLOCK, side="left"))
-        if len(long) and (later := int(np.searchsorted(long, i))) < len(long):
-            stop = min(stop, int(long[later]))
-        first = int(start[i])
-        sums = np.zeros(int(end[stop - 1]) - first + 1, np.uint64)
-        np.cumsum(codes[data[first : int(end[stop - 1])]] * up[: len(sums) - 1], out=sums[1:])
-        s = start[i:stop] - first
-        out[i:stop] = mixed((sums[end[i:stop] - first] - sums[s]) * down[s])
+    out, long = np.empty(len(start), np.uint64), end - start > _LONG
+    for i in np.flatnonzero(long).tolist():
+        word = data[start[i] : end[i]].tobytes()
+        out[i] = xxhash.xxh3_64_intdigest(word.lower() if lower else word)
+    short = np.flatnonzero(~long)
+    s, e, i = start[short], end[short], 0
+    while i < len(s):
+        stop = int(np.searchsorted(s, s[i] + _BLOCK, side="left"))
+        first, last = int(s[i]), int(e[stop - 1])
+        sums = np.zeros(last - first + 1, np.uint64)
+        np.cumsum(codes[data[first:last]] * up[: last - first], out=sums[1:])
+        own = s[i:stop] - first
+        out[short[i:stop]] = mixed((sums[e[i:stop] - first] - sums[own]) * down[own])
         i = stop
     return out, np.searchsorted(start, at)
 
