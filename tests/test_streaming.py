@@ -1,10 +1,12 @@
 """Live topologies, sinks, restarts, sources."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from tidewright.plans import nodes
 from tidewright.plans.builder import topology
 from tidewright.sources import files, http
 from tidewright.sources.polling import PushBuffer, poll_source
@@ -178,23 +180,74 @@ def test_live_dedupe_within_a_span(spark, tmp_path):
         keyed.dedupe(F.col("user"), most=5).to(lambda df, _: None).run(str(tmp_path / "c2"))
 
 
-def test_state_table(spark, tmp_path):
-    from tidewright.streaming.state_table import StateTable
-
-    t = StateTable(spark, str(tmp_path / "state"), "key string, n bigint, at timestamp")
-    rows = lambda *r: spark.createDataFrame([(k, n, None) for k, n in r], "key string, n bigint, at timestamp")
-    got = lambda df: sorted((r["key"], r["n"]) for r in df.collect())
-    assert got(t.entries()) == [] and t.version() == 0
-    old = t.acquire()
-    assert t.commit(old, "b1", rows(("a", 1), ("b", 2)), offsets={"0": 5}) == "committed" and t.commit(old, "b1", rows(("a", 9))) == "duplicate"
-    new = t.acquire()
-    assert new > old and t.commit(old, "b2", rows(("a", 7))) == "fenced"
-    gone = spark.createDataFrame([("b",)], "key string")
-    assert t.commit(new, "b2", rows(("a", 3), ("c", 4)), gone, {"0": 9, "1": 2}) == "committed"
-    assert got(t.entries()) == [("a", 3), ("c", 4)] and got(t.entries(1)) == [("a", 1), ("b", 2)] and t.offsets() == {"0": 9, "1": 2}
-    assert got(t.get(spark.createDataFrame([("c",), ("z",), (None,)], "key string"))) == [("c", 4)] and t.is_processed("b2") and not t.is_processed("b9")
-    assert t.compact(new, "c1") == "committed" and got(t.entries()) == [("a", 3), ("c", 4)]
-    assert t.restore(new, 1, "r1") == "committed" and got(t.entries()) == [("a", 1), ("b", 2)] and t.restore(new, 1, "r1") == "duplicate"
-    assert t.clear(new, "x1") == "committed" and t.keys().count() == 0 and got(t.entries(2)) == [("a", 3), ("c", 4)]
-    with pytest.raises(ValueError, match="key"):
-        StateTable(spark, str(tmp_path / "other"), "n bigint")
+WINDOWS = {
+    "tumbling": lambda k: k.tumbling("1s", lateness="300ms"),
+    "sliding": lambda k: k.sliding("1s", "400ms", lateness="300ms"),
+    "sliding with gaps": lambda k: k.sliding("400ms", "1s", lateness="300ms"),
+    "session": lambda k: k.session("250ms", lateness="100ms"),
+}
+FOLD = (lambda: [0, [], set()], lambda s, r: [s[0] + 1, [*s[1], r["seq"]], s[2] | {r["ts"] % 7}], lambda at, s: {"n": s[0], "seqs": s[1], "kinds": sorted(s[2]), "length": at["window_end_us"] - at["window_start_us"]}, "n bigint, seqs array<bigint>, kinds array<bigint>, length bigint")
+
+
+@pytest.mark.parametrize("merge", [None, lambda a, b: [a[0] + b[0], a[1] + b[1], a[2] | b[2]]], ids=["apart", "merge"])
+@pytest.mark.parametrize("shape", WINDOWS)
+def test_live_folds_equal_the_replay(spark, tmp_path, shape, merge):
+    """Rows far out of order, beyond the lateness too, over three micro-batches and a restart."""
+    if merge and shape != "session":
+        pytest.skip("only sessions merge")
+    rng = random.Random(len(shape))
+    rows = [(i, rng.choice(["ann", "bob", "cy"]), max(0, int(i * 40 + rng.choice([0, 0, 0, -200, -600, 150, 900, -1500])))) for i in range(90)]
+    rows += [(90, "zed", 10**7), (91, "zed", 10**7 + 1), (92, "zed", 2 * 10**7)]  # time goes on, so that all other windows end
+    shuffled = rows[:30] + rows[30:60] + rows[60:]
+    build = lambda df: WINDOWS[shape](topology(df, "seq", F.col("ts") * 1000).key_by(F.col("user"))).fold(*FOLD, merge=merge)
+    batch = build(spark.createDataFrame(shuffled, SCHEMA)).replay()
+    plain = lambda df: sorted((r["_key"], r["window_start_us"], r["window_end_us"], r["n"], tuple(r["seqs"]), tuple(r["kinds"]), r["length"]) for r in df.collect() if r["_key"] != "zed")
+    src, out, ckpt = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "ckpt")
+    run = lambda: build(files.watch(spark, str(src), SCHEMA, files_per_batch=1)).to(sinks.parquet_sink(out), idempotent=True).run(ckpt, delivery="exactly-once").await_exit(120)
+    one = shuffled[:30]
+    rng.shuffle(one)  # within a micro-batch the ordinal tells
+    put(src, "a", one)
+    put(src, "b", shuffled[30:60])
+    run()
+    put(src, "c", shuffled[60:])
+    run()
+    assert plain(spark.read.parquet(out)) == plain(batch) and plain(batch)
+
+
+def test_processes_forget_by_ttl(spark, tmp_path):
+    import time
+
+    src, got = tmp_path / "in", []
+    put(src, "a", [(0, "ann", 1), (1, "bob", 2)])
+    t = live(spark, src).key_by(F.col("user")).process(lambda: 0, lambda s, r: (s + 1, {"user": r["user"], "n": s + 1}), "user string, n bigint", ttl="5s")
+    handle = t.to(lambda df, _: got.extend(tuple(r) for r in df.collect())).run(str(tmp_path / "ckpt"), trigger={"processingTime": "200 milliseconds"})
+
+    def wait(n):
+        for _ in range(300):
+            if len(got) >= n:
+                return
+            time.sleep(0.2)
+
+    wait(2)
+    time.sleep(8)
+    put(src, "b", [(2, "ann", 3)])
+    wait(3)
+    handle.stop()
+    assert sorted(got) == [("ann", 1), ("ann", 1), ("bob", 1)]
+
+
+def test_fingerprints_tell_plans_apart(spark):
+    keyed = topology(spark.createDataFrame([], SCHEMA), "seq", F.col("ts")).key_by(F.col("user"))
+    plans = [keyed.tumbling("1h").count(), keyed.tumbling("2h").count(), keyed.sliding("1d", "1h").count(), keyed.tumbling("1h", lateness="1m").count(), keyed.join(keyed, "1s"), keyed.join(keyed, "1s", bound="inclusive"), keyed.dedupe(F.col("user"), within="1h"), keyed.dedupe(F.col("user"), within="2h")]
+    plans += [keyed.process(dict, lambda s, r: (s, None), x) for x in ("a int", "a string")] + [keyed.map(a=F.lit(1)), keyed.map(b=F.lit(1))]
+    assert len({nodes.fingerprint(p.node) for p in plans}) == len(plans)
+    assert nodes.fingerprint(keyed.tumbling("1h").count().node) == nodes.fingerprint(keyed.tumbling("60m").count().node)
+
+
+def test_live_sliding_windows_with_gaps(spark, tmp_path):
+    src, got = tmp_path / "in", []
+    put(src, "a", [(0, "ann", 100), (1, "ann", 700), (2, "ann", 1200), (3, "ann", 1399)])
+    put(src, "b", [(4, "ann", 9000)])
+    t = live(spark, src).key_by(F.col("user")).sliding("400ms", "1s").count()
+    t.to(lambda df, _: got.extend((r["window_start_us"], r["window_end_us"], r["count"]) for r in df.collect())).run(str(tmp_path / "c")).await_exit(60)
+    assert sorted(got) == [(0, 400_000, 1), (1_000_000, 1_400_000, 2)]

@@ -78,6 +78,22 @@ def needs_scan(df: DataFrame, time: str, gap_us: int) -> bool:
     return not df.where((F.col(time) < F.col(WM)) & (F.col(WM) - F.col(time) <= gap_us)).isEmpty()
 
 
+def session_step(open_: list[list], row: dict, t: int | None, mark: int | None, gap_us: int, init: Callable, add: Callable, merge: Callable | None) -> tuple[list[list], list[list]]:
+    """Open sessions (start, end, state) after one more row, and those that its watermark closes. A row without a time, or a late one, is in none."""
+    closed = [s for s in open_ if mark is not None and mark - s[1] > gap_us]
+    open_ = [s for s in open_ if mark is None or mark - s[1] <= gap_us]
+    if t is None or (mark is not None and mark - t > gap_us):
+        return open_, closed
+    touched = sorted((s for s in open_ if s[0] - gap_us <= t <= s[1] + gap_us), key=lambda s: s[0])
+    touched = touched if merge else touched[:1]
+    value = touched[0][2] if len(touched) == 1 else init()
+    for s in touched if len(touched) > 1 else ():
+        value = merge(value, s[2])
+    open_ = [s for s in open_ if not any(s is x for x in touched)]
+    open_.append([min([t, *(s[0] for s in touched)]), max([t, *(s[1] for s in touched)]), add(value, row)])
+    return open_, closed
+
+
 def fold_sessions(
     df: DataFrame, keys: Sequence[str], time: str, seq: str, gap_us: int, init: Callable[[], Any], add: Callable[[Any, dict], Any],
     emit: Callable[[dict, Any], dict], schema: str, merge: Callable[[Any, Any], Any] | None = None,
@@ -95,17 +111,7 @@ def fold_sessions(
 
         def take(row: dict) -> list[dict]:
             nonlocal open_
-            t, mark = row[time], row[WM]
-            closed = [s for s in open_ if mark is not None and mark - s[1] > gap_us]
-            open_ = [s for s in open_ if mark is None or mark - s[1] <= gap_us]
-            if mark is None or mark - t <= gap_us:  # or else it is late
-                touched = sorted((s for s in open_ if s[0] - gap_us <= t <= s[1] + gap_us), key=lambda s: s[0])
-                touched = touched if merge else touched[:1]
-                value = touched[0][2] if len(touched) == 1 else init()
-                for s in touched if len(touched) > 1 else ():
-                    value = merge(value, s[2])
-                open_ = [s for s in open_ if not any(s is x for x in touched)]
-                open_.append([min([t, *(s[0] for s in touched)]), max([t, *(s[1] for s in touched)]), add(value, row)])
+            open_, closed = session_step(open_, row, row[time], row[WM], gap_us, init, add, merge)
             return list(map(put, closed))
 
         return take, lambda: list(map(put, open_))

@@ -74,8 +74,9 @@ class Keyed(Topology):
         it. A live query with neither remembers all keys."""
         return self._with(nodes.Dedupe(self.node, key, most, name, None if within is None else Duration.of(within).micros))
 
-    def process(self, init: Callable[[], Any], step: Callable[[Any, dict], tuple[Any, dict | None]], schema: str, name: str | None = None) -> Keyed:
-        return self._with(nodes.Process(self.node, init, step, schema, name))
+    def process(self, init: Callable[[], Any], step: Callable[[Any, dict], tuple[Any, dict | None]], schema: str, name: str | None = None, ttl: str | float | None = None) -> Keyed:
+        """A live query forgets the state of a key for which no row has come in `ttl`; a replay forgets none."""
+        return self._with(nodes.Process(self.node, init, step, schema, name, None if ttl is None else Duration.of(ttl).micros))
 
     def join(self, other: Keyed, within: str | float, bound: str = "strict", name: str | None = None) -> Keyed:
         return self._with(nodes.IntervalJoin(self.node, other.node, Duration.of(within).micros, bound, name))
@@ -100,7 +101,7 @@ class WindowedTopology:
 
     def fold(self, init: Callable[[], Any], add: Callable[[Any, dict], Any], emit: Callable[[dict, Any], dict], schema: str, merge: Callable[[Any, Any], Any] | None = None) -> Topology:
         """A user's aggregate: add(state, row) in arrival order from init(), then emit(keys and bounds, state) to a row of `schema`. Sessions
-        that a row bridges become one by `merge`; without it they stay apart. Replay only."""
+        that a row bridges become one by `merge`; without it they stay apart. Live, states have to be values that JSON or codecs.dumps holds."""
         nodes.check_names(self.node)
         return Topology(nodes.Fold(self.node, init, add, emit, merge, schema))
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -90,6 +90,7 @@ class Process(Node):
     step: Callable[[Any, dict], tuple[Any, dict | None]] | None = None
     schema: str = ""
     name: str | None = None
+    ttl_us: int | None = None
 
 
 @dataclass(frozen=True)
@@ -171,5 +172,15 @@ def lint(node: Node) -> list[str]:
 
 
 def fingerprint(node: Node) -> str:
-    """Kinds and names in order: a checkpoint belongs to one fingerprint."""
-    return ">".join(f"{n.kind}:{getattr(n, 'name', None) or ''}" for n in node.walk())
+    """Kinds in order, with names, sizes, lateness, bounds and schemas: a checkpoint belongs to one fingerprint. Expressions and functions aren't in it, as
+    they have no text that stays the same between runs."""
+
+    def of(n: Node) -> str:
+        plain = {f.name: v for f in fields(n) if isinstance(v := getattr(n, f.name), (str, int, tuple)) and all(isinstance(x, str) for x in (v if isinstance(v, tuple) else ()))}
+        if isinstance(n, Source) and n.rows is not None:
+            plain["columns"] = n.rows.schema.simpleString()
+        if isinstance(n, (Project, Aggregate)):
+            plain["columns"] = list(n.columns) if isinstance(n.columns, dict) else len(n.columns)
+        return f"{n.kind}({', '.join(f'{k}={v!r}' for k, v in plain.items())})"
+
+    return ">".join(map(of, node.walk()))

@@ -1,32 +1,32 @@
 """A topology as a Structured Streaming query.
 
 Spark's watermark is global and moves between micro-batches, so a late row is dropped one batch later than in a replay; for input
-in order, or lateness that covers the disorder, both give the same windows. Windows still open when a query ends stay in
-the checkpoint: the next run goes on with them. A replay emits them all.
+in order, or lateness that covers the disorder, both give the same windows. Users' aggregates (`fold`) carry the record's own watermark along, so they
+agree on any disorder (see stateful). Windows still open when a query ends stay in the checkpoint: the next run goes on with them. A replay emits them all.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
-from typing import Any
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions import codecs
 from ..operators import ordered
 from ..plans import nodes
 from ..plans.replay import KEY
 from ..sources.events import SEQ, TIME
+from . import stateful
 from .sinks import Ledger
-
-_STAMP = "_event_time"
+from .stateful import STAMP as _STAMP
 
 
 def lower(node: nodes.Node) -> DataFrame:
+    if isinstance(node, nodes.Fold):
+        w = node.parent
+        return stateful.fold_windows(lower(w.parent), KEY, w.shape, w.size_us, w.slide_us, w.lateness_us, node.init, node.add, node.emit, node.schema, node.merge)
     df = lower(node.parent) if node.parent else None
     match node:
         case nodes.Source():
@@ -48,7 +48,7 @@ def lower(node: nodes.Node) -> DataFrame:
         case nodes.Dedupe():
             return _dedupe(df.withColumn("_dedupe", node.key), node).drop("_dedupe", _STAMP)
         case nodes.Process():
-            return _process(df, node)
+            return stateful.process(df, KEY, node.init, node.step, node.schema, node.ttl_us)
         case nodes.Windowed():
             return df.withColumn(_STAMP, F.timestamp_micros(TIME)).withWatermark(_STAMP, f"{node.lateness_us} microseconds")
         case nodes.Aggregate():
@@ -76,7 +76,11 @@ def _windows(df: DataFrame, node: nodes.Aggregate) -> DataFrame:
         start, end = F.unix_micros(F.col("session_window.start")), F.unix_micros(F.col("session_window.end")) - w.size_us
         return out.withColumns({"window_start_us": start, "window_end_us": end}).drop("session_window")
     if w.shape == "sliding" and w.slide_us > w.size_us:
-        raise ValueError("live windows can't leave gaps; replay can")
+        # windows as long as the slide, of which the gaps are cut off first
+        at = F.window(_STAMP, f"{w.slide_us} microseconds")
+        out = df.where(F.pmod(F.col(TIME), F.lit(w.slide_us)) < w.size_us).groupBy(KEY, at).agg(*node.columns)
+        start = F.unix_micros(F.col("window.start"))
+        return out.withColumns({"window_start_us": start, "window_end_us": start + w.size_us}).drop("window").where("window_start_us >= 0")
     slide = w.slide_us if w.shape == "sliding" else w.size_us
     at = F.window(_STAMP, f"{w.size_us} microseconds", f"{slide} microseconds")
     out = df.groupBy(KEY, at).agg(*node.columns)
@@ -95,27 +99,8 @@ def _join(left: DataFrame, right: DataFrame, node: nodes.IntervalJoin) -> DataFr
     return a.join(b, (F.col("_ka") == F.col("_kb")) & near).select("left", "right", F.col("_ka").alias(KEY))
 
 
-def _process(df: DataFrame, node: nodes.Process) -> DataFrame:
-    """The state machine by applyInPandasWithState; its state is kept as lossless JSON, so it may hold dates, sets and maps."""
-    from pyspark.sql.types import _parse_datatype_string
-
-    names, init, step = _parse_datatype_string(node.schema).fieldNames(), node.init, node.step
-
-    def run(_: tuple, batches: Iterator[pd.DataFrame], held: Any) -> Iterator[pd.DataFrame]:
-        state = codecs.loads(held.get[0]) if held.exists else init()
-        out = []
-        for row in pd.concat(list(batches)).sort_values(SEQ, kind="stable").to_dict("records"):
-            state, emitted = step(state, row)
-            if emitted is not None:
-                out.append(emitted)
-        held.update((codecs.dumps(state),))
-        yield pd.DataFrame(out, columns=names)
-
-    return df.groupBy(KEY).applyInPandasWithState(run, node.schema, "state string", "append", "NoTimeout")
-
-
 #: What Spark calls the operators that hold each kind of state.
-_STATES = {"dedupe_size": ("dedupe",), "active_windows": ("stateStoreSave", "sessionWindow"), "join_buffer_size": ("symmetricHashJoin",)}
+_STATES = {"dedupe_size": ("dedupe",), "active_windows": ("stateStoreSave", "sessionWindow", "transformWithState"), "join_buffer_size": ("symmetricHashJoin",)}
 
 
 class Handle:
