@@ -1,5 +1,5 @@
 """Operators whose result depends on the order of rows. `order` is a column with distinct values: files have no arrival
-order, so a source must declare its ordinal."""
+order, so a source must declare its ordinal. Rows without one come first, everywhere. No name of a column clashes."""
 
 from __future__ import annotations
 
@@ -10,7 +10,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spread import running, with_index, with_next, with_previous
+from .spread import running, unused, with_index, with_next, with_previous
+
+
+def place(order: str) -> Column:
+    """A row's order as a struct, which min_by, max_by and comparisons don't skip where the order is null: nulls come first."""
+    return F.struct(F.col(f"`{order}`").alias("o"))
 
 
 def truthy(p: Column) -> Column:
@@ -39,48 +44,52 @@ def drop(df: DataFrame, n: int, order: str) -> DataFrame:
     except for rows that tie with it, of which positions tell."""
     if n <= 0:
         return df
-    first = df.select(F.col(order).alias("_o")).orderBy("_o").limit(n)
-    bound = first.agg(F.max(F.struct("_o")).alias("_bound"), F.count(F.lit(1)).alias("_n"))
-    here = F.struct(F.col(order).alias("_o"))
-    rest = df.join(F.broadcast(bound), F.col("_n") == n)
-    after = rest.where(here > F.col("_bound")).select(*df.columns)
+    bound, count, go, tie = (unused(df, x) for x in ("_bound", "_count", "_go", "_tie"))
+    first = df.select(place(order).alias("o")).orderBy("o").limit(n)
+    last = first.agg(F.max("o").alias(bound), F.count(F.lit(1)).alias(count))
+    rest = df.join(F.broadcast(last), F.col(count) == n)
+    after = rest.where(place(order) > F.col(bound)).select(*df.columns)
     # of the tied rows, as many go as the first n have
-    same = first.join(F.broadcast(bound), F.struct("_o") == F.col("_bound")).agg(F.count(F.lit(1)).alias("_go"))
-    tied = with_index(rest.where(here == F.col("_bound")).select(*df.columns), order, "_tie").join(F.broadcast(same), F.col("_tie") >= F.col("_go"))
+    same = first.join(F.broadcast(last), F.col("o") == F.col(bound)).agg(F.count(F.lit(1)).alias(go))
+    tied = with_index(rest.where(place(order) == F.col(bound)).select(*df.columns), order, tie).join(F.broadcast(same), F.col(tie) >= F.col(go))
     return after.unionByName(tied.select(*df.columns))
 
 
-def _first_failing(df: DataFrame, p: Column, order: str) -> DataFrame:
-    return F.broadcast(df.where(~truthy(p)).agg(F.min(order).alias("_fails")))
+def _first_failing(df: DataFrame, p: Column, order: str, name: str) -> DataFrame:
+    return F.broadcast(df.where(~truthy(p)).agg(F.min(place(order)).alias(name)))
 
 
 def take_while(df: DataFrame, p: Column, order: str) -> DataFrame:
     """The prefix before the first row that fails: one aggregate, then a filter."""
-    return df.join(_first_failing(df, p, order), F.col("_fails").isNull() | (F.col(order) < F.col("_fails"))).select(*df.columns)
+    fails = unused(df, "_fails")
+    return df.join(_first_failing(df, p, order, fails), F.col(fails).isNull() | (place(order) < F.col(fails))).select(*df.columns)
 
 
 def drop_while(df: DataFrame, p: Column, order: str) -> DataFrame:
-    return df.join(_first_failing(df, p, order), F.col(order) >= F.col("_fails")).select(*df.columns)
+    fails = unused(df, "_fails")
+    return df.join(_first_failing(df, p, order, fails), place(order) >= F.col(fails)).select(*df.columns)
 
 
 def take_until(df: DataFrame, time: str, signal: DataFrame, signal_time: str) -> DataFrame:
     """Rows before the first signal; an empty signal has no effect."""
-    first = F.broadcast(signal.agg(F.min(signal_time).alias("_signal")))
-    return df.join(first, F.col("_signal").isNull() | (F.col(time) < F.col("_signal"))).select(*df.columns)
+    name = unused(df, "_signal")
+    first = F.broadcast(signal.agg(F.min(signal_time).alias(name)))
+    return df.join(first, F.col(name).isNull() | (F.col(time) < F.col(name))).select(*df.columns)
 
 
 def interrupt_after(df: DataFrame, time: str, ms: float) -> DataFrame:
     """Rows less than ms after the first."""
-    first = F.broadcast(df.agg(F.min(time).alias("_first")))
-    return df.join(first, F.unix_micros(time) < F.unix_micros("_first") + int(ms * 1000)).select(*df.columns)
+    name = unused(df, "_first")
+    first = F.broadcast(df.agg(F.min(time).alias(name)))
+    return df.join(first, F.unix_micros(time) < F.unix_micros(name) + int(ms * 1000)).select(*df.columns)
 
 
 def head(df: DataFrame, order: str) -> DataFrame:
-    return df.groupBy().agg(F.min_by(F.struct(*df.columns), order).alias("r")).where("r is not null").select("r.*")
+    return df.groupBy().agg(F.min_by(F.struct(*df.columns), place(order)).alias("r")).where("r is not null").select("r.*")
 
 
 def last(df: DataFrame, order: str) -> DataFrame:
-    return df.groupBy().agg(F.max_by(F.struct(*df.columns), order).alias("r")).where("r is not null").select("r.*")
+    return df.groupBy().agg(F.max_by(F.struct(*df.columns), place(order)).alias("r")).where("r is not null").select("r.*")
 
 
 def collect_first(df: DataFrame, p: Column, order: str) -> DataFrame:
@@ -101,8 +110,9 @@ def zip_with_next(df: DataFrame, order: str, column: str, name: str = "next", pa
 
 def changes(df: DataFrame, order: str, column: str, partition: Sequence[str] = ()) -> DataFrame:
     """Drops rows equal to their predecessor."""
-    before = running(df, order, {"_before": ("last", F.struct(F.col(column).alias("v")))}, partition, inclusive=False)
-    return before.where(F.col("_before").isNull() | ~F.col(column).eqNullSafe(F.col("_before")["v"])).select(*df.columns)
+    name = unused(df, "_before")
+    before = running(df, order, {name: ("last", F.struct(F.col(column).alias("v")))}, partition, inclusive=False)
+    return before.where(F.col(name).isNull() | ~F.col(column).eqNullSafe(F.col(name)["v"])).select(*df.columns)
 
 
 def scan(df: DataFrame, order: str, kind: str, value: Column, seed: Any, name: str = "state") -> DataFrame:
@@ -130,7 +140,8 @@ def grouped(df: DataFrame, n: int, order: str, column: str) -> DataFrame:
     """Consecutive batches of n, the last one shorter: batch, items."""
     if n < 1:
         raise ValueError("a batch has one row or more")
-    at = with_index(df, order, "_i").select(F.floor(F.col("_i") / n).cast("bigint").alias("batch"), "_i", F.col(column).alias("v"))
+    i = unused(df, "_i")
+    at = with_index(df, order, i).select(F.floor(F.col(i) / n).cast("bigint").alias("batch"), F.col(i).alias("_i"), F.col(column).alias("v"))
     return at.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("_i", "v"))).alias("s")).select("batch", F.col("s")["v"].alias("items"))
 
 
@@ -138,7 +149,8 @@ def count_sliding(df: DataFrame, size: int, order: str, column: str, step: int =
     """Full windows of `size` rows every `step` rows: first (position), items. Each row goes to its windows, size / step at most."""
     if size < 1 or step < 1:
         raise ValueError("size and step are one or more")
-    at = with_index(df, order, "_i")
+    i = unused(df, "_i")
+    at = with_index(df, order, i).select(F.col(i).alias("_i"), F.col(column).alias(column))
     low, high = F.greatest(F.ceil((F.col("_i") - size + 1) / step), F.lit(0)), F.floor(F.col("_i") / step)
     spread = at.where(low <= high).select("_i", F.col(column).alias("v"), F.explode(F.sequence(low, high)).alias("_w"))
     out = spread.groupBy((F.col("_w") * step).cast("bigint").alias("first")).agg(F.array_sort(F.collect_list(F.struct("_i", "v"))).alias("s")).where(F.size("s") == size)
@@ -147,13 +159,14 @@ def count_sliding(df: DataFrame, size: int, order: str, column: str, step: int =
 
 def dedupe_first(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """The first row of each key: a minimum by order, combined before the shuffle."""
-    return df.groupBy(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys))).agg(F.min_by(F.struct(*df.columns), order).alias("r")).select("r.*")
+    return df.groupBy(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys))).agg(F.min_by(F.struct(*df.columns), place(order)).alias("r")).select("r.*")
 
 
 def zip_rows(a: DataFrame, b: DataFrame, order_a: str, order_b: str) -> DataFrame:
     """Positional pairs as structs left and right, up to the shorter side."""
-    x = with_index(a, order_a, "_i").select("_i", F.struct(*a.columns).alias("left"))
-    y = with_index(b, order_b, "_j").select("_j", F.struct(*b.columns).alias("right"))
+    i, j = unused(a, "_i"), unused(b, "_j")
+    x = with_index(a, order_a, i).select(F.col(i).alias("_i"), F.struct(*a.columns).alias("left"))
+    y = with_index(b, order_b, j).select(F.col(j).alias("_j"), F.struct(*b.columns).alias("right"))
     return x.join(y, F.col("_i") == F.col("_j")).select(F.col("_i").alias("index"), "left", "right")
 
 
@@ -181,8 +194,9 @@ def flat_map(df: DataFrame, values: Column, name: str, position: str = "pos") ->
 
 def switch_map(outer: DataFrame, inner: DataFrame, order: str, outer_time: str, inner_time: str, on: str) -> DataFrame:
     """Inner rows of an outer row, until the next outer row arrives."""
-    until = with_next(outer, order, {"_until": F.col(outer_time)}).select(F.col(on).alias("_on"), "_until")
-    return inner.join(until, F.col(on) == F.col("_on")).where(F.col("_until").isNull() | (F.col(inner_time) < F.col("_until"))).select(*inner.columns)
+    own, end, key = unused(outer, "_until"), unused(inner, "_until"), unused(inner, "_on")
+    until = with_next(outer, order, {own: F.col(outer_time)}).select(F.col(on).alias(key), F.col(own).alias(end))
+    return inner.join(until, F.col(on) == F.col(key)).where(F.col(end).isNull() | (F.col(inner_time) < F.col(end))).select(*inner.columns)
 
 
 def merge_all(*dfs: DataFrame) -> DataFrame:

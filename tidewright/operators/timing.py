@@ -8,24 +8,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .joins import with_latest
-from .spread import running, with_next, with_previous
+from .ordered import place
+from .spread import running, unused, with_next, with_previous
 
 
 def debounce(df: DataFrame, order: str, time: str, quiet: int, keys: Sequence[str] = ()) -> DataFrame:
     """Rows followed by `quiet` of silence; the last one always."""
-    out = with_next(df, order, {"_next": F.col(time)}, keys)
-    return out.where(F.col("_next").isNull() | (F.col("_next") - F.col(time) >= quiet)).select(*df.columns)
+    name = unused(df, "_next")
+    out = with_next(df, order, {name: F.col(time)}, keys)
+    return out.where(F.col(name).isNull() | (F.col(name) - F.col(time) >= quiet)).select(*df.columns)
 
 
 def sample(df: DataFrame, order: str, time: str, every: int, keys: Sequence[str] = ()) -> DataFrame:
     """The latest row of each interval; what the last, open interval holds is dropped."""
     slot = F.floor(F.col(time) / every).cast("bigint")
-    latest = df.groupBy(*keys, slot.alias("_slot")).agg(F.max_by(F.struct(*df.columns), order).alias("_r"))
-    open_ = F.broadcast(df.agg(F.max(slot).alias("_open"))) if not keys else df.groupBy(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys))).agg(F.max(slot).alias("_open"))
+    latest = df.groupBy(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keys)), slot.alias("slot")).agg(F.max_by(F.struct(*df.columns), place(order)).alias("row"))
+    open_ = F.broadcast(df.agg(F.max(slot).alias("open"))) if not keys else df.groupBy(*(F.col(k).alias(f"o{i}") for i, k in enumerate(keys))).agg(F.max(slot).alias("open"))
     on = F.lit(True)
-    for i, k in enumerate(keys):
-        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    return latest.join(open_, on).where("_slot < _open").select("_r.*")
+    for i in range(len(keys)):
+        on = on & F.col(f"k{i}").eqNullSafe(F.col(f"o{i}"))
+    return latest.join(open_, on).where("slot < open").select("row.*")
 
 
 def offset_islands(df: DataFrame, partition: str, offset: str) -> DataFrame:
@@ -38,9 +40,10 @@ def offset_islands(df: DataFrame, partition: str, offset: str) -> DataFrame:
 
 def timeout(df: DataFrame, order: str, time: str, most: int) -> DataFrame:
     """The rows before the first gap of more than `most` between two of them."""
-    gaps = with_previous(df, order, {"_before": F.col(time)})
-    first = F.broadcast(gaps.where(F.col(time) - F.col("_before") > most).agg(F.min(order).alias("_fails")))
-    return df.join(first, F.col("_fails").isNull() | (F.col(order) < F.col("_fails"))).select(*df.columns)
+    before, fails = unused(df, "_before"), unused(df, "_fails")
+    gaps = with_previous(df, order, {before: F.col(time)})
+    first = F.broadcast(gaps.where(F.col(time) - F.col(before) > most).agg(F.min(place(order)).alias(fails)))
+    return df.join(first, F.col(fails).isNull() | (place(order) < F.col(fails))).select(*df.columns)
 
 
 def pause_when(df: DataFrame, time: str, signals: DataFrame, signal_time: str, paused: str, name: str = "delivered_at") -> DataFrame:
