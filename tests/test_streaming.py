@@ -251,3 +251,18 @@ def test_live_sliding_windows_with_gaps(spark, tmp_path):
     t = live(spark, src).key_by(F.col("user")).sliding("400ms", "1s").count()
     t.to(lambda df, _: got.extend((r["window_start_us"], r["window_end_us"], r["count"]) for r in df.collect())).run(str(tmp_path / "c")).await_exit(60)
     assert sorted(got) == [(0, 400_000, 1), (1_000_000, 1_400_000, 2)]
+
+
+def test_live_retention_equals_the_replay(spark, tmp_path):
+    src, got, ckpt = tmp_path / "in", [], str(tmp_path / "c")
+    rng = random.Random(12)
+    rows = [(i, rng.choice(["ann", "bob", "cy"]), max(0, i * 100 + rng.choice([0, 0, -300, 200]))) for i in range(120)]
+    build = lambda df: topology(df, "seq", F.col("ts") * 1000).key_by(F.col("user")).dedupe(F.col("user"), within="700ms")
+    want = sorted(r["seq"] for r in build(spark.createDataFrame(rows, SCHEMA)).replay().collect())
+    run = lambda: build(files.watch(spark, str(src), SCHEMA, files_per_batch=1)).to(lambda df, _: got.extend(r["seq"] for r in df.collect())).run(ckpt).await_exit(120)
+    put(src, "a", rows[:40])
+    put(src, "b", rows[40:80])
+    run()
+    put(src, "c", rows[80:])
+    run()
+    assert sorted(got) == want and len(want) > 20

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from heapq import heappop, heappush
 from time import monotonic
 
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .spread import running, unused
+from .state import scan
 
 SLOT = "_slot"
 #: Most rows of a lookup side that is sent to every task.
@@ -30,6 +32,35 @@ def interval_join(left: DataFrame, right: DataFrame, key: str, time: str, window
     return a.join(b, (F.col("_ka") == F.col("_kb")) & (F.col(SLOT) == F.col("_sb")) & fits).select("left", "right")
 
 
+def interval_join_evicting(left: DataFrame, right: DataFrame, key: str, time: str, seq: str, window_us: int) -> DataFrame:
+    """Pairs at most window_us apart, as buffers that forget give them: a row that comes (by `seq`, distinct over both sides) makes its key's
+    buffers forget all rows that are window_us or more older than it, before it looks for partners. So a pair meets unless a row that far ahead comes
+    between the two. Which row makes each one forgotten is found in a scan of a key that holds what its buffers would; the pairs follow from an interval join."""
+    columns = [F.col(f"`{key}`").alias("key"), F.col(time).alias("t"), F.col(seq).alias("seq")]
+    both = left.select(*columns).unionByName(right.select(*columns)).where("key is not null and t is not null")
+
+    def begin(_: dict) -> tuple:
+        held: list[tuple] = []
+
+        def take(row: dict) -> list[dict]:
+            out = []
+            while held and held[0][0] <= row["t"] - window_us:
+                out.append({"seq": heappop(held)[1], "forgotten": row["seq"]})
+            heappush(held, (row["t"], row["seq"]))
+            return out
+
+        return take, lambda: ()
+
+    dead = scan(both, ["key"], "seq", "seq bigint, forgotten bigint", begin).withColumnRenamed("seq", "gone")
+    name = unused(left, unused(right, "_forgotten"))
+    sides = [x.join(dead, F.col(seq) == F.col("gone"), "left").select(*x.columns, F.col("forgotten").alias(name)) for x in (left, right)]
+    pairs = interval_join(*sides, key, time, window_us, "inclusive")
+    before = F.col("left")[seq] < F.col("right")[seq]
+    forgotten, later = F.when(before, F.col("left")[name]).otherwise(F.col("right")[name]), F.greatest(F.col("left")[seq], F.col("right")[seq])
+    met = pairs.where(forgotten.isNull() | (later < forgotten))
+    return met.select(F.col("left").dropFields(name).alias("left"), F.col("right").dropFields(name).alias("right"))
+
+
 def _tagged(main: DataFrame, side: DataFrame, order: str) -> DataFrame:
     a = main.select(F.col(order).alias("_o"), F.lit(1).alias("_kind"), F.struct(*main.columns).alias("_main"), F.lit(None).cast(side.select(F.struct(*side.columns).alias("s")).schema["s"].dataType).alias("_side"))
     b = side.select(F.col(order).alias("_o"), F.lit(0).alias("_kind"), F.lit(None).cast(a.schema["_main"].dataType).alias("_main"), F.struct(*side.columns).alias("_side"))

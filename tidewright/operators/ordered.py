@@ -150,9 +150,9 @@ def count_sliding(df: DataFrame, size: int, order: str, column: str, step: int =
     if size < 1 or step < 1:
         raise ValueError("size and step are one or more")
     i = unused(df, "_i")
-    at = with_index(df, order, i).select(F.col(i).alias("_i"), F.col(column).alias(column))
+    at = with_index(df, order, i).select(F.col(i).alias("_i"), F.col(column).alias("v"))
     low, high = F.greatest(F.ceil((F.col("_i") - size + 1) / step), F.lit(0)), F.floor(F.col("_i") / step)
-    spread = at.where(low <= high).select("_i", F.col(column).alias("v"), F.explode(F.sequence(low, high)).alias("_w"))
+    spread = at.where(low <= high).select("_i", "v", F.explode(F.sequence(low, high)).alias("_w"))
     out = spread.groupBy((F.col("_w") * step).cast("bigint").alias("first")).agg(F.array_sort(F.collect_list(F.struct("_i", "v"))).alias("s")).where(F.size("s") == size)
     return out.select("first", F.col("s")["v"].alias("items"))
 

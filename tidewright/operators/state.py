@@ -113,6 +113,29 @@ def dedupe_capped(df: DataFrame, key: str, order: str, partition: str, most: int
     return _filter(df, [partition], order, begin)
 
 
+def passes(last: int | None, t: int | None, within: int) -> bool:
+    """Whether a copy passes after one of time `last` has: its time is more than `within` later. One without a time doesn't."""
+    return t is not None and (last is None or t > last + within)
+
+
+def dedupe_within(df: DataFrame, keys: Sequence[str], order: str, time: str, within: int) -> DataFrame:
+    """The first row of each key, and again the first one after its identifier was forgotten, `within` after the last that passed: passes form chains."""
+
+    def begin() -> Callable[[dict], bool]:
+        last, any_ = None, False
+
+        def new(row: dict) -> bool:
+            nonlocal last, any_
+            if any_ and not passes(last, row[time], within):
+                return False
+            last, any_ = row[time] if row[time] is not None else last, True
+            return True
+
+        return new
+
+    return _filter(df, keys, order, begin)
+
+
 def aggregate_windows(df: DataFrame, keys: Sequence[str], order: str, init: Callable[[], Any], add: Callable[[Any, dict], Any], emit: Callable[[dict, Any], dict], schema: str) -> DataFrame:
     """A user's aggregate over each group of keys, which include the window's bounds: add(state, row) in order, then emit(keys, state)."""
 

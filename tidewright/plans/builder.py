@@ -70,8 +70,8 @@ class Keyed(Topology):
         return self._with(nodes.Shuffle(self.node, partitions))
 
     def dedupe(self, key: Column, most: int | None = None, name: str | None = None, within: str | float | None = None) -> Keyed:
-        """`most` bounds the remembered keys of a replay; `within` bounds a live query's, which forgets a key once the watermark is so far past
-        it. A live query with neither remembers all keys."""
+        """With `within` a key is forgotten so long after its last row that passed, and the next one passes again. `most` bounds the remembered keys
+        of a replay. A live query with neither remembers all keys."""
         return self._with(nodes.Dedupe(self.node, key, most, name, None if within is None else Duration.of(within).micros))
 
     def process(self, init: Callable[[], Any], step: Callable[[Any, dict], tuple[Any, dict | None]], schema: str, name: str | None = None, ttl: str | float | None = None) -> Keyed:

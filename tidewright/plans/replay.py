@@ -65,6 +65,8 @@ class _Replay:
         if node.most is not None:
             return state.dedupe_capped(keyed, "_dedupe", SEQ, PARTITION, node.most).drop("_dedupe")
         keys = ["_dedupe"] if self.scope == "key" else [PARTITION, "_dedupe"]
+        if node.within_us is not None:
+            return state.dedupe_within(keyed, keys, SEQ, TIME, node.within_us).drop("_dedupe")
         return ordered.dedupe_first(keyed, keys, SEQ).drop("_dedupe")
 
     def _process(self, node: nodes.Process, df: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -16,7 +18,7 @@ from .operators import errors, joins, ordered, state, terminals, timing, windows
 from .operators.spread import running
 from .plans.builder import topology
 from .sources import events as ev
-from .sources import queues, records
+from .sources import queues, records, splits
 from .streaming.sinks import guarded_map, split_errors
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -156,6 +158,18 @@ def interval_join_inclusive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("left.event_id").alias("left_id"), F.col("right.event_id").alias("right_id"))
 
 
+@query(f"""with e as (select event_id, user_id, event_type, epoch_us(ts) - (event_id % 7) * {HOUR} as t from events)
+    select a.event_id as left_id, b.event_id as right_id from e a join e b on a.user_id = b.user_id and abs(a.t - b.t) <= {2 * HOUR}
+    where a.event_type = 'view' and b.event_type = 'click' and not exists (select 1 from e m where m.user_id = a.user_id and m.event_type in ('view', 'click')
+      and m.event_id > least(a.event_id, b.event_id) and m.event_id <= greatest(a.event_id, b.event_id)
+      and m.t - {2 * HOUR} >= case when a.event_id < b.event_id then a.t else b.t end)""")
+def interval_join_evicting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Buffers that forget, on rows out of order: fewer pairs than the interval join has."""
+    df = read(spark, sf_dir, "events").withColumn("t", shifted())
+    out = joins.interval_join_evicting(df.where("event_type = 'view'"), df.where("event_type = 'click'"), "user_id", "t", "event_id", 2 * HOUR)
+    return out.select(F.col("left.event_id").alias("left_id"), F.col("right.event_id").alias("right_id"))
+
+
 @query("""select event_id, (select max(b.event_id) from events b where b.user_id = a.user_id and b.event_type = 'view' and b.event_id <= a.event_id) as latest
     from events a where event_type = 'click'
     and exists (select 1 from events b where b.user_id = a.user_id and b.event_type = 'view' and b.event_id <= a.event_id)""")
@@ -935,3 +949,155 @@ def paused(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = timed(spark, sf_dir).select("event_id", "t")
     signals = df.where("event_id % 50 = 7").select(F.col("t").alias("at"), (F.floor(F.col("event_id") / 50) % 2 == 1).alias("stop"))
     return timing.pause_when(df.where("event_id % 50 <> 7"), "t", signals, "at", "stop").select("event_id", "delivered_at")
+
+
+# Commits, closing windows, recovery, retention
+
+
+def _deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of each supplier as offsets of a partition, of which those returned never complete; others complete by their day of shipping, ties by ordinal."""
+    lines = read(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_shipdate", "l_returnflag")
+    offsets = ordered.with_index(lines, ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"], "offset", ["l_suppkey"])
+    done = F.unix_seconds(F.col("l_shipdate").cast("timestamp")) * 100_000 + F.col("offset")
+    return offsets.select("l_suppkey", "offset", F.when(F.col("l_returnflag") != "R", done).when(F.col("offset") % 5 > 0, done + 10**12).alias("done"))
+
+
+_DELIVERIES = """select l_suppkey, o as "offset", case when l_returnflag <> 'R' then d when o % 5 > 0 then d + 1000000000000 end as done
+    from (select *, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 as o, epoch(l_shipdate::timestamp)::bigint * 100000 + o as d from lineitem)"""
+_FRONTIER = f"""with d as ({_DELIVERIES}),
+    r as (select *, max(coalesce(done, 9e18::bigint)) over (partition by l_suppkey order by "offset") as ready from d)
+    select l_suppkey, "offset", done, (select max("offset") + 1 from r b where b.l_suppkey = a.l_suppkey and b.ready <= a.done) as committable from d a where done is not null"""
+
+
+@query(_FRONTIER)
+def commit_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The offset that is committable after each completion."""
+    return timing.commit_frontier(_deliveries(spark, sf_dir), "l_suppkey", "offset", "done")
+
+
+_SPAN = 20 * 86_400 * 100_000
+
+
+@query(f"""with recursive f as ({_FRONTIER}), n as (select *, row_number() over (partition by l_suppkey order by done) as n from f),
+    b as (select l_suppkey, n, done, committable, done as first, 1 as size, 0 as batch from n where n = 1
+      union all select n.l_suppkey, n.n, n.done, n.committable, case when b.size = 8 or n.done >= b.first + {_SPAN} then n.done else b.first end,
+        case when b.size = 8 or n.done >= b.first + {_SPAN} then 1 else b.size + 1 end, case when b.size = 8 or n.done >= b.first + {_SPAN} then b.batch + 1 else b.batch end
+      from b join n on n.l_suppkey = b.l_suppkey and n.n = b.n + 1),
+    e as (select l_suppkey as partition, batch, max(done) as committed_at, max(committable) as committed from b group by all),
+    p as (select *, lag(committed) over (partition by partition order by batch) as before from e)
+    select partition, batch::bigint as batch, committed_at, committed from p where committed is not null and (before is null or committed > before)""")
+def batched_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Acknowledgements in batches of eight, or of twenty days."""
+    return timing.commits(_deliveries(spark, sf_dir), "l_suppkey", "offset", "done", 8, _SPAN)
+
+
+def _closing_sql(found: str, bound: str) -> str:
+    return f"""with e as (select event_id, user_id, epoch_us(ts) - (event_id % 7) * {HOUR} as t from events),
+        m as (select *, max(t) over (order by event_id rows between unbounded preceding and 1 preceding) - {2 * HOUR} as wm from e),
+        moves as (select t - {2 * HOUR} as x, event_id from m where wm is null or t - {2 * HOUR} > wm),
+        f as ({found}),
+        c as (select f.*, (select min(event_id) from moves where x >= {bound}) as closed_seq from f),
+        u as (select *, max(coalesce(closed_seq, 9e18::bigint)) over (partition by user_id order by opened, window_start_us rows between unbounded preceding and 1 preceding) as before from c),
+        s as (select *, max(case when before is null or opened > before then opened end) over (partition by user_id order by opened, window_start_us) as stint from u)
+        select user_id, window_start_us, window_end_us, opened, closed_seq, row_number() over (partition by closed_seq order by stint, window_start_us) - 1 as emitted from s"""
+
+
+@query(_closing_sql(f"select user_id, t - t % {HOUR} as window_start_us, t - t % {HOUR} + {HOUR} as window_end_us, min(event_id) as opened from m where wm is null or t - t % {HOUR} + {HOUR} > wm group by all", "window_end_us"))
+def tumbling_closing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At which record each window is emitted, and in which place there."""
+    df = read(spark, sf_dir, "events").withColumn("t", shifted())
+    found = topology(df, "event_id", F.col("t")).key_by(F.col("user_id")).tumbling("1h", lateness="2h").aggregate(F.min("event_id").alias("opened")).replay()
+    found = found.select(F.col("_key").cast("bigint").alias("user_id"), "window_start_us", "window_end_us", "opened")
+    return windows.with_closing(found, df, ["user_id"], "t", "event_id", "opened", 2 * HOUR)
+
+
+@query(_closing_sql(f"""select user_id, min(t) as window_start_us, max(t) as window_end_us, min(event_id) as opened from (
+      select *, sum(starts) over (partition by user_id order by t, event_id) as n from (
+        select *, case when t - lag(t) over (partition by user_id order by t, event_id) <= {6 * HOUR} then 0 else 1 end as starts from m where wm is null or wm - t <= {6 * HOUR})) group by user_id, n""", f"window_end_us + {6 * HOUR} + 1"))
+def session_closing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = read(spark, sf_dir, "events").withColumn("t", shifted())
+    marked = windows.with_watermark(df, "t", "event_id", 2 * HOUR)
+    found = windows.sessions(marked, ["user_id"], "t", 6 * HOUR, [F.min("event_id").alias("opened")])
+    return windows.with_closing(found, df, ["user_id"], "t", "event_id", "opened", 2 * HOUR, 6 * HOUR)
+
+
+_KIND = "case event_type when 'purchase' then 'ack' when 'click' then 'claim' else 'deliver' end"
+_PENDING = f"""with l as (select event_id, user_id, epoch_us(ts) as t, {_KIND} as kind from events),
+    a as (select *, coalesce(max(case when kind = 'ack' then event_id end) over w, -1) as acked, coalesce(max(case when kind = 'deliver' then event_id end) over w, -1) as opened,
+      coalesce(max(case when kind = 'ack' then event_id end) over (partition by user_id), -1) as last_ack from l window w as (partition by user_id order by event_id)),
+    p as (select user_id as entry, count(*) as deliveries, max(t) as delivered_at, min(event_id) as first_seq from a where kind <> 'ack' and opened > acked and acked = last_ack group by user_id)"""
+
+
+def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timed(spark, sf_dir).select("event_id", "user_id", "t", F.expr(_KIND).alias("kind"))
+
+
+@query(f"{_PENDING} select * from p")
+def pending_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as entries of a log: purchases acknowledge, clicks claim, all else delivers."""
+    return queues.pending(_log(spark, sf_dir), "user_id", "event_id", "t", "kind")
+
+
+_NOW = "(select max(epoch_us(ts)) from events)"
+
+
+@query(f"""{_PENDING} select entry, deliveries + 1 as deliveries, {_NOW} - delivered_at as idle_us, first_seq, deliveries + 1 >= 5 as dead from p where {_NOW} - delivered_at >= {24 * HOUR}""")
+def pending_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries idle for a day are claimed anew; with the fifth delivery they are dead letters."""
+    log = _log(spark, sf_dir)
+    waiting = queues.pending(log, "user_id", "event_id", "t", "kind").crossJoin(F.broadcast(log.agg(F.max("t").alias("now"))))  # one row
+    claimed, dead = queues.recover(waiting, F.col("now"), 24 * HOUR, 5)
+    return claimed.withColumn("dead", F.lit(False)).unionByName(dead.withColumn("dead", F.lit(True)))
+
+
+@query(f"""{_chain("t as last, true as pass", f"case when e.t > r.last + {3 * HOUR} then e.t else r.last end, e.t > r.last + {3 * HOUR}")} select event_id, user_id from r where pass""")
+def dedupe_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user passes again three hours after the last event that passed."""
+    df = read(spark, sf_dir, "events")
+    out = topology(df, "event_id", windows.micros(F.col("ts"))).key_by(F.col("user_id")).dedupe(F.col("user_id"), within="3h").replay()
+    return out.select("event_id", "user_id")
+
+
+# Records by ranges
+
+
+def _registered(spark: SparkSession, what: str) -> str:
+    """A new folder for records, beside the checkpoints if there are such."""
+    splits.register(spark)
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="tidewright-")
+    return f"{at.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+@query("select doc_id, text, lang, source, n_chars from documents")
+def split_csv_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as CSV with line breaks in fields, read by ranges."""
+    docs, path = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars"), _registered(spark, "csv")
+    docs.write.format(splits.NAME).option("kind", "csv").mode("append").save(path)
+    return spark.read.format(splits.NAME).option("kind", "csv").option("split", 1 << 20).schema(docs.schema).load(path)
+
+
+@query("select doc_id, length(text)::bigint as n, sha256(text) as digest from documents")
+def split_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as frames of JSON, read by ranges."""
+    docs, path = read(spark, sf_dir, "documents").select("doc_id", "text"), _registered(spark, "frames")
+    docs.select(F.encode(F.to_json(F.struct("doc_id", "text")), "UTF-8").alias("frame")).write.format(splits.NAME).mode("append").save(path)
+    back = spark.read.format(splits.NAME).option("split", 1 << 20).load(path).select(F.from_json(F.decode("frame", "UTF-8"), "doc_id bigint, text string").alias("r"))
+    return back.select("r.doc_id", F.length("r.text").cast("bigint").alias("n"), F.sha2("r.text", 256).alias("digest"))
+
+
+@query("select o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority from orders")
+def committed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders in two batches, of which one comes twice and one fails and comes again."""
+    orders, path = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"), _registered(spark, "orders")
+    odd = F.col("o_orderkey") % 2 == 1
+    write = lambda df, batch: df.write.format(splits.NAME).option("kind", "csv").option("batch", batch).mode("append").save(path)
+    write(orders.where(odd), "odd")
+    write(orders.where(odd), "odd")
+    failing = F.when(F.col("o_orderpriority").isNotNull(), F.raise_error(F.lit("the sink's failure"))).otherwise(F.col("o_orderpriority"))
+    try:
+        write(orders.where(~odd).withColumn("o_orderpriority", failing.cast("string")), "even")
+    except Exception as e:  # the failure that is asked for, and no other
+        if "the sink's failure" not in str(e):
+            raise
+    write(orders.where(~odd), "even")
+    return spark.read.format(splits.NAME).option("kind", "csv").schema(orders.schema).load(path)

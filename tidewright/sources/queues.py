@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.spread import running, unused
 from ..operators.state import dedupe_capped
 
 STATUSES = ("pending", "processing", "completed", "dead")
@@ -84,3 +85,29 @@ def purge(queue: DataFrame) -> DataFrame:
 def drop_repeated(changes: DataFrame, key: str, order: str, feed: str, most: int = 10_000) -> DataFrame:
     """Changes of each feed that are not among the last `most` ones let through: polled pages overlap."""
     return dedupe_capped(changes, key, order, feed, most)
+
+
+def pending(log: DataFrame, entry: str, seq: str, time: str, kind: str) -> DataFrame:
+    """What a log of a group's deliveries, claims and acknowledgements (`kind`: deliver, claim, ack) leaves pending: entry, deliveries (claims too), delivered_at
+    (the latest), first_seq. An acknowledgement ends an entry; a later delivery opens it again, claims of what isn't open count for nothing."""
+    tag = unused(log, "_l")
+    marks = {f"{tag}{k}": ("max", F.when(F.col(kind) == k, F.col(seq))) for k in ("deliver", "ack")}
+    rows = running(log.where(F.col(entry).isNotNull()), seq, marks, [entry])
+    acked, opened = F.coalesce(f"{tag}ack", F.lit(-1)), F.coalesce(f"{tag}deliver", F.lit(-1))
+    counted = F.col(kind).isin("deliver", "claim") & (opened > acked)
+    spans = rows.withColumn(f"{tag}a", acked).groupBy(F.col(entry).alias("entry"), f"{tag}a").agg(
+        F.count_if(counted).alias("deliveries"), F.max(F.when(counted, F.col(time))).alias("delivered_at"), F.min(F.when(counted, F.col(seq))).alias("first_seq")
+    )
+    last = spans.groupBy("entry").agg(F.max_by(F.struct("deliveries", "delivered_at", "first_seq"), f"{tag}a").alias("r"))
+    return last.select("entry", "r.*").where("deliveries > 0")
+
+
+def recover(waiting: DataFrame, now: Column, min_idle_us: int, max_deliveries: int | None = None, count: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(entries claimed anew, dead letters) of pending(): those idle for min_idle_us, the `count` first by first_seq if it is given. A claim is a
+    delivery more; with max_deliveries those that have come to it are dead letters."""
+    idle = waiting.where(now - F.col("delivered_at") >= min_idle_us)
+    idle = idle if count is None else idle.orderBy("first_seq").limit(count)
+    claimed = idle.select("entry", (F.col("deliveries") + 1).alias("deliveries"), (now - F.col("delivered_at")).alias("idle_us"), "first_seq")
+    if max_deliveries is None:
+        return claimed, claimed.limit(0)
+    return claimed.where(F.col("deliveries") < max_deliveries), claimed.where(F.col("deliveries") >= max_deliveries)

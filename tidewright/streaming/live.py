@@ -46,7 +46,7 @@ def lower(node: nodes.Node) -> DataFrame:
         case nodes.Shuffle():
             return df.repartition(node.partitions, KEY) if node.partitions else df.repartition(KEY)
         case nodes.Dedupe():
-            return _dedupe(df.withColumn("_dedupe", node.key), node).drop("_dedupe", _STAMP)
+            return _dedupe(df.withColumn("_dedupe", node.key), node).drop("_dedupe")
         case nodes.Process():
             return stateful.process(df, KEY, node.init, node.step, node.schema, node.ttl_us)
         case nodes.Windowed():
@@ -62,7 +62,7 @@ def lower(node: nodes.Node) -> DataFrame:
 
 def _dedupe(df: DataFrame, node: nodes.Dedupe) -> DataFrame:
     if node.within_us is not None:
-        return df.withColumn(_STAMP, F.timestamp_micros(TIME)).withWatermark(_STAMP, f"{node.within_us} microseconds").dropDuplicatesWithinWatermark(["_dedupe"])
+        return stateful.dedupe_within(df, "_dedupe", node.within_us)
     if node.most is not None:
         raise ValueError("keys are bounded by number in a replay only; give a live query `within`")
     return df.dropDuplicates(["_dedupe"])
@@ -100,14 +100,23 @@ def _join(left: DataFrame, right: DataFrame, node: nodes.IntervalJoin) -> DataFr
 
 
 #: What Spark calls the operators that hold each kind of state.
-_STATES = {"dedupe_size": ("dedupe",), "active_windows": ("stateStoreSave", "sessionWindow", "transformWithState"), "join_buffer_size": ("symmetricHashJoin",)}
+_STATES = {"dedupe_size": ("dedupe",), "active_windows": ("stateStoreSave", "sessionWindow"), "join_buffer_size": ("symmetricHashJoin",)}
+
+
+_OWN = "transformWithState"
+
+
+def own_states(node: nodes.Node) -> list[str]:
+    """What the operators of stateful.py hold, from the sink on, as Spark reports them: all have one name there."""
+    kinds = {nodes.Fold: ["active_windows", "clocks"], nodes.Process: ["process_states"]}
+    return [k for n in reversed(list(node.walk())) for k in (["dedupe_size"] if isinstance(n, nodes.Dedupe) and n.within_us is not None else kinds.get(type(n), []))]
 
 
 class Handle:
     """A running topology."""
 
-    def __init__(self, query: StreamingQuery):
-        self.query = query
+    def __init__(self, query: StreamingQuery, states: list[str] | None = None):
+        self.query, self.states = query, states or []
 
     @property
     def is_running(self) -> bool:
@@ -127,11 +136,15 @@ class Handle:
         """Totals of the progress reports that the query still holds."""
         reports = [json.loads(p.json) if hasattr(p, "json") else p for p in self.query.recentProgress]
         states = [s for p in reports[-1:] for s in p.get("stateOperators", [])]
+        own = dict.fromkeys(("process_states", *self.states), 0)
+        for name, s in zip(self.states, (s for s in states if _OWN in s.get("operatorName", "")), strict=False):
+            own[name] += s.get("numRowsTotal", 0)
+        known = {n: sum(s.get("numRowsTotal", 0) for s in states if any(k in s.get("operatorName", "") for k in kinds)) for n, kinds in _STATES.items()}
         return {
             "items_processed": sum(p.get("numInputRows", 0) for p in reports),
             "items_per_second": reports[-1].get("processedRowsPerSecond", 0.0) if reports else 0.0,
             "state_rows": sum(s.get("numRowsTotal", 0) for s in states),
-            **{n: sum(s.get("numRowsTotal", 0) for s in states if any(k in s.get("operatorName", "") for k in kinds)) for n, kinds in _STATES.items()},
+            **{n: known.get(n, 0) + own.get(n, 0) for n in {**known, **own}},
             "late_records": sum(s.get("numRowsDroppedByWatermark", 0) for p in reports for s in p.get("stateOperators", [])),
         }
 
@@ -151,4 +164,4 @@ def start(sink: nodes.Sink, checkpoint: str, delivery: str = "at-least-once", tr
     writer = df.writeStream.foreachBatch(write).option("checkpointLocation", f"{checkpoint}/query").outputMode("append")
     if name:
         writer = writer.queryName(name)
-    return Handle(writer.trigger(**(trigger or {"availableNow": True})).start())
+    return Handle(writer.trigger(**(trigger or {"availableNow": True})).start(), own_states(sink))

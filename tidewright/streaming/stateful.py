@@ -20,6 +20,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import codecs
+from ..operators.state import passes
 from ..operators.windows import END, START, WM, session_step
 from ..sources.events import PARTITION, SEQ, TIME
 
@@ -177,6 +178,44 @@ def fold_windows(
     return stamped.groupBy(key).transformWithState(processor, out, "Append", "EventTime")
 
 
+class Retention(StatefulProcessor):
+    """Rows of a key that pass, as operators.state.dedupe_within has them. State: the time of the last that did, forgotten once Spark's watermark is past its span."""
+
+    def __init__(self, names: list[str], within_us: int):
+        self.names, self.within_us = names, within_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.last = handle, handle.getValueState("last", "at bigint")
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        known = self.last.exists()
+        last, moved = self.last.get()[0] if known else None, False
+        for row in sorted(rows, key=lambda r: (r[SEQ] is not None, r[SEQ] or 0)):
+            if known and not passes(last, row[TIME], self.within_us):
+                continue
+            known, moved, last = True, True, row[TIME] if row[TIME] is not None else last
+            yield Row(**{n: row[n] for n in self.names})
+        if moved:
+            self.last.update((last,))
+            if last is not None:
+                self.handle.registerTimer(timer(last + self.within_us + 1))
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+        # a later pass has a timer of its own
+        if self.last.exists() and self.last.get()[0] is not None and timer(self.last.get()[0] + self.within_us + 1) <= expiredTimerInfo.getExpiryTimeInMs():
+            self.last.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+def dedupe_within(df: DataFrame, key: str, within_us: int) -> DataFrame:
+    """As the replay, for rows out of order by `within_us` at most: Spark drops rows that are further behind."""
+    stamped = df.withColumn(STAMP, F.timestamp_micros(F.col(TIME) + SHIFT_MS * 1000)).withWatermark(STAMP, f"{-(-within_us // 1000)} milliseconds")
+    return stamped.groupBy(key).transformWithState(Retention(df.columns, within_us), df.schema, "Append", "EventTime")
+
+
 class Machine(StatefulProcessor):
     """step(state, row) -> (state, output row or None) for each row of a key, in the order of the source within a micro-batch. State: one value, of lossless JSON."""
 
