@@ -8,8 +8,8 @@ array functions, and the blocks are concatenated:
 Escaping is reversible: in a text or role, `<`, k backslashes and `|` become `<`, k + 1 backslashes and `|`, so no text
 holds a control string. In roles, backslash and newline are also written as `\\s` and `\\n`.
 
-The loss mask is an array of (block, start, chars) spans, one for each assistant text: the number of a block, and code points from the
-block's beginning. So neither writing nor reading a span goes through the blocks before it.
+The loss mask is an array of (block, text, start, chars) spans, one for each assistant text: the number of its block, its own in the block, and code points
+from the block's beginning. So neither writing nor reading a span goes through what is before it.
 
 Defined results: a null text or role is empty; turns that are null sort first; rows with equal turn sort by role, then
 text, and repeated rows stay repeated; each row of a null conv_id is a conversation of its own, as nothing says which rows belong
@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import let, running_sums
+
 START, NEXT, END = "<|im_start|>", "<|im_next|>", "<|im_end|>"
 LOSS_ROLE = "assistant"
 
@@ -68,16 +70,12 @@ def format_chats(turns: DataFrame) -> DataFrame:
     head = lambda b: F.concat(F.lit(START), _escape_role(b["role"]), F.lit("\n"))
     formatted = F.array_join(F.transform("blocks", lambda b: F.concat(head(b), F.array_join(b["texts"], NEXT), F.lit(END + "\n"))), "")
     # of a block's texts, each begins where the one before it and a mark end
-    span = "array<struct<block:int,start:bigint,chars:bigint>>"
-    spans = lambda b, k: F.aggregate(
-        b["texts"],
-        F.struct(F.length(head(b)).cast("bigint").alias("at"), F.array().cast(span).alias("spans")),
-        lambda a, t: F.struct(
-            (a["at"] + F.length(t) + len(NEXT)).alias("at"),
-            F.array_append(a["spans"], F.struct(k.alias("block"), a["at"].alias("start"), F.length(t).cast("bigint").alias("chars"))).alias("spans"),
-        ),
-        lambda a: a["spans"],
+    span = "array<struct<block:int,text:int,start:bigint,chars:bigint>>"
+    placed = lambda b, k, sums: F.transform(
+        F.arrays_zip(b["texts"].alias("t"), sums.alias("end")),
+        lambda x, i: F.struct(k.alias("block"), i.alias("text"), (F.length(head(b)) + x["end"] - F.length(x["t"]) - len(NEXT)).cast("bigint").alias("start"), F.length(x["t"]).cast("bigint").alias("chars")),
     )
+    spans = lambda b, k: let(running_sums(F.transform(b["texts"], lambda t: (F.length(t) + len(NEXT)).cast("bigint"))), lambda sums: placed(b, k, sums))
     mask = F.flatten(F.transform("blocks", lambda b, k: F.when(b["role"] == LOSS_ROLE, spans(b, k)).otherwise(F.array().cast(span))))
     return grouped.withColumn("starts", starts).withColumn("blocks", blocks).select("conv_id", formatted.alias("formatted"), mask.alias("loss_mask"))
 
@@ -85,18 +83,10 @@ def format_chats(turns: DataFrame) -> DataFrame:
 def read_chats(formatted: DataFrame) -> DataFrame:
     """Back from format_chats: conv_id, turns array of struct(role, text), loss_texts array of string."""
     blocks = F.slice(F.split("formatted", r"<\|im_start\|>", -1), 2, 1 << 30)
-    # a role holds no newline, so the first one ends it
-    turns = F.flatten(
-        F.transform(
-            blocks,
-            lambda b: F.transform(
-                F.split(
-                    F.substring(b, F.locate("\n", b) + 1, F.length(b) - F.locate("\n", b) - len(END) - 1), r"<\|im_next\|>", -1
-                ),
-                lambda t: F.struct(_unescape_role(F.substring_index(b, "\n", 1)).alias("role"), unescape(t).alias("text")),
-            ),
-        )
-    )
-    text_of = lambda s: F.substring(F.get(blocks, s["block"]), (s["start"] - len(START) + 1).cast("int"), s["chars"].cast("int"))
-    losses = F.transform("loss_mask", lambda s: unescape(text_of(s)))
-    return formatted.select("conv_id", turns.alias("turns"), losses.alias("loss_texts"), F.length("formatted").cast("bigint").alias("formatted_chars"))
+    # a role holds no newline, so the first one ends it; every block is split once, for turns and spans
+    body = lambda b: let(F.locate("\n", b), lambda at: F.substring(b, at + 1, F.length(b) - at - len(END) - 1))
+    split = F.transform(blocks, lambda b: F.struct(_unescape_role(F.substring_index(b, "\n", 1)).alias("role"), F.transform(F.split(body(b), r"<\|im_next\|>", -1), unescape).alias("texts")))
+    turns = lambda bs: F.flatten(F.transform(bs, lambda b: F.transform(b["texts"], lambda t: F.struct(b["role"].alias("role"), t.alias("text")))))
+    losses = lambda bs: F.transform("loss_mask", lambda s: F.get(F.get(bs, s["block"])["texts"], s["text"]))
+    read = formatted.select("conv_id", "formatted", let(split, lambda bs: F.struct(turns(bs).alias("turns"), losses(bs).alias("loss_texts"))).alias("r"))
+    return read.select("conv_id", "r.turns", "r.loss_texts", F.length("formatted").cast("bigint").alias("formatted_chars"))

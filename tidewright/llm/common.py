@@ -12,7 +12,7 @@ from typing import Any
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.joins import small
@@ -143,6 +143,23 @@ def slices(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.Record
         at = end
 
 
+_SUMS_BLOCK = 128
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once, also within lambdas."""
+    return F.transform(F.array(value), use)[0]
+
+
+def running_sums(a: Column) -> Column:
+    """Sums of an array up to each element. Appending copies, so it goes in blocks, and their totals likewise."""
+    last = lambda xs: F.get(xs, F.size(xs) - 1)
+    run = lambda xs: F.aggregate(xs, F.array().cast("array<bigint>"), lambda got, x: F.array_append(got, F.coalesce(last(got), F.lit(0)) + x))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / _SUMS_BLOCK).cast("int")), lambda b: run(F.slice(a, b * _SUMS_BLOCK + 1, F.lit(_SUMS_BLOCK))))
+    joined = lambda bs: let(run(F.transform(bs, last)), lambda totals: F.flatten(F.transform(bs, lambda b, i: F.transform(b, lambda v: v + F.coalesce(F.get(totals, i - 1), F.lit(0))))))
+    return let(blocks, joined)
+
+
 def packed(columns: dict[str, pa.Array]) -> bytes:
     """Arrays of one length as compressed Arrow."""
     batch, out = pa.RecordBatch.from_pydict(columns), pa.BufferOutputStream()

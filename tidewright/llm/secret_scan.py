@@ -20,13 +20,12 @@ rows are independent but for the cutoffs, so repeated rows stay and count each;
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, let, running_sums
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: The least lengths are in the patterns where the match is the same: a run of these characters is taken whole or not at all.
@@ -67,21 +66,6 @@ ENCODINGS = (
 KINDS = (*BASE, *(f"random_{e.name}" for e in ENCODINGS))
 #: Coefficients of the rational Chebyshev fit of ln erfc(x) + x**2 - ln t in t = 1 / (1 + x / 2), from the published numerical literature (fixed values).
 ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
-_BLOCK = 128
-
-
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with the value worked out once, also within lambdas."""
-    return F.transform(F.array(value), use)[0]
-
-
-def _running(a: Column) -> Column:
-    """Sums of an array up to each element. Appending copies, so it goes in blocks, and their totals likewise."""
-    last = lambda xs: F.get(xs, F.size(xs) - 1)
-    run = lambda xs: F.aggregate(xs, F.array().cast("array<bigint>"), lambda got, x: F.array_append(got, F.coalesce(last(got), F.lit(0)) + x))
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / _BLOCK).cast("int")), lambda b: run(F.slice(a, b * _BLOCK + 1, F.lit(_BLOCK))))
-    joined = lambda bs: let(run(F.transform(bs, last)), lambda totals: F.flatten(F.transform(bs, lambda b, i: F.transform(b, lambda v: v + F.coalesce(F.get(totals, i - 1), F.lit(0))))))
-    return let(blocks, joined)
 
 
 def located(text: Column, pattern: str) -> Column:
@@ -89,7 +73,7 @@ def located(text: Column, pattern: str) -> Column:
     steps = lambda pieces, found: F.zip_with(F.slice(pieces, F.lit(1), F.size(found)), found, lambda p, m: (F.length(p) + F.length(m)).cast("bigint"))
     placed = lambda ends, found: F.zip_with(ends, found, lambda e, m: F.struct((e - F.length(m)).alias("start"), e.alias("end"), m.alias("match")))
     # what lies between matches is split off only where there are any
-    some = lambda found: let(let(F.split(text, pattern, -1), lambda pieces: steps(pieces, found)), lambda s: placed(_running(s), found))
+    some = lambda found: let(let(F.split(text, pattern, -1), lambda pieces: steps(pieces, found)), lambda s: placed(running_sums(s), found))
     none = F.array().cast("array<struct<start:bigint,end:bigint,match:string>>")
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) == 0, none).otherwise(some(found)))
 
