@@ -110,6 +110,23 @@ def test_counts_are_greedy_word_pieces(docs, nothing, path):
     assert wordpiece.count_tokens(nothing, p).count() == 0
 
 
+def test_shards_of_many_null_and_equal_identifiers(spark, path, library, tmp_path):
+    """Hot identifiers, and equal rows of one, are dealt over several tasks."""
+    rows = [(None, f"null {i}") for i in range(3000)] + [(7, f"seven {i % 5}") for i in range(3000)] + [(i, "x") for i in range(300)]
+    docs, out = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5), f"file://{tmp_path}/hot"
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few bytes are one task
+    try:
+        manifest = sstable.write_shards(docs, path("word_bpe_49k.json"), out)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(manifest) == 4 and max(m["docs"] for m in manifest) < 3000
+    back = sorted(sstable.read_shards(spark, out).collect(), key=lambda r: r["start"])
+    assert sorted((r["doc_id"] is not None, r["doc_id"] or 0, bytes(r["ids"])) for r in back) == sorted((i is not None, i or 0, ids_of(library, t) + (1).to_bytes(4, "little")) for i, t in rows)
+    keys = [(r["doc_id"] is not None, r["doc_id"] or 0) for r in back]
+    assert keys == sorted(keys) and all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(back, back[1:], strict=False))
+    assert len(sstable.look_up(out, None)) == 3000 and len(sstable.look_up(out, 7)) == 3001
+
+
 def test_shards_round_trip_and_look_up(spark, docs, nothing, path, library):
     p, out = path("word_bpe_49k.json"), new_path(spark, "test")
     manifest = sstable.write_shards(docs, p, out)

@@ -11,11 +11,11 @@ A key is one byte (0: null, 1: set) and the identifier in 8 bytes, sign bit flip
 nulls first. A block starts with a whole key; each next one leaves out the bytes it shares with its predecessor. A value
 is the ids as little-endian integers of the width in the footer.
 
-Shards hold ranges of identifiers: the rows are dealt out by range and sorted in each task, which begins another shard once one
+Shards hold ranges of identifiers, and of one identifier's rows: the rows are dealt out by range and sorted in each task, which begins another shard once one
 has SHARD bytes, so neither a shard nor what its writer holds grows with the data. A name has the number of the attempt, and
 MANIFEST.json lists in order the shards of the attempts that Spark took, so a lost or doubled attempt is never read.
 
-Defined results: a null or empty text has the end id only; rows of one identifier are kept side by side, sorted by text;
+Defined results: a null or empty text has the end id only; rows of one identifier are kept side by side, by the hash of their text, in as many shards as they need;
 a null identifier sorts first; a very long text is one entry, in a block of its own; an empty table gives a manifest without shards; extra columns are ignored.
 """
 
@@ -130,13 +130,15 @@ class ShardWriter:
         index_at, index = self.at, self.pack.compress(b"".join(self.index))
         self._out(index)
         n_bits = max(64, len(self.hashes) * BITS_PER_KEY + 7 & ~7)
-        bloom = bytearray(n_bits // 8)
-        for h in self.hashes:
-            for b in _bits(h, n_bits, HASHES):
-                bloom[b >> 3] |= 1 << (b & 7)
+        bloom, h = np.zeros(n_bits // 8, np.uint8), np.frombuffer(self.hashes, np.uint64)
+        low, high = h & np.uint64(0xFFFFFFFF), h >> np.uint64(32) | np.uint64(1)
+        for i in range(HASHES):  # the bits of _bits, for all keys at once
+            b = (low + np.uint64(i) * high) % np.uint64(n_bits)
+            np.bitwise_or.at(bloom, (b >> np.uint64(3)).astype(np.int64), (1 << (b & np.uint64(7)).astype(np.int64)).astype(np.uint8))
+        bloom = bloom.tobytes()
         bloom_at = self.at
-        self._out(bytes(bloom))
-        crc = zlib.crc32(bytes(bloom), zlib.crc32(index))
+        self._out(bloom)
+        crc = zlib.crc32(bloom, zlib.crc32(index))
         self._out(FOOTER.pack(index_at, len(index), bloom_at, len(bloom), HASHES, self.width, self.docs, self.ids, crc, MAGIC))
 
 
@@ -236,7 +238,10 @@ def write_shards(docs: DataFrame, tokenizer: str, out_dir: str, end_id: int = 1,
     text_batches(docs.sparkSession)
     fs, root = filesystem(out_dir)
     fs.create_dir(root, recursive=True)
-    dealt = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # rows of one identifier, or of none, may be many, and equal ones too: they are dealt out by the hash of their text, then by where they lie
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumns({"hash": F.xxhash64("text"), "place": F.monotonically_increasing_id()})
+    along = ("doc_id", "hash", "place")
+    dealt = rows.repartitionByRange(*along).sortWithinPartitions(*along).select("doc_id", "text")
     # one row for each shard, not for each document
     rows = dealt.mapInArrow(run, "shard string, first string, last string, docs bigint, ids bigint, bytes bigint").collect()
     manifest = sorted((r.asDict() for r in rows), key=lambda r: r["shard"])
