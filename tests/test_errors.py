@@ -113,3 +113,54 @@ def test_remote_lookups_forget(spark):
     df = spark.range(40).repartition(1)
     for more in ({}, {"most": 3}, {"ttl_s": 0.0}):
         assert joins.lookup_remote(df, "id", lambda keys: {k: k * 2 for k in keys}, "x", "bigint", batch=7, **more).where("x <> id * 2 or x is null").count() == 0
+
+
+def test_retried_calls(spark):
+    from pyspark.sql import functions as F
+
+    from tidewright.functions.schedule import Schedule
+    from tidewright.operators import calls
+
+    def flaky(v, attempt):
+        if v is None or attempt < v:
+            raise ValueError(f"{v} at {attempt}")
+        return v * 10
+
+    df = spark.createDataFrame([(i, v, "x") for i, v in enumerate([0, 1, 2, 3, None, 9])], "id bigint, v bigint, r_ string").coalesce(1)
+    out = calls.map_retried(df, flaky, "v", "r", "bigint", Schedule.exponential(1).intersect(Schedule.recurs(2)))
+    rows = out.collect()
+    assert [r["id"] for r in rows] == list(range(6)) and [r["r"]["value"] for r in rows] == [0, 10, 20, None, None, None]
+    assert [r["r"]["attempts"] for r in rows] == [1, 2, 3, 3, 3, 3] and rows[2]["r"]["waited_ms"] == 3 and rows[3]["r"]["error"]["message"] == "3 at 2"
+    good, dead = calls.split_failures(out, "r")
+    assert sorted((r["id"], r["r"]) for r in good.collect()) == [(0, 0), (1, 10), (2, 20)]
+    assert [(r["error"]["name"], r["attempts"]) for r in dead.collect()] == [("ValueError", 3)] * 3 and '"id":3' in dead.collect()[0]["value"]
+
+    def slow(v, attempt):
+        import time
+
+        time.sleep(0.3 if v == 0 else 0)
+        return v
+
+    swift = calls.map_retried(df.where("v is not null").select("v"), slow, "v", "r", "bigint", concurrency=3, ordered=False).collect()
+    assert swift[-1]["v"] == 0 and sorted(r["r"]["completed"] for r in swift) == [0, 1, 2, 3, 4] and all(r["r"]["value"] == r["v"] for r in swift)
+    with pytest.raises(ValueError, match="at a time"):
+        calls.map_retried(df, slow, "v", "r", "bigint", concurrency=0)
+    assert out.where(F.col("id") > 9).collect() == []
+
+
+def test_orders(spark):
+    from pyspark.sql import functions as F
+
+    from tidewright.functions import order
+
+    texts = ["z", "～", "\U0001f600", "", "", "zz", None]
+    df = spark.createDataFrame([(t, i) for i, t in enumerate(texts)], "t string, n int")
+    ranked = [r["t"] for r in df.orderBy(*order.text().columns(F.col("t"))).collect()]
+    assert ranked == [None, *sorted((t for t in texts if t is not None), key=lambda t: t.encode("utf-16-be"))] and ranked != [None, *sorted(t for t in texts if t is not None)]
+    assert [r["t"] for r in df.orderBy(*order.text().reversed().columns(F.col("t"))).collect()] == ranked[::-1]
+    both = order.by(lambda r: F.length(r["t"])).reversed().then(order.by(lambda r: r["n"]))
+    assert [r["n"] for r in df.where("t is not null").orderBy(*both.columns(F.struct("t", "n"))).collect()] == [5, 0, 1, 2, 3, 4]
+    a, b = df.select(F.col("t").alias("a"), F.lit("z").alias("z")), order.text()
+    got = {r["a"]: r["c"] for r in a.select("a", b.compare(F.col("a"), F.col("z")).alias("c")).collect()}
+    assert got == {"z": 0, "～": 1, "\U0001f600": 1, "": 1, "": -1, "zz": 1, None: -1}
+    assert a.select(b.reversed().compare(F.col("a"), F.col("z")).alias("c")).where("c = 1").count() == 2

@@ -10,16 +10,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import codecs, formats, hashing
+from .functions import codecs, composed, formats, hashing, order, protobuf
 from .functions.cron import cron_next
 from .functions.duration import duration_ms
 from .functions.schedule import Schedule
-from .operators import errors, joins, ordered, state, terminals, timing, windows
+from .operators import calls, errors, joins, ordered, state, terminals, timing, windows
 from .operators.spread import running
 from .plans.builder import topology
 from .sources import events as ev
 from .sources import queues, records, splits
-from .streaming.sinks import guarded_map, split_errors
+from .streaming.sinks import drain, guarded_map, split_errors
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -472,18 +472,18 @@ def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select("user_id", "event_id", "value").withColumn("r", F.rank().over(w).cast("bigint")).where("r <= 3")
 
 
-@query("select range as _seq, range * 0.25 + 1 as value from range(16)")
+@query("select range as _seq, range * 0.25 + 1 as value from range((select count(*) from customer))")
 def number_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.number_range(spark, 1, 5, 0.25)
+    """As many steps as there are customers."""
+    return records.number_range(spark, 1, 1 + 0.25 * read(spark, sf_dir, "customer").count(), 0.25)
 
 
-@query("""with recursive f(_seq, a, b) as (select 0::bigint, 0::bigint, 1::bigint union all select _seq + 1, b, a + b from f where _seq < 49)
-    select _seq, a as value from f""")
+@query("""with recursive f as (select 0 as n, 0::bigint as a, 1::bigint as b union all select n + 1, b, (a + b) % 1000000007 from f where n + 1 < (select count(*) from customer))
+    select n::bigint as _seq, a as value from f""")
 def unfold_fibonacci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.unfold(spark, (0, 1), lambda s: (s[0], (s[1], s[0] + s[1])), "value bigint", 50)
-
-
-# Timing
+    """Fibonacci numbers modulo a prime, as many as there are customers."""
+    step = lambda s: (s[0], (s[1], (s[0] + s[1]) % 1_000_000_007))
+    return records.unfold(spark, (0, 1), step, "value bigint", read(spark, sf_dir, "customer").count())
 
 
 @query(f"select event_id from {_T} qualify lead(t) over (partition by user_id order by event_id) is null or lead(t) over (partition by user_id order by event_id) - t >= {HOUR}")
@@ -604,9 +604,19 @@ def base64_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", F.length("raw").cast("bigint").alias("bytes"), "coded", F.unbase64("coded").cast("string").alias("decoded"))
 
 
-@query("select event_id, sha256('{\"k\":' || (props::json->>'$.k') || '}') as hash from events")
+#: An event as nested JSON, with its keys out of order, and in canonical order.
+_NESTED = """'{"z":[' || event_id || ',null,{"b":"' || event_type || '","a":true}],"k":' || (props::json->>'$.k') || ',"":[],"e":{}}'"""
+_CANONICAL = """'{"":[],"e":{},"k":' || (props::json->>'$.k') || ',"z":[' || event_id || ',null,{"a":true,"b":"' || event_type || '"}]}'"""
+
+
+def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.lit('{"z":['), F.col("event_id").cast("string"), F.lit(',null,{"b":"'), "event_type", F.lit('","a":true}],"k":'), F.get_json_object("props", "$.k"), F.lit(',"":[],"e":{}}'))
+    return read(spark, sf_dir, "events").select("event_id", text.alias("text"))
+
+
+@query(f"select event_id, sha256({_CANONICAL}) as hash from events")
 def payload_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "events").select("event_id", hashing.payload_hash(F.col("props")).alias("hash"))
+    return _nested(spark, sf_dir).select("event_id", hashing.payload_hash(F.col("text")).alias("hash"))
 
 
 @query("select doc_id, text as back from documents")
@@ -784,10 +794,18 @@ def either(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", "e.ok", "e.value", "e.error")
 
 
-@query("select event_id, value as checked from events where value >= 1")
+@query("""select event_id, value as checked, (select case when count(*) > 0 then 'too small' end from events where value < 1) as thrown from events where value >= 1""")
 def rethrown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = read(spark, sf_dir, "events").select("event_id", "value").where("value >= 1")
-    return errors.rethrow(errors.either(df, "checked", F.col("value"), {"too small": F.col("value") < 1}), "checked").select("event_id", "checked")
+    """All rows thrown again: the first failure ends the job, and its message is caught; then those that are right."""
+    checked = errors.either(read(spark, sf_dir, "events").select("event_id", "value"), "checked", F.col("value"), {"too small": F.col("value") < 1})
+    thrown = None
+    try:
+        drain(errors.rethrow(checked, "checked"))
+    except Exception as e:
+        if "too small" not in str(e):
+            raise
+        thrown = "too small"
+    return errors.rethrow(checked.where("checked.ok"), "checked").select("event_id", "checked", F.lit(thrown).cast("string").alias("thrown"))
 
 
 @query("select user_id, user_id * user_id + 1 as answer from (select distinct user_id from events)")
@@ -832,15 +850,27 @@ def cron_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("event_id", *(cron_next(F.col("ts"), e).cast("timestamp_ntz").alias(n) for n, e in at.items()))
 
 
-@query("""select 'exponential' as kind, range as n, 100.0::double * 2 ** range as ms from range(8) union all select 'linear', range, 100.0::double * (range + 1) from range(8)
-    union all select 'spaced', range, 250.0::double from range(8) union all select 'capped', range, least(500.0::double, 100.0::double * 2 ** range) from range(8)
-    union all select 'fibonacci', range, ([1, 1, 2, 3, 5, 8, 13, 21])[range + 1] * 100.0::double from range(8) union all select 'three times', range, 0.0::double from range(3)""")
+@query("""with l as (select event_id, ts, (ts::timestamp at time zone 'UTC') at time zone 'America/New_York' as local from events),
+    c as (select *, date_trunc('day', local) + interval 12 hour + case when local < date_trunc('day', local) + interval 12 hour then interval 0 day else interval 1 day end as noon from l)
+    select event_id, ((noon at time zone 'America/New_York') at time zone 'UTC')::timestamp as noon from c""")
+def cron_in_a_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The next noon in New York, whose clocks change twice a year."""
+    df = read(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    return df.select("event_id", cron_next(F.col("ts"), "0 12 * * *", "America/New_York").cast("timestamp_ntz").alias("noon"))
+
+
+@query("""with c as (select c_custkey, (c_custkey % 100 + 1)::double as base, c_custkey % 6 as kind from customer), n as (select c.*, range::bigint as n from c, range(8))
+    select c_custkey, n, case kind when 0 then base * 2 ** n when 1 then base * (n + 1) when 2 then base when 3 then least(500.0::double, base * 2 ** n)
+      when 4 then ([1, 1, 2, 3, 5, 8, 13, 21])[n + 1] * base else 0.0::double end as ms from n where kind < 5 or n < 3""")
 def schedule_delays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    all_ = {
-        "exponential": Schedule.exponential("100ms"), "linear": Schedule.linear("100ms"), "spaced": Schedule.spaced(250), "capped": Schedule.exponential(100).max_delay("500ms"),
-        "fibonacci": Schedule.fibonacci(100), "three times": Schedule.recurs(3),
-    }
-    return spark.createDataFrame([(k, n, float(d)) for k, s in all_.items() for n, d in enumerate(s.delays(8))], "kind string, n bigint, ms double")
+    """Each customer's policy, by its key, laid out as rows."""
+    policies = [Schedule.exponential, Schedule.linear, Schedule.spaced, lambda ms: Schedule.exponential(ms).max_delay("500ms"), Schedule.fibonacci, lambda _: Schedule.recurs(3)]
+
+    def laid_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([(k, n, float(d)) for k in b["c_custkey"] for n, d in enumerate(policies[k % 6](float(k % 100 + 1)).delays(8))], columns=["c_custkey", "n", "ms"])
+
+    return read(spark, sf_dir, "customer").select("c_custkey").mapInPandas(laid_out, "c_custkey bigint, n bigint, ms double")
 
 
 @query("select event_id, ([1, 1000, 60000, 3600000, 86400000, 604800000])[event_id % 6 + 1] * (event_id % 50 + 0.5)::double as ms from events where event_id % 7 <> 0 union all select event_id, null from events where event_id % 7 = 0")
@@ -850,9 +880,12 @@ def duration_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select("event_id", duration_ms(text).alias("ms"))
 
 
-@query("select range as _seq, 3 ** range as value from range(20)")
+@query("""with recursive f as (select 0 as n, (select sum(n_nationkey) from nation)::bigint as x union all select n + 1, (x * 48271) % 2147483647 from f where n + 1 < (select count(*) from customer))
+    select n::bigint as _seq, x as value from f""")
 def iterated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.iterate(spark, 1, lambda x: x * 3, "value bigint", 20).withColumn("value", F.col("value").cast("double"))
+    """A congruential sequence from the nations' sum, as long as there are customers."""
+    seed = read(spark, sf_dir, "nation").agg(F.sum("n_nationkey")).first()[0]
+    return records.iterate(spark, seed, lambda x: x * 48_271 % 2_147_483_647, "value bigint", read(spark, sf_dir, "customer").count())
 
 
 @query("select n_nationkey, n_regionkey = n_nationkey % 5 as same, substr('{\"k\":' || n_nationkey || ',\"r\":' || n_regionkey || '}', 1, 8) as shown from nation")
@@ -896,13 +929,17 @@ def queue_upkeep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part(stays, False).unionByName(part(goes, True))
 
 
-@query("""with q as (select o_orderkey as id, row_number() over (partition by o_custkey % 5 order by o_orderkey) as n, o_custkey % 5 as feed, o_totalprice from orders)
-    select id, feed from q""")
+@query("""with n as (select o_orderkey as id, o_custkey % 5 as feed, row_number() over (partition by o_custkey % 5 order by o_orderkey) - 1 as n from orders)
+    select id, feed from n union all select id, feed from n where n % 3 = 0""")
 def change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages that overlap by half: each change comes twice, at most a page apart."""
+    """Each change comes twice: two thirds of them ten changes later, which is known, others a hundred later, by when sixty others have made it forgotten."""
     once = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 5).alias("feed"))
-    twice = once.withColumn("at", F.explode(F.array(F.col("id") * 2, F.col("id") * 2 + 101)))
-    return queues.drop_repeated(twice, "id", "at", "feed", 200).select("id", "feed")
+    n = ordered.with_index(once, "id", "n", ["feed"])
+    twice = n.withColumn("at", F.explode(F.array(F.col("n") * 4, F.when(F.col("n") % 3 == 0, F.col("n") * 4 + 401).otherwise(F.col("n") * 4 + 42))))
+    # changes of nothing at the end, so that the last ones are forgotten as well
+    more = n.groupBy("feed").agg(F.max("n").alias("last")).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(110))))
+    more = more.select((-F.col("feed") * 1000 - F.col("k")).alias("id"), "feed", (F.col("last") + F.col("k")).alias("n"), ((F.col("last") + F.col("k")) * 4).alias("at"))
+    return queues.drop_repeated(twice.unionByName(more), "id", "at", "feed", 60).where("id >= 0").select("id", "feed")
 
 
 @query("select count(*) filter (o_orderstatus in ('F', 'P')) as left_over, count(*) filter (o_orderstatus not in ('F', 'P')) as purged from orders")
@@ -912,9 +949,9 @@ def queue_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.agg(F.sum("a").cast("bigint").alias("left_over"), F.count_if(F.col("a") == 0).alias("purged"))
 
 
-@query(r"""select event_id, '{"k":' || (props::json->>'$.k') || '}' as back from events""")
+@query(f"select event_id, {_NESTED} as back from events")
 def message_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "events").select("event_id", codecs.unpacked(codecs.packed(F.col("props"))).alias("back"))
+    return _nested(spark, sf_dir).select("event_id", codecs.unpacked(codecs.packed(F.col("text"))).alias("back"))
 
 
 @query(f"""select event_id, value, 0 as _src from events where event_id < {_FIRST} union all select -n_nationkey, n_nationkey::double, 1 from nation where {_FIRST} < 9223372036854775807""")
@@ -1101,3 +1138,68 @@ def committed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
             raise
     write(orders.where(~odd), "even")
     return spark.read.format(splits.NAME).option("kind", "csv").schema(orders.schema).load(path)
+
+
+# Codecs, orders, retried calls
+
+_LINE = protobuf.Message(number=protobuf.Field(1, "int32"), quantity=protobuf.Field(2, "double"), flag=protobuf.Field(3, "string"))
+_ORDER = protobuf.Message(key=protobuf.Field(1, "int64"), priority=protobuf.Field(2, "string"), lines=protobuf.Field(3, _LINE, repeated=True))
+
+
+@query("""select o_orderkey as key, o_orderpriority as priority, l_linenumber as number, l_quantity::double as quantity, l_returnflag as flag, null::varchar as error
+    from orders left join lineitem on l_orderkey = o_orderkey""")
+def protobuf_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with their lines as messages, and back."""
+    line = F.struct(F.col("l_linenumber").cast("int").alias("number"), F.col("l_quantity").cast("double").alias("quantity"), F.col("l_returnflag").alias("flag"))
+    lines = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("key")).agg(F.collect_list(line).alias("lines"))
+    orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderpriority").alias("priority")).join(lines, "key", "left")
+    coded = orders.select(protobuf.encode(F.struct("key", "priority", "lines"), _ORDER).alias("bytes"))
+    back = coded.select(protobuf.decode("bytes", _ORDER).alias("m")).select("m.value.key", "m.value.priority", F.explode_outer("m.value.lines").alias("l"), "m.error")
+    return back.select("key", "priority", "l.number", "l.quantity", "l.flag", "error")
+
+
+@query("""select c_custkey, c_custkey % 7 <> 3 as fits, case when c_custkey % 7 <> 3 then c_name end as name, case when c_custkey % 7 <> 3 then c_acctbal::varchar end as balance from customer""")
+def composed_codecs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An array of tuples with a record of JSON texts, of which some are broken on the way."""
+    codec = composed.array_of(composed.tuple_of(composed.identity(), composed.record_of(composed.text("struct<n:string,b:array<string>>"))))
+    inner = F.struct(F.col("c_name").alias("n"), F.array(F.col("c_acctbal").cast("string"), F.lit(None).cast("string")).alias("b"))
+    value = F.array(F.struct(F.col("c_custkey").alias("_1"), F.create_map(F.lit("c"), inner, F.lit("none"), F.lit(None).cast("struct<n:string,b:array<string>>")).alias("_2")))
+    raw = read(spark, sf_dir, "customer").select("c_custkey", codec.encode(value).alias("raw"))
+    broken = F.transform("raw", lambda t: F.struct(t["_1"].alias("_1"), F.transform_values(t["_2"], lambda _, v: F.when(F.col("c_custkey") % 7 == 3, F.substring(v, 1, 9)).otherwise(v)).alias("_2")))
+    out = raw.select("c_custkey", broken.alias("raw")).select("c_custkey", composed.attempt(codec, F.col("raw")).alias("r"))
+    found = F.element_at(F.col("r.value")[0]["_2"], "c")
+    return out.select("c_custkey", F.col("r.error").isNull().alias("fits"), found["n"].alias("name"), F.get(found["b"], F.lit(0)).alias("balance"))
+
+
+@query("""with t as (select doc_id, substr(coalesce(text, ''), 1, 2) || ([chr(65374), chr(128512), 'z', chr(57344), ''])[doc_id % 5 + 1] as t, n_chars from documents),
+    u as (select *, flatten(list_transform(list_filter(string_split(t, ''), lambda c: c <> ''), lambda c: case when unicode(c) >= 65536 then [55296 + (unicode(c) - 65536) // 1024, 56320 + (unicode(c) - 65536) % 1024] else [unicode(c)] end)) as units from t)
+    select doc_id, t, row_number() over (order by units, n_chars desc, doc_id) as place from u""")
+def utf16_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beginnings of texts in the order of their UTF-16 units, longer texts first, then by identifier."""
+    ends = F.array(*map(F.lit, ("\uff5e", "\U0001f600", "z", "\ue000", "")))
+    df = read(spark, sf_dir, "documents").select("doc_id", F.concat(F.substring(F.coalesce("text", F.lit("")), 1, 2), F.get(ends, (F.col("doc_id") % 5).cast("int"))).alias("t"), "n_chars")
+    along = order.by(lambda r: r["t"], order.text()).then(order.by(lambda r: r["n_chars"]).reversed()).then(order.by(lambda r: r["doc_id"]))
+    keys = [f"k{i}" for i in range(3)]
+    keyed = df.withColumns(dict(zip(keys, (F.encode("t", "UTF-16BE"), -F.col("n_chars"), F.col("doc_id")), strict=True)))
+    ranked = ordered.with_index(keyed.select(*keys), keys, "place")
+    check = Window.partitionBy(F.substring("t", 1, 1)).orderBy(*along.columns(F.struct("t", "n_chars", "doc_id")))
+    # the sort columns of the order agree with the keys that the whole table is ranked by
+    same = keyed.withColumn("own", F.row_number().over(check)).withColumn("by_keys", F.row_number().over(Window.partitionBy(F.substring("t", 1, 1)).orderBy(*keys))).where("own = by_keys")
+    return same.join(ranked.select(F.col("k2").alias("id"), "place"), F.col("doc_id") == F.col("id")).select("doc_id", "t", (F.col("place") + 1).alias("place"))
+
+
+@query("""select c_custkey, case when c_custkey % 5 <= 3 then c_custkey * 2 end as answer, least(c_custkey % 5, 3)::int + 1 as attempts,
+    case when c_custkey % 5 > 3 then 'LookupError: attempt 3 of ' || c_custkey end as dead from customer""")
+def retried_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A loader that fails by key and attempt, three times retried; what fails then is a dead letter."""
+
+    def load(key: int, attempt: int) -> int:
+        if attempt < key % 5:
+            raise LookupError(f"attempt {attempt} of {key}")
+        return key * 2
+
+    out = calls.map_retried(read(spark, sf_dir, "customer").select("c_custkey"), load, "c_custkey", "r", "bigint", Schedule.recurs(3), ordered=False)
+    good, dead = calls.split_failures(out.select("c_custkey", "r").withColumn("n", F.col("r.attempts")), "r")
+    good = good.select("c_custkey", F.col("r").alias("answer"), F.col("n").alias("attempts"), F.lit(None).cast("string").alias("dead"))
+    letters = dead.select(F.get_json_object("value", "$.c_custkey").cast("bigint").alias("c_custkey"), F.lit(None).cast("bigint").alias("answer"), "attempts", F.concat("error.name", F.lit(": "), "error.message").alias("dead"))
+    return good.unionByName(letters)
