@@ -233,3 +233,30 @@ def test_windows_of_an_empty_table(spark):
     t = topology(empty, seq="id", time=F.col("t")).key_by(F.col("k"))
     for w in (t.tumbling("1s"), t.sliding("2s", "1s"), t.session("1s")):
         assert w.count().replay().collect() == []
+
+
+def test_ranges_of_texts_and_nested_orders(spark):
+    rng = random.Random(3)
+    urls = [f"https://example.com/articles/{rng.randrange(10**6):06d}/é{i % 3}" for i in range(5000)] + ["http://other.org/x"] * 1500 + [None, ""]
+    df = spark.createDataFrame([(u, (u, i), [i % 7, i], bytearray((u or "").encode()), {"a": i}) for i, u in enumerate(urls)], "u string, s struct<u:string,i:int>, a array<int>, b binary, m map<string,int>").repartition(4)
+    for order in ("u", "s", "b", "a"):
+        out = spread.ranged(df, order, "r", 16).select(order, "r").collect()
+        key = {"u": lambda r: (r["u"] is not None, (r["u"] or "").encode()), "s": lambda r: (r["s"]["u"] is not None, (r["s"]["u"] or "").encode()), "b": lambda r: bytes(r["b"]), "a": lambda r: r["a"][0]}[order]
+        rows = sorted((key(r), r["r"]) for r in out)
+        assert all(x[1] <= y[1] and (x[0] != y[0] or x[1] == y[1]) for x, y in zip(rows, rows[1:], strict=False))
+        sizes = [sum(r == k for _, r in rows) for k in {r for _, r in rows}]
+        assert len(sizes) >= (6 if order == "a" else 9) and max(sizes) <= 2400
+    ranked = ordered.zip_with_index(df.select("u", "s"), "s").select("u", "index").collect()
+    assert [r["u"] for r in sorted(ranked, key=lambda r: r["index"])] == sorted(urls, key=lambda u: (u is not None, (u or "").encode()))
+
+
+def test_neighbours_by_one_exchange(spark, values):
+    df = numbers(spark, values)
+    out = ordered.zip_with_neighbours(df, "o", "v")
+    assert column(out, "previous") == [None, *values[:-1]] and column(out, "next") == [*values[1:], None]
+    plan = ordered.zip_with_neighbours(df, "o", "v")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 2  # the rows, and a row for each range
+    keyed = ordered.zip_with_neighbours(df.withColumn("k", F.col("o") % 2), "o", "v", partition=["k"])
+    for k in (0, 1):
+        own = [v for i, v in enumerate(values) if i * 3 % 2 == k]
+        assert column(keyed.where(F.col("k") == k), "next") == [*own[1:], None] and column(keyed.where(F.col("k") == k), "previous") == [None, *own[:-1]]

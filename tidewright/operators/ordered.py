@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spread import running, unused, with_index, with_next, with_previous
+from .spread import running, unused, with_index, with_neighbours, with_next, with_previous
 
 
 def place(order: str) -> Column:
@@ -108,6 +108,11 @@ def zip_with_next(df: DataFrame, order: str, column: str, name: str = "next", pa
     return with_next(df, order, {name: F.col(column)}, partition)
 
 
+def zip_with_neighbours(df: DataFrame, order: str, column: str, previous: str = "previous", next: str = "next", partition: Sequence[str] = ()) -> DataFrame:  # noqa: A002
+    """Both neighbours' values, by one exchange."""
+    return with_neighbours(df, order, {previous: F.col(column)}, {next: F.col(column)}, partition)
+
+
 def changes(df: DataFrame, order: str, column: str, partition: Sequence[str] = ()) -> DataFrame:
     """Drops rows equal to their predecessor."""
     name = unused(df, "_before")

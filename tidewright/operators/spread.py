@@ -12,11 +12,12 @@ a column clashes.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Collection, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 HEAVY = 8
 
@@ -26,19 +27,27 @@ def listed(order: str | Sequence[str]) -> list[str]:
 
 
 def range_key(df: DataFrame, order: str) -> Column:
-    """A double that never decreases along the column: exact for numbers, by seconds for timestamps without zone, by the first six bytes for strings."""
-    kind, c = dict(df.dtypes)[order], F.col(f"`{order}`")
-    if kind == "timestamp":
-        c = F.unix_micros(c)
-    elif kind == "timestamp_ntz":
-        c = F.unix_date(c.cast("date")) * 86400 + F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)
-    elif kind == "date":
-        c = F.unix_date(c)
-    elif kind == "string" or kind == "binary":
-        head = F.substring(F.encode(c, "UTF-8") if kind == "string" else c, 1, 6)
-        c = F.conv(F.rpad(F.hex(head), 12, "0"), 16, 10)
-    elif kind.startswith(("struct", "array", "map")):
-        c = F.lit(0)  # one range
+    """What rows are cut by: a double that never decreases along the column (exact for numbers, by seconds for timestamps without zone), bytes for texts;
+    of a struct its first field, of an array its first element."""
+    kind, c = df.schema[order].dataType, F.col(f"`{order}`")
+    while isinstance(kind, (StructType, ArrayType)):
+        if isinstance(kind, StructType):
+            if not kind.fields:
+                return F.lit(0.0)
+            kind, c = kind.fields[0].dataType, c[kind.fields[0].name]
+        else:
+            kind, c = kind.elementType, F.get(c, F.lit(0))
+    match kind.typeName():
+        case "string":
+            return F.encode(c, "UTF-8")
+        case "binary":
+            return c
+        case "timestamp":
+            c = F.unix_micros(c)
+        case "timestamp_ntz":
+            c = F.unix_date(c.cast("date")) * 86400 + F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)
+        case "date":
+            c = F.unix_date(c)
     return F.nanvl(c.cast("double"), F.lit(float("inf")))
 
 
@@ -49,25 +58,46 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-def _search(cuts: Sequence[float], key: str) -> str:
-    """SQL for the number of cuts that are at most the key, by bisection; nulls are before all."""
+def _search(cuts: Sequence[str], key: str) -> str:
+    """SQL for the number of cuts (as literals) that are at most the key, by bisection; nulls are before all."""
 
     def part(low: int, high: int) -> str:
         if low == high:
             return str(low)
         middle = (low + high) // 2
-        return f"CASE WHEN {key} < {cuts[middle]!r}D THEN {part(low, middle)} ELSE {part(middle + 1, high)} END"
+        return f"CASE WHEN {key} < {cuts[middle]} THEN {part(low, middle)} ELSE {part(middle + 1, high)} END"
 
     return f"CASE WHEN {key} IS NULL THEN 0 ELSE {part(0, len(cuts))} END"
 
 
+#: Sampled values of texts for each range.
+SAMPLES = 32
+
+
+def _text_cuts(df: DataFrame, key: str, n: int) -> list[bytes]:
+    """Quantiles of bytes: values fall into SAMPLES * n buckets by a hash, of each of which one value, whichever has the least other hash, stands for all of its rows."""
+    bucket = F.pmod(F.xxhash64(key), F.lit(SAMPLES * n))
+    found = df.where(F.col(key).isNotNull()).groupBy(bucket.alias("b")).agg(F.min_by(key, F.xxhash64(F.lit(7), key)).alias("v"), F.count(F.lit(1)).alias("n"))
+    rows = sorted((bytes(r["v"]), r["n"]) for r in found.collect())
+    share, so_far, cuts = sum(c for _, c in rows) / n, 0, []
+    for v, c in rows:
+        if so_far >= share * (len(cuts) + 1):
+            cuts.append(v)
+        so_far += c
+    return cuts
+
+
 def ranged(df: DataFrame, order: str, name: str, ranges: int | None = None, among: Column | None = None) -> DataFrame:
     """Adds `name`, the number of a row's range, which never decreases along the order; runs a job. With `among`, other rows have range 0."""
     n, key = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), f"{name}key"
     keyed = df.withColumn(key, range_key(df, order))
     chosen = keyed if among is None else keyed.where(among)
-    cuts = sorted(set(chosen.approxQuantile(key, [i / n for i in range(1, n)], 0.5 / n))) if n > 1 else []
-    found = F.expr(_search([c for c in cuts if abs(c) != float("inf")], f"`{key}`"))
+    if dict(keyed.dtypes)[key] == "binary":
+        cuts = [f"X'{v.hex()}'" for v in sorted(set(_text_cuts(chosen.select(key), key, n)))] if n > 1 else []
+    else:
+        found = sorted(set(chosen.approxQuantile(key, [i / n for i in range(1, n)], 0.5 / n))) if n > 1 else []
+        cuts = [f"{c!r}D" for c in found if abs(c) != float("inf")]
+    found = F.expr(_search(cuts, f"`{key}`"))
     return keyed.withColumn(name, found if among is None else F.when(among, found).otherwise(0)).drop(key)
 
 
@@ -104,16 +134,19 @@ def heavy_keys(df: DataFrame, keys: Sequence[str], ranges: int) -> DataFrame | N
 
 
 def running(
-    df: DataFrame, order: str | Sequence[str], outputs: dict[str, tuple[str, Column]], partition: Sequence[str] = (), inclusive: bool = True, ranges: int | None = None, back: bool = False
+    df: DataFrame, order: str | Sequence[str], outputs: dict[str, tuple[str, Column]], partition: Sequence[str] = (), inclusive: bool = True, ranges: int | None = None, back: bool | Collection[str] = False
 ) -> DataFrame:
-    """Adds for each name the fold (a key of FOLDS) of a column over all rows up to this one, or before it; with `back`, from the end."""
+    """Adds for each name the fold (a key of FOLDS) of a column over all rows up to this one, or before it; with `back`, from the end, or those outputs that it names."""
     order, end = listed(order), 0 if inclusive else -1
-    along = [F.col(f"`{o}`").desc() if back else F.col(f"`{o}`").asc() for o in order]
+    backward = [back if isinstance(back, bool) else o in back for o in outputs]
+
+    def window(down: bool, *parts: str) -> Window:
+        return Window.partitionBy(*parts).orderBy(*(F.col(f"`{o}`").desc() if down else F.col(f"`{o}`").asc() for o in order)).rowsBetween(Window.unboundedPreceding, end)
+
     n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     heavy = heavy_keys(df, partition, n) if partition else None
     if partition and heavy is None:
-        w = Window.partitionBy(*partition).orderBy(*along).rowsBetween(Window.unboundedPreceding, end)
-        return df.withColumns({o: _none_is_zero(k, FOLDS[k].inside(v).over(w)) for o, (k, v) in outputs.items()})
+        return df.withColumns({o: _none_is_zero(k, FOLDS[k].inside(v).over(window(down, *(f"`{p}`" for p in partition)))) for (o, (k, v)), down in zip(outputs.items(), backward, strict=True)})
     tag = unused(df, "_run_")
     keys, rows = [], df
     if heavy is not None:
@@ -127,15 +160,15 @@ def running(
     kinds = [k for k, _ in outputs.values()]
 
     place = F.struct(*(F.col(f"`{o}`") for o in order))
-    pick = {late: (lambda v, f=F.max_by if late != back else F.min_by: f(v, F.when(v.isNotNull(), place))) for late in (True, False)}
+    pick = {late: (lambda v, f=F.max_by if late else F.min_by: f(v, F.when(v.isNotNull(), place))) for late in (True, False)}
     totals = cut.where(F.col(f"{tag}heavy").isNotNull()) if keys else cut
-    totals = totals.groupBy(at, *keys).agg(*(FOLDS[k].total(F.col(f"{tag}v{i}"), pick[True], pick[False]).alias(f"{tag}t{i}") for i, k in enumerate(kinds)))
-    before = Window.partitionBy(*keys).orderBy(F.col(at).desc() if back else F.col(at)).rowsBetween(Window.unboundedPreceding, -1)
-    prefix = [(F.sum if k == "count" else FOLDS[k].inside)(F.col(f"{tag}t{i}")).over(before).alias(f"{tag}p{i}") for i, k in enumerate(kinds)]
+    totals = totals.groupBy(at, *keys).agg(*(FOLDS[k].total(F.col(f"{tag}v{i}"), pick[not down], pick[down]).alias(f"{tag}t{i}") for i, (k, down) in enumerate(zip(kinds, backward, strict=True))))
+    before = {down: Window.partitionBy(*keys).orderBy(F.col(at).desc() if down else F.col(at)).rowsBetween(Window.unboundedPreceding, -1) for down in (True, False)}
+    prefix = [(F.sum if k == "count" else FOLDS[k].inside)(F.col(f"{tag}t{i}")).over(before[down]).alias(f"{tag}p{i}") for i, (k, down) in enumerate(zip(kinds, backward, strict=True))]
     totals = totals.select(F.col(at).alias(f"{tag}r"), *(F.col(k).alias(f"{k}r") for k in keys), *prefix)
 
-    w = Window.partitionBy(*(f"`{p}`" for p in partition), at).orderBy(*along).rowsBetween(Window.unboundedPreceding, end)
-    inside = cut.withColumns({f"{tag}i{i}": FOLDS[k].inside(F.col(f"{tag}v{i}")).over(w) for i, k in enumerate(kinds)})
+    parts = (*(f"`{p}`" for p in partition), at)
+    inside = cut.withColumns({f"{tag}i{i}": FOLDS[k].inside(F.col(f"{tag}v{i}")).over(window(down, *parts)) for i, (k, down) in enumerate(zip(kinds, backward, strict=True))})
     # a row for each range, and of heavy keys for each range of each
     on = [F.col(at) == F.col(f"{tag}r"), *(F.col(f"`{c}`").eqNullSafe(F.col(f"{k}r")) & F.col(k).eqNullSafe(F.col(f"{k}r")) for c, k in zip(partition, keys, strict=False))]
     if keys:
@@ -154,12 +187,17 @@ def with_index(df: DataFrame, order: str | Sequence[str], name: str = "index", p
     return running(df, order, {name: ("count", F.lit(1))}, partition, inclusive=False).withColumn(name, F.col(name).cast("bigint"))
 
 
-def with_previous(df: DataFrame, order: str | Sequence[str], columns: dict[str, Column], partition: Sequence[str] = (), back: bool = False) -> DataFrame:
+def with_neighbours(df: DataFrame, order: str | Sequence[str], before: dict[str, Column], after: dict[str, Column], partition: Sequence[str] = ()) -> DataFrame:
+    """Adds for each name in `before` the column's value in the row before, null in the first row, and in `after` in the row after: one exchange for both."""
+    outputs = {n: ("last", F.struct(c.alias("v"))) for n, c in {**before, **after}.items()}
+    return running(df, order, outputs, partition, inclusive=False, back=frozenset(after)).withColumns({n: F.col(n)["v"] for n in outputs})
+
+
+def with_previous(df: DataFrame, order: str | Sequence[str], columns: dict[str, Column], partition: Sequence[str] = ()) -> DataFrame:
     """Adds for each name the column's value in the row before, null in the first row."""
-    out = running(df, order, {n: ("last", F.struct(c.alias("v"))) for n, c in columns.items()}, partition, inclusive=False, back=back)
-    return out.withColumns({n: F.col(n)["v"] for n in columns})
+    return with_neighbours(df, order, columns, {}, partition)
 
 
 def with_next(df: DataFrame, order: str | Sequence[str], columns: dict[str, Column], partition: Sequence[str] = ()) -> DataFrame:
     """Adds for each name the column's value in the row after, null in the last row."""
-    return with_previous(df, order, columns, partition, back=True)
+    return with_neighbours(df, order, {}, columns, partition)

@@ -323,7 +323,7 @@ def zip_with_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select event_id, lag(event_type) over (order by event_id) as previous, lead(event_type) over (order by event_id) as next from events")
 def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = read(spark, sf_dir, "events").select("event_id", "event_type")
-    return ordered.zip_with_next(ordered.zip_with_previous(df, "event_id", "event_type"), "event_id", "event_type").drop("event_type")
+    return ordered.zip_with_neighbours(df, "event_id", "event_type").drop("event_type")
 
 
 @query("""select row_number() over (order by event_id) - 1 as position, sum(user_id) over (order by event_id)::bigint as state from events
