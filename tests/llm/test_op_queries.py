@@ -138,4 +138,14 @@ def test_each_limit_ends_sequences(texts, library):
             pass
     for _ in packer.sequences(last=True):
         pass
-    assert all(packer.ended[k] > 0 for k in ("tokens", "segments", "loss_tokens")), packer.ended
+    # the loss limit shapes sequences without leaving them short: they come to it and to the token limit at once
+    assert all(n > 0 for n in packer.reached.values()) and packer.ended["segments"] > 0, (packer.reached, packer.ended)
+
+
+def test_few_sequences(spark, texts, library):
+    """At most 5 % more than the tokens need, in one task."""
+    docs = spark.createDataFrame([(i, t) for n in range(12) for i, t, _ in texts], "doc_id bigint, text string").coalesce(1)
+    from pyspark.sql import functions as F
+
+    out = packing.pack(docs, queries.tokenizer_path()).agg(F.countDistinct("sequence_id").alias("n"), F.sum("length").alias("tokens")).first()
+    assert out["n"] <= 1.05 * out["tokens"] / packing.Limits().tokens + 2

@@ -3,7 +3,8 @@
 An example demands tokens, one segment, and loss-bearing tokens; a sequence has a limit on each. The open sequence takes,
 again and again, the example whose demand has the largest dot product with what is left of the limits, each dimension
 divided by its limit and weighted by the mean demand. If no example fits whole, or only one segment is left, an example is
-cut so that it fills the sequence. Documents whose rest exceeds a sequence are cut from their start.
+cut so that it fills the sequence. Documents whose rest exceeds a sequence are cut from their start, the longest first: they bear loss
+all along, and come to the loss limit unless prompts of others, of which there are most at first, lie beside them.
 
 As instruction data has it, an example begins with a prompt, whose tokens bear no loss: prompt() gives it for a text, by
 default its first line, nothing for a text of one line.
@@ -59,6 +60,8 @@ class Packer:
         self.at = np.zeros((0, 4), np.int64)  # example, start, length, loss_from
         #: Sequences by what ended them: no token, segment or loss-bearing token was left, or no example was.
         self.ended = dict.fromkeys(("tokens", "segments", "loss_tokens", "examples"), 0)
+        #: Sequences that came to each limit, one or several.
+        self.reached = dict.fromkeys(("tokens", "segments", "loss_tokens"), 0)
 
     def _loss(self, at: np.ndarray) -> np.ndarray:
         return np.maximum(0, at[:, 1] + at[:, 2] - np.maximum(at[:, 1], at[:, 3]))
@@ -100,9 +103,13 @@ class Packer:
         demand = np.stack([at[:, 2], np.ones(len(at)), self._loss(at)], 1) / self.capacity
         weight = demand.mean(0)
         left = [target, self.limits.segments, self.limits.loss_tokens]
+        # the longest first, as what exceeds a sequence bears loss all along and needs the prompts of others beside it
+        longest = int(np.argmax(at[:, 2])) if int(at[:, 2].max()) > target else None
         while left[0] and left[1] and left[2] >= 0 and alive.any():
             fits = alive & (at[:, 2] <= left[0]) & (demand[:, 2] * self.capacity[2] <= left[2] + 1e-6)
-            if left[1] > 1 and fits.any():
+            if longest is not None:
+                i, longest = longest, None
+            elif left[1] > 1 and fits.any():
                 score = demand @ (weight * np.array(left) / self.capacity)
                 i = int(np.argmax(np.where(fits, score, -1.0)))
             else:  # the smallest of which enough tokens fit to fill what is left, or else the one of which most do
@@ -122,6 +129,8 @@ class Packer:
                 at[i, 1:3] = start + take, length - take
                 demand[i] = np.array([length - take, 1, max(0, start + length - max(start + take, loss_from))]) / self.capacity
         self.at = at[alive]
+        for k, rest in zip(self.reached, left, strict=True):
+            self.reached[k] += not rest
         self.ended["tokens" if not left[0] else "segments" if not left[1] else "loss_tokens" if len(self.at) else "examples"] += 1
         return pieces
 
