@@ -12,6 +12,7 @@ a column clashes.
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Callable, Collection, Sequence
 from dataclasses import dataclass
 
@@ -87,16 +88,39 @@ def _text_cuts(df: DataFrame, key: str, n: int) -> list[bytes]:
     return cuts
 
 
+#: Cuts of the latest columns, by the column's identity in its plan and the number of ranges. A column keeps that through filters and added columns, so calls on
+#: one source search for cuts once; any cuts give right results, only the ranges' sizes follow from them.
+_known_cuts: OrderedDict[tuple, list[str]] = OrderedDict()
+MOST_KNOWN = 64
+
+
+def _identity(df: DataFrame, order: str, n: int) -> tuple:
+    output = df._jdf.queryExecution().analyzed().output()
+    found = [output.apply(i) for i in range(output.size())]
+    return (df.sparkSession.sparkContext.applicationId, next(a.exprId().toString() for a in found if a.name().lower() == order.lower()), n)
+
+
+def _cuts(df: DataFrame, order: str, key: str, n: int) -> list[str]:
+    if dict(df.dtypes)[key] == "binary":
+        return [f"X'{v.hex()}'" for v in sorted(set(_text_cuts(df.select(key), key, n)))]
+    found = sorted(set(df.approxQuantile(key, [i / n for i in range(1, n)], 0.5 / n)))
+    return [f"{c!r}D" for c in found if abs(c) != float("inf")]
+
+
 def ranged(df: DataFrame, order: str, name: str, ranges: int | None = None, among: Column | None = None) -> DataFrame:
     """Adds `name`, the number of a row's range, which never decreases along the order; runs a job. With `among`, other rows have range 0."""
     n, key = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), f"{name}key"
     keyed = df.withColumn(key, range_key(df, order))
-    chosen = keyed if among is None else keyed.where(among)
-    if dict(keyed.dtypes)[key] == "binary":
-        cuts = [f"X'{v.hex()}'" for v in sorted(set(_text_cuts(chosen.select(key), key, n)))] if n > 1 else []
+    if n < 2:
+        cuts = []
+    elif among is not None:
+        cuts = _cuts(keyed.where(among), order, key, n)
     else:
-        found = sorted(set(chosen.approxQuantile(key, [i / n for i in range(1, n)], 0.5 / n))) if n > 1 else []
-        cuts = [f"{c!r}D" for c in found if abs(c) != float("inf")]
+        place = _identity(keyed, order, n)
+        cuts = _known_cuts.pop(place, None)
+        _known_cuts[place] = cuts = _cuts(keyed, order, key, n) if cuts is None else cuts
+        while len(_known_cuts) > MOST_KNOWN:
+            _known_cuts.popitem(last=False)
     found = F.expr(_search(cuts, f"`{key}`"))
     return keyed.withColumn(name, found if among is None else F.when(among, found).otherwise(0)).drop(key)
 

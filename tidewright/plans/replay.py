@@ -18,6 +18,16 @@ def lower(node: nodes.Node, scope: str = "key", reference: bool = False, rekey:
     return _Replay(scope, reference, rekey).run(node)
 
 
+def _with_seq(seqs: list, row: dict) -> list:
+    seqs.append(row[SEQ])  # in place: a session's list isn't copied for each row
+    return seqs
+
+
+def _joined(a: list, b: list) -> list:
+    a.extend(b)
+    return a
+
+
 class _Replay:
     def __init__(self, scope: str, reference: bool, rekey: bool):
         if scope not in ("key", "partition_key"):
@@ -112,7 +122,7 @@ class _Replay:
         kinds = dict(df.dtypes)
         schema = ", ".join([*(f"{k} {kinds[k]}" for k in self.keys()), f"{windows.START} bigint", f"{windows.END} bigint", "_members array<bigint>"])
         key = df.select(*dict.fromkeys([*self.keys(), TIME, SEQ, windows.WM]))
-        found = windows.fold_sessions(key, self.keys(), TIME, SEQ, node.parent.size_us, list, lambda s, r: [*s, r[SEQ]], lambda _, s: {"_members": s}, schema, lambda a, b: a + b)
+        found = windows.fold_sessions(key, self.keys(), TIME, SEQ, node.parent.size_us, list, _with_seq, lambda _, s: {"_members": s}, schema, _joined)
         members = found.select(windows.START, windows.END, *(F.col(k).alias(f"_m{k}") for k in self.keys()), F.explode("_members").alias("_member"))
         same = [F.col(k).eqNullSafe(F.col(f"_m{k}")) for k in self.keys()] + [F.col(SEQ) == F.col("_member")]
         return df.join(members, same).groupBy(*self.keys(), windows.START, windows.END).agg(*node.columns)
