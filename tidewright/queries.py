@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -17,6 +15,7 @@ from .functions.schedule import Schedule
 from .operators import calls, errors, joins, ordered, state, terminals, timing, windows
 from .operators.spread import running
 from .plans.builder import topology
+from .session import shared_folder
 from .sources import events as ev
 from .sources import queues, records, splits
 from .streaming.sinks import drain, guarded_map, split_errors
@@ -1099,10 +1098,9 @@ def dedupe_within(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _registered(spark: SparkSession, what: str) -> str:
-    """A new folder for records, beside the checkpoints if there are such."""
+    """A new folder for records."""
     splits.register(spark)
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="tidewright-")
-    return f"{at.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    return shared_folder(spark, what)
 
 
 @query("select doc_id, text, lang, source, n_chars from documents")

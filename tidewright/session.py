@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -18,3 +21,13 @@ def session(app: str = "tidewright", master: str | None = None, **conf: str) ->
     if master:
         builder = builder.master(master)
     return builder.config(map=SETTINGS | conf).getOrCreate()
+
+
+def shared_folder(spark: SparkSession, what: str) -> str:
+    """A new folder's name where the driver and all executors see it: in spark.checkpoint.dir, or in local mode, where that is unset, in a temporary folder."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="tidewright-")
+    return f"{at.rstrip('/')}/{what}-{uuid.uuid4().hex}"
