@@ -105,12 +105,13 @@ class LibraryEncoder:
         return out
 
 
-_encoders: dict[str, LibraryEncoder] = {}
+_encoders: dict[tuple[str, int], LibraryEncoder] = {}
 
 
-def library_encoder(path: str) -> LibraryEncoder:
-    """One for each file in a worker, so that what it has learnt serves later tasks; to be called as a task begins."""
-    if path not in _encoders:
-        _encoders[path] = LibraryEncoder(path)
-    use(_encoders[path].chunks, _encoders[path].words)
-    return _encoders[path]
+def library_encoder(path: str, most: int = MOST_CHUNKS) -> LibraryEncoder:
+    """One for each file in a worker, so that what it has learnt serves later tasks; to be called as a task begins. `most` bounds what it remembers."""
+    if (path, most) not in _encoders:
+        _encoders[path, most] = LibraryEncoder(path, most)
+    own = _encoders[path, most]
+    use(own.chunks, own.words)
+    return own

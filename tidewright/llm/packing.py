@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import slices, text_batches
-from .encode import library_encoder
+from .encode import MOST_CHUNKS, library_encoder
 
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
@@ -135,13 +135,13 @@ class Packer:
         return pieces
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, limits: Limits = Limits(), prompt: Callable[[str], str] | None = first_line) -> DataFrame:  # noqa: B008
-    """Pieces of docs(doc_id, text) with their sequences; prompt gives the part of a text, from its start up to white space, that bears no loss."""
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, limits: Limits = Limits(), prompt: Callable[[str], str] | None = first_line, remember: int = MOST_CHUNKS) -> DataFrame:  # noqa: B008
+    """Pieces of docs(doc_id, text) with their sequences; prompt gives the part of a text, from its start up to white space, that bears no loss; a worker remembers `remember` chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, end = library_encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        encoder, end = library_encoder(tokenizer, remember), np.array([end_id], "<u4").tobytes()
         sequence = TaskContext.get().partitionId() << 40
         packer = Packer(limits)
         held: dict[int, tuple] = {}  # examples that the packer still has

@@ -11,6 +11,10 @@ from . import align, bpe, chat, embed_dedup, jaccard, langid, license_scan, pack
 from .common import cut, new_path
 
 
+#: Chunks that a worker remembers where it does nothing but encode, some 80 MB a generation; the pipeline's workers remember fewer.
+REMEMBER = 400_000
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -45,7 +49,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_sorted_string_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = new_path(spark, "shards")
-    sstable.write_shards(table(spark, sf_dir, "documents"), tokenizer_path(), out)
+    sstable.write_shards(table(spark, sf_dir, "documents"), tokenizer_path(), out, remember=REMEMBER)
     return sstable.read_shards(spark, out).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
@@ -73,7 +77,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), remember=REMEMBER)
 
 
 def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

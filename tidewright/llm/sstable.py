@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import slices, text_batches
-from .encode import library_encoder
+from .encode import MOST_CHUNKS, library_encoder
 
 BLOCK, SHARD, BITS_PER_KEY, HASHES, MAGIC = 64 << 10, 256 << 20, 10, 7, b"TIDESST1"
 #: index offset, index bytes, bloom offset, bloom bytes, bloom hashes, id width, documents, ids, crc32 of index and bloom
@@ -203,14 +203,14 @@ class ShardReader:
         return out
 
 
-def write_shards(docs: DataFrame, tokenizer: str, out_dir: str, end_id: int = 1, shard: int = SHARD) -> list[dict]:
+def write_shards(docs: DataFrame, tokenizer: str, out_dir: str, end_id: int = 1, shard: int = SHARD, remember: int = MOST_CHUNKS) -> list[dict]:
     """Encode docs(doc_id, text), append end_id to each, write shards below out_dir; the manifest, one entry a shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        encoder = library_encoder(tokenizer)
+        encoder = library_encoder(tokenizer, remember)
         width = 2 if encoder.size <= 1 << 16 and end_id < 1 << 16 else 4
         end = np.array([end_id], f"<u{width}").tobytes()
         fs, root = filesystem(out_dir)
