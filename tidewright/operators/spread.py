@@ -15,6 +15,7 @@ from __future__ import annotations
 from collections import OrderedDict
 from collections.abc import Callable, Collection, Sequence
 from dataclasses import dataclass
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -107,8 +108,9 @@ def _cuts(df: DataFrame, order: str, key: str, n: int) -> list[str]:
     return [f"{c!r}D" for c in found if abs(c) != float("inf")]
 
 
-def ranged(df: DataFrame, order: str, name: str, ranges: int | None = None, among: Column | None = None) -> DataFrame:
-    """Adds `name`, the number of a row's range, which never decreases along the order; runs a job. With `among`, other rows have range 0."""
+def ranged(df: DataFrame, order: str, name: str, ranges: int | None = None, among: Column | None = None, like: tuple[DataFrame, str] | None = None) -> DataFrame:
+    """Adds `name`, the number of a row's range, which never decreases along the order; runs a job. With `among`, other rows have range 0. Cuts may be those of a
+    column that is distributed `like` the order, of a frame that is cheaper to make; it has the order's type."""
     n, key = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), f"{name}key"
     keyed = df.withColumn(key, range_key(df, order))
     if n < 2:
@@ -116,9 +118,10 @@ def ranged(df: DataFrame, order: str, name: str, ranges: int | None = None, amon
     elif among is not None:
         cuts = _cuts(keyed.where(among), order, key, n)
     else:
-        place = _identity(keyed, order, n)
+        source, column = like or (df, order)
+        place = _identity(source, column, n)
         cuts = _known_cuts.pop(place, None)
-        _known_cuts[place] = cuts = _cuts(keyed, order, key, n) if cuts is None else cuts
+        _known_cuts[place] = cuts = _cuts(source.withColumn(key, range_key(source, column)), column, key, n) if cuts is None else cuts
         while len(_known_cuts) > MOST_KNOWN:
             _known_cuts.popitem(last=False)
     found = F.expr(_search(cuts, f"`{key}`"))
@@ -149,8 +152,13 @@ FOLDS = {
 }
 
 
-def heavy_keys(df: DataFrame, keys: Sequence[str], ranges: int) -> DataFrame | None:
+#: Heavy keys are to be counted.
+COUNTED = object()
+
+
+def heavy_keys(df: DataFrame, keys: Sequence[str], ranges: int | None = None) -> DataFrame | None:
     """Keys with more than HEAVY / ranges of all rows, ranges / HEAVY of them at most; None if there is none. Runs a job."""
+    ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     total = n.agg(F.sum("n").alias("total"))
     found = n.join(F.broadcast(total), F.col("n") * ranges > F.col("total") * HEAVY).select(*keys).collect() if ranges > HEAVY else []
@@ -158,9 +166,12 @@ def heavy_keys(df: DataFrame, keys: Sequence[str], ranges: int) -> DataFrame | N
 
 
 def running(
-    df: DataFrame, order: str | Sequence[str], outputs: dict[str, tuple[str, Column]], partition: Sequence[str] = (), inclusive: bool = True, ranges: int | None = None, back: bool | Collection[str] = False
+    df: DataFrame, order: str | Sequence[str], outputs: dict[str, tuple[str, Column]], partition: Sequence[str] = (), inclusive: bool = True, ranges: int | None = None, back: bool | Collection[str] = False, heavy: Any = COUNTED, like: tuple[DataFrame, str] | None = None
 ) -> DataFrame:
-    """Adds for each name the fold (a key of FOLDS) of a column over all rows up to this one, or before it; with `back`, from the end, or those outputs that it names."""
+    """Adds for each name the fold (a key of FOLDS) of a column over all rows up to this one, or before it; with `back`, from the end, or those outputs that it names.
+
+    `heavy` is what heavy_keys() gave for a frame with as many rows of each key or more, so that df isn't made once more to count its keys; any keys give right results.
+    `like` is as in ranged(), for rows without keys."""
     order, end = listed(order), 0 if inclusive else -1
     backward = [back if isinstance(back, bool) else o in back for o in outputs]
 
@@ -168,7 +179,7 @@ def running(
         return Window.partitionBy(*parts).orderBy(*(F.col(f"`{o}`").desc() if down else F.col(f"`{o}`").asc() for o in order)).rowsBetween(Window.unboundedPreceding, end)
 
     n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    heavy = heavy_keys(df, partition, n) if partition else None
+    heavy = None if not partition else heavy_keys(df, partition, n) if heavy is COUNTED else heavy
     if partition and heavy is None:
         return df.withColumns({o: _none_is_zero(k, FOLDS[k].inside(v).over(window(down, *(f"`{p}`" for p in partition)))) for (o, (k, v)), down in zip(outputs.items(), backward, strict=True)})
     tag = unused(df, "_run_")
@@ -179,7 +190,7 @@ def running(
         same = [F.col(f"`{c}`").eqNullSafe(F.col(k)) for c, k in zip(partition, keys, strict=True)]
         rows = df.join(F.broadcast(heavy), same, "left")  # its size is bounded
     at = f"{tag}range"
-    cut = ranged(rows, order[0], at, n, F.col(f"{tag}heavy").isNotNull() if keys else None)
+    cut = ranged(rows, order[0], at, n, F.col(f"{tag}heavy").isNotNull() if keys else None, like)
     cut = cut.withColumns({f"{tag}v{i}": v for i, (_, v) in enumerate(outputs.values())})
     kinds = [k for k, _ in outputs.values()]
 
@@ -206,20 +217,20 @@ def _none_is_zero(kind: str, c: Column) -> Column:
     return _zero(c) if kind == "count" else c
 
 
-def with_index(df: DataFrame, order: str | Sequence[str], name: str = "index", partition: Sequence[str] = ()) -> DataFrame:
+def with_index(df: DataFrame, order: str | Sequence[str], name: str = "index", partition: Sequence[str] = (), heavy: Any = COUNTED) -> DataFrame:
     """Adds the 0-based position."""
-    return running(df, order, {name: ("count", F.lit(1))}, partition, inclusive=False).withColumn(name, F.col(name).cast("bigint"))
+    return running(df, order, {name: ("count", F.lit(1))}, partition, inclusive=False, heavy=heavy).withColumn(name, F.col(name).cast("bigint"))
 
 
-def with_neighbours(df: DataFrame, order: str | Sequence[str], before: dict[str, Column], after: dict[str, Column], partition: Sequence[str] = ()) -> DataFrame:
+def with_neighbours(df: DataFrame, order: str | Sequence[str], before: dict[str, Column], after: dict[str, Column], partition: Sequence[str] = (), heavy: Any = COUNTED) -> DataFrame:
     """Adds for each name in `before` the column's value in the row before, null in the first row, and in `after` in the row after: one exchange for both."""
     outputs = {n: ("last", F.struct(c.alias("v"))) for n, c in {**before, **after}.items()}
-    return running(df, order, outputs, partition, inclusive=False, back=frozenset(after)).withColumns({n: F.col(n)["v"] for n in outputs})
+    return running(df, order, outputs, partition, inclusive=False, back=frozenset(after), heavy=heavy).withColumns({n: F.col(n)["v"] for n in outputs})
 
 
-def with_previous(df: DataFrame, order: str | Sequence[str], columns: dict[str, Column], partition: Sequence[str] = ()) -> DataFrame:
+def with_previous(df: DataFrame, order: str | Sequence[str], columns: dict[str, Column], partition: Sequence[str] = (), heavy: Any = COUNTED) -> DataFrame:
     """Adds for each name the column's value in the row before, null in the first row."""
-    return with_neighbours(df, order, columns, {}, partition)
+    return with_neighbours(df, order, columns, {}, partition, heavy)
 
 
 def with_next(df: DataFrame, order: str | Sequence[str], columns: dict[str, Column], partition: Sequence[str] = ()) -> DataFrame:

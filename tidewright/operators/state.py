@@ -9,13 +9,13 @@ from __future__ import annotations
 
 from collections import OrderedDict, deque
 from collections.abc import Callable, Iterable, Iterator, Sequence
-from itertools import groupby
+from itertools import groupby, repeat
 from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import DataType, LongType, StructField, StructType
 
 from .spread import listed, running
 
@@ -53,9 +53,36 @@ def scan(df: DataFrame, keys: Sequence[str], order: str | Sequence[str], schema:
         if out:
             yield pa.RecordBatch.from_pylist(out, out_type)
 
+    return _dealt(df, keys, order).mapInArrow(run, schema)
+
+
+def _dealt(df: DataFrame, keys: Sequence[str], order: str | Sequence[str]) -> DataFrame:
     along = [f"`{c}`" for c in [*keys, *listed(order)]]
     dealt = df.repartition(*(f"`{k}`" for k in keys)) if keys else df.repartition(1)
-    return dealt.sortWithinPartitions(*along).mapInArrow(run, schema)
+    return dealt.sortWithinPartitions(*along)
+
+
+def scan_column(df: DataFrame, keys: Sequence[str], order: str, column: str, name: str, kind: DataType, begin: Callable[[], Callable[[Any], Any]]) -> DataFrame:
+    """Adds to each row of a key in order what begin()'s function gives for one column's value. As in scan(), but rows pass through as Arrow columns, of which only that one and the keys become Python's."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    columns, made = df.columns, to_arrow_type(kind)
+    at, own = columns.index(column), [columns.index(k) for k in keys]
+
+    def values(c: pa.Array) -> list:
+        return ["NaN" if v != v else v for v in c.to_pylist()] if pa.types.is_floating(c.type) else c.to_pylist()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, take = None, None
+        for batch in batches:
+            keyed, found = zip(*(values(batch.column(i)) for i in own), strict=True) if own else repeat((), len(batch)), []
+            for key, v in zip(keyed, batch.column(at).to_pylist(), strict=True):
+                if take is None or key != now:
+                    now, take = key, begin()
+                found.append(take(v))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, made)], [*columns, name])
+
+    return _dealt(df, keys, order).mapInArrow(run, StructType([*df.schema.fields, StructField(name, kind)]))
 
 
 def _nothing() -> tuple:
@@ -192,19 +219,19 @@ def audit(df: DataFrame, keys: Sequence[str], time: str, every: int) -> DataFram
 def group_within(df: DataFrame, keys: Sequence[str], time: str, size: int, ms: int, name: str = "batch") -> DataFrame:
     """Adds the number of a row's batch: a batch closes at `size` rows, or `ms` after its first."""
 
-    def begin(_: dict) -> Scan:
+    def begin() -> Callable[[Any], int]:
         number, n, first = -1, 0, None
 
-        def take(row: dict) -> tuple:
+        def take(t: Any) -> int:
             nonlocal number, n, first
-            if first is None or n == size or row[time] >= first + ms:
-                number, n, first = number + 1, 0, row[time]
+            if first is None or n == size or t >= first + ms:
+                number, n, first = number + 1, 0, t
             n += 1
-            return (row | {name: number},)
+            return number
 
-        return take, _nothing
+        return take
 
-    return scan(df, keys, time, StructType([*df.schema.fields, StructField(name, LongType())]), begin)
+    return scan_column(df, keys, time, time, name, LongType(), begin)
 
 
 def limiter(kind: str, limit: int, window: float) -> Callable[[float], bool]:

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .joins import with_latest
 from .ordered import place
-from .spread import running, unused, with_next, with_previous
+from .spread import COUNTED, heavy_keys, running, unused, with_next, with_previous
 from .state import group_within
 
 
@@ -39,35 +40,35 @@ def offset_islands(df: DataFrame, partition: str, offset: str) -> DataFrame:
     return runs.join(first, [partition, "_run"], "left_semi").groupBy(partition).agg((F.max(offset) + 1).alias("committable"))
 
 
-def commit_frontier(df: DataFrame, partition: str, offset: str, done: str, name: str = "committable") -> DataFrame:
+def commit_frontier(df: DataFrame, partition: str, offset: str, done: str, name: str = "committable", heavy: Any = COUNTED) -> DataFrame:
     """For each completion the offset that is committable after it: one beyond the longest run of completed offsets that begins at the partition's least one; null
     while there is none. `done` orders completions; those that tie are taken together. Rows without it haven't completed.
 
     An offset becomes committable at the greatest `done` of those up to it. From these times the frontier at any completion is the greatest offset whose time has come:
-    two running maxima, along offsets and along time."""
+    two running maxima, along offsets and along time. Heavy partitions are counted once, in df: no later step has more rows of a partition than twice as many."""
     tag = unused(df, "_f")
+    heavy = heavy_keys(df, [partition]) if heavy is COUNTED else heavy
     rows = df.select(partition, offset, done).distinct()
     # the least completion of a redelivered offset counts; a gap, or an offset that never completes, ends the run
     first = rows.groupBy(partition, offset).agg(F.min(done).alias(done))
-    least = first.groupBy(F.col(partition).alias(f"{tag}p")).agg(F.min(offset).alias(f"{tag}least"))
-    at = running(first, offset, {f"{tag}n": ("count", F.lit(1)), f"{tag}ready": ("max", F.col(done)), f"{tag}open": ("max", F.col(done).isNull().cast("int"))}, [partition])
-    at = at.join(least, F.col(partition).eqNullSafe(F.col(f"{tag}p")))
+    folds = {"n": ("count", F.lit(1)), "ready": ("max", F.col(done)), "open": ("max", F.col(done).isNull().cast("int")), "least": ("min", F.col(offset))}
+    at = running(first, offset, {f"{tag}{n}": fold for n, fold in folds.items()}, [partition], heavy=heavy)
     run = at.where((F.col(offset) - F.col(f"{tag}least") + 1 == F.col(f"{tag}n")) & (F.col(f"{tag}open") == 0))
     ready = run.select(F.col(partition).alias("p"), F.col(f"{tag}ready").alias("at"), F.lit(0).alias("kind"), F.col(offset).alias("reached"))
     completions = df.where(F.col(done).isNotNull()).select(F.col(partition).alias("p"), F.col(done).alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(dict(df.dtypes)[offset]).alias("reached"), F.struct(*df.columns).alias("row"))
     both = completions.unionByName(ready, allowMissingColumns=True)
-    out = running(both, ["at", "kind"], {"frontier": ("max", F.col("reached"))}, ["p"])
+    out = running(both, ["at", "kind"], {"frontier": ("max", F.col("reached"))}, ["p"], heavy=heavy)
     return out.where("kind = 1").select("row.*", (F.col("frontier") + 1).alias(name))
 
 
 def commits(df: DataFrame, partition: str, offset: str, done: str, size: int, within: int) -> DataFrame:
     """What a consumer commits that acknowledges in batches, closed at `size` completions or `within` after a batch's first: partition, batch, committed_at
     (the last completion in it) and the offset, for batches after which it has moved."""
-    number, moved = unused(df, "_batch"), unused(df, "_moved")
+    number, moved, heavy = unused(df, "_batch"), unused(df, "_moved"), heavy_keys(df, [partition])
     # offsets that never complete hold the frontier back, so it comes first
-    front = group_within(commit_frontier(df, partition, offset, done, moved), [partition], done, size, within, number)
+    front = group_within(commit_frontier(df, partition, offset, done, moved, heavy), [partition], done, size, within, number)
     ends = front.groupBy(F.col(partition).alias("partition"), F.col(number).alias("batch")).agg(F.max(done).alias("committed_at"), F.max(moved).alias("committed"))
-    before = with_previous(ends, "batch", {"before": F.col("committed")}, ["partition"])
+    before = with_previous(ends, "batch", {"before": F.col("committed")}, ["partition"], heavy)
     return before.where("committed is not null and (before is null or committed > before)").drop("before")
 
 
