@@ -13,8 +13,9 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from . import state
-from .spread import running, unused, with_index
+from .spread import heavy_keys, running, unused, with_index
 
 WM, START, END, STALE = "_watermark", "window_start_us", "window_end_us", "_stale_seq"
 
@@ -73,19 +74,22 @@ def with_closing(found: DataFrame, rows: DataFrame, keys: Sequence[str], time: s
     `found` has the keys, START, END and `opened`, the ordinal of the window's first record; `rows` are all records; gap_us is for sessions, which close once the watermark is more
     than it beyond their end. A record moves the watermark if its time is the greatest so far, and among those records both time and ordinal ascend: windows are merged
     with them by time, and the next one closes. Windows that close together go by key, in the order in which the keys' windows began (a
-    key begins anew once all of its windows have closed), and by their start."""
+    key begins anew once all of its windows have closed), and by their start.
+
+    Times are cut into ranges by `rows`, of which each window has one at least; windows with their ordinals are written to the shared folder once, where heavy keys are counted."""
     tag = unused(found, "_c")
     marked = running(rows.select(F.col(time).alias("t"), F.col(seq).alias("s")).where("t is not null"), "s", {"before": ("max", F.col("t"))}, inclusive=False)
     moves = marked.where("before is null or t > before").select((F.col("t") - lateness_us).alias("x"), F.lit(1).alias("kind"), F.col("s"))
     bound = F.col(END) if gap_us is None else F.col(END) + gap_us + 1
     ends = found.select(bound.alias("x"), F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("s"), F.struct(*found.columns).alias("row"))
-    merged = running(ends.unionByName(moves, allowMissingColumns=True), ["x", "kind"], {"next": ("last", F.col("s"))}, back=True)
-    closing = merged.where("kind = 0").select("row.*", F.col("next").alias(CLOSED))
+    merged = running(ends.unionByName(moves, allowMissingColumns=True), ["x", "kind"], {"next": ("last", F.col("s"))}, back=True, like=(rows, time))
+    closing = cut(merged.where("kind = 0").select("row.*", F.col("next").alias(CLOSED)), "closing")
+    heavy = heavy_keys(closing, keys)
     never = F.lit((1 << 63) - 1)
-    until = running(closing, [opened, START], {f"{tag}u": ("max", F.coalesce(CLOSED, never))}, keys, inclusive=False)
+    until = running(closing, [opened, START], {f"{tag}u": ("max", F.coalesce(CLOSED, never))}, keys, inclusive=False, heavy=heavy)
     anew = F.col(f"{tag}u").isNull() | (F.col(opened) > F.col(f"{tag}u"))
-    stint = running(until.withColumn(f"{tag}a", F.when(anew, F.col(opened))), [opened, START], {f"{tag}s": ("max", F.col(f"{tag}a"))}, keys)
-    return with_index(stint, [f"{tag}s", START], RANK, [CLOSED]).select(*found.columns, CLOSED, RANK)
+    stint = running(until.withColumn(f"{tag}a", F.when(anew, F.col(opened))), [opened, START], {f"{tag}s": ("max", F.col(f"{tag}a"))}, keys, heavy=heavy)
+    return with_index(stint, [f"{tag}s", START], RANK, [CLOSED], heavy_keys(closing, [CLOSED])).select(*found.columns, CLOSED, RANK)
 
 
 def sessions(df: DataFrame, keys: Sequence[str], time: str, gap_us: int, aggregates: Sequence[Column], drop_late: bool = True) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -31,3 +31,13 @@ def shared_folder(spark: SparkSession, what: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="tidewright-")
     return f"{at.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, what: str) -> DataFrame:
+    """df written to the shared folder and read back, so that what follows doesn't make it again; as it is if it has types that Parquet lacks. Its columns may have any names."""
+    if any(kind in df.schema.simpleString() for kind in ("void", "interval")):
+        return df
+    plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    path = shared_folder(df.sparkSession, what)
+    plain.write.parquet(path)
+    return df.sparkSession.read.schema(plain.schema).parquet(path).toDF(*df.columns)
