@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor, as_completed
+from concurrent.futures import ThreadPoolExecutor
+from operator import itemgetter
 from typing import Any
 
 import pyarrow as pa
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 from ..functions.schedule import Schedule
+from ..session import cut
 
 
 def attempted(call: Callable[[Any, int], Any], value: Any, schedule: Schedule) -> dict:
@@ -26,7 +28,8 @@ def attempted(call: Callable[[Any, int], Any], value: Any, schedule: Schedule) -
             n += 1
             if delay is None:
                 return {"value": None, "error": {"name": type(e).__name__, "message": str(e)}, "attempts": n, "waited_ms": waited}
-            time.sleep(delay / 1000)
+            if delay:
+                time.sleep(delay / 1000)
             waited += delay
 
 
@@ -45,23 +48,30 @@ def map_retried(df: DataFrame, call: Callable[[Any, int], Any], column: str, nam
         done = 0
         with ThreadPoolExecutor(concurrency) as pool:
             for batch in batches:
-                calls = {pool.submit(attempted, call, v, policy): i for i, v in enumerate(batch.column(at).to_pylist())}
+                # threads take the next value each from one iterator, as a future for each call costs more than a call
+                waiting, completed = enumerate(batch.column(at).to_pylist()), []
+
+                def work(waiting: Iterator, completed: list) -> None:
+                    for i, v in waiting:
+                        completed.append((i, attempted(call, v, policy)))
+
+                for worker in [pool.submit(work, waiting, completed) for _ in range(min(concurrency, len(batch)))]:
+                    worker.result()
                 if ordered:
-                    results = [c.result() for c in calls]
+                    completed.sort(key=itemgetter(0))
                 else:
-                    order, results = [], []
-                    for c in as_completed(calls):
-                        order.append(calls[c])
-                        results.append(c.result() | {"completed": done})
-                        done += 1
-                    batch = batch.take(pa.array(order, pa.int64()))
+                    batch = batch.take(pa.array([i for i, _ in completed], pa.int64()))
+                results = [r if ordered else r | {"completed": done + n} for n, (_, r) in enumerate(completed)]
+                done += len(completed)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(results, arrow)], [*batch.schema.names, name])
 
     return df.mapInArrow(run, StructType([*df.schema.fields, StructField(name, made)]))
 
 
 def split_failures(df: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """(rows with the value in place of the struct, dead letters: the row as JSON, error, attempts) of map_retried."""
+    """(rows with the value in place of the struct, dead letters: the row as JSON, error, attempts) of map_retried. What the calls gave is written to the
+    shared folder first, so that both frames come of one call for each row."""
+    df = cut(df, "calls")
     failed = F.col(f"{name}.error").isNotNull()
     row = F.to_json(F.struct(*(f"`{c}`" for c in df.columns if c != name)))
     return df.where(~failed).withColumn(name, F.col(f"{name}.value")), df.where(failed).select(row.alias("value"), F.col(f"{name}.error").alias("error"), F.col(f"{name}.attempts").alias("attempts"))
