@@ -9,7 +9,10 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -188,13 +191,47 @@ def xml_events(text: str) -> Iterator[dict]:
             yield {"type": "text", "text": said}
 
 
-def xml(text: Column) -> Column:
-    """Array of XML_EVENT."""
+#: Bytes of text whose events a worker holds at a time.
+XML_SLICE = 1 << 18
 
-    @F.pandas_udf(f"array<{XML_EVENT}>")
-    def f(s: pd.Series) -> pd.Series:
-        full = {"type": None, "tag": None, "attributes": None, "text": None}
-        return s.map(lambda x: None if x is None else [full | e for e in xml_events(x)])
+
+def _slices(texts: pa.Array, most: int) -> Iterator[pa.Array]:
+    """Pieces of about `most` bytes, one text at least."""
+    ends, at = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16), 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(ends, (int(ends[at - 1]) if at else 0) + most, side="right")))
+        yield texts.slice(at, end - at)
+        at = end
+
+
+def _xml_arrays(texts: list[str | None], kind: pa.ListType) -> pa.ListArray:
+    ends, fields = [0], {"type": [], "tag": [], "attributes": [], "text": []}
+    for text in texts:
+        for event in xml_events(text) if text is not None else ():
+            for name, values in fields.items():
+                values.append(event.get(name))
+        ends.append(len(fields["type"]))
+    struct = kind.value_type
+    columns = [pa.array([v and list(v.items()) for v in fields[f.name]] if f.name == "attributes" else fields[f.name], f.type) for f in struct]
+    events = pa.StructArray.from_arrays(columns, fields=list(struct))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), events, type=kind, mask=pa.array([t is None for t in texts]))
+
+
+def xml(text: Column) -> Column:
+    """Array of XML_EVENT. A worker holds the events of XML_SLICE bytes of text, or of one text, in columns; Arrow batches are cut to that."""
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import _parse_datatype_string
+
+    ddl = f"array<{XML_EVENT}>"
+    kind = to_arrow_type(_parse_datatype_string(ddl))
+
+    @F.arrow_udf(ddl)
+    def f(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for part in _slices(batch, XML_SLICE):
+                yield _xml_arrays(part.to_pylist(), kind)
+            if not len(batch):
+                yield _xml_arrays([], kind)
 
     return f(text)
 
