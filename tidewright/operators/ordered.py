@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .joins import LOOKUP_ROWS, small
 from .spread import running, unused, with_index, with_neighbours, with_next, with_previous
 
 
@@ -197,6 +198,31 @@ def flat_map(df: DataFrame, values: Column, name: str, position: str = "pos") ->
     return df.select("*", F.posexplode(values).alias(position, name))
 
 
+def value_counts(df: DataFrame, keys: Sequence[str], values: Column, name: str, count: str = "n") -> DataFrame:
+    """How often each value is in a key's arrays: keys, value, count. A row's values are sorted and counted in place, so only rows whose keys come again meet by an exchange, of rows before their
+    values are told apart. Runs a job over the keys."""
+    s, e = unused(df, "_sorted"), unused(df, "_ends")
+    rows = df.select(*keys, values.alias(s))
+    again = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"{s}n")).where(F.col(f"{s}n") > 1).select(*(F.col(k).alias(f"{s}{i}") for i, k in enumerate(keys)))
+
+    def counted(part: DataFrame) -> DataFrame:
+        # each step is a column of its own, as what a lambda contains is worked out for each element
+        in_order = part.select(*keys, F.sort_array(s).alias(s)).where(F.size(s) > 0)
+        last = lambda i: (i == F.size(s)) | ~F.get(s, i).eqNullSafe(F.get(s, i - 1))
+        ends = in_order.select(*keys, s, F.filter(F.sequence(F.lit(1), F.size(s)), last).alias(e))
+        run = F.transform(e, lambda end, i: F.struct(F.get(s, end - 1).alias("v"), (end - F.coalesce(F.get(e, i - 1), F.lit(0))).cast("bigint").alias("n")))
+        return flat_map(ends, run, f"{s}v", f"{s}p").select(*keys, F.col(f"{s}v")["v"].alias(name), F.col(f"{s}v")["n"].alias(count))
+
+    if again.isEmpty():
+        return counted(rows)
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"{s}{i}"))
+    side = F.broadcast(again) if small(again, LOOKUP_ROWS) else again
+    met = counted(rows.join(side, same, "left_semi").repartition(*keys)).groupBy(*keys, name).agg(F.sum(count).alias(count))
+    return counted(rows.join(side, same, "left_anti")).unionByName(met)
+
+
 def switch_map(outer: DataFrame, inner: DataFrame, order: str, outer_time: str, inner_time: str, on: str) -> DataFrame:
     """Inner rows of an outer row, until the next outer row arrives."""
     own, end, key = unused(outer, "_until"), unused(inner, "_until"), unused(inner, "_on")

@@ -416,8 +416,7 @@ def filter_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""select doc_id, word, count(*) as n from (select doc_id, unnest(string_split(text, ' ')) as word from documents) group by all""")
 def flatmap_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = ordered.flat_map(read(spark, sf_dir, "documents").select("doc_id", "text"), F.split("text", " ", -1), "word")
-    return out.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
+    return ordered.value_counts(read(spark, sf_dir, "documents"), ["doc_id"], F.split("text", " ", -1), "word")
 
 
 @query("""select 0 as _src, n_nationkey as id, n_name as name from nation union all select 1, r_regionkey, r_name from region""")
