@@ -222,3 +222,16 @@ def test_packer_keeps_loss_limit():
             seen.setdefault(e, []).extend(range(s, s + n))
     assert all(sorted(seen[i]) == list(range(n)) for i, n in enumerate(lengths))
     assert used == lengths.sum()
+
+
+def test_codecs_remember_as_much_as_their_query_says():
+    """op3: a worker that does nothing else remembered as little as the pipeline's; what is remembered changes no ids."""
+    from tidewright.llm import bpe, queries
+
+    path = queries.tokenizer_path()
+    small, large = bpe.codec(path, 3), bpe.codec(path, queries.REMEMBER)
+    assert small is bpe.codec(path, 3) and small is not large and large.chunks.most == large.words.most == 400_000
+    for text in ("don't stop, it's 42 of 1999!", "word word other_word x1y2", "ÄÖ über-straße's", "<|im_end|> a\x1cb", "", None):
+        ids = large.encode(text)
+        assert ids == small.encode(text) == large.encode(text) and large.decode(ids) == small.decode(ids)
+        assert ids == b"".join(i.to_bytes(4, "little") for i in large.library.encode(text or "", add_special_tokens=False).ids)

@@ -108,22 +108,24 @@ class BoundaryBPE:
         return out
 
     def _chunk(self, chunk: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, WORD.findall(chunk)))
+        words = WORD.findall(chunk)
+        return self.words[chunk] if words == [chunk] else b"".join(map(self.words.__getitem__, words))
 
     def decode(self, ids: bytes) -> bytes:
         """The text in UTF-8."""
         return b" ".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-_codecs: dict[str, BoundaryBPE] = {}
+_codecs: dict[tuple[str, int], BoundaryBPE] = {}
 
 
-def codec(path: str) -> BoundaryBPE:
-    """One for each file in a worker; to be called as a task begins."""
-    if path not in _codecs:
-        _codecs[path] = BoundaryBPE(path)
-    use(_codecs[path].chunks, _codecs[path].words)
-    return _codecs[path]
+def codec(path: str, most: int = MOST_CHUNKS) -> BoundaryBPE:
+    """One for each file in a worker; to be called as a task begins. `most` bounds what it remembers."""
+    if (path, most) not in _codecs:
+        _codecs[path, most] = BoundaryBPE(path, most)
+    own = _codecs[path, most]
+    use(own.chunks, own.words)
+    return own
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
@@ -141,11 +143,11 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     return map_rows(docs, ["doc_id", "text"], "doc_id bigint, n_tokens bigint, ids binary, decoded string", start)
 
 
-def digest_documents(docs: DataFrame, path: str) -> DataFrame:
+def digest_documents(docs: DataFrame, path: str, remember: int = MOST_CHUNKS) -> DataFrame:
     """As encode_documents, with digests in place of ids and texts."""
 
     def start() -> Callable:
-        c = codec(path)
+        c = codec(path, remember)
 
         def f(doc_ids: list, texts: list) -> list[list]:
             n, coded, decoded = [], [], []

@@ -34,7 +34,7 @@ def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digest_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+    return bpe.digest_documents(table(spark, sf_dir, "documents"), tokenizer_path(), REMEMBER)
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
