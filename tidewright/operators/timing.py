@@ -48,17 +48,22 @@ def commit_frontier(df: DataFrame, partition: str, offset: str, done: str, name:
     two running maxima, along offsets and along time. Heavy partitions are counted once, in df: no later step has more rows of a partition than twice as many."""
     tag = unused(df, "_f")
     heavy = heavy_keys(df, [partition]) if heavy is COUNTED else heavy
-    rows = df.select(partition, offset, done).distinct()
-    # the least completion of a redelivered offset counts; a gap, or an offset that never completes, ends the run
-    first = rows.groupBy(partition, offset).agg(F.min(done).alias(done))
-    folds = {"n": ("count", F.lit(1)), "ready": ("max", F.col(done)), "open": ("max", F.col(done).isNull().cast("int")), "least": ("min", F.col(offset))}
-    at = running(first, offset, {f"{tag}{n}": fold for n, fold in folds.items()}, [partition], heavy=heavy)
-    run = at.where((F.col(offset) - F.col(f"{tag}least") + 1 == F.col(f"{tag}n")) & (F.col(f"{tag}open") == 0))
-    ready = run.select(F.col(partition).alias("p"), F.col(f"{tag}ready").alias("at"), F.lit(0).alias("kind"), F.col(offset).alias("reached"))
-    completions = df.where(F.col(done).isNotNull()).select(F.col(partition).alias("p"), F.col(done).alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(dict(df.dtypes)[offset]).alias("reached"), F.struct(*df.columns).alias("row"))
-    both = completions.unionByName(ready, allowMissingColumns=True)
-    out = running(both, ["at", "kind"], {"frontier": ("max", F.col("reached"))}, ["p"], heavy=heavy)
-    return out.where("kind = 1").select("row.*", (F.col("frontier") + 1).alias(name))
+    # the least completion of a redelivered offset counts, and comes first
+    late, same, new, reached, at, kind = (f"{tag}{n}" for n in ("late", "same", "new", "reached", "at", "kind"))
+    along = [offset, late, done]
+    rows = with_previous(df.withColumn(late, F.col(done).isNull()), along, {same: F.struct(F.col(offset).alias("v"))}, [partition], heavy)
+    rows = rows.withColumn(new, F.col(same).isNull() | ~F.col(same)["v"].eqNullSafe(F.col(offset))).drop(same)
+    first = lambda c: F.when(F.col(new), c)
+    folds = {"n": ("count", first(F.lit(1))), "ready": ("max", first(F.col(done))), "open": ("max", first(F.col(late).cast("int"))), "least": ("min", F.col(offset))}
+    rows = running(rows, along, {f"{tag}{n}": fold for n, fold in folds.items()}, [partition], heavy=heavy)
+    # a gap, or an offset that never completes, ends the run
+    run = F.col(new) & (F.col(offset) - F.col(f"{tag}least") + 1 == F.col(f"{tag}n")) & (F.col(f"{tag}open") == 0)
+    # a row gives the time its offset becomes committable (kind 0) and its own completion (kind 1), and stays in its partition for that
+    kinds = F.array_compact(F.array(F.when(run, 0), F.when(~F.col(late), 1)))
+    both = rows.withColumn(kind, F.explode(kinds)).withColumns({at: F.when(F.col(kind) == 0, F.col(f"{tag}ready")).otherwise(F.col(done)), reached: F.when(F.col(kind) == 0, F.col(offset))})
+    both = both.select(*(F.col(f"`{c}`") for c in df.columns), at, kind, reached)
+    out = running(both, [at, kind], {f"{tag}frontier": ("max", F.col(reached))}, [partition], heavy=heavy)
+    return out.where(F.col(kind) == 1).select(*(F.col(f"`{c}`") for c in df.columns), (F.col(f"{tag}frontier") + 1).alias(name))
 
 
 def commits(df: DataFrame, partition: str, offset: str, done: str, size: int, within: int) -> DataFrame:
