@@ -90,6 +90,17 @@ def test_long_lists_and_shared_hashes(spark, corpus, monkeypatch):
     assert sorted((tuple(r) for r in jaccard.join(docs, class_bits=5).collect()), key=repr) == brute_documents(corpus)
 
 
+def test_long_lists_take_few_rounds(spark, monkeypatch):
+    """Pipeline: executors hold what each round sends them, so there are few, and what is over is freed after each."""
+    rounds, freed = [], []
+    monkeypatch.setattr(jaccard, "components", lambda *a, f=jaccard.components: rounds.append(1) or f(*a))
+    monkeypatch.setattr(jaccard, "free_dropped", lambda *a, f=jaccard.free_dropped: freed.append(1) or f(*a))
+    docs = spark.createDataFrame([(i, f"the same five words here {i}") for i in range(100)], "doc_id bigint, text string")
+    out = jaccard.join(docs, percent=50).collect()
+    assert all(r.component_id == r.doc_id and r.n_shingles == 2 for r in out) and len(out) == 100
+    assert len(rounds) <= 3 and len(freed) > len(rounds)
+
+
 def test_packed_postings(spark):
     rng = np.random.default_rng(5)
     for n in (1, 2, 500):

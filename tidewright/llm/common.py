@@ -71,6 +71,11 @@ def release(df: DataFrame) -> None:
     drop_path(df.sparkSession, df._tidewright_path)
 
 
+def free_dropped(spark: SparkSession) -> None:
+    """Collects the driver's garbage: what plans that are over sent to executors, and their shuffle files, stay until then, and a driver with much memory does it seldom."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """A broadcast hint where df is counted to have at most `most` rows, and joins.LOOKUP_BYTES of them; Spark's own choice of join beyond."""
     return F.broadcast(df) if small(df, most) else df

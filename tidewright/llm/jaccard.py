@@ -11,7 +11,7 @@
    sets, of which only the later one travels with the pair.
 
 Candidates come in rounds, so that a group of near copies doesn't emit all its pairs: the classes of an n-gram's list in
-order of their hash lead it, about LEADERS * 4**r of them in round r, and are paired with all later ones that are not yet in
+order of their hash lead it, about LEADERS * MORE**r of them in round r, and are paired with all later ones that are not yet in
 their component. Lists in one component are done; lists whose classes all have led are exhausted, that is, every pair was
 either compared or known to be connected. So components are exact, and no link between different texts is lost. A list
 of more than LONG classes is dealt to a part for each LONG of them, and its leaders go to each part.
@@ -38,12 +38,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.spread import unused
-from .common import broadcast_if_small, cut, release, slices, text_batches, use
+from .common import broadcast_if_small, cut, free_dropped, release, slices, text_batches, use
 from .components import components
 from .tables import gather, pieces
 from .words import mixed, runs, word_hashes
 
 SIZE, PERCENT, LEADERS = 5, 80, 2
+#: Each round takes some dozens of jobs, whose plans and broadcasts executors hold for a while, so the number of leaders grows fast.
+MORE = 16
 SKETCH_BITS, FILTER_BITS, BUCKETS_PER_TASK = 23, 23, 8
 #: Postings that a task holds before it sends them, and pairs that are sent to all tasks at most (16 bytes each).
 HELD, PAIRS = 500_000, 300_000
@@ -338,6 +340,7 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, sketch_bits:
 
     open_ = cut(spark, _opened(lists, once.select("class", "p0", "p1")), "open")
     release(lists)
+    free_dropped(spark)
     at = (F.col("class").cast("double") + 2.0**63) / 2.0**64 * F.col("m")  # expected rank in the list
     reach, led, leaders = None, None, float(LEADERS)
     while not open_.isEmpty():
@@ -372,7 +375,8 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, sketch_bits:
         still = cut(spark, open_.join(broadcast_if_small(going), "gram", "left_semi"), "open")
         release(open_)
         release(going)
-        open_, led, leaders = still, leaders, leaders * 4
+        free_dropped(spark)
+        open_, led, leaders = still, leaders, leaders * MORE
 
     release(sets)
     if reach is not None:
