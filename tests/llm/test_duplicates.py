@@ -101,6 +101,38 @@ def test_long_lists_take_few_rounds(spark, monkeypatch):
     assert len(rounds) <= 3 and len(freed) > len(rounds)
 
 
+def test_postings_that_pair_with_none_are_dropped(spark, monkeypatch):
+    """op4: lists and the sets of their classes grew faster than the input, as more and more n-grams are shared by chance."""
+    counts = {}
+    monkeypatch.setattr(jaccard, "cut", lambda s, df, what, f=jaccard.cut: [out := f(s, df, what), counts.setdefault(what, out.count())][0])
+    rng = random.Random(6)
+    passage = text_of(rng, 30)
+    rows = [(i, f"{passage} {text_of(rng, int(50 * 1.3**i) - 30)}") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    # the table has one cell, so n-grams are in no order of rarity
+    assert sorted((tuple(r) for r in jaccard.join(docs, sketch_bits=0).collect()), key=repr) == brute_documents(rows)
+    assert counts["lists"] == 0
+
+
+def test_postings_with_partners():
+    rng = np.random.default_rng(7)
+    for size in (1, 2, 40, 400):
+        rows = np.zeros(size, jaccard._POSTING)
+        rows["gram"], rows["n"] = np.sort(rng.integers(0, 12, size)), rng.integers(5, 60, size)
+        rows["pos"] = rng.integers(0, rows["n"] // 5 + 1)
+        pairs = [(a, b) for a in range(size) for b in range(size) if a != b and rows["gram"][a] == rows["gram"][b]]
+        n, left = rows["n"].astype(int).tolist(), (rows["n"] - rows["pos"]).astype(int).tolist()
+        some = {a for a, b in pairs if 100 * min(n[a], n[b]) >= 80 * max(n[a], n[b]) and 180 * min(left[a], left[b]) >= 80 * (n[a] + n[b])}
+        long = {a for a in range(size) if (rows["gram"] == rows["gram"][a]).sum() > jaccard.NEAR}
+        assert set(np.flatnonzero(jaccard._partnered(rows, 80)).tolist()) == some | long
+
+
+def test_documents_do_not_depend_on_compared_postings(spark, corpus, monkeypatch):
+    monkeypatch.setattr(jaccard, "NEAR", 2)
+    docs = spark.createDataFrame(corpus, "doc_id bigint, text string").repartition(2)
+    assert sorted((tuple(r) for r in jaccard.join(docs, sketch_bits=4).collect()), key=repr) == brute_documents(corpus)
+
+
 def test_packed_postings(spark):
     rng = np.random.default_rng(5)
     for n in (1, 2, 500):

@@ -3,7 +3,8 @@
 1. A pass over the texts gives each document's class (documents of equal sets are one class) and counts n-grams of all
    documents in a table of a fixed size.
 2. A second pass orders each set rare-first by that table (ties by hash) and emits the prefix in which any partner of
-   sufficient similarity must share an n-gram. Postings travel packed; an n-gram that one class alone has is dropped.
+   sufficient similarity must share an n-gram. Postings travel packed; an n-gram that one class alone has is dropped, and so is
+   a posting that no other of its n-gram can pair with by the length and the positional filter, if those are all together.
 3. A third pass gives the sets of classes that are left.
 4. Candidates are pairs that share a prefix n-gram and pass the length filter, the positional filter (n-grams left after
    the shared one) and the suffix filter: sets are halved again and again at the same places of the hash order, and the
@@ -49,6 +50,8 @@ MORE = 16
 SKETCH_BITS, FILTER_BITS, BUCKETS_PER_TASK = 23, 23, 8
 #: Postings that a task holds before it sends them, and pairs that are sent to all tasks at most (16 bytes each).
 HELD, PAIRS = 500_000, 300_000
+#: Postings of a list that are compared with each other before they are written.
+NEAR = 16
 #: Classes of a list that one task meets, and parts that the lists beyond are first dealt to.
 LONG, SALTS = 500, 64
 #: Classes with this share of all documents are joined back by broadcast: there can't be more of them than its inverse.
@@ -131,7 +134,7 @@ def _unpacked(blob: bytes) -> np.ndarray:
 
 
 def _postings(docs: DataFrame, size: int, percent: int, table, buckets: int, class_: Callable[[np.ndarray], int]) -> DataFrame:
-    """Prefix postings. The first class of an n-gram in a task travels in a blob of its bucket, marked if the task has more; those go as rows."""
+    """Prefix postings. The first NEAR classes of an n-gram in a task travel in a blob of its bucket, the last marked if the task has more; those go as rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use()
@@ -145,9 +148,12 @@ def _postings(docs: DataFrame, size: int, percent: int, table, buckets: int, cla
             all_ = np.concatenate(made)
             made.clear()
             all_ = all_[np.lexsort((all_["class"], all_["gram"]))]
-            again = np.concatenate([[False], all_["gram"][1:] == all_["gram"][:-1]])
-            first = all_[~again].copy()
-            first["pos"][np.concatenate([again[1:], [False]])[~again]] |= _MULTI
+            start = np.concatenate([[True], all_["gram"][1:] != all_["gram"][:-1]])
+            number = np.arange(len(all_)) - np.maximum.accumulate(np.where(start, np.arange(len(all_)), 0))
+            again = number >= NEAR
+            # the last that travels in a blob is followed by more
+            all_["pos"][np.append(again[1:], False) & (number == NEAR - 1)] |= _MULTI
+            first = all_[~again]
             bucket = (first["gram"] >> np.uint64(32)).astype(np.int64) * buckets >> 32
             edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
             ends = [*edges[1:].tolist(), len(first)]
@@ -183,8 +189,30 @@ def _postings(docs: DataFrame, size: int, percent: int, table, buckets: int, cla
     return docs.select("text").mapInArrow(run, "bucket int, blob binary, gram bigint, class bigint, n int, pos int")
 
 
-def _shared(postings: DataFrame) -> DataFrame:
-    """Postings of n-grams that two classes or more have: gram, class, n, pos."""
+def _partnered(rows: np.ndarray, percent: int) -> np.ndarray:
+    """Which postings, in order of n-grams, have another of their n-gram that passes the length and the positional filter; all in lists of more than NEAR."""
+    gram, n, left = rows["gram"], rows["n"].astype(np.int64), rows["n"].astype(np.int64) - rows["pos"]
+    out = np.zeros(len(rows), bool)
+    for d in range(1, min(NEAR, len(rows))):
+        same = np.flatnonzero(gram[d:] == gram[:-d])
+        if not len(same):
+            break
+        x, y = same, same + d
+        alike = 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])
+        alike &= np.minimum(left[x], left[y]) * (100 + percent) >= percent * (n[x] + n[y])
+        out[x[alike]] = out[y[alike]] = True
+    if len(rows) > NEAR:
+        # the first and the last of NEAR + 1 in a row
+        far = np.flatnonzero(gram[NEAR:] == gram[:-NEAR])
+        edges = np.zeros(len(rows) + 1, np.int64)
+        np.add.at(edges, far, 1)
+        np.add.at(edges, far + NEAR + 1, -1)
+        out |= np.cumsum(edges)[:-1] > 0
+    return out
+
+
+def _shared(postings: DataFrame, percent: int) -> DataFrame:
+    """Postings of n-grams that two classes or more have, without those that no other of their list can pair with: gram, class, n, pos."""
     schema = [("gram", pa.int64()), ("class", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())]
 
     def emit(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +223,10 @@ def _shared(postings: DataFrame) -> DataFrame:
         group = np.cumsum(start) - 1
         new = start | np.concatenate([[True], rows["class"][1:] != rows["class"][:-1]])
         live = (np.bincount(group, new) >= 2) | (np.bincount(group, multi) > 0)
-        keep = rows[live[group] & new]
+        # of an n-gram that a task has more of, some postings are elsewhere
+        kept = live[group] & new
+        keep, whole = rows[kept], np.bincount(group, multi)[group[kept]] == 0
+        keep = keep[~whole | _partnered(keep, percent)]
         if len(keep):
             arrays = [keep["gram"].view(np.int64), np.ascontiguousarray(keep["class"]), keep["n"].astype(np.int32), (keep["pos"] & (_MULTI - 1)).astype(np.int32)]
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(a)) for a in arrays], [n for n, _ in schema])
@@ -218,7 +249,7 @@ def _shared(postings: DataFrame) -> DataFrame:
         if blobs:
             yield from emit(blobs)
 
-    # buckets are equal ranges of a hash, and a task sends an n-gram once: neither is hot
+    # buckets are equal ranges of a hash, and a task sends an n-gram NEAR times at most each time: neither is hot
     dealt = postings.repartition("bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(run, "gram bigint, class bigint, n int, pos int")
 
@@ -264,11 +295,9 @@ def _sets(docs: DataFrame, size: int, filter_, class_: Callable[[np.ndarray], in
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "row bigint, class bigint, p0 bigint, p1 bigint, grams binary")
 
 
-def _once(sets: DataFrame) -> DataFrame:
-    """One row of each class; the few classes that several tasks gave are found by their numbers alone."""
-    many = sets.groupBy("class").agg(F.count(F.lit(1)).alias("rows"), F.min("row").alias("stays")).where("rows > 1").select("class", "stays")
-    gone = cut(sets.sparkSession, sets.select("class", "row").join(broadcast_if_small(many), "class").where("row <> stays").select("row"), "gone")
-    return sets.join(broadcast_if_small(gone), "row", "left_anti").select("class", "p0", "p1", "grams")
+def _marks(sets: DataFrame) -> DataFrame:
+    """class, row, p0, p1: one row of each class, as several tasks may have given its set. The sets themselves stay where they are."""
+    return sets.groupBy("class").agg(F.min("row").alias("row"), F.min("p0").alias("p0"), F.min("p1").alias("p1"))
 
 
 def _difference(a: list[Column], b: list[Column]) -> Column:
@@ -279,12 +308,12 @@ def _difference(a: list[Column], b: list[Column]) -> Column:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs(x, y) whose sets are similar enough, as a, b."""
+    """The pairs(x, y, rx, ry), rx and ry the rows of sets, whose sets are similar enough, as a, b."""
     # few pairs go to the sets, so that the sets of all others stay where they are; many are joined by exchange
-    grams = sets.select("class", "grams")
-    xs = broadcast_if_small(pairs, 2 * PAIRS).join(grams, F.col("x") == F.col("class")).select("x", "y", F.col("grams").alias("gx"))
-    ys = broadcast_if_small(pairs.select("y").distinct(), 2 * PAIRS).join(grams, F.col("y") == F.col("class")).select(F.col("y").alias("own"), F.col("grams").alias("gy"))
-    met = xs.join(ys, F.col("y") == F.col("own")).select("x", "y", "gx", "gy")
+    grams = sets.select("row", "grams")
+    xs = broadcast_if_small(pairs, 2 * PAIRS).join(grams, F.col("rx") == F.col("row")).select("x", "y", "ry", F.col("grams").alias("gx"))
+    ys = broadcast_if_small(pairs.select("ry").distinct(), 2 * PAIRS).join(grams, F.col("ry") == F.col("row")).select("row", F.col("grams").alias("gy"))
+    met = xs.join(ys, F.col("ry") == F.col("row")).select("x", "y", "gx", "gy")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -300,7 +329,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _opened(lists: DataFrame, marks: DataFrame) -> DataFrame:
-    """lists(gram, class, n, pos) with m and lead, the length of the list and its first class, and the parts' sizes of marks(class, p0, p1)."""
+    """lists(gram, class, n, pos) with m and lead, the length of the list and its first class, and row and the parts' sizes of marks(class, row, p0, p1)."""
     lengths = cut(lists.sparkSession, lists.groupBy("gram").agg(F.count(F.lit(1)).alias("m"), F.min("class").alias("lead")), "lengths")
     # a long list is dealt out here too
     salted = lists.withColumn("salt", F.pmod("class", F.lit(SALTS)))
@@ -327,8 +356,9 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, sketch_bits:
     release(survey)
 
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lists = cut(spark, _shared(_postings(docs, size, percent, table, BUCKETS_PER_TASK * tasks, class_)), "lists")
+    lists = cut(spark, _shared(_postings(docs, size, percent, table, BUCKETS_PER_TASK * tasks, class_), percent), "lists")
     table.destroy()
+    free_dropped(spark)
     # a class of many copies is combined before the shuffle
     firsts = members.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("first"), F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("any"), F.count(F.lit(1)).alias("copies"))
     firsts = cut(spark, firsts, "firsts")
@@ -336,9 +366,8 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, sketch_bits:
     live = spark.sparkContext.broadcast(_class_filter(wanted, filter_bits))
     sets = cut(spark, _sets(docs, size, live, class_), "sets")
     live.destroy()
-    once = _once(sets)
 
-    open_ = cut(spark, _opened(lists, once.select("class", "p0", "p1")), "open")
+    open_ = cut(spark, _opened(lists, _marks(sets)), "open")
     release(lists)
     free_dropped(spark)
     at = (F.col("class").cast("double") + 2.0**63) / 2.0**64 * F.col("m")  # expected rank in the list
@@ -350,7 +379,7 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, sketch_bits:
             now = now | (F.col("class") == F.col("lead"))
         else:
             now = now & (at > led) & (F.col("class") != F.col("lead"))
-        named = lambda side: {"class": side, "n": f"n{side}", "pos": f"p{side}", "comp": f"c{side}", "p0": f"a{side}", "p1": f"b{side}"}
+        named = lambda side: {"class": side, "n": f"n{side}", "pos": f"p{side}", "comp": f"c{side}", "row": f"r{side}", "p0": f"a{side}", "p1": f"b{side}"}
         y = rows.where(now).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
         x = rows.withColumn("part", F.pmod(F.xxhash64("class"), "parts"))
         y, x = (df.select("gram", "part", *(F.col(c).alias(n) for c, n in named(side).items())) for df, side in ((y, "y"), (x, "x")))
@@ -360,8 +389,8 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, sketch_bits:
         allowed = total - 2 * F.ceil(percent * total / (100 + percent))
         near = _difference([F.col("ax"), F.col("bx")], [F.col("ay"), F.col("by")]) <= allowed
         met = (x.gram == y.gram) & (x.part == y.part) & (F.col("x") > F.col("y")) & (F.col("cx") != F.col("cy")) & similar_length & enough_left & near
-        pairs = cut(spark, x.join(y, met).select("x", "y").distinct(), "pairs")
-        links = _verified(pairs, once, percent)
+        pairs = cut(spark, x.join(y, met).select("x", "y", "rx", "ry").distinct(), "pairs")
+        links = _verified(pairs, sets, percent)
         before = reach
         if before is not None:
             links = links.unionByName(before.select(F.col("node").alias("a"), F.col("component").alias("b")))
